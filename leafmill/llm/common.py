@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,9 +33,14 @@ class Scratch:
         self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back."""
+        """Write ``df`` and return it as read back.
+
+        Collecting garbage then lets Spark's cleaner delete the shuffle files of plans that are done.
+        """
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(back)] = path
         return back
