@@ -20,6 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame) -> tuple[DataFrame, str]:
+    """doc_id, text and all other columns in one struct, whose name is returned: none can clash with an operator's."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))).alias("_rest")), "_rest"
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, with doc_id and text of ``df`` and the others as they were carried; n_chars follows text."""
+    rest = iter(range(len(like.columns)))
+    cols = []
+    for c in like.columns:
+        if c in ("doc_id", "text"):
+            cols.append(F.col(c))
+        else:
+            old = F.col(f"_rest.c{next(rest)}")
+            if c == "n_chars":
+                old = F.when(F.col("text").isNull(), old).otherwise(F.length("text")).cast(like.schema[c].dataType)
+            cols.append(old.alias(c))
+    return df.select(*cols)
+
+
 class Scratch:
     """Tables written under ``spark.checkpoint.dir``: they cut lineage and outlive the loss of an executor.
 

@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import carried, restored
+
 GRAM, WINDOW = 2, 2
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(
-        "doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")
+        "doc_id", "text", *more, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th")
     )
 
 
@@ -55,11 +57,11 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     return runs.groupBy("k", "th").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_runs, text (what is left) of each row."""
+def _rewritten(docs: DataFrame, gram: int, window: int, *more: str) -> DataFrame:
     none = F.array().cast("array<struct<a:int,b:int>>")
     runs = repeated_runs(docs, gram, window)
-    joined = _keyed(docs).join(runs, ["k", "th"], "left").withColumn("runs", F.coalesce("runs", none)).withColumn("lines", F.split("text", "\n", -1))
+    joined = _keyed(docs, *more).join(runs.hint("shuffle_hash"), ["k", "th"], "left")
+    joined = joined.withColumn("runs", F.coalesce("runs", none)).withColumn("lines", F.split("text", "\n", -1))
     last = F.size("lines")
     before = lambda j: F.when(j == 0, 1).otherwise(F.get("runs", j - 1)["b"] + 1)
     until = lambda j: F.coalesce(F.get("runs", j)["a"], last + 1)
@@ -71,9 +73,21 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
         removed.cast("long").alias("n_removed"),
         F.size("runs").cast("long").alias("n_runs"),
         F.when(F.size("runs") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        *more,
     )
 
 
+def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_runs, text (what is left) of each row."""
+    return _rewritten(docs.select("doc_id", "text"), gram, window)
+
+
+def without_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """``docs`` with its text so rewritten and n_chars, where there is one, to match."""
+    packed, rest = carried(docs)
+    return restored(_rewritten(packed, gram, window, rest), docs)
+
+
 ORACLE_SQL = """
 with lines as (
   select doc_id, text, string_split(text, chr(10)) l from documents

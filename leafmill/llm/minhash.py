@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix, texts
+from .common import Scratch, carried, components, mix, restored, texts
 from .simhash import Words
 
 BANDS, ROWS, SIZE, THRESHOLD, BLOCK = 12, 3, 5, 0.8, 256
@@ -110,8 +110,8 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log1p(total / (1 + df)).astype(np.float32)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash("text").alias("th"), "text")
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(*more, "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash("text").alias("th"), "text")
 
 
 def _signatures(docs: DataFrame, idf: np.ndarray, n_bands: int, rows: int) -> DataFrame:
@@ -203,10 +203,10 @@ def _rest(buckets: DataFrame, parts: DataFrame, payload: DataFrame, idf: np.ndar
     return sides.join(payload, "class").groupBy(*cell, "i", "j").applyInPandas(compare, "a binary, b binary")
 
 
-def near_duplicates(
+def groups(
     docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, scratch: Scratch | None = None
 ) -> DataFrame:
-    """doc_id, class_id (smallest id of its group; null counts as smallest), kept (doc_id = class_id) of each row."""
+    """k, th (a document's id and text hash), first (the smallest k and th of its group) for each row."""
     scratch = scratch or Scratch(docs.sparkSession)
     idf = document_frequencies(docs)
     signed = scratch.keep(_signatures(docs, idf, n_bands, rows), "signatures")
@@ -225,10 +225,23 @@ def near_duplicates(
         parts = components(scratch, links)
     named = signed.join(parts.withColumnRenamed("node", "class"), "class", "left").select("k", "th", F.coalesce("component", "class").alias("part"))
     named = scratch.keep(named, "named")
-    lowest = named.groupBy("part").agg(F.min("k").alias("low"))
-    null_key = F.lit(-(1 << 63))
-    own, low = (F.when(F.col(c) == null_key, None).otherwise(F.col(c)) for c in ("k", "low"))
-    return named.join(lowest, "part").select(own.alias("doc_id"), low.alias("class_id"), own.eqNullSafe(low).alias("kept"))
+    lowest = named.groupBy("part").agg(F.min(F.struct("k", "th")).alias("first"))
+    return named.join(lowest, "part").select("k", "th", "first")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """doc_id, class_id (smallest id of its group; null counts as smallest), kept (is the group's first) of each row."""
+    found = groups(docs, threshold, **options)
+    own, low = (F.when(F.col(c) != -(1 << 63), F.col(c)) for c in ("k", "first.k"))
+    return found.select(own.alias("doc_id"), low.alias("class_id"), (F.struct("k", "th") == F.col("first")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of ``docs`` that are first of their group, repeated rows once."""
+    packed, rest = carried(docs)
+    firsts = groups(packed, threshold, **options).where(F.struct("k", "th") == F.col("first")).select("k", "th").distinct()
+    kept = _keyed(packed, rest).join(firsts.hint("shuffle_hash"), ["k", "th"]).dropDuplicates(["k", "th"])
+    return restored(kept, docs)
 
 
 def _none(links: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, restored
+
 # The formats.
 FORMATS = {
     "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -196,15 +198,19 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "leafmill", text: str = "text") -> DataFrame:
-    """``docs`` with its text replaced; n_replaced counts the values that are other than before."""
-    split = F.split(text, PATTERN, -1)
-    found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    hit = F.col(text).rlike(HINT) & F.col(text).rlike(PATTERN)
-    cut = docs.withColumn("_found", F.when(hit, found)).withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    whole = F.array_join(F.zip_with(split, F.array_append("_new", F.lit("")), lambda gap, m: F.concat(gap, m)), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    names = [c for c in docs.columns if c != text]
-    return cut.select(
-        *names, F.when(F.col("_found").isNull(), F.col(text)).otherwise(whole).alias(text), F.when(F.col("_found").isNull(), 0).otherwise(changed).cast("long").alias("n_replaced")
-    )
+def pseudonymise(docs: DataFrame, key: str = "leafmill", *more: str) -> DataFrame:
+    """doc_id, text with its values replaced, n_replaced (values that are other than before) of each row."""
+    text = F.col("text")
+    found = F.when(text.rlike(HINT) & text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    cut = docs.select("doc_id", "text", *more, found.alias("found"))
+    cut = cut.withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
+    whole = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.array_append("new", F.lit("")), lambda gap, m: F.concat(gap, m)), "")
+    changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
+    none = F.col("found").isNull()
+    return cut.select("doc_id", F.when(none, text).otherwise(whole).alias("text"), F.when(none, 0).otherwise(changed).cast("long").alias("n_replaced"), *more)
+
+
+def without_personal_data(docs: DataFrame, key: str = "leafmill") -> DataFrame:
+    """``docs`` with its text so rewritten and n_chars, where there is one, to match."""
+    packed, rest = carried(docs)
+    return restored(pseudonymise(packed, key, rest), docs)

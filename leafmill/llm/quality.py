@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import carried, restored, texts
 
 PASSAGE, HASHED, MOST_PASSAGES, SAMPLE, THRESHOLD = 64, 32, 64, 6000, 0.3
 SIGNS = ".,!?;:|#$%&*<>{}[]()\"'-_/\\@+="
@@ -209,3 +209,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     """doc_id, held_out, score, predicted of every document."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels, sample), threshold)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts."""
+    packed, _ = carried(docs)
+    return restored(score(packed, train(docs, labels, sample), threshold).where("predicted = 1"), docs)
