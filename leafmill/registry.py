@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import quality
+from .queries import books, words
+
+FAMILIES = (words, books)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for family in FAMILIES for k, v in family.ORACLE.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return quality.assess(spark.read.parquet(f"{sf_dir}/documents.parquet"))
