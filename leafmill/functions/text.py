@@ -119,3 +119,8 @@ def table_text(cells: Column) -> Column:
 def parse_table(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.transform(F.split(x, "\\|"), lambda c: F.trim(c)))
+
+
+def rest(items: Column) -> Column:
+    """All of an array but its first."""
+    return F.slice(items, 2, F.greatest(F.lit(0), F.size(items) - 1))

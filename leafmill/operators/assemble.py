@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, join_text, word_count
+from ..functions.text import collapse, join_text, rest, word_count
 
 NOT_FLOW = ["footnote", "caption", "table"]
 CHUNK_WORDS, OVERLAP_WORDS = 1200, 200
@@ -31,8 +31,7 @@ def assemble(blocks: DataFrame) -> DataFrame:
     island = F.sum((~F.col("joins")).cast("int")).over(Window.partitionBy("doc_id").orderBy("bi"))
     grouped = flow.withColumn("island", island).groupBy("doc_id", "island")
     parts = grouped.agg(F.min("bi").alias("bi"), F.count("*").alias("n"), F.min_by("kind", "bi").alias("kind"), F.array_sort(F.collect_list(F.struct("bi", "text"))).alias("parts"))
-    rest = F.slice("parts", 2, 2147483647)
-    text = F.aggregate(rest, F.element_at("parts", 1)["text"], lambda s, p: join_text(s, p["text"]))
+    text = F.aggregate(rest(F.col("parts")), F.element_at("parts", 1)["text"], lambda s, p: join_text(s, p["text"]))
     return parts.select("doc_id", "bi", "kind", "n", text.alias("text"))
 
 

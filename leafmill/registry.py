@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import quality
-from .queries import books, words
+from .queries import books, scalars, words
 
-FAMILIES = (words, books)
+FAMILIES = (words, books, scalars)
 
 
 def queries() -> dict:
