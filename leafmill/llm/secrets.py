@@ -12,6 +12,8 @@ empty texts have no matches. All is column expressions; a text is read once.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,13 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"[A-Za-z_-]{8,}"
-_ALPHABET = 67  # letters, digits, + / _ . = and -; also any other
+ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 
 
 def _cut(text: Column, pattern: str, hint: Column, group: int = 0) -> Column:
     """Array of (gap before, length, value) of the matches; the text between matches is what split() leaves."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, 2147483647), lambda s: F.length(s))
+    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
     both = F.arrays_zip(gaps.alias("gap"), F.transform(whole, lambda s: F.length(s)).alias("size"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     return F.when(hint, both)
 
@@ -69,28 +71,31 @@ def bigrams(samples: DataFrame) -> DataFrame:
     return samples.where(F.length("value") > 0).select("*", F.explode(pair).alias("p")).select("*", "p.a", "p.b").drop("p")
 
 
-def train(samples: DataFrame, random_prior: float = 1.0, word_prior: float = 0.1) -> DataFrame:
-    """a, b, ratio: ln P(b | a) under the random less under the ordinary model, for pairs seen in ``samples``
-    (value, random); ``a`` with a null ``b`` holds the ratio of its unseen pairs. At most 67 x 68 rows matter."""
-    alphabet = F.lit("^[A-Za-z0-9+/_.=-]$")
-    pairs = bigrams(samples).where(F.regexp_like("b", alphabet))
-    counts = pairs.groupBy("a", "b").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("w"))
-    totals = counts.groupBy("a").agg(F.sum("r").alias("rt"), F.sum("w").alias("wt"))
+def train(samples: DataFrame, strength: float = 10.0, random_prior: float = 1.0, word_prior: float = 0.1) -> DataFrame:
+    """a, b, ratio: ln P(b | a) under the random less under the ordinary model, of ``samples`` (value, random).
+
+    A pair's probability backs off to the single character's with ``strength`` counts, and that to the prior; ``a`` is
+    empty at a value's start. The table has a row for each pair of the alphabet, whatever the samples' size.
+    """
+    n = len(ALPHABET)
+    pairs = bigrams(samples).groupBy("a", "b").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("w"))
+    signs = F.array(*map(F.lit, ALPHABET))
+    every = samples.sparkSession.range(1).select(F.explode(F.concat(F.array(F.lit("")), signs)).alias("a")).select("a", F.explode(signs).alias("b"))
+    counts = every.join(pairs, ["a", "b"], "left").fillna(0)
 
-    def ratio(r, w):
-        random = (r + random_prior) / (F.col("rt") + random_prior * _ALPHABET)
-        return F.log(random) - F.log((w + word_prior) / (F.col("wt") + word_prior * _ALPHABET))
+    def model(c: str, prior: float) -> Column:
+        of = lambda *keys: F.sum(c).over(Window.partitionBy(*keys))  # noqa: E731  over the alphabet's pairs only
+        single = (of("b") + prior) / (of(F.lit(0)) + prior * n)
+        return (F.col(c) + strength * single) / (of("a") + strength)
 
-    seen = counts.join(totals, "a").select("a", "b", ratio(F.col("r"), F.col("w")).alias("ratio"))
-    return seen.union(totals.select("a", F.lit(None).cast("string"), ratio(F.lit(0), F.lit(0))))
+    return counts.select("a", "b", (F.log(model("r", random_prior)) - F.log(model("w", word_prior))).alias("ratio"))
 
 
 def score(tokens: DataFrame, model: DataFrame) -> DataFrame:
     """value, ratio of each distinct value."""
-    seen, rest = model.where("b is not null"), model.where("b is null").select("a", F.col("ratio").alias("rest"))
     pairs = bigrams(tokens.select("value").distinct())
-    scored = pairs.join(F.broadcast(seen), ["a", "b"], "left").join(F.broadcast(rest), "a", "left")
-    return scored.groupBy("value").agg(F.sum(F.coalesce("ratio", "rest", F.lit(0.0))).alias("ratio"))
+    scored = pairs.join(F.broadcast(model), ["a", "b"], "left")
+    return scored.groupBy("value").agg(F.sum(F.coalesce("ratio", F.lit(0.0))).alias("ratio"))
 
 
 def find_secrets(docs: DataFrame, least_ratio: float = 15.0, least_each: float = 0.8, sample_docs: int = 2000, scratch: Scratch | None = None) -> DataFrame:
