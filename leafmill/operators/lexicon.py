@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import archaic_score, edit_distance, normalize_token
+from ..functions.text import archaic_score, edit_distance, normalize_token, rest
+from ..plans.scratch import keep
 
 LEAST_COUNT, LOW_CONFIDENCE, LIMIT = 3, 80, 200
 
@@ -16,7 +16,7 @@ def forms(words: DataFrame) -> DataFrame:
     term = normalize_token(F.col("text"))
     named = words.select(term.alias("form"), F.lower(term).alias("key"), "confidence", "page", "at")
     named = named.where((F.length("form") >= 3) & F.col("form").rlike(r"\p{L}"))
-    return named.groupBy("key", "form").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.min("at").alias("first"), F.approx_count_distinct("page").alias("about_pages"))
+    return named.groupBy("key", "form").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.min("at").alias("first"))
 
 
 def entries(words: DataFrame, common: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
@@ -50,38 +50,58 @@ def impact(count: Column, archaic: Column, proper: Column, mean: Column, corrobo
     return F.floor(d * d * F.log2(1 + count) * 100 + 0.5) / 100
 
 
+def neighbours(found: DataFrame) -> DataFrame:
+    """Pairs of keys one edit apart that share their first letter (a, b with a < b).
+
+    Such keys are equal after at most one letter is dropped from each, so they meet on one of those strings: no key is
+    compared with all others of its letter.
+    """
+    at = F.sequence(F.lit(2), F.length("key"))
+    without = F.transform(at, lambda k: F.concat(F.substr("key", F.lit(1), k - 1), F.substr("key", k + 1)))
+    forms_ = F.array_distinct(F.concat(F.array("key"), F.when(F.length("key") > 1, without).otherwise(F.array().cast("array<string>"))))
+    a = found.select(F.col("key").alias("a"), F.explode(forms_).alias("form"))
+    b = a.withColumnRenamed("a", "b")
+    return a.join(b, "form").where("a < b").select("a", "b").distinct().where(edit_distance(F.col("a"), F.col("b")) <= 1)
+
+
+def leaders(found: DataFrame) -> DataFrame:
+    """key, home: each key's leader (itself, if it is one).
+
+    In order of count, a key becomes a leader unless one edit away from an earlier leader, whose variant it then is: the
+    first of them. Rounds decide all keys whose earlier neighbours are decided, till none is left.
+    """
+    rank = found.select("key", F.struct((-F.col("count")).alias("n"), F.col("key").alias("k")).alias("rank"))
+    pairs = neighbours(found)
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    before = both.join(rank.select(F.col("key").alias("a"), F.col("rank").alias("ra")), "a").join(rank.select(F.col("key").alias("b"), F.col("rank").alias("rb")), "b")
+    before = keep(before.where("rb < ra").select("a", "b", "rb"))
+    state = keep(rank.select("key", F.lit("open").alias("state")))
+    while True:
+        seen = before.join(state.select(F.col("key").alias("b"), F.col("state").alias("sb")), "b")
+        told = seen.groupBy("a").agg(F.bool_or(F.col("sb") == "leader").alias("led"), F.bool_or(F.col("sb") == "open").alias("waits"))
+        joined = state.join(told.withColumnRenamed("a", "key"), "key", "left")
+        now = F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("led", F.lit(False)), "variant").when(F.coalesce("waits", F.lit(False)), "open").otherwise("leader")
+        state = keep(joined.select("key", now.alias("state")))
+        if state.where("state = 'open'").isEmpty():
+            break
+    led = before.join(state.where("state = 'leader'").select(F.col("key").alias("b")), "b").groupBy("a").agg(F.min_by("b", "rb").alias("home"))
+    variants = state.where("state = 'variant'").join(led.withColumnRenamed("a", "key"), "key").select("key", "home")
+    return variants.union(state.where("state = 'leader'").select("key", F.col("key").alias("home")))
+
+
 def fold_variants(found: DataFrame) -> DataFrame:
-    """Terms with a spelling one edit away folded into the first, most frequent one; groups share a first letter and
-    a hash-free length band, so each is small whatever the collection's size."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["count", "key"], ascending=[False, True])
-        leaders: list[dict] = []
-        for row in rows.to_dict("records"):
-            home = next((x for x in leaders if abs(len(x["key"]) - len(row["key"])) <= 1 and _near(x["key"], row["key"])), None)
-            if home is None:
-                leaders.append(row | {"variants": [], "signals": list(row["signals"]), "weight": row["count"] * row["mean_confidence"]})
-            else:
-                home["count"] += row["count"]
-                home["weight"] += row["count"] * row["mean_confidence"]
-                home["variants"].append(row["term"])
-                home["signals"] += [s for s in row["signals"] if s not in home["signals"]]
-        for x in leaders:
-            x["mean_confidence"] = x.pop("weight") / x["count"]
-        return pd.DataFrame(leaders)[["key", "term", "count", "mean_confidence", "archaic", "proper", "signals", "variants"]]
-
-    schema = "key string, term string, count long, mean_confidence double, archaic int, proper boolean, signals array<string>, variants array<string>"
-    return found.withColumn("head", F.substring("key", 1, 1)).groupBy("head").applyInPandas(lambda rows: fold(rows), schema)
-
-
-def _near(a: str, b: str) -> bool:
-    """At most one edit apart."""
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    at = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
+    """Leaders with their variants' counts and signals; spelling, age and kind stay the leader's own."""
+    own = found.join(leaders(found), "key").withColumn("is_leader", F.col("key") == F.col("home"))
+    order = F.struct((~F.col("is_leader")).alias("l"), (-F.col("count")).alias("n"), "key")
+    rows = own.groupBy("home").agg(
+        F.sum("count").alias("count"), (F.sum(F.col("mean_confidence") * F.col("count")) / F.sum("count")).alias("mean_confidence"),
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), "term", "signals", "archaic", "proper"))).alias("m"),
+    )
+    head = F.element_at("m", 1)
+    return rows.select(
+        F.col("home").alias("key"), head["term"].alias("term"), "count", "mean_confidence", head["archaic"].alias("archaic"), head["proper"].alias("proper"),
+        F.array_distinct(F.flatten(F.transform("m", lambda x: x["signals"]))).alias("signals"), F.transform(rest(F.col("m")), lambda x: x["term"]).alias("variants"),
+    )
 
 
 def top(folded: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -98,18 +118,7 @@ def vet(found: DataFrame, verdicts: DataFrame) -> DataFrame:
     return joined.withColumn("from_term", F.when(new.isNotNull(), F.col("term"))).withColumn("term", F.coalesce(new, "term")).drop("decision", "correction")
 
 
-def neighbours(found: DataFrame) -> DataFrame:
-    """Pairs of terms one edit apart that share their first letter (a, b with a < b)."""
-    a = found.select(F.col("key").alias("a"), F.substring("key", 1, 1).alias("head"), F.length("key").alias("size"))
-    b = a.select(F.col("a").alias("b"), "head", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
-    return a.join(b, ["head", "size"]).where(F.col("a") < F.col("b")).where(edit_distance(F.col("a"), F.col("b")) <= 1).select("a", "b")
-
-
 def widespread(tokens: DataFrame, docs: int, share: float) -> DataFrame:
     """Ordinary words by rule: those in at least ``share`` of all documents."""
     seen = tokens.select("doc_id", F.lower(normalize_token(F.col("token"))).alias("word")).distinct()
     return seen.groupBy("word").count().where(F.col("count") >= share * docs).select("word")
-
-
-def first_spelling() -> Window:
-    return Window.partitionBy("key").orderBy(F.desc("n"), "first")

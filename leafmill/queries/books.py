@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..functions import text as T
-from ..operators import assemble, facts, pages, runs
-from ..plans.views import blocks, book_of, sql, table
+from ..operators import assemble, edits, facts, pages, runs
+from ..plans.views import blocks, book_of, second_reading, sql, table, tokens
 from ..plans.views import pages as page_view
 
 QUERIES, ORACLE = {}, {}
@@ -435,3 +436,58 @@ def j15(spark, sf):
 def k08(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     return docs.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.concat(F.substring("h", 1, 32), F.lit(".pdf")).alias("path"))
+
+
+@query("w13_apply_edits")
+def w13(spark, sf):
+    """Edits from the event log (a user's edits go to the document of that number), replayed over its blocks."""
+    found = _blocks(spark, sf)
+    named = found.select("doc_id", "bi", F.concat(F.lit("p"), F.floor(F.col("bi") / 4).cast("string"), F.lit("b"), F.col("bi").cast("string")).alias("id"), "kind", "text")
+    n = table(spark, sf, "documents").count()
+    kinds = F.array(*map(F.lit, ["text", "retype", "drop", "split", "merge"]))
+    bi = F.floor(F.col("value") % 9).cast("long")
+    log = table(spark, sf, "events").select(
+        (F.col("event_id") * 13 % n).alias("doc_id"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("kind"),
+        F.concat(F.lit("p"), F.floor(bi / 4).cast("string"), F.lit("b"), bi.cast("string")).alias("target"),
+        F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise("caption").alias("value"), (F.col("event_id") % 60).alias("at"),
+    )
+    return edits.apply_edits(named, log)
+
+
+@query("w06_dropped_runs")
+def w06_runs(spark, sf):
+    """The stretches of each document that a second reading of it lacks, by alignment."""
+    tok = tokens(table(spark, sf, "documents"))
+    return edits.compare_readings(tok, second_reading(tok))
+
+
+@query("t01_inline_markup", sql("blocks", r"select doc_id, bi, text as plain, case when length(text) > 0 then '<i>' || text || '</i>' else '' end again, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::int n_marked from blocks where bi % 2 = 1"))
+def t01(spark, sf):
+    """Every other block set in italics, read back to text and marked words, and written again."""
+    raw = F.concat(F.lit("<em>"), F.col("text"), F.lit("</em>"))
+    rows = _blocks(spark, sf).where("bi % 2 = 1").select("doc_id", "bi", markup.parsed_markup(raw).alias("m"))
+    return rows.select("doc_id", "bi", F.col("m.text").alias("plain"), markup.with_markup(F.col("m.text"), F.col("m.emphasis")).alias("again"), F.size("m.emphasis").alias("n_marked"))
+
+
+@query("t14_anchor_ends", sql("blocks", r"""
+select doc_id, bi, length(regexp_extract(text, '^\s*(\S+\s+){0,4}\S+'))::int "at" from blocks"""))
+def t14(spark, sf):
+    """Where each block's first five words, found with loose white space, end in it."""
+    rows = _blocks(spark, sf)
+    first = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 5), " ")
+    return rows.select("doc_id", "bi", markup.anchor_end(F.col("text"), first).alias("at"))
+
+
+@query("t15_claims")
+def t15(spark, sf):
+    """Numbers and names that each document states, and whether the book's next document has them too."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select("doc_id", F.explode(markup.claims_in(F.col("text"))).alias("claim"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.lower(T.collapse(F.col("text"))).alias("t"))
+    return rows.join(after, "doc_id", "left").select("doc_id", "claim", F.coalesce(~F.contains("t", F.lower("claim")), F.lit(True)).alias("outside"))
+
+
+@query("p33_shelf_names")
+def p33(spark, sf):
+    """A short hash of each page's address, for its place on the shelf."""
+    return table(spark, sf, "pages").select("page_id", F.concat_ws("-", T.slug(F.col("url")), markup.short_hash(F.col("url"))).alias("name"))
