@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EDITED = "doc_id long, n int, id string, kind string, text string, sources array<int>"
 
@@ -49,10 +50,12 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     """
 
     def fold(own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:  # a side without rows comes without columns
+            return pd.DataFrame(columns=["doc_id", "n", "id", "kind", "text", "sources"])
         own = own.sort_values("bi")
         rows = [{"id": r.id, "kind": r.kind, "text": r.text, "sources": [int(r.bi) // 4]} for r in own.itertuples()]
-        out = replay(rows, log.sort_values("seq").to_dict("records"))
-        key = own["doc_id"].iloc[0] if len(own) else None
+        out = replay(rows, [] if log.empty else log.sort_values("seq").to_dict("records"))
+        key = own["doc_id"].iloc[0]
         return pd.DataFrame([(key, k, b["id"], b["kind"], b["text"], b["sources"]) for k, b in enumerate(out)], columns=["doc_id", "n", "id", "kind", "text", "sources"])
 
     return blocks.groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInPandas(lambda a, b: fold(a, b), EDITED)
@@ -74,14 +77,17 @@ def compare_readings(tokens: DataFrame, reading: DataFrame, least: int = 2, stro
     def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty:
             return pd.DataFrame(columns=["doc_id", "start", "n", "words", "strength", "before", "after"])
-        w = a.sort_values("pos")["token"].tolist()
+        a = a.sort_values("pos")
+        w, places = a["token"].tolist(), a["pos"].tolist()
         rows = []
         for at in range(0, len(w), 4000):  # pages of a long document, so that an alignment stays small
-            part = set(a.sort_values("pos")["pos"].tolist()[at : at + 4000])
-            other = b[b["pos"].isin(part)].sort_values("pos")["token"].tolist()
+            part = set(places[at : at + 4000])
+            other = [] if b.empty else b[b["pos"].isin(part)].sort_values("pos")["token"].tolist()
             for start, n in dropped_runs(w[at : at + 4000], other, least, strong):
                 s = at + start
                 rows.append((a["doc_id"].iloc[0], s + 1, n, " ".join(w[s : s + n]), "strong" if n >= strong else "weak", " ".join(w[max(0, s - 3) : s]), " ".join(w[s + n : s + n + 3])))
         return pd.DataFrame(rows, columns=["doc_id", "start", "n", "words", "strength", "before", "after"])
 
+    # own names for the second side's columns: both sides may come from one frame, whose columns a cogroup would confuse
+    reading = reading.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "token")))
     return tokens.groupBy("doc_id").cogroup(reading.groupBy("doc_id")).applyInPandas(lambda a, b: fold(a, b), RUNS)
