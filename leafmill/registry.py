@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import quality
-from .queries import books, scalars, words
+from .queries import books, records, scalars, words
 
-FAMILIES = (words, books, scalars)
+FAMILIES = (words, books, scalars, records)
 
 
 def queries() -> dict:
