@@ -127,3 +127,16 @@ def claims_in(text: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def short_hash(text: pd.Series) -> pd.Series:
     return pd.Series([base36(fnv1a(t or "")) for t in text])
+
+
+def correcting(corrections: list[tuple[str, str]]):
+    """A pandas function of a text column that applies these corrections: struct of text and replaced."""
+
+    @F.pandas_udf(StructType().add("text", StringType()).add("replaced", IntegerType()))
+    def run(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([correct_terms(t, corrections) for t in text], columns=["text", "replaced"])
+
+    return run
+
+
+corrected = correcting([("thand", "than"), ("die", "dye")])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import quality
-from .queries import books, records, scalars, words
+from .queries import books, records, scalars, stored, words
 
-FAMILIES = (words, books, scalars, records)
+FAMILIES = (words, books, scalars, records, stored)
 
 
 def queries() -> dict:
