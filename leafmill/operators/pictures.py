@@ -90,3 +90,32 @@ def blank_regions(words: DataFrame, width: float, height: float, least: float =
         return pd.DataFrame([(*key, n, left * width / grid, t * height / grid, r * width / grid, b * height / grid) for n, (t, left, b, r) in enumerate(kept)], columns=["doc_id", "page_index", "n", "x0", "y0", "x1", "y1"])
 
     return words.groupBy("doc_id", "page_index").applyInPandas(lambda rows: page(rows), REGIONS)
+
+
+def merge_nearby(boxes: list[tuple[float, float, float, float]], gap: float) -> list[tuple[float, float, float, float]]:
+    """Boxes joined while any two are within ``gap`` of each other; a joined box may reach further ones."""
+    now = list(boxes)
+    while True:
+        pair = next(((i, j) for i in range(len(now)) for j in range(i + 1, len(now)) if all(now[i][k] - gap <= now[j][k + 2] and now[j][k] - gap <= now[i][k + 2] for k in (0, 1))), None)
+        if pair is None:
+            return now
+        a, b = now[pair[0]], now.pop(pair[1])
+        now[pair[0]] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+
+
+def illustrations(regions: DataFrame, gap: float, most: int = 3, overlap: float = 0.35) -> DataFrame:
+    """The few large picture regions of each page (doc_id, page_index, n, x0, y0, x1, y1): those that a larger one covers
+    by ``overlap`` of their area go, near ones join."""
+
+    def page(rows: pd.DataFrame) -> pd.DataFrame:
+        size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+        shared = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        kept: list[tuple] = []
+        for b in sorted(zip(rows.x0, rows.y0, rows.x1, rows.y1), key=lambda b: (-size(b), b)):
+            if all(shared(k, b) <= overlap * size(b) for k in kept):
+                kept.append(b)
+        out = sorted(merge_nearby(kept, gap), key=lambda b: (-size(b), b))[:most]
+        key = (rows["doc_id"].iloc[0], rows["page_index"].iloc[0])
+        return pd.DataFrame([(*key, n, *b) for n, b in enumerate(out)], columns=["doc_id", "page_index", "n", "x0", "y0", "x1", "y1"])
+
+    return regions.groupBy("doc_id", "page_index").applyInPandas(lambda rows: page(rows), REGIONS)

@@ -82,7 +82,7 @@ def orphan_notes(notes: DataFrame, bodies: DataFrame) -> DataFrame:
     """doc_id, marker of the notes whose marker, digits not beside digits, or its superscript, isn't in their body."""
     raised = F.translate("marker", "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
     digits = F.col("marker").rlike("^[0-9]+$")
-    pattern = F.when(digits, F.concat(F.lit(r"(?<![0-9])\Q"), "marker", F.lit(r"\E(?![0-9])|\Q"), raised, F.lit(r"\E"))).otherwise(F.concat(F.lit(r"\Q"), "marker", F.lit(r"\E")))
+    pattern = F.when(digits, F.concat(F.lit(r"(?<![0-9])\Q"), "marker", F.lit(r"\E(?![0-9])|(?<![⁰¹²³⁴-⁹])\Q"), raised, F.lit(r"\E(?![⁰¹²³⁴-⁹])"))).otherwise(F.concat(F.lit(r"\Q"), "marker", F.lit(r"\E")))
     both = notes.where(F.trim("marker") != "").join(bodies, "doc_id", "left")
     return both.where(~F.coalesce(F.regexp_like("body", pattern), F.lit(False))).select("doc_id", "marker")
 

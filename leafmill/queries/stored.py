@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as T
-from ..operators import stored
+from ..operators import notes, pictures, stored
 from ..plans.views import blocks, ocr_words, sql, table, tokens
 from ..plans.views import pages as page_view
+from ..sources import epub
 
 QUERIES, ORACLE = {}, {}
 
@@ -143,3 +144,56 @@ def m32(spark, sf):
 def t13(spark, sf):
     """Two misreadings put right in every document, whole words only, with the number of changes."""
     return table(spark, sf, "documents").select("doc_id", markup.corrected(F.col("text")).alias("c")).select("doc_id", F.sha2("c.text", 256).alias("text_sha256"), "c.replaced")
+
+
+@query("w19_prepared_notes")
+def w19(spark, sf):
+    """Each document's notes put where their markers first stand; some have a place of their own instead."""
+    b = blocks(table(spark, sf, "documents"))
+    found = b.where("kind = 'footnote'")
+    own = F.col("bi") % 3 == 0
+    asked = found.select(
+        "doc_id", F.concat(F.lit("fn"), F.col("bi").cast("string")).alias("note_id"), F.element_at(F.split("text", r"\s+"), 1).alias("marker"),
+        F.when(own, F.col("bi") - 1).alias("home"), F.when(own, F.lit(12)).alias("at"),
+    )
+    return notes.prepare(b.where("kind <> 'footnote'").select("doc_id", "bi", "text"), asked)
+
+
+@query("j14_illustrations")
+def j14(spark, sf):
+    """The large blank parts of pages, suppressed, joined and cut to the three largest of a page."""
+    words = ocr_words(tokens(table(spark, sf, "documents"))).where("page_index % 2 = 0 or y0 % 400 >= 200")
+    return pictures.illustrations(pictures.blank_regions(words, 1100, 1200, 0.05), 55)
+
+
+@query("s09_epub_pages")
+def s09(spark, sf):
+    """Web pages bound into archives of a few each, opened again and walked."""
+    rows = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 4).cast("long").alias("book"), "page_id", "html")
+
+    def bind(group):
+        import pandas as pd
+
+        group = group.sort_values("page_id")
+        content = epub.write([(f"p{i}.xhtml", h or "") for i, h in zip(group["page_id"], group["html"])])
+        return pd.DataFrame([(f"book{group['book'].iloc[0]}.epub", content)], columns=["path", "content"])
+
+    return epub.read(rows.groupBy("book").applyInPandas(lambda group: bind(group), "path string, content binary"))
+
+
+@query("s05_flatten_words", sql("tok ocr", "select doc_id, page_index, row_number() over (partition by doc_id, page_index order by pos) - 1 n, text from ocr where word_no % 9 <> 4"))
+def s05(spark, sf):
+    """Words nested by page and line, blank ones among them, flattened and numbered again."""
+    from pyspark.sql import Window
+
+    words = ocr_words(tokens(table(spark, sf, "documents")))
+    text = F.when(F.col("word_no") % 9 == 4, " ").otherwise(F.col("text"))
+    line = words.groupBy("doc_id", "page_index", "y0").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))).alias("words"))
+    page = line.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("y0", "words"))).alias("lines"))
+    flat = page.select("doc_id", "page_index", F.explode(F.flatten(F.transform("lines", lambda x: x["words"]))).alias("w")).where(F.trim("w.text") != "")
+    return flat.select("doc_id", "page_index", (F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("w.pos")) - 1).cast("long").alias("n"), "w.text")
+
+
+@query("x01_fixed_widths", sql("blocks", "select doc_id, bi, round(length(text) * 11 * 0.5, 6) width from blocks"))
+def x01(spark, sf):
+    return blocks(table(spark, sf, "documents")).select("doc_id", "bi", F.round(F.length("text") * 11 * 0.5, 6).alias("width"))
