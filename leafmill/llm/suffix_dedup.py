@@ -9,8 +9,10 @@ the threshold is passed:
    name (leftmost of equals) stands for the window. Equal windows choose alike, so a window whose choice is unique
    is unique, and no repeat is lost.
 2. up to 168 bytes: the whole stretch of windows that one choice stands for. All but the first of equal stretches
-   repeat as a whole.
-3. ``least`` bytes: each window of the first of every stretch, where one choice has several different stretches.
+   repeat as a whole. Where one choice has several different stretches, the first of each goes on.
+3. 83 bytes and more: the windows of a stretch by a quarter of the places where the choice can lie in a window. What
+   the windows of a quarter have in common must occur again; of equal quarters all but the first repeat as a whole.
+4. ``least`` bytes: each window of the first of every quarter whose common bytes have several different quarters.
 
 A document is (doc_id, text): rows that repeat both are the same document and get the same result; ids shared by
 different texts are ordered by the text's hash; null ids come first. Null text is empty; texts under ``least`` bytes
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix, utf8
 
-GRAM, HALF = 32, 64
+GRAM, HALF, QUARTERS = 32, 64, 4
 #: Work goes by so many bytes, so that the arrays stay in a core's cache; longer documents go in several parts.
 PART = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
@@ -55,7 +57,8 @@ def doubled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, least: int):
-    """(position of the choice's name, stretch's name, first window, windows) over documents laid end to end."""
+    """(choice's name, stretch's name, first window, windows, choice's place after the first window) over documents laid
+    end to end."""
     grams, halves = doubled(data)
     lows, w = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1
     span = least - GRAM + 1
@@ -77,7 +80,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray, least: int):
     lo, hi = np.flatnonzero(begins), np.flatnonzero(ends)
     size = hi - lo + least
     name = join_names(join_names(halves[lo], halves[lo + (size - HALF) // 2]), halves[lo + size - HALF])
-    return grams[chosen[lo]], join_names(name, size.astype(np.uint64)), lo, hi - lo + 1
+    return grams[chosen[lo]], join_names(name, size.astype(np.uint64)), lo, hi - lo + 1, chosen[lo] - lo
 
 
 def parts(data: np.ndarray, bounds: np.ndarray, least: int):
@@ -109,46 +112,97 @@ def _ranked_positions(docs: DataFrame, least: int, names_only: bool) -> DataFram
             for some, cuts, row, base in parts(data, bounds, least):
                 if len(some) < least:
                     continue
-                gram, name, lo, n = stretches(some, cuts, least)
+                gram, name, lo, n, place = stretches(some, cuts, least)
                 cols = [pa.array(gram.view(np.int64))]
                 if not names_only:
                     of = np.searchsorted(cuts, lo, "right") - 1
                     at = pa.array(of + row)
                     cols += [pa.array(name.view(np.int64)), batch.column("k").take(at), batch.column("th").take(at)]
-                    cols += [pa.array((lo - cuts[of] + base).astype(np.int32)), pa.array(n.astype(np.int16))]
-                yield pa.RecordBatch.from_arrays(cols, ["gram", "name", "k", "th", "lo", "n"][: len(cols)])
+                    cols += [pa.array((lo - cuts[of] + base).astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(place.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "name", "k", "th", "lo", "n", "place"][: len(cols)])
 
-    kinds = "gram long" if names_only else "gram long, name long, k long, th int, lo int, n short"
+    kinds = "gram long" if names_only else "gram long, name long, k long, th int, lo int, n short, place short"
     return _keyed(docs).select("k", "th", "text").mapInArrow(run, kinds)
 
 
-def _windows(reps: DataFrame, least: int) -> DataFrame:
-    """The name of each window of the stretches (k, th, text, spans)."""
+def _quarters(reps: DataFrame, least: int) -> DataFrame:
+    """The parts of stretches (k, th, text, spans) by where in a window the choice lies, with their bytes."""
+    span = least - GRAM + 1
+    edges = [span * q // QUARTERS for q in range(QUARTERS + 1)]
 
     def run(batches):
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
-            for row, spans in enumerate(batch.column("spans").to_pylist()):
+            lists = batch.column("spans")
+            cuts, flat = lists.offsets.to_numpy(), lists.values
+            every = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "n", "place")}
+            for row in range(len(batch)):
                 text = data[bounds[row] : bounds[row + 1]]
-                spans.sort(key=lambda s: s["lo"])
-                at = 0
-                while at < len(spans):  # a run of stretches close to each other shares its names
-                    to = at + 1
-                    while to < len(spans) and spans[to]["lo"] - spans[at]["lo"] < PART and spans[to]["lo"] - spans[to - 1]["lo"] < 512:
-                        to += 1
-                    a, b = spans[at]["lo"], spans[to - 1]["lo"] + spans[to - 1]["n"] + least - 1
-                    grams, halves = doubled(text[a:b])
-                    p = np.concatenate([np.arange(s["lo"], s["lo"] + s["n"]) for s in spans[at:to]]) - a
-                    name = join_names(halves[p], halves[p + least - HALF])
-                    check = join_names(grams[p], grams[p + least - GRAM])
-                    n = len(p)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(name.view(np.int64)), pa.array(check.view(np.int64)), *(batch.column(c).take(pa.array(np.full(n, row))) for c in ("k", "th")), pa.array((p + a).astype(np.int32))],
-                        ["name", "gram", "k", "th", "lo"],
-                    )
-                    at = to
-
-    return reps.select("k", "th", "text", "spans").mapInArrow(run, "name long, gram long, k long, th int, lo int")
+                lo, n, place = (every[c][cuts[row] : cuts[row + 1]] for c in ("lo", "n", "place"))
+                _, halves = doubled(text)
+                at, hi, out = lo + place, lo + n - 1, []
+                for q in range(QUARTERS):
+                    near, far = edges[q], edges[q + 1] - 1  # bytes of a window before its choice
+                    a, b = np.maximum(lo, at - far), np.minimum(hi, at - near)
+                    some = a <= b
+                    a, b, mid = a[some], b[some], at[some]
+                    core = join_names(halves[mid - near], halves[mid - far + least - HALF]) + np.uint64(q)
+                    size = b - a + least
+                    name = join_names(join_names(halves[a], halves[b + least - HALF]), size.astype(np.uint64))
+                    out.append((core, name, a, b - a + 1))
+                core, name, a, n = (np.concatenate(x) for x in zip(*out))
+                own = pa.array(np.full(len(a), row))
+                raw = text.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core.view(np.int64)), pa.array(name.view(np.int64)), *(batch.column(c).take(own) for c in ("k", "th"))]
+                    + [pa.array(a.astype(np.int32)), pa.array(n.astype(np.int16))]
+                    + [pa.array([raw[x : x + m + least - 1] for x, m in zip(a.tolist(), n.tolist())], pa.binary())],
+                    ["gram", "name", "k", "th", "lo", "n", "bytes"],
+                )
+
+    return reps.select("k", "th", "text", "spans").mapInArrow(run, "gram long, name long, k long, th int, lo int, n short, bytes binary")
+
+
+def _windows(quarters: DataFrame, least: int) -> DataFrame:
+    """The name of each window of the quarters (k, th, lo, n, bytes)."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw, n = batch.column("bytes"), batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+            grams, halves = doubled(np.frombuffer(b"".join(raw.to_pylist()), np.uint8))
+            starts = np.cumsum(n + least - 1) - (n + least - 1)
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            p = starts[row] + step
+            name, check = join_names(halves[p], halves[p + least - HALF]), join_names(grams[p], grams[p + least - GRAM])
+            own = pa.array(row)
+            lo = batch.column("lo").to_numpy(zero_copy_only=False)[row] + step
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(check.view(np.int64)), pa.array(name.view(np.int64)), *(batch.column(c).take(own) for c in ("k", "th")), pa.array(lo.astype(np.int32)), pa.array(np.ones(len(p), np.int16))],
+                ["gram", "name", "k", "th", "lo", "n"],
+            )
+
+    return quarters.select("k", "th", "lo", "n", "bytes").mapInArrow(run, "gram long, name long, k long, th int, lo int, n short")
+
+
+def _classes(ranked: DataFrame, *more: str) -> DataFrame:
+    """Of each different (gram, name) its first position, how many there are, and columns that all of them share."""
+    first = F.min(F.struct("k", "th", "lo")).alias("first")
+    return ranked.groupBy("gram", "name").agg(first, F.count("*").alias("c"), *(F.first(m).alias(m) for m in more))
+
+
+def _later(ranked: DataFrame, classes: DataFrame) -> DataFrame:
+    """k, th, lo, n of all but the first of each class."""
+    firsts = classes.where("c > 1").select("gram", "name", "first")
+    return ranked.join(firsts.hint("shuffle_hash"), ["gram", "name"]).where(F.struct("k", "th", "lo") != F.col("first")).select("k", "th", "lo", "n")
+
+
+def _open(classes: DataFrame) -> DataFrame:
+    """The classes whose gram has several names."""
+    several = classes.groupBy("gram").count().where("count > 1").select("gram")
+    return classes.join(several.hint("shuffle_hash"), "gram")
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, scratch: Scratch | None = None) -> DataFrame:
@@ -156,23 +210,24 @@ def repeated_spans(docs: DataFrame, least: int = 100, scratch: Scratch | None =
     if not HALF <= least <= 2 * HALF:
         raise ValueError("least must be from 64 to 128")
     scratch = scratch or Scratch(docs.sparkSession)
-    first = F.min(F.struct("k", "th", "lo")).alias("first")
-    later = F.struct("k", "th", "lo") != F.col("first")
     twice = _ranked_positions(docs, least, True).groupBy("gram").count().where("count > 1").select("gram")
     left = scratch.keep(_ranked_positions(docs, least, False).join(twice.hint("shuffle_hash"), "gram"), "positions")
-
-    classes = scratch.keep(left.groupBy("gram", "name").agg(first, F.first("n").alias("n"), F.count("*").alias("c")), "classes")
-    whole = left.join(classes.where("c > 1").select("gram", "name", "first").hint("shuffle_hash"), ["gram", "name"]).where(later).select("k", "th", "lo", "n")
-    whole = scratch.keep(whole, "whole")
+    classes = scratch.keep(_classes(left, "n", "place"), "classes")
+    whole = scratch.keep(_later(left, classes), "whole")
     scratch.drop(left)
 
-    several = classes.groupBy("gram").count().where("count > 1").select("gram")
-    reps = classes.join(several, "gram").select("first.*", "n").groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    reps = _open(classes).select("first.*", "n", "place").groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n", "place")).alias("spans"))
     with_text = _keyed(docs).drop("doc_id").join(reps.hint("shuffle_hash"), ["k", "th"])
-    windows = scratch.keep(_windows(with_text, least), "windows")
-    names = windows.groupBy("name", "gram").agg(first, F.count("*").alias("c")).where("c > 1").drop("c")
-    single = windows.join(names.hint("shuffle_hash"), ["name", "gram"]).where(later).select("k", "th", "lo", F.lit(1).cast("short").alias("n"))
-    return whole.union(single).groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    left = scratch.keep(_quarters(with_text, least), "quarters")
+    scratch.drop(classes)
+    classes = scratch.keep(_classes(left, "n", "bytes"), "classes")
+    parts_ = scratch.keep(_later(left, classes), "parts")
+    scratch.drop(left)
+
+    windows = scratch.keep(_windows(_open(classes).select("first.*", "n", "bytes"), least), "windows")
+    scratch.drop(classes)
+    single = _later(windows, _classes(windows))
+    return whole.union(parts_).union(single).groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
 
 def _removed(spans: list | None, size: int, least: int) -> list[tuple[int, int]]:
