@@ -55,6 +55,7 @@ def signals(assessed: DataFrame) -> DataFrame:
     percent = lambda x: F.floor(x + 0.5).cast("long").cast("string")
     tenths = F.floor(F.col("noise") * 1000 + 0.5).cast("long")
     tenths = F.when(tenths % 10 == 0, (tenths / 10).cast("long").cast("string")).otherwise(F.format_string("%.1f", tenths / 10))
+    # The wording of the reasons.
     said = F.array(
         F.when(~enough, "too little text to judge"),
         F.when(enough & (F.col("score") < CLEAN), F.concat(percent((1 - F.col("score")) * 100), F.lit("% of words don’t read as words"))),
@@ -68,6 +69,7 @@ def signals(assessed: DataFrame) -> DataFrame:
 def describe(signalled: DataFrame) -> DataFrame:
     """``signalled`` with a sentence for its verdict."""
     why = F.when(F.col("signals") != "", F.concat(F.lit(" — "), F.col("signals"))).otherwise("")
+    # The wording of the verdicts.
     sentence = (
         F.when(F.col("words") < LEAST_WORDS, "There is too little text here to judge it.")
         .when(F.col("verdict") == "trustworthy", "This text reads as typed rather than scanned — it can be used as it stands.")
