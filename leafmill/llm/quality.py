@@ -30,6 +30,18 @@ _BASIC = 9
 WIDTH = _BASIC + len(SIGNS) + HASHED + 7
 
 
+def _signs_table() -> np.ndarray:
+    """Letter, capital, digit and each sign, by code point; what lies past the table counts as a letter."""
+    table = np.zeros((0x3001, 3 + len(SIGNS)), np.float32)
+    for code in range(0x3000):
+        c = chr(code)
+        table[code, :3] = c.isalpha(), c.isupper(), c.isdigit()
+        if c in SIGNS:
+            table[code, 3 + SIGNS.index(c)] = 1
+    table[0x3000, 0] = 1
+    return table
+
+
 class Passages:
     """Vectors of a text's passages; words' own statistics are kept, up to a bound."""
 
@@ -37,24 +49,28 @@ class Passages:
 
     def __init__(self):
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, _BASIC + len(SIGNS) + HASHED), np.float32)
+        self.rows = np.zeros((4096, _BASIC + len(SIGNS) + HASHED), np.float32)
+        self.table = _signs_table()
 
-    def _word(self, word: str) -> int:
-        at = self.at[word] = len(self.at)
-        if at >= len(self.rows):
+    def _learn(self, new: list[str]) -> None:
+        """The statistics of words not met before, all at once."""
+        first = len(self.at)
+        while first + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        n = len(word)
-        letters = sum(map(str.isalpha, word))
-        upper = sum(map(str.isupper, word))
-        digits = sum(map(str.isdigit, word))
-        row = self.rows[at]
-        row[:] = 0
-        row[:_BASIC] = (math.log(n), min(n, 60) / 10, (n / 10) ** 2 if n < 60 else 36, letters / n, upper / n, digits / n, word.isalpha(), upper == letters > 1, n > 20)
-        for k, sign in enumerate(SIGNS):
-            row[_BASIC + k] = word.count(sign)
-        name = xxhash.xxh64_intdigest(word.lower().strip(SIGNS))
-        row[_BASIC + len(SIGNS) + name % HASHED] = 1 if name >> 40 & 1 else -1
-        return at
+        codes = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.fromiter(map(len, new), np.int64, len(new))
+        sums = np.add.reduceat(self.table[np.minimum(codes, 0x3000)], np.cumsum(n) - n, axis=0)
+        letters, upper, digits = sums[:, 0], sums[:, 1], sums[:, 2]
+        rows = self.rows[first : first + len(new)]
+        rows[:] = 0
+        few = np.minimum(n, 60)
+        basic = (np.log(n), few / 10, few * few / 100, letters / n, upper / n, digits / n, letters == n, (upper == letters) & (letters > 1), n > 20)
+        rows[:, :_BASIC] = np.stack(basic, axis=1)
+        rows[:, _BASIC : _BASIC + len(SIGNS)] = sums[:, 3:]
+        names = np.fromiter((xxhash.xxh64_intdigest(w.lower().strip(SIGNS)) for w in new), np.uint64, len(new))
+        slot = _BASIC + len(SIGNS) + (names % np.uint64(HASHED)).astype(np.int64)
+        rows[np.arange(len(new)), slot] = np.where(names >> np.uint64(40) & np.uint64(1), 1, -1)
+        self.at.update(zip(new, range(first, first + len(new))))
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
@@ -62,8 +78,10 @@ class Passages:
             return np.zeros((1, WIDTH), np.float32)
         if len(self.at) > self.most:
             self.at.clear()
-        known, word = self.at, self._word
-        ids = np.fromiter((known[w] if w in known else word(w) for w in words), np.int64, len(words))
+        known = self.at
+        if new := [w for w in set(words) if w not in known]:
+            self._learn(new)
+        ids = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         n = len(words)
         cuts = np.arange(0, n, PASSAGE)
         if len(cuts) > 1 and n - cuts[-1] < PASSAGE // 2:
