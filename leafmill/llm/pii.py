@@ -7,8 +7,8 @@ different values different ones, and separators stay. Where not each outcome is
 until one is, which keeps it a permutation.
 
 Kinds: mail (its name; the domain stays), card (Luhn; the check digit is computed anew), iban (mod 97; digits of the
-account), ip (four octets), ssn, phone (ten national digits), date (ISO, 1900 to 2099). Anything else in a text stays
-as it is. Null text stays null, empty stays empty; rows are independent; other columns aren't read.
+account), ip (four octets), ssn and phone (nine digits, ten national ones; valid ones stay valid, and those in their
+format that can't be real are replaced too), date (ISO, 1900 to 2099). Anything else in a text stays as it is. Null text stays null, empty stays empty; rows are independent; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -135,21 +135,19 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda p: p < 256), F.concat_ws(".", *octets))
 
 
-def _ssn(m: Column, key: str) -> Column:
-    def valid(d):
-        return ~d.rlike("^(000|666|9)|^...00|0000$")
+def _within(d: Column, key: str, kind: str, pattern: str) -> Column:
+    """Digits permuted among those that fit ``pattern``, or among those that don't."""
+    fits = lambda x: x.rlike(pattern)
+    return _walk(d, lambda x: permute_digits(x, key, kind), lambda x: fits(x) == fits(d))
 
-    d = _only(m)
-    return F.when(valid(d), _refill(m, _walk(d, lambda x: permute_digits(x, key, "ssn"), valid)))
 
+def _ssn(m: Column, key: str) -> Column:
+    return _refill(m, _within(_only(m), key, "ssn", "^(?!000|666|9)...(?!00)..(?!0000)"))
 
-def _phone(m: Column, key: str) -> Column:
-    def valid(d):
-        return d.rlike("^[2-9]..[2-9]")
 
+def _phone(m: Column, key: str) -> Column:
     d = _only(m)
-    land = F.substr(d, F.lit(1), F.length(d) - 10)
-    return F.when(valid(F.right(d, F.lit(10))), _refill(m, F.concat(land, _walk(F.right(d, F.lit(10)), lambda x: permute_digits(x, key, "phone"), valid))))
+    return _refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), _within(F.right(d, F.lit(10)), key, "phone", "^[2-9]..[2-9]")))
 
 
 def _date(m: Column, key: str) -> Column:
