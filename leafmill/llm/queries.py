@@ -25,7 +25,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.edit_likeness(table(spark, sf_dir, "documents"))
+    return simhash.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

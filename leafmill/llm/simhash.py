@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, texts
+from .common import Scratch, mix, partitions, texts
 
 BITS = 128
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
@@ -140,31 +140,54 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     )
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, equal: int = 2) -> DataFrame:
-    """query_id, doc_id, distance of all fingerprints within ``radius`` of each query's, itself left out.
-
-    Equal fingerprints are one row of the tables; members come back by a join. ``equal`` blocks form a table's key.
-    """
+def _tables(prints: DataFrame, radius: int, equal: int) -> DataFrame:
+    """t, key, fingerprint: for every choice of ``equal`` of the radius + equal blocks, a name of those blocks' bits."""
     n = radius + equal
     cuts = [BITS * k // n for k in range(n + 1)]
+    words = [F.lpad(F.conv(F.hex(F.substring("fingerprint", 4 * k + 1, 4)), 16, 2), 32, "0") for k in range(BITS // 32)]
+    keys = [
+        F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.substring("bits", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in chosen]).alias("key"))
+        for t, chosen in enumerate(combinations(range(n), equal))
+    ]
+    return prints.select("fingerprint", F.concat(*words).alias("bits")).select("fingerprint", F.inline(F.array(*keys)))
 
-    def tables(df: DataFrame) -> DataFrame:
-        bits = F.lpad(F.concat(*[F.lpad(F.conv(F.hex(F.substring("fingerprint", 4 * k + 1, 4)), 16, 2), 32, "0") for k in range(BITS // 32)]), BITS, "0")
-        df = df.select("fingerprint").distinct().withColumn("bits", bits)
-        keys = [
-            F.struct(F.lit(t).alias("t"), F.concat(*[F.substring("bits", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in chosen]).alias("key"))
-            for t, chosen in enumerate(combinations(range(n), equal))
-        ]
-        return df.select("fingerprint", F.inline(F.array(*keys)))
 
-    def words64(c, k):
+def _near(queries: DataFrame, prints: DataFrame, radius: int, equal: int) -> DataFrame:
+    """q, d, distance of the different fingerprints within ``radius`` of each other; itself is one of them."""
+
+    def word(c, k):
         return F.conv(F.hex(F.substring(c, 4 * k + 1, 4)), 16, 10).cast("long")
 
-    distance = sum((F.bit_count(words64("q", k).bitwiseXOR(words64("d", k))) for k in range(BITS // 32)), F.lit(0))
-    found = (
-        tables(queries).withColumnRenamed("fingerprint", "q").join(tables(prints).withColumnRenamed("fingerprint", "d"), ["t", "key"])
-        .withColumn("distance", distance).where(F.col("distance") <= radius).select("q", "d", "distance").distinct()
-    )
+    distance = sum((F.bit_count(word("q", k).bitwiseXOR(word("d", k))) for k in range(BITS // 32)), F.lit(0))
+    q, d = (_tables(x.select("fingerprint").distinct(), radius, equal).withColumnRenamed("fingerprint", c) for x, c in ((queries, "q"), (prints, "d")))
+    return q.join(d, ["t", "key"]).select("q", "d").distinct().withColumn("distance", distance).where(F.col("distance") <= radius)
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, equal: int = 2) -> DataFrame:
+    """query_id, doc_id, distance of all fingerprints within ``radius`` of each query's, itself left out."""
     q = queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q"))
     d = prints.select("doc_id", F.col("fingerprint").alias("d"))
-    return found.join(q, "q").join(d, "d").where(~F.col("query_id").eqNullSafe(F.col("doc_id"))).select("query_id", "doc_id", "distance")
+    found = _near(queries, prints, radius, equal).join(q, "q").join(d, "d")
+    return found.where(~F.col("query_id").eqNullSafe(F.col("doc_id"))).select("query_id", "doc_id", "distance")
+
+
+def counts_within(queries: DataFrame, prints: DataFrame, radius: int = 3, equal: int = 2) -> DataFrame:
+    """fingerprint, n: how many documents are within ``radius`` of each query's fingerprint, itself among them.
+
+    Equal fingerprints are one row with a count, so copies are never written out as pairs.
+    """
+    copies = prints.groupBy(F.col("fingerprint").alias("d")).agg(F.count("*").alias("copies"))
+    return _near(queries, prints, radius, equal).join(copies, "d").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("copies").alias("n"))
+
+
+def fingerprint_report(docs: DataFrame, radius: int = 3, scratch: Scratch | None = None) -> DataFrame:
+    """``edit_likeness`` of all documents, and n_within of those whose id is divisible by 100 (null for others): the
+    other documents whose fingerprint is within ``radius`` of theirs."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    likeness_ = scratch.keep(edit_likeness(docs), "likeness")
+    prints = likeness_.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+    asked = F.col("doc_id") % 100 == 0
+    counts = counts_within(prints.where(asked), prints, radius).select(F.lower(F.hex("fingerprint")).alias("fingerprint"), "n")
+    queries = likeness_.where(asked).join(counts, "fingerprint").withColumn("n_within", F.col("n") - 1)
+    rest = likeness_.where(~F.coalesce(asked, F.lit(False))).withColumn("n_within", F.lit(None).cast("long"))
+    return queries.select(*likeness_.columns, "n_within").union(rest)

@@ -53,6 +53,17 @@ def test_radius_search_finds_all(spark):
     far = lambda a, b: (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
     want = {(i, j, far(a, b)) for i, a in rows if i % 10 == 0 for j, b in rows if i != j and far(a, b) <= 3}
     assert got == want and len(want) > 20
+    counts = {bytes(r.fingerprint): r.n for r in simhash.counts_within(queries, prints, 3).collect()}
+    assert counts == {bytes(a): sum(far(a, b) <= 3 for _, b in rows) for i, a in rows if i % 10 == 0}
+
+
+def test_report_has_every_row_once(spark):
+    rows = [*cases(), *((100 * k, "the same text in each of these") for k in range(3)), (7, "the same text in each of these"), (100, None)]
+    got = simhash.fingerprint_report(wide(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+    assert {r.n_within for r in got if r.doc_id is not None and r.doc_id % 100 == 0 and r.n_chars} == {3}
+    assert all(r.n_within is None for r in got if r.doc_id is None or r.doc_id % 100)
+    assert simhash.fingerprint_report(spark.createDataFrame([], DOCS)).count() == 0
 
 
 def test_vectors_against_brute_force(spark):
