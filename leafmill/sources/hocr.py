@@ -12,22 +12,18 @@ WORD = r"(?s)<span([^>]*class=.ocrx_word.[^>]*)>(.*?)</span>"
 _NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " "}
 
 
-def title_value(title: Column, key: str) -> Column:
-    """The values of the last clause of that name in a title such as ``bbox 1 2 3 4; x_wconf 90``."""
-    clauses = F.transform(F.split(title, ";"), lambda c: F.split(F.trim(c), r"\s+"))
-    named = F.filter(clauses, lambda c: F.get(c, 0) == key)
-    return rest(F.try_element_at(named, F.lit(-1)))
+_NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
+BOX = rf"(?s)^(?:.*;)?\s*bbox\s+{_NUMBER}\s+{_NUMBER}\s+{_NUMBER}\s+{_NUMBER}(?:[\s;]|$)"
+CONFIDENCE = rf"(?s)^(?:.*;)?\s*x_wconf\s+{_NUMBER}(?:[\s;]|$)"
 
 
-def box(title: Column) -> Column:
-    """x0, y0, x1, y1, or null when any is missing or no number."""
-    values = F.transform(title_value(title, "bbox"), lambda v: v.try_cast("double"))
-    whole = (F.size(values) >= 4) & ~F.exists(F.slice(values, 1, 4), lambda v: v.isNull())
-    return F.when(whole, F.struct(*(F.get(values, k).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1")))))
+def box(title: Column) -> list[Column]:
+    """x0, y0, x1, y1 of the last such clause of a title like ``bbox 1 2 3 4; x_wconf 90``; null without four numbers."""
+    return [F.regexp_extract(title, BOX, k + 1).try_cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]
 
 
 def confidence(title: Column) -> Column:
-    return F.coalesce(F.get(title_value(title, "x_wconf"), 0).try_cast("double"), F.lit(0.0))
+    return F.coalesce(F.regexp_extract(title, CONFIDENCE, 1).try_cast("double"), F.lit(0.0))
 
 
 def plain_text(inner: Column) -> Column:
@@ -51,12 +47,11 @@ def parse(files: DataFrame) -> DataFrame:
     parts = rest(F.split("content", PAGE, -1))
     pages = files.select("file_id", F.posexplode(parts).alias("page_index", "body"))
     heads, inner = (F.regexp_extract_all("body", F.lit(WORD), F.lit(k)) for k in (1, 2))
-    words = F.arrays_zip(heads.alias("head"), inner.alias("inner"))
-    read = F.transform(words, lambda w: F.struct(plain_text(w["inner"]).alias("text"), confidence(_title(w["head"])).alias("confidence"), box(_title(w["head"])).alias("box")))
-    kept = F.filter(read, lambda w: w["box"].isNotNull())
-    return pages.select("file_id", "page_index", F.posexplode(kept).alias("word_no", "w")).select(
-        "file_id", "page_index", "word_no", "w.text", "w.confidence", "w.box.x0", "w.box.y0", "w.box.x1", "w.box.y1"
-    )
+    words = F.filter(F.arrays_zip(heads.alias("head"), inner.alias("inner")), lambda w: _title(w["head"]).rlike(BOX))
+    rows = pages.select("file_id", "page_index", F.posexplode(words).alias("word_no", "w"))
+    rows = rows.select("file_id", "page_index", "word_no", "w.inner", _title(F.col("w.head")).alias("title"))
+    title = F.col("title")
+    return rows.select("file_id", "page_index", "word_no", plain_text(F.col("inner")).alias("text"), confidence(title).alias("confidence"), *box(title))
 
 
 def render(words: DataFrame) -> DataFrame:
