@@ -96,3 +96,37 @@ def choose_creator(creators: DataFrame) -> DataFrame:
 def order_statistic(rows: DataFrame, key: str, value: str, share: float = 0.9) -> DataFrame:
     """key, tone: the value at place floor(share * n) from 0 of each key's sorted values."""
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v")).select(key, F.get("v", F.floor(F.size("v") * share).cast("int")).alias("tone"))
+
+
+# The mark and the newest version of a book file.
+FORMAT, VERSION = "book-file", 3
+BOOK = "format string, version int, title string, edits array<struct<kind:string>>, images array<struct<name:string,path:string,data:string>>"
+
+
+def book_file(title: Column, edits: Column, images: Column) -> Column:
+    """A book as one JSON envelope; an image by its path where it has one, else its bytes as base64."""
+    kept = F.transform(
+        images,
+        lambda i: F.struct(i["name"].alias("name"), i["path"].alias("path"), F.when(i["path"].isNull(), F.replace(F.base64(i["bytes"]), F.lit("\r\n"), F.lit(""))).alias("data")),
+    )
+    return F.to_json(F.struct(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), title.alias("title"), edits.alias("edits"), kept.alias("images")))
+
+
+def read_book_files(files: DataFrame) -> DataFrame:
+    """id, refused (why it can't be read, or null), title, n_edits, inline (bytes of images held), by_path of each file (id, body)."""
+    b = F.from_json("body", BOOK)
+    rows = files.select("id", b.alias("b"))
+    refused = (
+        F.when(F.col("b.format").isNull(), "not json").when(F.col("b.format") != FORMAT, "another format").when(F.col("b.version").isNull() | (F.col("b.version") > VERSION), "a newer version")
+    )
+    ok = refused.isNull()
+    inline = F.aggregate(F.coalesce("b.images", F.array().cast("array<struct<name:string,path:string,data:string>>")), F.lit(0), lambda s, i: s + F.coalesce(F.length(F.unbase64(i["data"])), F.lit(0)))
+    return rows.select(
+        "id", refused.alias("refused"), F.when(ok, F.col("b.title")).alias("title"), F.when(ok, F.coalesce(F.size("b.edits"), F.lit(0))).alias("n_edits"),
+        F.when(ok, inline).alias("inline"), F.when(ok, F.size(F.filter("b.images", lambda i: i["path"].isNotNull()))).alias("by_path"),
+    )
+
+
+def known_spots(stored: DataFrame) -> DataFrame:
+    """Stored verdicts (spot_id, verdict, ...) that are known ones of spots named as today."""
+    return stored.where(F.col("verdict").isin("present", "not-there", "unclear") & ~F.col("spot_id").rlike(r"^p\d+d\d+$"))

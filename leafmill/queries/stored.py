@@ -197,3 +197,28 @@ def s05(spark, sf):
 @query("x01_fixed_widths", sql("blocks", "select doc_id, bi, round(length(text) * 11 * 0.5, 6) width from blocks"))
 def x01(spark, sf):
     return blocks(table(spark, sf, "documents")).select("doc_id", "bi", F.round(F.length("text") * 11 * 0.5, 6).alias("width"))
+
+
+@query("s21_book_files", """
+with c as (select conv_id id, list(text order by turn) t, count(*)::int n from conversations group by 1)
+select id, case when id % 7 = 3 then 'another format' when id % 7 = 5 then 'a newer version' when id % 7 = 6 then 'not json' end refused, case when id % 7 not in (3, 5, 6) then t[1][1:20] end title,
+ case when id % 7 not in (3, 5, 6) then n end n_edits, case when id % 7 not in (3, 5, 6) then list_sum(list_transform(t, lambda x, i: case when (i - 1) % 2 = 0 then strlen(x) else 0 end))::int end "inline", case when id % 7 not in (3, 5, 6) then (n // 2)::int end by_path from c""")
+def s21(spark, sf):
+    """Conversations as books: turns as edits and, by turns, as images held or pointed to; written and read back."""
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("t"))
+    edits = F.transform("t", lambda x: F.struct(F.lit("text").alias("kind")))
+    images = F.transform("t", lambda x, i: F.struct(i.cast("string").alias("name"), F.when(i % 2 == 1, F.lit("p")).alias("path"), F.encode(x, "UTF-8").alias("bytes")))
+    body = stored.book_file(F.substring(F.get("t", 0), 1, 20), edits, images)
+    turn = F.col("conv_id") % 7
+    body = F.when(turn == 3, F.replace(body, F.lit('"book-file"'), F.lit('"other"'))).when(turn == 5, F.replace(body, F.lit('"version":3'), F.lit('"version":9'))).when(turn == 6, F.substring(body, 1, 8)).otherwise(body)
+    return stored.read_book_files(rows.select(F.col("conv_id").alias("id"), body.alias("body")))
+
+
+@query("w28_known_spots", """
+with s as (select event_id, case when event_id % 4 = 0 then 'p' || event_id || 'd1' else 's' || event_id end spot_id, ['present', 'maybe', 'unclear'][event_id % 3 + 1] verdict from events)
+select spot_id, verdict from s where verdict <> 'maybe' and event_id % 4 > 0""")
+def w28(spark, sf):
+    i = F.col("event_id")
+    spot = F.when(i % 4 == 0, F.concat(F.lit("p"), i.cast("string"), F.lit("d1"))).otherwise(F.concat(F.lit("s"), i.cast("string")))
+    said = F.element_at(F.array(*map(F.lit, ["present", "maybe", "unclear"])), (i % 3 + 1).cast("int"))
+    return stored.known_spots(table(spark, sf, "events").select(spot.alias("spot_id"), said.alias("verdict")))
