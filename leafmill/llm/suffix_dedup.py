@@ -210,8 +210,10 @@ def repeated_spans(docs: DataFrame, least: int = 100, scratch: Scratch | None =
     if not HALF <= least <= 2 * HALF:
         raise ValueError("least must be from 64 to 128")
     scratch = scratch or Scratch(docs.sparkSession)
-    twice = _ranked_positions(docs, least, True).groupBy("gram").count().where("count > 1").select("gram")
+    # written first: then both sides of the join are plain shuffles, and Spark can split the task of a frequent string
+    twice = scratch.keep(_ranked_positions(docs, least, True).groupBy("gram").count().where("count > 1").select("gram"), "repeated")
     left = scratch.keep(_ranked_positions(docs, least, False).join(twice.hint("shuffle_hash"), "gram"), "positions")
+    scratch.drop(twice)
     classes = scratch.keep(_classes(left, "n", "place"), "classes")
     whole = scratch.keep(_later(left, classes), "whole")
     scratch.drop(left)
