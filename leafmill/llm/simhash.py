@@ -2,8 +2,9 @@
 
 Terms are pairs of neighbouring words (single words where a text has but one), weighted by 1 + ln(count). Each term's
 hash votes with its weight for or against each bit. Two fingerprints' likeness is the share of equal bits. The search
-splits fingerprints into blocks; within radius r, of r + k blocks at least k are equal, so the tables keyed by every
-choice of k blocks hold every match.
+splits fingerprints into blocks, so many that within radius r at least one block differs in no more than ``flips`` bits.
+Fingerprints stand in one table a block; a query looks up each value of a block that is so near its own, which finds
+every match. The radius is that of real near copies: see the README.
 
 Null and empty texts have the fingerprint of no votes (all zero). Rows with equal ids are ordered by their text's
 hash; null ids come last.
@@ -11,17 +12,18 @@ hash; null ids come last.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix, partitions, texts
 
-BITS = 128
+BITS, RADIUS = 128, 20
 _SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,47 +142,73 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tables(prints: DataFrame, radius: int, equal: int) -> DataFrame:
-    """t, key, fingerprint: for every choice of ``equal`` of the radius + equal blocks, a name of those blocks' bits."""
-    n = radius + equal
+def _blocks(radius: int, flips: int) -> list[tuple[int, int]]:
+    """First bit and width of each block: if all differed in more than ``flips`` bits, that would exceed the radius."""
+    n = max(3, radius // (flips + 1) + 1)
     cuts = [BITS * k // n for k in range(n + 1)]
-    words = [F.lpad(F.conv(F.hex(F.substring("fingerprint", 4 * k + 1, 4)), 16, 2), 32, "0") for k in range(BITS // 32)]
-    keys = [
-        F.struct(F.lit(t).alias("t"), F.xxhash64(*[F.substring("bits", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in chosen]).alias("key"))
-        for t, chosen in enumerate(combinations(range(n), equal))
-    ]
-    return prints.select("fingerprint", F.concat(*words).alias("bits")).select("fingerprint", F.inline(F.array(*keys)))
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _near(queries: DataFrame, prints: DataFrame, radius: int, equal: int) -> DataFrame:
-    """q, d, distance of the different fingerprints within ``radius`` of each other; itself is one of them."""
+def _halves(prints: DataFrame, side: str) -> DataFrame:
+    """The different fingerprints as two longs each."""
+    half = lambda k: F.conv(F.hex(F.substring("fingerprint", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"{side}{k}")
+    return prints.select("fingerprint").distinct().select(half(0), half(1))
+
+
+def _whole(side: str) -> Column:
+    return F.unhex(F.concat(*[F.lpad(F.hex(f"{side}{k}"), 16, "0") for k in range(2)]))
+
 
-    def word(c, k):
-        return F.conv(F.hex(F.substring(c, 4 * k + 1, 4)), 16, 10).cast("long")
+def _row(t: int, value: Column, x: Column) -> Column:
+    return F.struct(F.lit(t).alias("t"), value.bitwiseXOR(x).alias("key"))
 
-    distance = sum((F.bit_count(word("q", k).bitwiseXOR(word("d", k))) for k in range(BITS // 32)), F.lit(0))
-    q, d = (_tables(x.select("fingerprint").distinct(), radius, equal).withColumnRenamed("fingerprint", c) for x, c in ((queries, "q"), (prints, "d")))
-    return q.join(d, ["t", "key"]).select("q", "d").distinct().withColumn("distance", distance).where(F.col("distance") <= radius)
+
+def _tables(halves: DataFrame, side: str, radius: int, flips: int, near: bool) -> DataFrame:
+    """t, key and the fingerprint: key is the value of block t, or with ``near`` each value within ``flips`` of it."""
+    high, low = F.col(f"{side}0"), F.col(f"{side}1")
+    rows = []
+    for t, (at, width) in enumerate(_blocks(radius, flips)):
+        end = at + width
+        if end <= 64:
+            value = F.shiftrightunsigned(high, 64 - end)
+        elif at >= 64:
+            value = F.shiftrightunsigned(low, 128 - end)
+        else:
+            value = F.shiftleft(high, end - 64).bitwiseOR(F.shiftrightunsigned(low, 128 - end))
+        value = value.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        masks = [sum(1 << b for b in bits) for n in range(flips + 1 if near else 1) for bits in combinations(range(width), n)]
+        masks = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")
+        rows.append(F.transform(masks, partial(_row, t, value)))
+    return halves.select(high, low, F.inline(F.concat(*rows)))
+
+
+def _near(queries: DataFrame, prints: DataFrame, radius: int, flips: int) -> DataFrame:
+    """q, d, distance of the different fingerprints within ``radius`` of each other; itself is one of them."""
+    distance = sum((F.bit_count(F.col(f"q{k}").bitwiseXOR(F.col(f"d{k}"))) for k in range(2)), F.lit(0))
+    q = _tables(_halves(queries, "q"), "q", radius, flips, True)
+    d = _tables(_halves(prints, "d"), "d", radius, flips, False)
+    found = q.join(d.hint("merge"), ["t", "key"]).where(distance <= radius).select("q0", "q1", "d0", "d1").distinct()
+    return found.select(_whole("q").alias("q"), _whole("d").alias("d"), distance.alias("distance"))
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, equal: int = 2) -> DataFrame:
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, flips: int = 2) -> DataFrame:
     """query_id, doc_id, distance of all fingerprints within ``radius`` of each query's, itself left out."""
     q = queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q"))
     d = prints.select("doc_id", F.col("fingerprint").alias("d"))
-    found = _near(queries, prints, radius, equal).join(q, "q").join(d, "d")
+    found = _near(queries, prints, radius, flips).join(q, "q").join(d, "d")
     return found.where(~F.col("query_id").eqNullSafe(F.col("doc_id"))).select("query_id", "doc_id", "distance")
 
 
-def counts_within(queries: DataFrame, prints: DataFrame, radius: int = 3, equal: int = 2) -> DataFrame:
+def counts_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, flips: int = 2) -> DataFrame:
     """fingerprint, n: how many documents are within ``radius`` of each query's fingerprint, itself among them.
 
     Equal fingerprints are one row with a count, so copies are never written out as pairs.
     """
     copies = prints.groupBy(F.col("fingerprint").alias("d")).agg(F.count("*").alias("copies"))
-    return _near(queries, prints, radius, equal).join(copies, "d").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("copies").alias("n"))
+    return _near(queries, prints, radius, flips).join(copies, "d").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("copies").alias("n"))
 
 
-def fingerprint_report(docs: DataFrame, radius: int = 3, scratch: Scratch | None = None) -> DataFrame:
+def fingerprint_report(docs: DataFrame, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
     """``edit_likeness`` of all documents, and n_within of those whose id is divisible by 100 (null for others): the
     other documents whose fingerprint is within ``radius`` of theirs."""
     scratch = scratch or Scratch(docs.sparkSession)

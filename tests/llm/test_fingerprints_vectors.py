@@ -57,6 +57,37 @@ def test_radius_search_finds_all(spark):
     assert counts == {bytes(a): sum(far(a, b) <= 3 for _, b in rows) for i, a in rows if i % 10 == 0}
 
 
+def test_radius_search_finds_all_of_the_default_radius(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, (10, 16), np.uint8)
+    rows = []
+    for i in range(300):
+        bits = np.unpackbits(base[i % 10])
+        bits[rng.choice(128, rng.integers(0, 18), replace=False)] ^= 1
+        rows.append((i, bytearray(np.packbits(bits).tobytes())))
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint binary")
+    far = lambda a, b: (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+    got = {(r.query_id, r.doc_id, r.distance) for r in simhash.within_radius(prints.where("doc_id < 60"), prints).collect()}
+    want = {(i, j, far(a, b)) for i, a in rows if i < 60 for j, b in rows if i != j and far(a, b) <= simhash.RADIUS}
+    assert got == want and {d for _, _, d in want} >= {16, 17, 18, 19, 20}
+
+
+def test_report_counts_edited_texts(spark):
+    """Near copies: a few words of 300 changed, so that at least 0.8 of the five-word shingles stay."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 21):
+        copy = list(base)
+        for at in rng.sample(range(300), 1 + i % 4):
+            copy[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    rows += [(i, " ".join(rng.choice(vocabulary) for _ in range(300))) for i in range(30, 60)]
+    got = {r.doc_id: r.n_within for r in simhash.fingerprint_report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0] == 20
+
+
 def test_report_has_every_row_once(spark):
     rows = [*cases(), *((100 * k, "the same text in each of these") for k in range(3)), (7, "the same text in each of these"), (100, None)]
     got = simhash.fingerprint_report(wide(spark, rows)).collect()
