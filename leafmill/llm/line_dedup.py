@@ -7,19 +7,23 @@ window around it, the first position of each in (doc_id, line) order being the o
 run together, which extends a match both ways to its whole length. Each later run is deleted: a line goes if a run of
 ``gram + window - 1`` lines that covers it also starts earlier, in a smaller doc_id or further up.
 
-Lines are split at line feeds and compared as they are. Null text stays null (0 lines); texts with fewer lines than a
-run are never changed; a text whose every line goes becomes empty. Rows that repeat doc_id and text are the same
-document and get the same result; null ids come first; other columns aren't read.
+With ``words`` a shorter run of at least so many words, down to a single line, is a run as well: it goes if it also
+starts earlier, whatever its neighbours. Words are what blanks of any kind set apart. Each later copy that goes has an
+earlier one that stays.
+
+Lines are split at line feeds and compared as they are. Null text stays null (0 lines); without ``words`` texts with
+fewer lines than a run are never changed; a text whose every line goes becomes empty. Rows that repeat doc_id and text
+are the same document and get the same result; null ids come first; other columns aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import carried, restored
 
-GRAM, WINDOW = 2, 2
+GRAM, WINDOW, WORDS = 2, 2, 50
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
@@ -28,38 +32,56 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _windows(docs: DataFrame, gram: int, window: int) -> DataFrame:
-    """k, th, at (first line, from 1), mark (the window's smallest fingerprint), name (hash of its lines)."""
+def _windows(docs: DataFrame, gram: int, window: int, words: int | None) -> DataFrame:
+    """k, th, at and to (first and last line, from 1), mark (the window's smallest fingerprint), name (hash of its lines).
+
+    Runs of many words but fewer lines have no smaller fingerprint than their name.
+    """
     run = gram + window - 1
-    lines = docs.select("k", "th", F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= run)
-    grams = F.transform(F.sequence(F.lit(1), F.size("h") - gram + 1), lambda i: F.xxhash64(F.slice("h", i, gram)))
-    name = lambda i: F.xxhash64(F.lit(run), F.slice("h", i, run))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("h") - run + 1),
-        lambda i: F.struct(i.alias("at"), F.array_min(F.slice("g", i, window)).alias("mark"), name(i).alias("name")),
-    )
-    return lines.withColumn("g", grams).select("k", "th", F.inline(windows))
+    lines = docs.select("k", "th", "text", F.split("text", "\n", -1).alias("l")).withColumn("h", F.transform("l", lambda x: F.xxhash64(x)))
+    upto = lambda n, of="h": F.when(F.size(of) >= n, F.sequence(F.lit(1), F.size(of) - n + 1)).otherwise(F.array().cast("array<int>"))
+    lines = lines.withColumn("g", F.transform(upto(gram), lambda i: F.xxhash64(F.slice("h", i, gram))))
+    name = lambda i, n: F.xxhash64(F.lit(n), F.slice("h", i, n))
+
+    def spot(i, n, mark):
+        return F.struct(i.alias("at"), (i + n - 1).alias("to"), mark.alias("mark"), name(i, n).alias("name"))
 
+    windows = [F.transform(upto(run), lambda i: spot(i, run, F.array_min(F.slice("g", i, window))))]
+    if words is None or run == 1:
+        return lines.where(F.size("h") >= run).select("k", "th", F.inline(windows[0]))
+    # A text of fewer signs than ``words`` words and the blanks between them has no such run: its words aren't counted.
+    counts = F.transform("l", lambda x: F.regexp_count(x, F.lit(r"\S+")))
+    lines = lines.withColumn("w", F.when(F.length("text") >= 2 * words - 1, counts).otherwise(F.array().cast("array<int>")))
+    windows += [_short(n, words, upto, spot, name) for n in range(1, run)]
+    return lines.select("k", "th", F.inline(F.concat(*windows)))
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+
+def _short(n: int, words: int, upto, spot, name) -> Column:
+    """The runs of ``n`` lines that hold at least ``words`` words."""
+    held = lambda i: F.aggregate(F.slice("w", i, n), F.lit(0), lambda s, c: s + c)
+    return F.transform(F.filter(upto(n, "w"), lambda i: held(i) >= words), lambda i: spot(i, n, name(i, n)))
+
+
+def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """k, th, runs (array of first and last line, from 1, in order) of the later copies."""
-    run = gram + window - 1
     keyed = _keyed(docs)
-    windows = _windows(keyed, gram, window)
+    windows = _windows(keyed, gram, window, words)
     shared = windows.groupBy("mark").count().where("count > 1").select("mark")
     first = windows.groupBy("mark", "name").agg(F.min(F.struct("k", "th", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.join(shared, "mark", "left_semi").drop("n")
-    later = windows.join(first.hint("shuffle_hash"), ["mark", "name"]).where(F.struct("k", "th", "at") > F.col("first")).select("k", "th", "at").distinct()
+    later = windows.join(first.hint("shuffle_hash"), ["mark", "name"]).where(F.struct("k", "th", "at") > F.col("first"))
+    later = later.groupBy("k", "th", "at").agg(F.max("to").alias("to"))
     order = Window.partitionBy("k", "th").orderBy("at")
-    starts = later.withColumn("new", (F.col("at") > F.lag("at", 1, -run - 1).over(order) + run).cast("int"))
+    reached = F.coalesce(F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    starts = later.withColumn("new", (F.col("at") > reached + 1).cast("int"))
     islands = starts.withColumn("island", F.sum("new").over(order)).groupBy("k", "th", "island")
-    runs = islands.agg(F.struct(F.min("at").alias("a"), (F.max("at") + run - 1).alias("b")).alias("run"))
+    runs = islands.agg(F.struct(F.min("at").alias("a"), F.max("to").alias("b")).alias("run"))
     return runs.groupBy("k", "th").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
 
-def _rewritten(docs: DataFrame, gram: int, window: int, *more: str) -> DataFrame:
+def _rewritten(docs: DataFrame, gram: int, window: int, words: int | None, *more: str) -> DataFrame:
     none = F.array().cast("array<struct<a:int,b:int>>")
-    runs = repeated_runs(docs, gram, window)
+    runs = repeated_runs(docs, gram, window, words)
     joined = _keyed(docs, *more).join(runs.hint("shuffle_hash"), ["k", "th"], "left")
     joined = joined.withColumn("runs", F.coalesce("runs", none)).withColumn("lines", F.split("text", "\n", -1))
     last = F.size("lines")
@@ -77,15 +99,15 @@ def _rewritten(docs: DataFrame, gram: int, window: int, *more: str) -> DataFrame
     )
 
 
-def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, text (what is left) of each row."""
-    return _rewritten(docs.select("doc_id", "text"), gram, window)
+    return _rewritten(docs.select("doc_id", "text"), gram, window, words)
 
 
-def without_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS) -> DataFrame:
     """``docs`` with its text so rewritten and n_chars, where there is one, to match."""
     packed, rest = carried(docs)
-    return restored(_rewritten(packed, gram, window, rest), docs)
+    return restored(_rewritten(packed, gram, window, words, rest), docs)
 
 
 ORACLE_SQL = """

@@ -74,6 +74,37 @@ def test_line_dedup_against_brute_force(spark, gram, window):
     assert got == lines_left(rows, gram + window - 1)
 
 
+def runs_left(rows, run, words):
+    seen, out = set(), {}
+    for key, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for p in range(len(lines)):
+            for n in range(1, run + 1):
+                name = tuple(lines[p : p + n])
+                if len(name) == n and (n == run or sum(len(x.split()) for x in name) >= words):
+                    if name in seen:
+                        gone.update(range(p, p + n))
+                    seen.add(name)
+        out[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_of_many_words_against_brute_force(spark):
+    rng = random.Random(11)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 5, 6, 9, 10, 11, 14)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.4 else f"line {i} {k}" for k in range(rng.randint(1, 12)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS), words=10).collect()}
+    assert got == runs_left(rows, 3, 10)
+    assert got != {k: v[3] for k, v in lines_left(rows, 3).items()}
+
+
+def test_a_repeated_long_line_goes_in_the_pipeline(spark):
+    passage, half = " ".join(f"p{k}" for k in range(50)), " ".join(f"h{k}" for k in range(25))
+    rows = [(1, passage), (2, passage), (3, "a\n" + passage + "\nb"), (4, passage + " more"), (5, half + "\n" + half.upper()), (6, half + "\n" + half.upper() + "\nc"), (7, half)]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: passage, 2: "", 3: "a\nb", 4: passage + " more", 5: rows[4][1], 6: "c", 7: half}
+
+
 def test_line_dedup_of_every_case(spark):
     block = "one\ntwo\nthree\nfour"
     docs = wide(spark, [*cases(), (20, block), (21, "zero\n" + block), (22, block)])
