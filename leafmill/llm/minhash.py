@@ -1,8 +1,10 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 Words are a text's lower-cased, space-separated strings; a shingle is five neighbouring words (all of them, if fewer),
-weighted by its count times the mean inverse document frequency of its words. Document frequencies are counted over
-all documents in 2**16 slots that words are hashed to, so the table that tasks receive has a fixed size. Each of
+weighted by its count times the mean inverse document frequency of its words. Document frequencies are those of each
+word, by its 64-bit hash, over all documents. Tasks receive a table of the most frequent ones: of P different words of
+documents in all, fewer than COMMON words can stand in P // COMMON + 1 documents or more. Each other word that stands in
+several documents is joined to its documents, and what is in neither stands in one. Each of
 ``BANDS * ROWS`` hashes draws one shingle with probability in proportion to its weight, alike in every document;
 documents that agree on all rows of a band share a bucket. Texts of equal words are one class before that.
 
@@ -31,18 +33,48 @@ from .common import Scratch, carried, components, mix, restored, texts
 from .simhash import Words
 
 BANDS, ROWS, SIZE, THRESHOLD, BLOCK = 12, 3, 5, 0.8, 256
-SLOTS = 1 << 16
+SLOTS, COMMON = 1 << 16, 1 << 17
 _SLOT = np.uint64(SLOTS - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Frequencies:
+    """Inverse document frequencies, ln(1 + total / (1 + df)), of word hashes.
+
+    Words of ``least`` documents or more are in a sorted table. ``dfs`` has the frequencies of a text's other words, in
+    the order of their hashes, as 32-bit integers; without it these words are in one document each.
+    """
+
+    def __init__(self, total: int, words: np.ndarray, counts: np.ndarray, least: int):
+        order = np.argsort(words)
+        self.total, self.least = total, least
+        self.once = self.of(1)
+        self.words, self.common = (words[order], self.of(counts[order])) if len(words) else (np.zeros(1, np.uint64), np.full(1, self.once))
+
+    def of(self, df):
+        return np.log1p(self.total / (1 + df)).astype(np.float32)
+
+    def spots(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place in the table, and whether it's there."""
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return at, self.words[at] == words
+
+    def __call__(self, words: np.ndarray, dfs: bytes | None = None) -> np.ndarray:
+        at, known = self.spots(words)
+        out = np.where(known, self.common[at], self.once)
+        if dfs:
+            _, at = np.unique(words[~known], return_inverse=True)
+            out[~known] = self.of(np.frombuffer(dfs, np.int32))[at]
+        return out
+
+
+def shingles(words: np.ndarray, idf: Frequencies, dfs: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of the word hashes, sorted, and their weights."""
     if not len(words):
         return words, np.zeros(0, np.float32)
     size = min(SIZE, len(words))
     n = len(words) - size + 1
-    weights = idf[(words & _SLOT).astype(np.int64)]
+    weights = idf(words, dfs)
     name, weight = words[:n].copy(), weights[:n].copy()
     for k in range(1, size):
         name = name * _STEP + words[k : n + k]
@@ -88,81 +120,113 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return shared / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - shared)
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each slot, ln(1 + N / (1 + df)), over all documents."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """w (hash), n (how many documents hold it) of each word."""
 
     def run(batches):
-        words, counts, n = Words(), np.zeros(SLOTS, np.int64), 0
+        words = Words()
         for batch in batches:
-            for text in texts(batch.column("text")):
-                n += 1
-                counts[np.unique(words.of(text.lower()) & _SLOT).astype(np.int64)] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*counts[at], n], pa.int64())], ["slot", "df"])
-
-    rows = docs.select("text").mapInArrow(run, "slot int, df long").groupBy("slot").agg(F.sum("df")).collect()  # at most SLOTS + 1
-    df, total = np.zeros(SLOTS), 0
-    for slot, n in rows:
-        if slot < 0:
-            total = n
-        else:
-            df[slot] = n
-    return np.log1p(total / (1 + df)).astype(np.float32)
+            each = [np.unique(words.of(t.lower())) for t in texts(batch.column("text"))]
+            found, n = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+
+    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def document_frequencies(docs: DataFrame, counts: DataFrame | None = None) -> Frequencies:
+    """Frequencies with the table of the most frequent words, of fewer than COMMON (all of them, in a small corpus)."""
+    counts = word_counts(docs) if counts is None else counts
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // COMMON + 1
+    table = counts.where(F.col("n") >= least).toArrow()
+    return Frequencies(docs.count(), table["w"].to_numpy().view(np.uint64), table["n"].to_numpy(), least)
+
+
+def _rare(keyed: DataFrame, idf: Frequencies, counts: DataFrame) -> DataFrame:
+    """k, th, rare (w, n) of each document's words that aren't in the table and stand in several documents."""
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            each = [np.unique(words.of(t.lower())) for t in texts(batch.column("text"))]
+            each = [x[~idf.spots(x)[1]] for x in each]
+            of = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
+            found = np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("k").take(of), batch.column("th").take(of)], ["w", "k", "th"])
+
+    several = counts.where((F.col("n") > 1) & (F.col("n") < idf.least)).select("w", F.col("n").cast("int").alias("n"))
+    pairs = keyed.select("k", "th", "text").mapInArrow(run, "w long, k long, th int").join(several.hint("shuffle_hash"), "w")
+    return pairs.groupBy("k", "th").agg(F.collect_set(F.struct("w", "n")).alias("rare"))
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash("text").alias("th"), "text")
 
 
-def _signatures(docs: DataFrame, idf: np.ndarray, n_bands: int, rows: int) -> DataFrame:
-    """k, th, class (a name of the words), bands of each document; bands is null without words."""
+def _signatures(docs: DataFrame, idf: Frequencies, n_bands: int, rows: int, counts: DataFrame | None = None) -> DataFrame:
+    """k, th, class (a name of the words), bands, dfs (see Frequencies) of each document; bands is null without words."""
+
+    def frequencies(hashes: np.ndarray, rare: pa.Array, start: int, end: int) -> bytes:
+        words = np.unique(hashes[~idf.spots(hashes)[1]])
+        dfs = np.ones(len(words), np.int32)
+        dfs[np.searchsorted(words, rare.field("w").to_numpy()[start:end].view(np.uint64))] = rare.field("n").to_numpy()[start:end]
+        return dfs.tobytes()
 
     def run(batches):
         words = Words()
         for batch in batches:
-            names, keys = [], []
-            for text in texts(batch.column("text")):
+            names, keys, dfs = [], [], []
+            rare = batch.column("rare")
+            ends = rare.offsets.to_numpy()
+            for i, text in enumerate(texts(batch.column("text"))):
                 hashes = words.of(text.lower())
                 names.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                keys.append(bands(*shingles(hashes, idf), n_bands, rows).view(np.int64) if len(hashes) else None)
+                dfs.append(frequencies(hashes, rare.values, ends[i], ends[i + 1]) if idf.least > 2 else None)
+                keys.append(bands(*shingles(hashes, idf, dfs[-1]), n_bands, rows).view(np.int64) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("th"), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["k", "th", "class", "bands"]
+                [batch.column("k"), batch.column("th"), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(dfs, pa.binary())],
+                ["k", "th", "class", "bands", "dfs"],
             )
 
-    return _keyed(docs).select("k", "th", "text").mapInArrow(run, "k long, th int, class binary, bands array<long>")
+    keyed, none = _keyed(docs).select("k", "th", "text"), F.array().cast("array<struct<w:long,n:int>>")
+    if idf.least > 2:  # otherwise only words of one document aren't in the table
+        counts = word_counts(docs) if counts is None else counts
+        keyed = keyed.join(_rare(keyed, idf, counts).hint("shuffle_hash"), ["k", "th"], "left").withColumn("rare", F.coalesce("rare", none))
+    else:
+        keyed = keyed.withColumn("rare", none)
+    return keyed.mapInArrow(run, "k long, th int, class binary, bands array<long>, dfs binary")
 
 
 class _Shingled:
     """Shingles by class, the latest ones kept."""
 
-    def __init__(self, idf: np.ndarray, most: int = 64):
+    def __init__(self, idf: Frequencies, most: int = 64):
         self.idf, self.words, self.most, self.kept = idf, Words(), most, OrderedDict()
 
-    def __call__(self, name: bytes, text: str | None):
+    def __call__(self, name: bytes, text: str | None, dfs: bytes | None):
         if name in self.kept:
             self.kept.move_to_end(name)
         else:
-            self.kept[name] = shingles(self.words.of((text or "").lower()), self.idf)
+            self.kept[name] = shingles(self.words.of((text or "").lower()), self.idf, dfs)
             if len(self.kept) > self.most:
                 self.kept.popitem(last=False)
         return self.kept[name]
 
 
-def _verify(edges: DataFrame, payload: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _verify(edges: DataFrame, payload: DataFrame, idf: Frequencies, threshold: float) -> DataFrame:
     """The edges (a, b) whose texts are similar; b has many edges, a few."""
 
     def run(batches):
         of = _Shingled(idf)
         for batch in batches:
-            a, ta, b, tb = (batch.column(c).to_pylist() for c in ("a", "ta", "b", "tb"))
-            hit = [jaccard(of(p, x), of(q, y)) >= threshold for p, x, q, y in zip(a, ta, b, tb)]
+            sides = (batch.column(c).to_pylist() for c in ("a", "ta", "da", "b", "tb", "db"))
+            hit = [jaccard(of(p, x, m), of(q, y, n)) >= threshold for p, x, m, q, y, n in zip(*sides)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    left, right = (payload.select(F.col("class").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return edges.join(left, "a").join(right, "b").select("a", "ta", "b", "tb").mapInArrow(run, "a binary, b binary")
+    left, right = (payload.select(F.col("class").alias(c), F.col("text").alias(f"t{c}"), F.col("dfs").alias(f"d{c}")) for c in "ab")
+    return edges.join(left, "a").join(right, "b").select("a", "ta", "da", "b", "tb", "db").mapInArrow(run, "a binary, b binary")
 
 
-def _rest(buckets: DataFrame, parts: DataFrame, payload: DataFrame, idf: np.ndarray, threshold: float, block: int) -> DataFrame:
+def _rest(buckets: DataFrame, parts: DataFrame, payload: DataFrame, idf: Frequencies, threshold: float, block: int) -> DataFrame:
     """Links between members of a bucket that are in different components; each pair of blocks is one group."""
     cell = ["band", "key"]
     named = buckets.join(parts, F.col("class") == F.col("node"), "left").select(*cell, "class", F.coalesce("component", "class").alias("part"))
@@ -190,12 +254,12 @@ def _rest(buckets: DataFrame, parts: DataFrame, payload: DataFrame, idf: np.ndar
 
         group = group.sort_values(["side", "class"])
         every, some = group[group["side"] == 0], group[group["side"] == 1]
-        all_rows = [*zip(every["class"], every["part"], every["text"])]
+        all_rows = [*zip(every["class"], every["part"], every["text"], every["dfs"])]
         out = []
-        for a, pa_, ta in zip(some["class"], some["part"], some["text"]):
-            for b, pb, tb in all_rows:
+        for a, pa_, ta, da in zip(some["class"], some["part"], some["text"], some["dfs"]):
+            for b, pb, tb, db in all_rows:
                 p, q = find(pa_), find(pb)
-                if p != q and jaccard(of(a, ta), of(b, tb)) >= threshold:
+                if p != q and jaccard(of(a, ta, da), of(b, tb, db)) >= threshold:
                     root[p] = q
                     out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"])
@@ -208,15 +272,19 @@ def groups(
 ) -> DataFrame:
     """k, th (a document's id and text hash), first (the smallest k and th of its group) for each row."""
     scratch = scratch or Scratch(docs.sparkSession)
-    idf = document_frequencies(docs)
-    signed = scratch.keep(_signatures(docs, idf, n_bands, rows), "signatures")
+    counts = scratch.keep(word_counts(docs), "frequencies")
+    idf = document_frequencies(docs, counts)
+    signed = scratch.keep(_signatures(docs, idf, n_bands, rows, counts), "signatures")
+    scratch.drop(counts)
     classes = signed.groupBy("class").agg(F.min(F.struct("k", "th")).alias("rep"), F.first("bands").alias("bands"))
     entries = classes.where("bands is not null").select("class", "rep", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class").alias("first")).where("n > 1").drop("n")
     buckets = scratch.keep(entries.join(shared, ["band", "key"]).select("band", "key", "class", "rep", "first"), "buckets")
     edges = buckets.where("class <> first").select(F.col("class").alias("a"), F.col("first").alias("b")).distinct()
     wanted = buckets.groupBy("class").agg(F.first("rep").alias("rep")).select("class", "rep.k", "rep.th")
-    payload = scratch.keep(_keyed(docs).drop("doc_id").join(wanted.hint("shuffle_hash"), ["k", "th"]).select("class", "text").dropDuplicates(["class"]), "texts")
+    wanted = wanted.join(signed.select("k", "th", "class", "dfs"), ["k", "th", "class"]).dropDuplicates(["k", "th"])
+    payload = _keyed(docs).drop("doc_id").join(wanted.hint("shuffle_hash"), ["k", "th"]).select("class", "text", "dfs").dropDuplicates(["class"])
+    payload = scratch.keep(payload, "texts")
     links = scratch.keep(_verify(edges, payload, idf, threshold), "links")
     parts = components(scratch, links) if not links.isEmpty() else _none(links)
     more = scratch.keep(_rest(buckets.drop("rep", "first"), parts, payload, idf, threshold, block), "more")
