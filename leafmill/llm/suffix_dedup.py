@@ -1,9 +1,9 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 Every position of a document has a name for its next 1, 2, 4, ... 64 bytes; a name of 2h bytes is made of the names at
-the position and h bytes on, so equal names mean equal strings. Spark ranks positions by name (a class's rank is its
-first position in the corpus), drops those whose name is unique, and goes on with longer names for the others until
-the threshold is passed:
+the position and h bytes on, so equal names mean equal strings (but for collisions of 64-bit hashes). Spark groups
+sampled positions by name (a class's rank is its first position in the corpus), drops those whose name is unique, and
+goes on with longer names for the others in three fixed steps. Nothing is sorted by rank, and no loop doubles h:
 
 1. 32 bytes, at sampled positions: of the 32-byte strings of a window of ``least`` bytes the one with the smallest
    name (leftmost of equals) stands for the window. Equal windows choose alike, so a window whose choice is unique
