@@ -5,8 +5,9 @@ range-sorted by length; within a length their rank tells them apart. Open gaps a
 sequence numbers. Each round takes one length, longest first: a sweep finds the successor of that length among the
 gaps, pieces that want the same gap size are matched to its sequences by rank, the gaps shrink, and the round repeats
 until no gap is left, when new sequences open. Lengths are whole numbers up to the sequence's size, so the sorted
-lists are held as at most that many runs: the sweep's state has a bound that the data can't raise, while each piece
-looks up its own sequence in its own task.
+lists are held as at most that many runs: the sweep's state has a bound that the data can't raise. All rounds run
+once on the driver, over the collected histogram of lengths; Spark only sorts the pieces, and each piece looks up its
+own sequence in its own task.
 
 Null text is empty (one end id). Repeated rows are packed each; null ids are kept.
 """
