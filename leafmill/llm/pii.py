@@ -1,14 +1,18 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
 Matches of one pattern are split out of a text; each that proves valid (check digits, ranges, calendar) is replaced by
-another valid value of the same format. Digits, the letters of a mail name and days since 1900 are each permuted by an
-eight-round Feistel network keyed by ``key`` and the kind, so equal values get equal pseudonyms in any document,
-different values different ones, and separators stay. Where not each outcome is valid, the permutation is walked on
-until one is, which keeps it a permutation.
-
-Kinds: mail (its name; the domain stays), card (Luhn; the check digit is computed anew), iban (mod 97; digits of the
-account), ip (four octets), ssn and phone (nine digits, ten national ones; valid ones stay valid, and those in their
-format that can't be real are replaced too), date (ISO, 1900 to 2099). Anything else in a text stays as it is. Null text stays null, empty stays empty; rows are independent; other columns aren't read.
+another valid value of the same format. The values of a format are numbered from 0 without holes, and an eight-round
+Feistel network over two whole numbers (left, right) permutes exactly these numbers, keyed by ``key`` and the kind. So
+equal values get equal pseudonyms in any document, different values different ones, and separators stay.
+
+Kinds: mail (letters among letters, digits among digits of its name of at most 64 signs; the domain stays), card (Luhn;
+the check digit is computed anew), iban (mod 97, check digits 02 to 98; digits of the account), ip (four octets), ssn
+and phone (nine digits, ten national ones; those that can't be real are replaced too, among their like), date (ISO, 1900
+to 2099). Anything else in a text stays as it is. Each pattern starts where nothing of its signs stands before, and has
+bounded parts, so that the time for a text without blanks grows with its length only.
+
+``key`` has no default: whoever knows it can undo the pseudonyms. Null text stays null, empty stays empty, an empty
+table gives none; rows are independent, so ties and repeated rows get equal results; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from .common import carried, restored
 
 # The formats.
 FORMATS = {
-    "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,32}[A-Za-z]{2,63}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
@@ -30,8 +34,9 @@ FORMATS = {
 }
 PATTERN = "|".join(FORMATS.values())
 HINT = "[0-9]{4}|[0-9][.) -]|@"  # every format holds one of these
-ROUNDS, DAYS = 8, 73_049  # days from 1900-01-01 to 2099-12-31
-_WALK = 64
+ROUNDS = 8
+#: The session setting that holds the pipeline's key.
+KEY = "spark.leafmill.pii.key"
 
 
 def _pow10(n: Column) -> Column:
@@ -74,9 +79,19 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def _walk(value: Column, step, valid) -> Column:
-    """``step`` again and again until ``valid``; it ends, as a valid value's cycle leads back to one."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), step(value), lambda s, _: F.when(valid(s), s).otherwise(step(s)))
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _moved(value: Column, left: int, right: int, key: str, kind: str, use) -> Column:
+    """``use(quotient, remainder)`` by ``right`` of the permuted value."""
+    big = lambda n: F.lit(n).cast("long")
+    return _let(permute(value, big(left), big(right), key, kind), lambda v: use(F.floor(v / right).cast("long"), F.pmod(v, big(right))))
+
+
+def _padded(*parts: tuple[Column, int]) -> Column:
+    return F.concat(*(F.lpad(v.cast("string"), n, "0") for v, n in parts))
 
 
 def _refill(shape: Column, digits: Column) -> Column:
@@ -123,7 +138,8 @@ def _iban(m: Column, key: str) -> Column:
     digits = permute_digits(_only(account), key, "iban")
     moved = _refill(account, digits)
     check = F.lpad((F.lit(98) - _mod97(F.concat(moved, land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when((_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1) & (F.length(plain) <= 34), _refill(m, F.concat(check, digits)))
+    good = (F.length(plain) <= 34) & F.substring(plain, 3, 2).between("02", "98")
+    return F.when(good & (_mod97(F.concat(account, F.substring(plain, 1, 4))) == 1), _refill(m, F.concat(check, digits)))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -135,56 +151,84 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(parts, lambda p: p < 256), F.concat_ws(".", *octets))
 
 
-def _within(d: Column, key: str, kind: str, pattern: str) -> Column:
-    """Digits permuted among those that fit ``pattern``, or among those that don't."""
-    fits = lambda x: x.rlike(pattern)
-    return _walk(d, lambda x: permute_digits(x, key, kind), lambda x: fits(x) == fits(d))
-
-
 def _ssn(m: Column, key: str) -> Column:
-    return _refill(m, _within(_only(m), key, "ssn", "^(?!000|666|9)...(?!00)..(?!0000)"))
+    """Of area, group and serial: real ones (898 areas, 99 groups, 9,999 serials) among themselves; others by what is amiss."""
+    d = _only(m)
+    area, group, serial = (F.substring(d, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    index = area - 1 - (area > 666).cast("long")
+    real = lambda i: i + 1 + (i >= 665).cast("long")
+    unreal = F.when(area == 0, 0).when(area == 666, 1).otherwise(area - 898)
+    return _refill(
+        m,
+        F.when(area.isin(0, 666) | (area >= 900), _moved(unreal * 1_000_000 + F.substring(d, 4, 6).cast("long"), 102, 1_000_000, key, "ssn area", lambda q, r: _padded((F.when(q == 0, 0).when(q == 1, 666).otherwise(q + 898), 3), (r, 6))))
+        .when(group == 0, _moved(index * 10_000 + serial, 898, 10_000, key, "ssn group", lambda q, r: _padded((real(q), 3), (F.lit("00"), 2), (r, 4))))
+        .when(serial == 0, _moved(index * 99 + group - 1, 898, 99, key, "ssn serial", lambda q, r: _padded((real(q), 3), (r + 1, 2), (F.lit("0000"), 4))))
+        .otherwise(_moved((index * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn", lambda q, r: _padded((real(F.floor(q / 99).cast("long")), 3), (F.pmod(q, F.lit(99)) + 1, 2), (r + 1, 4)))),
+    )
 
 
 def _phone(m: Column, key: str) -> Column:
-    d = _only(m)
-    return _refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), _within(F.right(d, F.lit(10)), key, "phone", "^[2-9]..[2-9]")))
+    """Of the ten national digits the first and the fourth are 2 to 9 in a real number; others are moved by which is not."""
+    every = _only(m)
+    d = F.right(every, F.lit(10))
+    area, office, rest = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 1).cast("long"), F.substring(d, 5, 6).cast("long")
+
+    def moved(kind: str, first: int, choices: int) -> Column:
+        back = lambda q, r: _padded((F.floor(q / choices).cast("long") + 200, 3), (F.pmod(q, F.lit(choices)) + first, 1), (r, 6))
+        return _moved(((area - 200) * choices + office - first) * 1_000_000 + rest, 800 * choices, 1_000_000, key, kind, back)
+
+    low = _moved(d.cast("long"), 2000, 1_000_000, key, "phone area", lambda q, r: _padded((q, 4), (r, 6)))
+    new = F.when(area < 200, low).when(office < 2, moved("phone office", 0, 2)).otherwise(moved("phone", 2, 8))
+    return _refill(m, F.concat(F.substr(every, F.lit(1), F.length(every) - 10), new))
 
 
 def _date(m: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date")).cast("long")
-    side = F.lit(271).cast("long")
-    other = _walk(day, lambda x: permute(x, side, side, key, "date"), lambda x: x < DAYS)
-    return F.when(day.isNotNull(), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), other.cast("int")), "yyyy-MM-dd"))
+    """Days from 1900-01-01 to 2099-12-31 are 17 x 4,297."""
+    first = F.lit("1900-01-01").cast("date")
+    day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), first).cast("long")
+    new = _moved(day, 17, 4297, key, "date", lambda q, r: F.date_format(F.date_add(first, (q * 4297 + r).cast("int")), "yyyy-MM-dd"))
+    return F.when(day.isNotNull(), new)
 
 
 def _mail(m: Column, key: str) -> Column:
-    """Letters and digits of the name move within 36 signs, capitals as capitals."""
+    """The name's letters move among 26, its digits among 10; capitals stay capitals."""
     name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    signs = F.lit("abcdefghijklmnopqrstuvwxyz0123456789")
-    low = F.split(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), "")
-    codes = F.transform(low, lambda c: F.instr(signs, c) - 1)
-    half = F.floor(F.size(codes) / 2).cast("int")
-    start = F.struct(F.slice(codes, 1, half).alias("l"), F.slice(codes, half + 1, F.size(codes)).alias("r"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def numbered(c: Column) -> Column:
+        digit = c.between("0", "9")
+        return F.struct(F.when(digit, c.cast("int")).otherwise(F.ascii(c) - 97).alias("v"), F.when(digit, 10).otherwise(26).alias("of"))
+
+    codes = F.transform(F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]"), F.lit(0)), numbered)
 
     def add(side: Column, other: Column, i: Column) -> Column:
-        seed = F.sha2(F.concat_ws("|", F.lit(f"{key}|mail"), i.cast("string"), F.array_join(other.cast("array<string>"), ",")), 256)
-        return F.transform(side, lambda c, j: F.pmod(c + F.conv(F.substr(seed, 1 + 4 * (j % 16), F.lit(4)), 16, 10).cast("int") + F.floor(j / 16).cast("int"), F.lit(36)))
+        said = F.array_join(F.transform(other, lambda c: F.concat_ws("/", c["v"], c["of"])), ",")
+        seed = F.sha2(F.concat_ws("|", F.lit(f"{key}|mail"), i.cast("string"), said), 512)
+        noise = lambda j: F.conv(F.substr(seed, 1 + 4 * j, F.lit(4)), 16, 10).cast("int")
+        return F.transform(side, lambda c, j: F.struct(F.pmod(c["v"] + noise(j), c["of"]).alias("v"), c["of"].alias("of")))
 
     def step(s: Column, i: Column) -> Column:
         even = F.struct(add(s["l"], s["r"], i).alias("l"), s["r"].alias("r"))
         odd = F.struct(s["l"].alias("l"), add(s["r"], s["l"], i).alias("r"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
-    moved = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
+    def halved(c: Column) -> Column:
+        half = F.floor(F.size(c) / 2).cast("int")
+        return F.struct(F.slice(c, 1, half).alias("l"), F.slice(c, half + 1, F.size(c)).alias("r"))
+
+    moved = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), _let(codes, halved), step, lambda s: F.concat(s["l"], s["r"]))
     fill = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def put(s: Column, c: Column) -> Column:
-        sign = F.substr(signs, F.element_at(moved, s["at"]) + 1, F.lit(1))
-        taken = c.rlike("[A-Za-z0-9]")
-        new = F.when(taken, F.when(c.rlike("[A-Z]"), F.upper(sign)).otherwise(sign)).otherwise(c)
-        return F.struct(F.concat(s["out"], new).alias("out"), (s["at"] + taken.cast("int")).alias("at"))
+    def filled(new: Column) -> Column:
+        def put(s: Column, c: Column) -> Column:
+            sign = F.get(new, s["at"] - 1)
+            small = F.substr(F.lit(letters), sign["v"] + 1, F.lit(1))
+            now = F.when(c.rlike("[A-Z]"), F.upper(small)).when(c.rlike("[a-z]"), small).when(c.rlike("[0-9]"), sign["v"].cast("string")).otherwise(c)
+            return F.struct(F.concat(s["out"], now).alias("out"), (s["at"] + c.rlike("[A-Za-z0-9]").cast("int")).alias("at"))
+
+        return F.aggregate(F.split(name, ""), fill, put, lambda s: s["out"])
 
-    return F.concat(F.aggregate(F.split(name, ""), fill, put, lambda s: s["out"]), F.lit("@"), host)
+    return F.concat(_let(moved, filled), F.lit("@"), host)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -196,19 +240,19 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "leafmill", *more: str) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, *more: str) -> DataFrame:
     """doc_id, text with its values replaced, n_replaced (values that are other than before) of each row."""
     text = F.col("text")
-    found = F.when(text.rlike(HINT) & text.rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     cut = docs.select("doc_id", "text", *more, found.alias("found"))
-    cut = cut.withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
+    some = F.coalesce(F.size("found") > 0, F.lit(False))
+    cut = cut.withColumn("new", F.when(some, F.transform("found", lambda m: pseudonym(m, key))))
     whole = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.array_append("new", F.lit("")), lambda gap, m: F.concat(gap, m)), "")
     changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
-    none = F.col("found").isNull()
-    return cut.select("doc_id", F.when(none, text).otherwise(whole).alias("text"), F.when(none, 0).otherwise(changed).cast("long").alias("n_replaced"), *more)
+    return cut.select("doc_id", F.when(some, whole).otherwise(text).alias("text"), F.when(some, changed).otherwise(0).cast("long").alias("n_replaced"), *more)
 
 
-def without_personal_data(docs: DataFrame, key: str = "leafmill") -> DataFrame:
+def without_personal_data(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its text so rewritten and n_chars, where there is one, to match."""
     packed, rest = carried(docs)
     return restored(pseudonymise(packed, key, rest), docs)
