@@ -22,7 +22,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.without_personal_data(docs)
+    """The key is the session's ``spark.leafmill.pii.key``; without that setting the pseudonyms are a test's, not secret."""
+    return pii.without_personal_data(docs, spark.conf.get(pii.KEY, "key of the test tables"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
