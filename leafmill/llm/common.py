@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -44,12 +45,16 @@ def restored(df: DataFrame, like: DataFrame) -> DataFrame:
 class Scratch:
     """Tables written under ``spark.checkpoint.dir``: they cut lineage and outlive the loss of an executor.
 
-    Where that setting is absent (local tests) a temporary folder of this machine is taken instead.
+    Where that setting is absent and Spark runs in this process alone (tests) a temporary folder is taken instead.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="leafmill-")
         self.root = f"{root.rstrip('/')}/leafmill-{uuid.uuid4().hex}"
         self._paths: dict[int, str] = {}
 
@@ -132,32 +137,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 50) -> DataFrame:
+#: At most so many nodes can have more than 2 E / HUBS of E edges' ends: their minima are sent to all tasks.
+HUBS = 4096
+
+
+def _with_low(both: DataFrame, n_edges: int) -> DataFrame:
+    """``both`` (u, v) with m, the least of u and its neighbours. A hub's many rows stay where they are."""
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("degree"))
+    low, many = low.select("u", "m", "degree"), F.col("degree") > 2 * n_edges // HUBS
+    hubs = F.broadcast(low.where(many).select("u", "m"))  # fewer than HUBS rows
+    rest = both.join(hubs.select("u"), "u", "left_anti").join(low.where(~many).select("u", "m").hint("merge"), "u")
+    return both.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b) as rows (node, component), component being the smallest node.
 
-    Alternates large-star and small-star steps; each is a map-side-combined minimum per node and a join back, so no
-    node's neighbours are ever gathered. Isolated nodes don't occur in ``edges`` and so not in the result.
+    Alternates large-star and small-star steps until nothing changes, which takes of the order of log^2 n rounds; each is
+    a map-side-combined minimum per node and a join back, so no node's neighbours are ever gathered. Isolated nodes
+    don't occur in ``edges`` and so not in the result.
     """
     now = scratch.keep(
         edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "edges"
     )
-    state = None
-    for _ in range(rounds):
+    size = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    state = size(now)
+    while state[0]:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(small_low, "u")
+        large = _with_low(both, state[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.keep(large, "edges")
+        step = _with_low(large, large.count())
         out = step.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         out = scratch.keep(out.where("u <> v").distinct(), "edges")
         scratch.drop(now)
-        now = out
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if seen == state:
+        scratch.drop(large)
+        now, before = out, state
+        state = size(now)
+        if state == before:
             break
-        state = seen
-    else:
-        raise RuntimeError("components did not settle")
     tops = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         tops.select(F.col("v").alias("node"), F.col("v").alias("component"))

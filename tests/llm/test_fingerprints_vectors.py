@@ -125,6 +125,29 @@ def test_vectors_against_brute_force(spark):
     assert all(kept == (k == c) for k, (_, c, kept) in got.items())
 
 
+def test_vectors_of_repeated_ids(spark):
+    """Unlike vectors of one vec_id, equal ones of several, and one vector under two labels, against all pairs of rows."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((12, 8))
+    rows = []
+    for i in range(90):
+        k = int(rng.integers(0, 12))
+        rows.append((int(rng.integers(0, 30)), (base[k] + rng.standard_normal(8) * rng.choice([0, 0, 0.01])).tolist(), int(rng.integers(0, 2))))
+    rows += [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.0, 1.0, 0.01], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=4).collect())
+    n = len(rows)
+    near = [[False] * n for _ in range(n)]
+    for a in range(n):
+        for b in range(n):
+            if a != b and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
+                x, y = np.array(rows[a][1]), np.array(rows[b][1])
+                near[a][b] = bool(x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98)
+    low = [r[0] for r in rows]
+    for _ in range(n):
+        low = [min([low[a], *(low[b] for b in range(n) if near[a][b])]) for a in range(n)]
+    assert got == sorted((rows[a][0], sum(near[a]), low[a], rows[a][0] == low[a]) for a in range(n))
+
+
 def test_vectors_odd_tables(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     rows = spark.createDataFrame([(None, [1.0, 2.0], 1, "x"), (1, [1.0, 2.0], 1, "y"), (1, [1.0, 2.0], 1, "y")], VECTORS + ", name string")
