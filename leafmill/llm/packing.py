@@ -9,13 +9,17 @@ lists are held as at most that many runs: the sweep's state has a bound that the
 once on the driver, over the collected histogram of lengths; Spark only sorts the pieces, and each piece looks up its
 own sequence in its own task.
 
-Null text is empty (one end id). Repeated rows are packed each; null ids are kept.
+Ids are those of the ``tokenizers`` library as it comes: a special token's name in a text is that token. Null text is
+empty (one end id); a very long text is encoded in parts that are cut where the tokens can't change. Repeated rows are
+packed each, ties of length go by the other columns; null ids are kept; an empty table gives none; other columns aren't
+read.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
+import os
 import re
 import zlib
 
@@ -24,37 +28,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoding
 from .common import Scratch, ranked, texts
 
-#: Letters, digits, marks and spaces whose classes no Unicode version has changed: both libraries split these alike.
-_PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-ſ‐-‧‰-›]*")
+#: A text longer than this many characters is encoded in parts, so that the library's own records of tokens stay small.
+PART, TOGETHER = 1 << 16, 1 << 20
+#: Between these two characters every byte-level splitting pattern cuts, and no special token holds a blank.
+_SEAM = re.compile(r"(?<=[A-Za-z0-9.,;:!?])[ \n]")
 
 
 @functools.lru_cache(2)
-def _exact(path: str):
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
-    return exact
+    return Tokenizer.from_file(path)
 
 
-def token_ids(text: str, tokenizer: str, ranks: str | None, pattern: str | None) -> list[int]:
-    """``tokenizer``'s ids; plain text goes by the same vocabulary's rank file, which gives the same ids sooner."""
-    if ranks and _PLAIN.fullmatch(text):
-        return encoding(ranks, pattern)[0].encode_ordinary(text)
-    return _exact(tokenizer).encode(text, add_special_tokens=False).ids
+def _parts(text: str) -> list[str]:
+    out, at = [], 0
+    while len(text) - at > PART and (cut := _SEAM.search(text, at + PART)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
 
 
-def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, size: int = 2048, end_id: int = 0) -> DataFrame:
+def token_ids(many: list[str], tokenizer: str) -> list[np.ndarray]:
+    """``Tokenizer.encode(text, add_special_tokens=False).ids`` of each text, special tokens in a text included."""
+    parts = [_parts(t) for t in many]
+    flat, ids, at = [p for ps in parts for p in ps], [], 0
+    while at < len(flat):
+        to, size = at, 0
+        while to < len(flat) and (to == at or size + len(flat[to]) <= TOGETHER):
+            size += len(flat[to])
+            to += 1
+        ids += [np.array(e.ids, "<u4") for e in _tokenizer(tokenizer).encode_batch_fast(flat[at:to], add_special_tokens=False)]
+        at = to
+    ends = np.cumsum([len(ps) for ps in parts]).tolist()
+    return [np.concatenate(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the first piece of a long document takes what the others leave."""
 
     def run(batches):
         for batch in batches:
             keys, out = [], []
-            for row, text in enumerate(texts(batch.column("text"))):
-                ids = np.array([*token_ids(text, tokenizer, ranks, pattern), end_id], "<u4")
+            for row, ids in enumerate(token_ids(texts(batch.column("text")), tokenizer)):
+                ids = np.append(ids, np.array(end_id, "<u4")).astype("<u4")
                 cuts = [0, *range(len(ids) % size or size, len(ids), size), len(ids)] if len(ids) > size else [0, len(ids)]
                 for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     keys.append(row)
@@ -136,5 +156,5 @@ def pack(cut: DataFrame, size: int = 2048, scratch: Scratch | None = None) -> Da
     return placed.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, size: int = 2048) -> DataFrame:
-    return pack(pieces(docs, tokenizer, ranks, pattern, size), size)
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
+    return pack(pieces(docs, tokenizer, size), size)
