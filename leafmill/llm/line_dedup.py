@@ -1,19 +1,21 @@
 """Removal of repeated runs of lines by winnowing over line hashes.
 
-A fingerprint is the hash of ``gram`` neighbouring lines. Of the fingerprints in each window of ``window`` the smallest
-is selected, so every run of at least ``gram + window - 1`` lines holds one that all its copies select too. Selected
-fingerprints that occur once are dropped; for the others, positions join on the fingerprint and the hash of the whole
-window around it, the first position of each in (doc_id, line) order being the original. Neighbouring matched windows
-run together, which extends a match both ways to its whole length. Each later run is deleted: a line goes if a run of
-``gram + window - 1`` lines that covers it also starts earlier, in a smaller doc_id or further up.
-
-With ``words`` a shorter run of at least so many words, down to a single line, is a run as well: it goes if it also
-starts earlier, whatever its neighbours. Words are what blanks of any kind set apart. Each later copy that goes has an
-earlier one that stays.
-
-Lines are split at line feeds and compared as they are. Null text stays null (0 lines); without ``words`` texts with
-fewer lines than a run are never changed; a text whose every line goes becomes empty. Rows that repeat doc_id and text
-are the same document and get the same result; null ids come first; other columns aren't read.
+A fingerprint is the hash of ``gram`` neighbouring lines. Of each window of ``window`` fingerprints the smallest
+(leftmost of equals) is selected, and only selected positions are rows: each has the hashes of the lines that the windows
+which selected it reach, before and after. Equal runs of ``gram + window - 1`` lines select alike, so a run whose
+fingerprint occurs once is unique and its position goes. Positions of the others are joined on the fingerprint and
+extended both ways over these line hashes to the runs they stand for; the first of equal runs in (doc_id, line) order is
+the original. Later runs that touch or overlap are one, which extends a match to its whole length, and are deleted: a
+line goes if a run of ``gram + window - 1`` lines that covers it also starts earlier, in a smaller doc_id or further up.
+
+With ``words`` a shorter run of at least so many words, down to a single line, is a run as well, its own fingerprint: it
+goes if it also starts earlier, whatever its neighbours. Words are what blanks of any kind set apart. Each later copy
+that goes has an earlier one that stays.
+
+Lines are split at line feeds and compared as they are. Null text stays null (0 lines), empty text is one empty line;
+without ``words`` texts with fewer lines than a run are never changed; a text whose every line goes becomes empty. Very
+long texts are rows like others. Rows that repeat doc_id and text are the same document and get the same result; null
+ids come first; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, restored
+from .common import Scratch, carried, restored
 
 GRAM, WINDOW, WORDS = 2, 2, 50
 
@@ -32,45 +34,48 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _windows(docs: DataFrame, gram: int, window: int, words: int | None) -> DataFrame:
-    """k, th, at and to (first and last line, from 1), mark (the window's smallest fingerprint), name (hash of its lines).
-
-    Runs of many words but fewer lines have no smaller fingerprint than their name.
-    """
+def _positions(docs: DataFrame, gram: int, window: int, words: int | None) -> DataFrame:
+    """k, th, lo, hi, n, mark, near: a selected position's fingerprint ``mark``, first and last window (from line ``lo`` to
+    line ``hi``, from 1, of ``n`` lines each) that selected it, and the hashes of the lines from the first to the last."""
     run = gram + window - 1
     lines = docs.select("k", "th", "text", F.split("text", "\n", -1).alias("l")).withColumn("h", F.transform("l", lambda x: F.xxhash64(x)))
     upto = lambda n, of="h": F.when(F.size(of) >= n, F.sequence(F.lit(1), F.size(of) - n + 1)).otherwise(F.array().cast("array<int>"))
-    lines = lines.withColumn("g", F.transform(upto(gram), lambda i: F.xxhash64(F.slice("h", i, gram))))
-    name = lambda i, n: F.xxhash64(F.lit(n), F.slice("h", i, n))
-
-    def spot(i, n, mark):
-        return F.struct(i.alias("at"), (i + n - 1).alias("to"), mark.alias("mark"), name(i, n).alias("name"))
-
-    windows = [F.transform(upto(run), lambda i: spot(i, run, F.array_min(F.slice("g", i, window))))]
-    if words is None or run == 1:
-        return lines.where(F.size("h") >= run).select("k", "th", F.inline(windows[0]))
-    # A text of fewer signs than ``words`` words and the blanks between them has no such run: its words aren't counted.
-    counts = F.transform("l", lambda x: F.regexp_count(x, F.lit(r"\S+")))
-    lines = lines.withColumn("w", F.when(F.length("text") >= 2 * words - 1, counts).otherwise(F.array().cast("array<int>")))
-    windows += [_short(n, words, upto, spot, name) for n in range(1, run)]
-    return lines.select("k", "th", F.inline(F.concat(*windows)))
-
-
-def _short(n: int, words: int, upto, spot, name) -> Column:
+    lines = lines.withColumn("g", F.transform(upto(gram), lambda i: F.struct(F.xxhash64(F.slice("h", i, gram)).alias("mark"), i.alias("at"))))
+    lines = lines.withColumn("least", F.transform(upto(window, "g"), lambda i: F.array_min(F.slice("g", i, window))))
+
+    def spot(lo, hi, n, mark):
+        near = F.slice("h", lo, hi - lo + n)
+        return F.struct(lo.alias("lo"), hi.cast("int").alias("hi"), F.lit(n).alias("n"), mark.alias("mark"), near.alias("near"))
+
+    chosen = lambda i: F.get("least", i - 1)  # noqa: E731  of the window from line i
+    new = lambda i: F.coalesce(chosen(i)["at"] != chosen(i - 1)["at"], F.lit(True))
+    more = lambda i: sum((F.coalesce(chosen(i + d)["at"] == chosen(i)["at"], F.lit(False)).cast("int") for d in range(1, window)), F.lit(0))
+    spots = [F.transform(F.filter(upto(1, "least"), new), lambda i: spot(i, i + more(i), run, chosen(i)["mark"]))]
+    if words is not None and run > 1:
+        # A text of fewer signs than ``words`` words and the blanks between them has no such run: its words aren't counted.
+        counts = F.transform("l", lambda x: F.regexp_count(x, F.lit(r"\S+")))
+        lines = lines.withColumn("w", F.when(F.length("text") >= 2 * words - 1, counts).otherwise(F.array().cast("array<int>")))
+        spots += [_short(n, words, upto, spot) for n in range(1, run)]
+    return lines.select("k", "th", F.inline(F.concat(*spots)))
+
+
+def _short(n: int, words: int, upto, spot) -> Column:
     """The runs of ``n`` lines that hold at least ``words`` words."""
     held = lambda i: F.aggregate(F.slice("w", i, n), F.lit(0), lambda s, c: s + c)
-    return F.transform(F.filter(upto(n, "w"), lambda i: held(i) >= words), lambda i: spot(i, n, name(i, n)))
+    return F.transform(F.filter(upto(n, "w"), lambda i: held(i) >= words), lambda i: spot(i, i, n, F.xxhash64(F.lit(n), F.slice("h", i, n))))
 
 
-def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
+def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, words: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """k, th, runs (array of first and last line, from 1, in order) of the later copies."""
-    keyed = _keyed(docs)
-    windows = _windows(keyed, gram, window, words)
-    shared = windows.groupBy("mark").count().where("count > 1").select("mark")
-    first = windows.groupBy("mark", "name").agg(F.min(F.struct("k", "th", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.join(shared, "mark", "left_semi").drop("n")
-    later = windows.join(first.hint("shuffle_hash"), ["mark", "name"]).where(F.struct("k", "th", "at") > F.col("first"))
-    later = later.groupBy("k", "th", "at").agg(F.max("to").alias("to"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    positions = _positions(_keyed(docs), gram, window, words)
+    shared = positions.groupBy("mark").count().where("count > 1").select("mark")
+    joined = scratch.keep(positions.join(shared.hint("shuffle_hash"), "mark", "left_semi").drop("mark"), "positions")
+    each = F.transform(F.sequence("lo", "hi"), lambda i: F.struct(i.alias("at"), F.xxhash64("n", F.slice("near", i - F.col("lo") + 1, F.col("n"))).alias("name")))
+    windows = joined.select("k", "th", "n", F.inline(each))
+    first = windows.groupBy("name").agg(F.min(F.struct("k", "th", "at")).alias("first"), F.count("*").alias("count")).where("count > 1").drop("count")
+    later = windows.join(first.hint("shuffle_hash"), "name").where(F.struct("k", "th", "at") > F.col("first"))
+    later = later.groupBy("k", "th", "at").agg(F.max(F.col("at") + F.col("n") - 1).alias("to"))
     order = Window.partitionBy("k", "th").orderBy("at")
     reached = F.coalesce(F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     starts = later.withColumn("new", (F.col("at") > reached + 1).cast("int"))
