@@ -154,7 +154,7 @@ def test_weights_are_those_of_exact_document_frequencies(spark, monkeypatch, mos
     import numpy as np
 
     monkeypatch.setattr(minhash, "COMMON", most)
-    monkeypatch.setattr(minhash, "bands", lambda names, weights, n_bands, rows: weights.astype("float64").view("uint64"))
+    monkeypatch.setattr(minhash, "bands", lambda names, weights, n_bands, rows: (weights.astype("float64").view("uint64"), np.zeros(2, "uint16")))
     rng = random.Random(6)
     rows = [(i, " ".join([f"f{rng.randrange(10)}" for _ in range(6)] + [f"r{rng.randrange(40)}" for _ in range(5)] + [f"o{i}x{k}" for k in range(2000)])) for i in range(60)]
     rows += [(100, rows[0][1]), (100, rows[0][1]), (101, "F1 r2"), (102, None), (103, "")]
@@ -198,7 +198,8 @@ def test_near_duplicates_are_the_same_with_any_table(spark, monkeypatch, most):
 
 def test_unlinked_members_of_a_bucket_are_compared_in_blocks(spark, monkeypatch):
     """All in one bucket: two families whose members link only among themselves, and loners."""
-    monkeypatch.setattr(minhash, "bands", lambda names, weights, n_bands, rows: __import__("numpy").zeros(n_bands, "uint64"))
+    zeros = __import__("numpy").zeros
+    monkeypatch.setattr(minhash, "bands", lambda names, weights, n_bands, rows: (zeros(n_bands, "uint64"), zeros(2, "uint16")))
     make = lambda tag, edit: " ".join([f"{tag}{k}" for k in range(60)] + [edit])
     rows = [(i, make("a", f"x{i}")) for i in range(9)] + [(i, make("b", f"x{i}")) for i in range(20, 31)] + [(i, make(f"c{i}", "")) for i in range(40, 46)]
     docs = spark.createDataFrame(rows, DOCS)
