@@ -1,22 +1,28 @@
-"""Removal of repeated byte strings by distributed prefix doubling.
-
-Every position of a document has a name for its next 1, 2, 4, ... 64 bytes; a name of 2h bytes is made of the names at
-the position and h bytes on, so equal names mean equal strings (but for collisions of 64-bit hashes). Spark groups
-sampled positions by name (a class's rank is its first position in the corpus), drops those whose name is unique, and
-goes on with longer names for the others in three fixed steps. Nothing is sorted by rank, and no loop doubles h:
-
-1. 32 bytes, at sampled positions: of the 32-byte strings of a window of ``least`` bytes the one with the smallest
-   name (leftmost of equals) stands for the window. Equal windows choose alike, so a window whose choice is unique
-   is unique, and no repeat is lost.
-2. up to 168 bytes: the whole stretch of windows that one choice stands for. All but the first of equal stretches
-   repeat as a whole. Where one choice has several different stretches, the first of each goes on.
-3. 83 bytes and more: the windows of a stretch by a quarter of the places where the choice can lie in a window. What
-   the windows of a quarter have in common must occur again; of equal quarters all but the first repeat as a whole.
-4. ``least`` bytes: each window of the first of every quarter whose common bytes have several different quarters.
+"""Removal of repeated byte strings by distributed prefix doubling over sampled positions.
+
+A position's rank for its next h bytes is a 64-bit name, equal for equal strings (but for collisions). The names of 1, 2,
+4, ... bytes are doubled where the text is; Spark sorts positions by the pair (rank at p, rank at p + offset), which is the
+rank of the longer string, compares each row with the row before, and drops positions that have become unique. With
+``least`` = 100 the strings grow from 32 to 64 to 100 bytes, at offsets 16, 32 and 36:
+
+1. g bytes (the largest power of two up to ``least`` / 3), at sampled positions: of the strings of g bytes in a window of
+   ``least`` bytes the one with the smallest name (leftmost of equals) stands for the window. Equal windows choose alike,
+   so a window whose choice is unique is unique, and no repeat is lost. Unique choices are counted out before the sort.
+   A row is the stretch of neighbouring windows that one choice stands for; all but the first of equal stretches repeat
+   as a whole, and where one choice has several different stretches the first of each goes on.
+2. 2 g bytes, from the choice on for windows that reach so far behind it, and up to its end for the others: each window
+   is one or the other. Again all but the first of equal halves repeat as a whole, and of those whose 2 g bytes have
+   several different halves the first goes on.
+3. ``least`` bytes (an overlapping pair): each window of these halves. A window that equals the row before repeats.
+
+Rows are sorted by their ranks and then by their place, so that the first of equal ones stands first and a frequent
+string's rows may lie in many tasks; what a task can't see at its edges goes on to the next step, and after the last the
+first and last row of each task are compared.
 
 A document is (doc_id, text): rows that repeat both are the same document and get the same result; ids shared by
-different texts are ordered by the text's hash; null ids come first. Null text is empty; texts under ``least`` bytes
-are never changed.
+different texts are ordered by the text's hash; null ids come first. Null and empty texts have no bytes; texts under
+``least`` bytes are never changed; very long texts are named in parts that overlap. An empty table gives none; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,9 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, utf8
+from .common import Scratch, mix, partitions, utf8
 
-GRAM, HALF, QUARTERS = 32, 64, 4
 #: Work goes by so many bytes, so that the arrays stay in a core's cache; longer documents go in several parts.
 PART = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
@@ -46,22 +51,39 @@ def join_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def doubled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the 32 and the 64 bytes from each position."""
-    names, h, out = _BYTE_NAMES[data], 1, {}
-    while h < HALF:
-        names = join_names(names[:-h], names[h:]) if len(names) > h else names[:0]
+def lengths(least: int) -> tuple[int, int]:
+    """g, the bytes of a sampled string, and the longest power of two that fits into ``least``."""
+    if least < 8:
+        raise ValueError("least must be 8 at least")
+    return 1 << (least // 3).bit_length() - 1, 1 << least.bit_length() - 1
+
+
+def doubled(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
+    """Names of the 1, 2, 4, ... ``upto`` bytes from each position."""
+    h, out = 1, {1: _BYTE_NAMES[data]}
+    while h < upto:
+        names = out[h]
         h *= 2
-        out[h] = names
-    return out[GRAM], out[HALF]
+        out[h] = join_names(names[: -(h // 2)], names[h // 2 :]) if len(names) > h // 2 else names[:0]
+    return out
+
+
+def long_name(names: np.ndarray, h: int, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Names of ``size`` (h to 4 h) bytes from ``lo``: four strings of h bytes leave no gap."""
+    out = size.astype(np.uint64)
+    for k in range(4):
+        out = join_names(out, names[lo + (size - h) * k // 3])
+    return out
 
 
 def stretches(data: np.ndarray, bounds: np.ndarray, least: int):
-    """(choice's name, stretch's name, first window, windows, choice's place after the first window) over documents laid
-    end to end."""
-    grams, halves = doubled(data)
+    """(rank and rank behind it of the choice's two halves, stretch's name, first window, windows, choice's place after the
+    first window) over documents laid end to end."""
+    g, h = lengths(least)
+    names = doubled(data, h)
+    grams = names[g]
     lows, w = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1
-    span = least - GRAM + 1
+    span = least - g + 1
     while 2 * w <= span:
         lows, w = np.minimum(lows[:-w], lows[w:]), 2 * w
     if w < span:
@@ -78,9 +100,8 @@ def stretches(data: np.ndarray, bounds: np.ndarray, least: int):
     ends = valid.copy()
     ends[:-1] &= turn | ~valid[1:]
     lo, hi = np.flatnonzero(begins), np.flatnonzero(ends)
-    size = hi - lo + least
-    name = join_names(join_names(halves[lo], halves[lo + (size - HALF) // 2]), halves[lo + size - HALF])
-    return grams[chosen[lo]], join_names(name, size.astype(np.uint64)), lo, hi - lo + 1, chosen[lo] - lo
+    c = chosen[lo]
+    return names[g // 2][c], names[g // 2][c + g // 2], long_name(names[h], h, lo, hi - lo + least), lo, hi - lo + 1, c - lo
 
 
 def parts(data: np.ndarray, bounds: np.ndarray, least: int):
@@ -105,30 +126,76 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ranked_positions(docs: DataFrame, least: int, names_only: bool) -> DataFrame:
+def _sampled(docs: DataFrame, least: int, names_only: bool) -> DataFrame:
+    """gram (the choice's name), left, right, name, k, th, lo, n, place of each stretch, or gram alone."""
+
     def run(batches):
         for batch in batches:
             data, bounds = utf8(batch.column("text"))
             for some, cuts, row, base in parts(data, bounds, least):
                 if len(some) < least:
                     continue
-                gram, name, lo, n, place = stretches(some, cuts, least)
-                cols = [pa.array(gram.view(np.int64))]
+                left, right, name, lo, n, place = stretches(some, cuts, least)
+                cols = [pa.array(join_names(left, right).view(np.int64))]
                 if not names_only:
                     of = np.searchsorted(cuts, lo, "right") - 1
                     at = pa.array(of + row)
-                    cols += [pa.array(name.view(np.int64)), batch.column("k").take(at), batch.column("th").take(at)]
-                    cols += [pa.array((lo - cuts[of] + base).astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(place.astype(np.int16))]
-                yield pa.RecordBatch.from_arrays(cols, ["gram", "name", "k", "th", "lo", "n", "place"][: len(cols)])
+                    cols += [pa.array(x.view(np.int64)) for x in (left, right, name)] + [batch.column("k").take(at), batch.column("th").take(at)]
+                    cols += [pa.array((lo - cuts[of] + base).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "left", "right", "name", "k", "th", "lo", "n", "place"][: len(cols)])
 
-    kinds = "gram long" if names_only else "gram long, name long, k long, th int, lo int, n short, place short"
+    kinds = "gram long" if names_only else "gram long, left long, right long, name long, k long, th int, lo int, n int, place int"
     return _keyed(docs).select("k", "th", "text").mapInArrow(run, kinds)
 
 
-def _quarters(reps: DataFrame, least: int) -> DataFrame:
-    """The parts of stretches (k, th, text, spans) by where in a window the choice lies, with their bytes."""
-    span = least - GRAM + 1
-    edges = [span * q // QUARTERS for q in range(QUARTERS + 1)]
+def _int64(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
+
+
+def _reranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (left, right, name, k, th, lo and more) sorted by rank pair, name and place, with ``later``: true for all but
+    the first of equal (left, right, name). First ones whose pair has no other name are left out, but at a task's edges."""
+    n = partitions(rows.sparkSession)
+    order = ["left", "right", "name", "k", "th", "lo"]
+
+    def run(batches):
+        before, held, held_joins = None, None, False  # the last row's ranks and name; the last first one, until the next is seen
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = _int64(batch, "left", "right", "name")
+            start = before is None
+            known = np.concatenate([key[:, :1] if start else before, key], axis=1)
+            other = (known[:2, 1:] != known[:2, :-1]).any(axis=0)
+            new = other | (known[2, 1:] != known[2, :-1])
+            if start:
+                new[0], other[0] = True, False  # what the task before ends with isn't known here
+            yield pa.RecordBatch.from_arrays([*batch.filter(pa.array(~new)).columns, pa.array(np.ones((~new).sum(), bool))], [*names, "later"])
+            at = np.flatnonzero(new)
+            if len(at):  # of equal pairs rows stand together: a first one has company if it or the next first one begins no pair
+                joins = ~other[at]
+                if held is not None and (held_joins or joins[0]):
+                    yield held
+                keep = joins | np.append(joins[1:], False)
+                keep[-1] = False
+                firsts = batch.take(pa.array(at))
+                out = firsts.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.zeros(len(out), bool))], [*names, "later"])
+                last, held_joins = firsts.slice(len(at) - 1), bool(joins[-1])
+                held = pa.RecordBatch.from_arrays([*last.columns, pa.array([False])], [*names, "later"])
+            before = key[:, -1:]
+        if held is not None:
+            yield held
+
+    names = rows.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, f"{kinds}, later boolean")
+
+
+def _halves(reps: DataFrame, least: int) -> DataFrame:
+    """The two parts of stretches (k, th, text, spans) by how far their windows reach behind the choice, with their bytes."""
+    g, h = lengths(least)
+    middle = (least - g) // 2  # bytes of a window before its choice: up to here it reaches 2 g bytes from the choice's start
 
     def run(batches):
         for batch in batches:
@@ -139,97 +206,105 @@ def _quarters(reps: DataFrame, least: int) -> DataFrame:
             for row in range(len(batch)):
                 text = data[bounds[row] : bounds[row + 1]]
                 lo, n, place = (every[c][cuts[row] : cuts[row + 1]] for c in ("lo", "n", "place"))
-                _, halves = doubled(text)
+                names = doubled(text, h)
                 at, hi, out = lo + place, lo + n - 1, []
-                for q in range(QUARTERS):
-                    near, far = edges[q], edges[q + 1] - 1  # bytes of a window before its choice
-                    a, b = np.maximum(lo, at - far), np.minimum(hi, at - near)
+                for a, b, first in ((np.maximum(lo, at - middle), hi, at), (lo, np.minimum(hi, at - middle - 1), at - g)):
                     some = a <= b
-                    a, b, mid = a[some], b[some], at[some]
-                    core = join_names(halves[mid - near], halves[mid - far + least - HALF]) + np.uint64(q)
+                    a, b, p = a[some], b[some], first[some]
                     size = b - a + least
-                    name = join_names(join_names(halves[a], halves[b + least - HALF]), size.astype(np.uint64))
-                    out.append((core, name, a, b - a + 1))
-                core, name, a, n = (np.concatenate(x) for x in zip(*out))
-                own = pa.array(np.full(len(a), row))
-                raw = text.tobytes()
+                    out.append((names[g][p], names[g][p + g], long_name(names[h], h, a, size), a, b - a + 1))
+                left, right, name, a, n = (np.concatenate(x) for x in zip(*out))
+                own, raw = pa.array(np.full(len(a), row)), text.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core.view(np.int64)), pa.array(name.view(np.int64)), *(batch.column(c).take(own) for c in ("k", "th"))]
-                    + [pa.array(a.astype(np.int32)), pa.array(n.astype(np.int16))]
+                    [*(pa.array(x.view(np.int64)) for x in (left, right, name)), *(batch.column(c).take(own) for c in ("k", "th"))]
+                    + [pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))]
                     + [pa.array([raw[x : x + m + least - 1] for x, m in zip(a.tolist(), n.tolist())], pa.binary())],
-                    ["gram", "name", "k", "th", "lo", "n", "bytes"],
+                    ["left", "right", "name", "k", "th", "lo", "n", "bytes"],
                 )
 
-    return reps.select("k", "th", "text", "spans").mapInArrow(run, "gram long, name long, k long, th int, lo int, n short, bytes binary")
+    kinds = "left long, right long, name long, k long, th int, lo int, n int, bytes binary"
+    return reps.select("k", "th", "text", "spans").mapInArrow(run, kinds)
 
 
-def _windows(quarters: DataFrame, least: int) -> DataFrame:
-    """The name of each window of the quarters (k, th, lo, n, bytes)."""
+def _windows(halves: DataFrame, least: int) -> DataFrame:
+    """left, right, k, th, lo of each window of the halves (k, th, lo, n, bytes)."""
+    _, h = lengths(least)
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
             raw, n = batch.column("bytes"), batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
-            grams, halves = doubled(np.frombuffer(b"".join(raw.to_pylist()), np.uint8))
+            names = doubled(np.frombuffer(b"".join(raw.to_pylist()), np.uint8), h)[h]
             starts = np.cumsum(n + least - 1) - (n + least - 1)
             row = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            p = starts[row] + step
-            name, check = join_names(halves[p], halves[p + least - HALF]), join_names(grams[p], grams[p + least - GRAM])
-            own = pa.array(row)
+            p, own = starts[row] + step, pa.array(row)
             lo = batch.column("lo").to_numpy(zero_copy_only=False)[row] + step
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(check.view(np.int64)), pa.array(name.view(np.int64)), *(batch.column(c).take(own) for c in ("k", "th")), pa.array(lo.astype(np.int32)), pa.array(np.ones(len(p), np.int16))],
-                ["gram", "name", "k", "th", "lo", "n"],
-            )
-
-    return quarters.select("k", "th", "lo", "n", "bytes").mapInArrow(run, "gram long, name long, k long, th int, lo int, n short")
-
+            ranks = (pa.array(names[x].view(np.int64)) for x in (p, p + least - h))
+            yield pa.RecordBatch.from_arrays([*ranks, *(batch.column(c).take(own) for c in ("k", "th")), pa.array(lo.astype(np.int32))], ["left", "right", "k", "th", "lo"])
 
-def _classes(ranked: DataFrame, *more: str) -> DataFrame:
-    """Of each different (gram, name) its first position, how many there are, and columns that all of them share."""
-    first = F.min(F.struct("k", "th", "lo")).alias("first")
-    return ranked.groupBy("gram", "name").agg(first, F.count("*").alias("c"), *(F.first(m).alias(m) for m in more))
+    return halves.select("k", "th", "lo", "n", "bytes").mapInArrow(run, "left long, right long, k long, th int, lo int")
 
 
-def _later(ranked: DataFrame, classes: DataFrame) -> DataFrame:
-    """k, th, lo, n of all but the first of each class."""
-    firsts = classes.where("c > 1").select("gram", "name", "first")
-    return ranked.join(firsts.hint("shuffle_hash"), ["gram", "name"]).where(F.struct("k", "th", "lo") != F.col("first")).select("k", "th", "lo", "n")
+def _repeated(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """k, th, lo, n (1) of all but the first of equal windows."""
+    order = ["left", "right", "k", "th", "lo"]
+    kinds = "left long, right long, k long, th int, lo int, part int, edge int"
 
-
-def _open(classes: DataFrame) -> DataFrame:
-    """The classes whose gram has several names."""
-    several = classes.groupBy("gram").count().where("count > 1").select("gram")
-    return classes.join(several.hint("shuffle_hash"), "gram")
+    def run(batches):
+        before = last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key = _int64(batch, "left", "right")
+            known = np.concatenate([key[:, :1] if before is None else before, key], axis=1)
+            same = (known[:, 1:] == known[:, :-1]).all(axis=0)
+            if before is None:
+                same[0] = False
+                yield marked(batch.slice(0, 1), 1)
+            yield marked(batch.filter(pa.array(same)), 0)
+            before, last = key[:, -1:], batch.slice(len(batch) - 1)
+        if last is not None:
+            yield marked(last, 2)
+
+    def marked(rows, edge):
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(rows), edge, np.int32))], [*order, "part", "edge"])
+
+    ranked = windows.repartitionByRange(partitions(scratch.spark), *order).sortWithinPartitions(*order)
+    found = scratch.keep(ranked.select(*order, F.spark_partition_id().alias("part")).mapInArrow(run, kinds), "repeated")
+    # a task's first row repeats if the task before ended with the same string: two rows a task
+    edges, more, end = sorted(found.where("edge > 0").collect(), key=lambda r: (r.part, r.edge)), [], None
+    for r in edges:
+        if r.edge == 2:
+            end = (r.left, r.right)
+        elif end == (r.left, r.right):
+            more.append((r.k, r.th, r.lo, 1))
+    out = found.where("edge = 0").select("k", "th", "lo", F.lit(1).alias("n"))
+    return out.union(scratch.spark.createDataFrame(more, "k long, th int, lo int, n int"))
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """k, th, spans (array of lo, n): first bytes of ``n`` windows from ``lo`` that also start earlier."""
-    if not HALF <= least <= 2 * HALF:
-        raise ValueError("least must be from 64 to 128")
+    lengths(least)
     scratch = scratch or Scratch(docs.sparkSession)
     # written first: then both sides of the join are plain shuffles, and Spark can split the task of a frequent string
-    twice = scratch.keep(_ranked_positions(docs, least, True).groupBy("gram").count().where("count > 1").select("gram"), "repeated")
-    left = scratch.keep(_ranked_positions(docs, least, False).join(twice.hint("shuffle_hash"), "gram"), "positions")
+    twice = scratch.keep(_sampled(docs, least, True).groupBy("gram").count().where("count > 1").select("gram"), "twice")
+    left = scratch.keep(_sampled(docs, least, False).join(twice.hint("shuffle_hash"), "gram").drop("gram"), "positions")
     scratch.drop(twice)
-    classes = scratch.keep(_classes(left, "n", "place"), "classes")
-    whole = scratch.keep(_later(left, classes), "whole")
+    ranked = scratch.keep(_reranked(left).drop("left", "right", "name"), "ranked")
     scratch.drop(left)
+    spans = ["k", "th", "lo", "n"]
 
-    reps = _open(classes).select("first.*", "n", "place").groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n", "place")).alias("spans"))
+    reps = ranked.where("not later").groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n", "place")).alias("spans"))
     with_text = _keyed(docs).drop("doc_id").join(reps.hint("shuffle_hash"), ["k", "th"])
-    left = scratch.keep(_quarters(with_text, least), "quarters")
-    scratch.drop(classes)
-    classes = scratch.keep(_classes(left, "n", "bytes"), "classes")
-    parts_ = scratch.keep(_later(left, classes), "parts")
+    left = scratch.keep(_halves(with_text, least), "halves")
+    second = scratch.keep(_reranked(left).select(*spans, "bytes", "later"), "ranked")
     scratch.drop(left)
 
-    windows = scratch.keep(_windows(_open(classes).select("first.*", "n", "bytes"), least), "windows")
-    scratch.drop(classes)
-    single = _later(windows, _classes(windows))
-    return whole.union(parts_).union(single).groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    single = _repeated(_windows(second.where("not later"), least), scratch)
+    every = [*(x.where("later").select(*spans) for x in (ranked, second)), single]
+    return every[0].union(every[1]).union(every[2]).groupBy("k", "th").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
 
 def _removed(spans: list | None, size: int, least: int) -> list[tuple[int, int]]:

@@ -42,6 +42,34 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("least", [8, 64, 95, 128, 190])
+def test_suffix_dedup_at_other_lengths(spark, least):
+    rng = random.Random(least)
+    words = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    passages = ["".join(rng.choice(words) for _ in range(rng.randint(5, 80))) for _ in range(8)]
+    rows = []
+    for i in range(70):
+        text = "".join(rng.choice(passages)[rng.randint(0, 30) :] if rng.random() < 0.5 else "".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6)))
+        rows.append((i, text))
+    changed = list(rows[5][1] * 3 + passages[0] * 2)
+    for at in range(40, len(changed), 97):
+        changed[at] = "#"
+    rows += [(200, rows[5][1] * 3 + passages[0] * 2), (201, "".join(changed)), (202, "y" * 700), (203, None)]
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3), least).collect()}
+    want = bytes_left(rows, least)
+    assert {k: v for k, v in got.items() if v != want[k]} == {} and len(got) == len(rows)
+
+
+def test_a_hot_string_is_found_over_many_tasks(spark):
+    """One passage in every document, between different surroundings, so that its windows fill several tasks."""
+    rng = random.Random(1)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    noise = lambda: "".join(rng.choice("ijklmnop ") for _ in range(rng.randint(20, 60)))
+    rows = [(i, noise() + passage + noise()) for i in range(200)]
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert got == bytes_left(rows, 100)
+
+
 def test_suffix_dedup_of_every_case(spark):
     rows = suffix_dedup.dedup(wide(spark, cases()), with_text=True).collect()
     assert len(rows) == len(cases())
