@@ -14,7 +14,7 @@ from leafmill.llm import bpe, packing
 from .helpers import DOCS, cases, wide
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-JSON = public_tokenizers.path("byte_bpe_50k.json")
+JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @settings(max_examples=150, deadline=None)
@@ -45,12 +45,12 @@ _MIXED = st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(_MIXED, max_size=4))
-def test_ids_are_the_untouched_tokenizers(many):
+@given(st.lists(_MIXED, max_size=4), st.sampled_from([None, RANKS]))
+def test_ids_are_the_untouched_tokenizers(many, ranks):
     exact = Tokenizer.from_file(JSON)
     old, packing.PART = packing.PART, 7  # so that texts go in parts
     try:
-        assert [x.tolist() for x in packing.token_ids(many, JSON)] == [exact.encode(t, add_special_tokens=False).ids for t in many]
+        assert [x.tolist() for x in packing.token_ids(many, JSON, ranks, public_tokenizers.PATTERN)] == [exact.encode(t, add_special_tokens=False).ids for t in many]
     finally:
         packing.PART = old
 
@@ -88,7 +88,7 @@ def test_sweep_places_all_and_is_best_fit(counts):
 def test_packed_documents(spark):
     every = [*cases(), (70, "a <|endoftext|> b<|endoftext|>"), (71, "x" * 300_000), (72, "no blank" * 9_000)]
     docs = wide(spark, every)
-    rows = packing.pack_documents(docs, JSON, 256).collect()
+    rows = packing.pack_documents(docs, JSON, RANKS, public_tokenizers.PATTERN, 256).collect()
     exact = Tokenizer.from_file(JSON)
     want = []
     for i, t in every:
