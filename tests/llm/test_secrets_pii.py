@@ -1,8 +1,10 @@
 import itertools
+import math
 import random
 import re
 import string
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -44,6 +46,81 @@ def test_base_spans_and_random_strings(spark):
     assert secrets.digest(secrets.find_secrets(spark.createDataFrame([], DOCS))).count() == 0
 
 
+def _spans(text):
+    """The base spans of a text, by kind, start and stop."""
+    out = []
+    for m in re.finditer(secrets.ASSIGN, text):
+        if len(m[2]) >= 12:
+            out.append(("assign", m.start(), m.end()))
+    return out + [(k, m.start(), m.end()) for k, p in (("access", secrets.ACCESS), ("hex", secrets.HEX)) for m in re.finditer(p, text)]
+
+
+def _twin(rows, least_ratio=15.0, least_each=0.8):
+    """op7 in plain Python: spans of each row, by the same two models."""
+    base, randoms, words = [], set(), []
+    for _, text in rows:
+        text = text or ""
+        found = _spans(text)
+        base.append(found)
+        randoms |= {v for k, a, b in found for v in [re.fullmatch(secrets.ASSIGN, text[a:b])[2] if k == "assign" else text[a:b]] if re.search("[0-9]", v)}
+        words += re.findall(secrets.WORD, re.sub(f"{secrets.ASSIGN}|{secrets.ACCESS}|{secrets.HEX}", " ", text))
+    words = [v for v, k in Counter(words).items() if k > 1]
+    signs, n = secrets.ALPHABET, len(secrets.ALPHABET)
+
+    def model(values, prior):
+        pairs = Counter((a, b) for v in values for a, b in zip(["", *v], v) if b in signs and (not a or a in signs))
+        one, before = Counter(), Counter()
+        for (a, b), k in pairs.items():
+            one[b] += k
+            before[a] += k
+        total = sum(pairs.values())
+        return lambda a, b: (pairs[a, b] + 10 * (one[b] + prior) / (total + prior * n)) / (before[a] + 10)
+
+    r, w = model(randoms, 1.0), model(words, 0.1)
+    out = []
+    for (_, text), found in zip(rows, base):
+        for m in re.finditer(secrets.TOKEN, text or ""):
+            v = m[0]
+            ratio = sum(math.log((r(a, b) + 1 / n) / 2) - math.log(w(a, b)) for a, b in zip(["", *v], v))
+            clear = all(m.end() <= a or b <= m.start() for _, a, b in found)
+            if re.search("[A-Za-z]", v) and clear and ratio >= max(least_ratio, least_each * len(v)):
+                found = [*found, ("markov", m.start(), m.end())]
+        out.append(sorted(found))
+    return out
+
+
+def _draw(rng, signs, n):
+    return "".join(rng.choice(signs) for _ in range(n))
+
+
+def test_spans_against_plain_python_and_recall(spark):
+    """Every span equals the twin's; of random strings of several alphabets and lengths nearly all are found."""
+    rng = random.Random(21)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits]
+    plain = "the internationalisation of administrative configuration, responsibilities and understanding utf8_general_value sha256sum-check another_variable_name2".split()
+    rows, hidden = [], {}
+    for i in range(500):
+        words = [rng.choice(plain) if rng.random() < 0.5 else "".join(rng.choice(["ter", "ing", "con", "al", "men", "tion", "er", "re"]) for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(5, 40))]
+        if i % 3 == 0:
+            v = _draw(rng, rng.choice(alphabets), rng.choice([16, 20, 24, 32, 40]))
+            hidden[i] = v
+            words.insert(rng.randint(0, len(words)), v)
+        if i % 5 == 0:
+            words.append(rng.choice([f"token = '{_draw(rng, '0123456789abcdef', 40)}'", f"API_KEY:{_draw(rng, string.ascii_letters, 20)}", f"AKIA{_draw(rng, string.ascii_uppercase, 16)}", _draw(rng, "0123456789abcdef", 20), "password=short"]))
+        rows.append((i, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "🙂é token=" + "x" * 30), (903, "z" * 200_000), (904, "Aa1" * 50_000)]
+    found = secrets.find_secrets(wide(spark, rows).repartition(4))
+    got = {i: [] for i, _ in rows}
+    for r in found.where("kind is not null").collect():
+        got[r.doc_id].append((r.kind, r.start, r.stop))
+    want = dict(zip([i for i, _ in rows], _twin(rows)))
+    assert {i: sorted(v) for i, v in got.items()} == want
+    caught = [any(a <= text.index(hidden[i]) and text.index(hidden[i]) + len(hidden[i]) <= b for _, a, b in want[i]) for i, text in rows if i in hidden]
+    assert sum(caught) / len(caught) >= 0.95
+    wrong = [text[a:b] for i, text in rows if i not in hidden and i < 900 for k, a, b in want[i] if k == "markov"]
+    assert wrong == []
+
+
 KEY = "a key for tests"
 
 
