@@ -2,9 +2,9 @@
 
 Words are a text's lower-cased, space-separated strings; a shingle is five neighbouring words (all of them, if fewer),
 weighted by its count times the mean inverse document frequency of its words. Document frequencies are those of each
-word, by its 64-bit hash, over all documents. Tasks receive a table of the most frequent ones: of P different words of
-documents in all, fewer than COMMON words can stand in P // COMMON + 1 documents or more. Each other word that stands in
-several documents is joined to its documents, and what is in neither stands in one. Each of
+word, by its 64-bit hash, over all documents, each counted exactly; a word in fewer than P / COMMON documents, P being the
+different words of documents in all, weighs as one in so many. So fewer than COMMON words can weigh otherwise, whatever
+the corpus, and tasks receive these; in a corpus of fewer pairs than COMMON that is all words. Each of
 ``BANDS * ROWS`` hashes draws one shingle with probability in proportion to its weight, alike in every document;
 documents that agree on all rows of a band share a bucket. Texts of equal words are one class before that.
 
@@ -41,42 +41,27 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Frequencies:
-    """Inverse document frequencies, ln(1 + total / (1 + df)), of word hashes.
-
-    Words of ``least`` documents or more are in a sorted table. ``dfs`` has the frequencies of a text's other words, in
-    the order of their hashes, as 32-bit integers; without it these words are in one document each.
-    """
+    """Inverse document frequencies, ln(1 + total / (1 + df)), of word hashes; ``least`` is the smallest df that counts."""
 
     def __init__(self, total: int, words: np.ndarray, counts: np.ndarray, least: int):
         order = np.argsort(words)
-        self.total, self.least = total, least
-        self.once = self.of(1)
-        self.words, self.common = (words[order], self.of(counts[order])) if len(words) else (np.zeros(1, np.uint64), np.full(1, self.once))
-
-    def of(self, df):
-        return np.log1p(self.total / (1 + df)).astype(np.float32)
+        of = lambda df: np.log1p(total / (1 + df)).astype(np.float32)
+        self.rare, self.words, self.common = of(np.float64(least)), words[order], of(counts[order].astype(np.float64))
 
-    def spots(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's place in the table, and whether it's there."""
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), self.rare)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return at, self.words[at] == words
-
-    def __call__(self, words: np.ndarray, dfs: bytes | None = None) -> np.ndarray:
-        at, known = self.spots(words)
-        out = np.where(known, self.common[at], self.once)
-        if dfs:
-            _, at = np.unique(words[~known], return_inverse=True)
-            out[~known] = self.of(np.frombuffer(dfs, np.int32))[at]
-        return out
+        return np.where(self.words[at] == words, self.common[at], self.rare)
 
 
-def shingles(words: np.ndarray, idf: Frequencies, dfs: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, idf: Frequencies) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of the word hashes, sorted, and their weights."""
     if not len(words):
         return words, np.zeros(0, np.float32)
     size = min(SIZE, len(words))
     n = len(words) - size + 1
-    weights = idf(words, dfs)
+    weights = idf(words)
     name, weight = words[:n].copy(), weights[:n].copy()
     for k in range(1, size):
         name = name * _STEP + words[k : n + k]
@@ -135,68 +120,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def document_frequencies(docs: DataFrame, counts: DataFrame | None = None) -> Frequencies:
+def document_frequencies(docs: DataFrame, scratch: Scratch | None = None) -> Frequencies:
     """Frequencies with the table of the most frequent words, of fewer than COMMON (all of them, in a small corpus)."""
-    counts = word_counts(docs) if counts is None else counts
+    scratch = scratch or Scratch(docs.sparkSession)
+    counts = scratch.keep(word_counts(docs), "frequencies")
     least = (counts.agg(F.sum("n")).first()[0] or 0) // COMMON + 1
     table = counts.where(F.col("n") >= least).toArrow()
+    scratch.drop(counts)
     return Frequencies(docs.count(), table["w"].to_numpy().view(np.uint64), table["n"].to_numpy(), least)
 
 
-def _rare(keyed: DataFrame, idf: Frequencies, counts: DataFrame) -> DataFrame:
-    """k, th, rare (w, n) of each document's words that aren't in the table and stand in several documents."""
-
-    def run(batches):
-        words = Words()
-        for batch in batches:
-            each = [np.unique(words.of(t.lower())) for t in texts(batch.column("text"))]
-            each = [x[~idf.spots(x)[1]] for x in each]
-            of = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
-            found = np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), batch.column("k").take(of), batch.column("th").take(of)], ["w", "k", "th"])
-
-    several = counts.where((F.col("n") > 1) & (F.col("n") < idf.least)).select("w", F.col("n").cast("int").alias("n"))
-    pairs = keyed.select("k", "th", "text").mapInArrow(run, "w long, k long, th int").join(several.hint("shuffle_hash"), "w")
-    return pairs.groupBy("k", "th").agg(F.collect_set(F.struct("w", "n")).alias("rare"))
-
-
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.hash("text").alias("th"), "text")
 
 
-def _signatures(docs: DataFrame, idf: Frequencies, n_bands: int, rows: int, counts: DataFrame | None = None) -> DataFrame:
-    """k, th, class (a name of the words), bands, draws, dfs (see Frequencies) of each document; bands and draws are null
-    without words."""
-
-    def frequencies(hashes: np.ndarray, rare: pa.Array, start: int, end: int) -> bytes:
-        words = np.unique(hashes[~idf.spots(hashes)[1]])
-        dfs = np.ones(len(words), np.int32)
-        dfs[np.searchsorted(words, rare.field("w").to_numpy()[start:end].view(np.uint64))] = rare.field("n").to_numpy()[start:end]
-        return dfs.tobytes()
+def _signatures(docs: DataFrame, idf: Frequencies, n_bands: int, rows: int) -> DataFrame:
+    """k, th, class (a name of the words), bands, draws of each document; bands and draws are null without words."""
 
     def run(batches):
         words = Words()
         for batch in batches:
-            names, keys, draws, dfs = [], [], [], []
-            rare = batch.column("rare")
-            ends = rare.offsets.to_numpy()
-            for i, text in enumerate(texts(batch.column("text"))):
+            names, keys, draws = [], [], []
+            for text in texts(batch.column("text")):
                 hashes = words.of(text.lower())
                 names.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                dfs.append(frequencies(hashes, rare.values, ends[i], ends[i + 1]) if idf.least > 2 else None)
-                key, draw = bands(*shingles(hashes, idf, dfs[-1]), n_bands, rows) if len(hashes) else (None, None)
+                key, draw = bands(*shingles(hashes, idf), n_bands, rows) if len(hashes) else (None, None)
                 keys.append(None if key is None else key.view(np.int64))
                 draws.append(None if key is None else draw.tobytes())
-            cols = [pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(draws, pa.binary()), pa.array(dfs, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), *cols], ["k", "th", "class", "bands", "draws", "dfs"])
+            cols = [pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(draws, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), *cols], ["k", "th", "class", "bands", "draws"])
 
-    keyed, none = _keyed(docs).select("k", "th", "text"), F.array().cast("array<struct<w:long,n:int>>")
-    if idf.least > 2:  # otherwise only words of one document aren't in the table
-        counts = word_counts(docs) if counts is None else counts
-        keyed = keyed.join(_rare(keyed, idf, counts).hint("shuffle_hash"), ["k", "th"], "left").withColumn("rare", F.coalesce("rare", none))
-    else:
-        keyed = keyed.withColumn("rare", none)
-    return keyed.mapInArrow(run, "k long, th int, class binary, bands array<long>, draws binary, dfs binary")
+    return _keyed(docs).select("k", "th", "text").mapInArrow(run, "k long, th int, class binary, bands array<long>, draws binary")
 
 
 class _Shingled:
@@ -205,11 +159,11 @@ class _Shingled:
     def __init__(self, idf: Frequencies, most: int = 64):
         self.idf, self.words, self.most, self.kept = idf, Words(), most, OrderedDict()
 
-    def __call__(self, name: bytes, text: str | None, dfs: bytes | None):
+    def __call__(self, name: bytes, text: str | None):
         if name in self.kept:
             self.kept.move_to_end(name)
         else:
-            self.kept[name] = shingles(self.words.of((text or "").lower()), self.idf, dfs)
+            self.kept[name] = shingles(self.words.of((text or "").lower()), self.idf)
             if len(self.kept) > self.most:
                 self.kept.popitem(last=False)
         return self.kept[name]
@@ -221,12 +175,12 @@ def _verify(edges: DataFrame, payload: DataFrame, idf: Frequencies, threshold: f
     def run(batches):
         of = _Shingled(idf)
         for batch in batches:
-            sides = (batch.column(c).to_pylist() for c in ("a", "ta", "da", "b", "tb", "db"))
-            hit = [jaccard(of(p, x, m), of(q, y, n)) >= threshold for p, x, m, q, y, n in zip(*sides)]
+            sides = (batch.column(c).to_pylist() for c in ("a", "ta", "b", "tb"))
+            hit = [jaccard(of(p, x), of(q, y)) >= threshold for p, x, q, y in zip(*sides)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    left, right = (payload.select(F.col("class").alias(c), F.col("text").alias(f"t{c}"), F.col("dfs").alias(f"d{c}")) for c in "ab")
-    return edges.join(left, "a").join(right, "b").select("a", "ta", "da", "b", "tb", "db").mapInArrow(run, "a binary, b binary")
+    left, right = (payload.select(F.col("class").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    return edges.join(left, "a").join(right, "b").select("a", "ta", "b", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def _fixed(column: pa.Array, kind) -> np.ndarray:
@@ -321,8 +275,8 @@ def _rest(
         of = _Shingled(idf, 4 * block)
         for rows, ends in _cells(batches):
             draws, part, side = _fixed(rows.column("draws"), np.uint16), _fixed(rows.column("part"), np.uint64), rows.column("side").to_numpy()
-            names, own, text, dfs = (rows.column(c) for c in ("class", "part", "text", "dfs"))
-            get = lambda r: of(names[r].as_py(), text[r].as_py(), dfs[r].as_py())
+            names, own, text = (rows.column(c) for c in ("class", "part", "text"))
+            get = lambda r: of(names[r].as_py(), text[r].as_py())
             out = []
             for lo, hi in zip([0, *ends], ends):
                 n_all, root = int((side[lo:hi] == 0).sum()), {}
@@ -340,7 +294,7 @@ def _rest(
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    joined = in_order(left.join(payload, "class")).select(*_CELL, "side", "class", "part", "draws", "text", "dfs")
+    joined = in_order(left.join(payload, "class")).select(*_CELL, "side", "class", "part", "draws", "text")
     return joined.mapInArrow(compare, "a binary, b binary").distinct()
 
 
@@ -349,10 +303,8 @@ def groups(
 ) -> DataFrame:
     """k, th (a document's id and text hash), first (the smallest k and th of its group) for each row."""
     scratch = scratch or Scratch(docs.sparkSession)
-    counts = scratch.keep(word_counts(docs), "frequencies")
-    idf = document_frequencies(docs, counts)
-    signed = scratch.keep(_signatures(docs, idf, n_bands, rows, counts), "signatures")
-    scratch.drop(counts)
+    idf = document_frequencies(docs, scratch)
+    signed = scratch.keep(_signatures(docs, idf, n_bands, rows), "signatures")
     classes = signed.groupBy("class").agg(F.min(F.struct("k", "th")).alias("rep"), F.first("bands").alias("bands"), F.first("draws").alias("draws"))
     entries = classes.where("bands is not null").select("class", "rep", "draws", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("class", "draws")).alias("first")).where("n > 1").drop("n")
@@ -362,8 +314,7 @@ def groups(
     near = buckets.where("class <> first.class").select(F.col("class").alias("a"), F.col("first.class").alias("b"), F.col("draws").alias("x"), F.col("first.draws").alias("y"))
     edges = _agreeing(near, least)
     wanted = buckets.groupBy("class").agg(F.first("rep").alias("rep")).select("class", "rep.k", "rep.th")
-    wanted = wanted.join(signed.select("k", "th", "class", "dfs"), ["k", "th", "class"]).dropDuplicates(["k", "th"])
-    payload = _keyed(docs).drop("doc_id").join(wanted.hint("shuffle_hash"), ["k", "th"]).select("class", "text", "dfs").dropDuplicates(["class"])
+    payload = _keyed(docs).drop("doc_id").join(wanted.hint("shuffle_hash"), ["k", "th"]).select("class", "text").dropDuplicates(["class"])
     payload = scratch.keep(payload, "texts")
     parts = scratch.keep(components(scratch, scratch.keep(_verify(edges, payload, idf, threshold), "links")), "parts")
     more = scratch.keep(_rest(buckets.drop("rep", "first"), parts, payload, idf, threshold, block, least, scratch), "more")

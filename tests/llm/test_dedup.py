@@ -176,9 +176,9 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: (find(i), find(i) == i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("most", [1 << 17, 40, 1])
+@pytest.mark.parametrize("most", [1 << 17, 9000, 1])
 def test_weights_are_those_of_exact_document_frequencies(spark, monkeypatch, most):
-    """More words than slots of any table: frequent ones, rare ones of several documents and ones of a single document."""
+    """Frequent words, rare ones of several documents and ones of a single document; those in too few weigh alike."""
     import numpy as np
 
     monkeypatch.setattr(minhash, "COMMON", most)
@@ -190,15 +190,14 @@ def test_weights_are_those_of_exact_document_frequencies(spark, monkeypatch, mos
     for _, text in rows:
         for w in set((text or "").lower().split()):
             df[w] = df.get(w, 0) + 1
-    words = Words()
-    docs = spark.createDataFrame(rows, DOCS)
+    docs, least = spark.createDataFrame(rows, DOCS), sum(df.values()) // most + 1
     got = {r.k: r.bands for r in minhash._signatures(docs, minhash.document_frequencies(docs), 1, 1).collect()}
     for key, text in rows:
         own = (text or "").lower().split()
         if not own:
             assert got[key] is None
             continue
-        idf = np.log1p(len(rows) / (1 + np.array([df[w] for w in own])))
+        idf = np.log1p(len(rows) / (1 + np.array([max(df[w], least) for w in own])))
         size = min(5, len(own))
         want = {}
         for p in range(len(own) - size + 1):
@@ -207,23 +206,6 @@ def test_weights_are_those_of_exact_document_frequencies(spark, monkeypatch, mos
         assert np.allclose(sorted(np.array(got[key]).view("float64")), sorted(want.values()), rtol=1e-4)
 
 
-@pytest.mark.parametrize("most", [300, 1])
-def test_near_duplicates_are_the_same_with_any_table(spark, monkeypatch, most):
-    rng = random.Random(9)
-    rows = []
-    for i in range(25):
-        base = [f"w{int(rng.random() ** 2 * 900)}" for _ in range(rng.randint(30, 120))]
-        for _ in range(rng.randint(1, 4)):
-            copy = list(base)
-            for at in rng.sample(range(len(copy)), rng.randint(0, 3)):
-                copy[at] = f"w{rng.randrange(900)}"
-            rows.append((len(rows), " ".join(copy)))
-    docs = spark.createDataFrame(rows, DOCS)
-    want = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
-    monkeypatch.setattr(minhash, "COMMON", most)
-    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == want
-
-
 def test_unlinked_members_of_a_bucket_are_compared_in_blocks(spark, monkeypatch):
     """All in one bucket: two families whose members link only among themselves, and loners."""
     zeros = __import__("numpy").zeros
