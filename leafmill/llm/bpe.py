@@ -5,7 +5,8 @@ their seam. The window grows on both sides until it ends at a place where a non-
 blank. No match of the splitting pattern can span such a place and none looks past it, so tokens outside the window
 are proven equal to those of the whole text. Decoding concatenates the halves' bytes.
 
-Null text is empty and gives no tokens; rows are independent, so repeated rows and ids give repeated results.
+Null text is empty and gives no tokens; a very long text without blanks is one window, encoded whole; rows are
+independent, so repeated rows and ids give repeated results; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations

@@ -5,10 +5,11 @@ statistics (letter case, digits, signs, lengths, repetition within the document,
 gated attention weighs the passages of a bag, and the weighted sum of encodings is scored. Only documents' labels are
 used: the attention learns which passages decide.
 
-The model is fitted on at most about ``sample`` labelled documents, chosen by a hash of their ids, with up to
-``MOST_PASSAGES`` passages each, spread evenly; scoring reads every passage. Inputs of a score are the text alone.
+The model is fitted on at most about ``sample`` labelled documents, chosen by a hash of their ids; every passage of these
+is encoded, as every passage is in scoring. Inputs of a score are the text alone.
 
-Null and empty texts are a bag of one empty passage and get a score like any other. Rows are independent; a label that
+Very long texts are read a few passages at a time, repeated rows get equal scores, an empty table gives none. Null and
+empty texts are a bag of one empty passage and get a score like any other. Rows are independent; a label that
 is null is none; of several labels of an id the larger counts. Without any label each score is 0.5.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import carried, restored, texts
 
-PASSAGE, HASHED, MOST_PASSAGES, SAMPLE, THRESHOLD = 64, 32, 64, 6000, 0.3
+PASSAGE, HASHED, SAMPLE, THRESHOLD = 64, 32, 6000, 0.3
 SIGNS = ".,!?;:|#$%&*<>{}[]()\"'-_/\\@+="
 _BASIC = 9
 WIDTH = _BASIC + len(SIGNS) + HASHED + 7
@@ -99,6 +100,7 @@ class Passages:
 
     @staticmethod
     def _runs(ids: np.ndarray, k: int) -> np.ndarray:
+        ids = ids + 1  # so that no run equals a shorter one at the text's start, whatever the numbers of words
         out = ids.copy()
         for j in range(1, min(k, len(ids))):
             out[j:] = out[j:] * 1_000_003 + ids[:-j]
@@ -155,8 +157,9 @@ class Model:
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 0.004, decay: float = 1e-4, batch: int = 64, seed: int = 8) -> Model:
         rng = np.random.default_rng(seed)
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(0), every.std(0) + 1e-3
+        n = sum(map(len, bags))
+        self.mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(0) for b in bags) / n) + 1e-3
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
         for epoch in range(epochs):
@@ -189,7 +192,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         of = Passages()
         for batch in batches:
             bags = [of(t) for t in texts(batch.column("text"))]
-            bags = [b[np.linspace(0, len(b) - 1, MOST_PASSAGES).astype(int)] if len(b) > MOST_PASSAGES else b for b in bags]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), pa.array([b.astype(np.float32).tobytes() for b in bags], pa.binary())], ["doc_id", "quality", "bag"]
             )
@@ -200,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.bag))
-    bags = [np.frombuffer(r.bag, np.float32).reshape(-1, WIDTH).astype(np.float64) for r in rows]
+    bags = [np.frombuffer(r.bag, np.float32).reshape(-1, WIDTH) for r in rows]
     return Model().fit(bags, np.array([float(r.quality > 0) for r in rows]))
 
 

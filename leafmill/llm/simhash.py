@@ -6,8 +6,9 @@ splits fingerprints into blocks, so many that within radius r at least one block
 Fingerprints stand in one table a block; a query looks up each value of a block that is so near its own, which finds
 every match. The radius is that of real near copies: see the README.
 
-Null and empty texts have the fingerprint of no votes (all zero). Rows with equal ids are ordered by their text's
-hash; null ids come last.
+No side of a join is broadcast: all grow with the documents. Null and empty texts have the fingerprint of no votes (all
+zero), very long ones are read whole. Rows with equal ids are ordered by their text's hash, null ids come last; equal
+texts have equal fingerprints; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -195,7 +196,7 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, f
     """query_id, doc_id, distance of all fingerprints within ``radius`` of each query's, itself left out."""
     q = queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("q"))
     d = prints.select("doc_id", F.col("fingerprint").alias("d"))
-    found = _near(queries, prints, radius, flips).join(q, "q").join(d, "d")
+    found = _near(queries, prints, radius, flips).join(q.hint("merge"), "q").join(d.hint("merge"), "d")
     return found.where(~F.col("query_id").eqNullSafe(F.col("doc_id"))).select("query_id", "doc_id", "distance")
 
 
@@ -205,7 +206,7 @@ def counts_within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, f
     Equal fingerprints are one row with a count, so copies are never written out as pairs.
     """
     copies = prints.groupBy(F.col("fingerprint").alias("d")).agg(F.count("*").alias("copies"))
-    return _near(queries, prints, radius, flips).join(copies, "d").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("copies").alias("n"))
+    return _near(queries, prints, radius, flips).join(copies.hint("merge"), "d").groupBy(F.col("q").alias("fingerprint")).agg(F.sum("copies").alias("n"))
 
 
 def fingerprint_report(docs: DataFrame, radius: int = RADIUS, scratch: Scratch | None = None) -> DataFrame:
@@ -216,6 +217,6 @@ def fingerprint_report(docs: DataFrame, radius: int = RADIUS, scratch: Scratch |
     prints = likeness_.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
     asked = F.col("doc_id") % 100 == 0
     counts = counts_within(prints.where(asked), prints, radius).select(F.lower(F.hex("fingerprint")).alias("fingerprint"), "n")
-    queries = likeness_.where(asked).join(counts, "fingerprint").withColumn("n_within", F.col("n") - 1)
+    queries = likeness_.where(asked).join(counts.hint("merge"), "fingerprint").withColumn("n_within", F.col("n") - 1)
     rest = likeness_.where(~F.coalesce(asked, F.lit(False))).withColumn("n_within", F.lit(None).cast("long"))
     return queries.select(*likeness_.columns, "n_within").union(rest)

@@ -37,6 +37,40 @@ def test_classifier_holds_out_and_learns(spark):
     assert all(abs(r.score - got[r.doc_id].score) < 1e-9 for r in again)
 
 
+def test_scores_against_a_plain_forward_pass(spark):
+    """The registered score, number by number, from passages made one at a time."""
+    rows, labels = _corpus(60)
+    rows += [(500, None), (501, ""), (502, "word " * 70_000), (503, "x" * 100_000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = quality.train(docs, spark.createDataFrame(labels, LABELS))
+    got = {r.doc_id: r.score for r in quality.score(docs.repartition(3), model).collect()}
+    p, sigmoid = model.p, lambda v: 1 / (1 + np.exp(-v))
+    for i, text in rows:
+        encoded, weight = [], []
+        for x in quality.Passages()(text or ""):
+            h = np.tanh(np.clip((x.astype(float) - model.mean) / model.scale, -8, 8) @ p["W"] + p["b"])
+            encoded.append(h)
+            weight.append(np.exp((np.tanh(h @ p["V"]) * sigmoid(h @ p["U"])) @ p["w"])[0])
+        z = sum(w * h for w, h in zip(weight, encoded)) / sum(weight)
+        assert got[i] == pytest.approx(sigmoid(z @ p["c"] + p["d"])[0], abs=1e-6)
+
+
+def test_every_passage_of_a_labelled_text_is_learned(spark):
+    """What marks a bad text stands in one passage of many, at a place that even steps would miss."""
+    rng = random.Random(3)
+    plain = "the of and river stone quiet morning walked toward garden house letter winter".split()
+    rows, labels = [], []
+    for i in range(150):
+        words = [rng.choice(plain) for _ in range(64 * 90)]
+        if i % 3 == 0:
+            at = 64 * rng.randrange(90)
+            words[at : at + 64] = ["$$$!!!"] * 64
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 != 0), 0))
+    out = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    assert np.mean([out[i].predicted == q for i, q, _ in labels]) >= 0.9
+
+
 def test_gradient_is_right():
     rng = np.random.default_rng(0)
     model = quality.Model(5, 4, 3)
