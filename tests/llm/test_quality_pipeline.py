@@ -55,20 +55,13 @@ def test_scores_against_a_plain_forward_pass(spark):
         assert got[i] == pytest.approx(sigmoid(z @ p["c"] + p["d"])[0], abs=1e-6)
 
 
-def test_every_passage_of_a_labelled_text_is_learned(spark):
-    """What marks a bad text stands in one passage of many, at a place that even steps would miss."""
-    rng = random.Random(3)
-    plain = "the of and river stone quiet morning walked toward garden house letter winter".split()
-    rows, labels = [], []
-    for i in range(150):
-        words = [rng.choice(plain) for _ in range(64 * 90)]
-        if i % 3 == 0:
-            at = 64 * rng.randrange(90)
-            words[at : at + 64] = ["$$$!!!"] * 64
-        rows.append((i, " ".join(words)))
-        labels.append((i, int(i % 3 != 0), 0))
-    out = {r.doc_id: r for r in quality.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
-    assert np.mean([out[i].predicted == q for i, q, _ in labels]) >= 0.9
+def test_every_passage_of_a_labelled_text_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y: seen.extend(map(len, bags)) or self)
+    docs = spark.createDataFrame([(i, "word " * (64 * n)) for i, n in ((1, 3), (2, 90), (3, 400))], DOCS)
+    quality.train(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], LABELS))
+    of = {i: n for i, n in ((1, 3), (2, 90), (3, 400)) if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(seen) == sorted(of.values()) and max(seen) > 64
 
 
 def test_gradient_is_right():
