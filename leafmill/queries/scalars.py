@@ -252,21 +252,3 @@ def w30(spark, sf):
     """Where a page of scanned words leaves room for a picture: every third line of the odd pages is taken out."""
     words = ocr_words(tokens(table(spark, sf, "documents"))).where("page_index % 2 = 0 or y0 % 600 >= 240")
     return pictures.blank_regions(words, 1100, 1200)
-
-
-@query("i01_edit_pictures")
-def i01(spark, sf):
-    """Each vector as an 8 by 8 grey picture, cropped, turned and set to black and white by its label."""
-    level = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v * 256 + 128))).cast("int"))
-    hexed = F.transform(level, lambda v: F.concat(F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3)), F.lit("FF")))
-    op = lambda name, params: F.struct(F.lit(name).alias("op"), F.create_map(*params).cast("map<string,string>").alias("params"))
-    ops = F.array(
-        op("crop", [F.lit("x"), (F.col("vec_id") % 4).cast("string"), F.lit("width"), F.lit("4")]),
-        op("rotate", [F.lit("degrees"), (F.col("vec_id") % 4 * 90).cast("string")]),
-        op("threshold", [F.lit("level"), (100 + F.col("label") * 10).cast("string")]),
-    )
-    rows = table(spark, sf, "embeddings").where("size(embedding) = 64").select(
-        F.col("vec_id").alias("picture_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(hexed, "")).alias("pixels"), ops.alias("ops")
-    )
-    edited = pictures.edit(rows)
-    return edited.select("picture_id", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"), "expected_width", "expected_height")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import quality
-from .queries import books, profiles, records, scalars, stored, words
+from .queries import books, profiles, rasters, records, scalars, stored, words
 
-FAMILIES = (words, books, scalars, records, stored, profiles)
+FAMILIES = (words, books, scalars, records, stored, profiles, rasters)
 
 
 def queries() -> dict:
