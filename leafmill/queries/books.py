@@ -478,7 +478,11 @@ def t14(spark, sf):
     return rows.select("doc_id", "bi", markup.anchor_end(F.col("text"), first).alias("at"))
 
 
-@query("t15_claims")
+@query("t15_claims", r"""
+with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) sentence from documents),
+w as (select doc_id, unnest(l) w, unnest(range(0, len(l))) k from (select doc_id, regexp_extract_all(sentence, '\d[\d,.]*\d|\d|\p{L}[\p{L}\p{N}_''’-]*') l from s)),
+c as (select distinct doc_id, w claim from w where regexp_matches(w, '^\d') or (k > 0 and regexp_matches(w, '^\p{Lu}') and length(w) >= 2))
+select c.doc_id, claim, coalesce(not contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(claim)), true) outside from c left join documents d on d.doc_id = c.doc_id + 1""")
 def t15(spark, sf):
     """Numbers and names that each document states, and whether the book's next document has them too."""
     docs = table(spark, sf, "documents")
@@ -487,7 +491,13 @@ def t15(spark, sf):
     return rows.join(after, "doc_id", "left").select("doc_id", "claim", F.coalesce(~F.contains("t", F.lower("claim")), F.lit(True)).alias("outside"))
 
 
-@query("p33_shelf_names")
+_SLUG = r"rtrim(ltrim(regexp_replace(lower(trim(url)), '[^\p{L}\p{N}]+', '-', 'g'), '-'), '-')[1:48]"
+
+
+@query("p33_shelf_names", r"""
+with h as (select page_id, url, list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(url, ''), lambda c: ascii(c)::bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) h from pages),
+b as (select *, list_reduce(list_transform(range(6, -1, -1), lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // (36 ** k)::bigint) % 36 + 1)::int, 1)), lambda a, c: a || c) digits from h)
+select page_id, SLUG || '-' || case when h = 0 then '0' else ltrim(digits, '0') end as name from b""".replace("SLUG", _SLUG))
 def p33(spark, sf):
     """A short hash of each page's address, for its place on the shelf."""
     return table(spark, sf, "pages").select("page_id", F.concat_ws("-", T.slug(F.col("url")), markup.short_hash(F.col("url"))).alias("name"))

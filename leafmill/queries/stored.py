@@ -140,7 +140,20 @@ def m32(spark, sf):
     return grouped.withColumn("ref", ref).select("doc_id", F.regexp_extract("ref", r"^words:(\d+):", 1).cast("long").alias("page_index"), "ref", F.size(ids).alias("n"))
 
 
-@query("t13_term_corrections")
+def _corrected(wrong: str, right: str, of: str) -> str:
+    """Whole words put right, each behind a mark; twice, as neighbours share the sign between them."""
+    for _ in range(2):
+        of = rf"regexp_replace({of}, '(^|[^\p{{L}}\p{{N}}_-]){wrong}($|[^\p{{L}}\p{{N}}_-])', '\1' || chr(1) || '{right}\2', 'g')"
+    return of
+
+
+_CORRECTED = "coalesce(text, '')"
+for _wrong, _right in (("thand", "than"), ("Thand", "Than"), ("die", "dye"), ("Die", "Dye")):
+    _CORRECTED = _corrected(_wrong, _right, _CORRECTED)
+
+
+@query("t13_term_corrections", f"""
+select doc_id, sha256(replace(t, chr(1), '')) text_sha256, (length(t) - length(replace(t, chr(1), '')))::int replaced from (select doc_id, {_CORRECTED} t from documents)""")
 def t13(spark, sf):
     """Two misreadings put right in every document, whole words only, with the number of changes."""
     return table(spark, sf, "documents").select("doc_id", markup.corrected(F.col("text")).alias("c")).select("doc_id", F.sha2("c.text", 256).alias("text_sha256"), "c.replaced")

@@ -139,7 +139,9 @@ def a01(spark, sf):
 
 
 @query("t11_spelling_neighbours", sql("tok ocr", _ENTRIES + """
-select x.key a, y.key b from entries x join entries y on x.key[1] = y.key[1] and abs(length(x.key) - length(y.key)) <= 1 and x.key < y.key
+select distinct x.key a, y.key b from (select key, key d from entries union all select key, key[:i - 1] || key[i + 1:] d from (select key, unnest(range(1, length(key) + 1)) i from entries)) x
+  join (select key, key d from entries union all select key, key[:i - 1] || key[i + 1:] d from (select key, unnest(range(1, length(key) + 1)) i from entries)) y on x.d = y.d and x.key < y.key
+where x.key[1] = y.key[1] and abs(length(x.key) - length(y.key)) <= 1
   and levenshtein(translate(x.key, 'äöüßéèêàâçùûôîïëñíóúáœæ', 'ABCDEFGHIJKLMNOPQRSTUVW'), translate(y.key, 'äöüßéèêàâçùûôîïëñíóúáœæ', 'ABCDEFGHIJKLMNOPQRSTUVW')) <= 1"""))
 def t11(spark, sf):
     return lexicon.neighbours(lexicon.entries(_ocr_terms(spark, sf), _common(spark, sf)))
