@@ -157,3 +157,14 @@ def facts_in(raw: Column) -> Column:
         F.when(tag(f["category"]) == "", "general").otherwise(tag(f["category"])).alias("category"), F.coalesce(f["blockId"], F.lit("")).alias("block_id"), plain(f["quote"]).alias("quote"),
     )
     return F.struct(F.transform(good, read).alias("facts"), (F.size(given) - F.size(good)).alias("discarded"))
+
+
+def about_book(raw: Column) -> Column:
+    """What a shelf says of a book: null without a key; blanks filled in."""
+    at = lambda p: F.get_json_object(raw, p)
+    key = F.coalesce(at("$.key"), F.lit(""))
+    found = F.struct(
+        key.alias("key"), F.coalesce(at("$.fileName"), F.lit("a book")).alias("file_name"), F.coalesce(at("$.pageCount").try_cast("long"), F.lit(0).cast("long")).alias("pages"),
+        (F.coalesce(at("$.complete"), F.lit("true")) != "false").alias("complete"),
+    )
+    return F.when(key != "", found)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import notices as N
 from ..functions import text as T
+from ..operators import annotations
 from ..plans.views import blocks, sql, table
+from ..sources import hocr
 
 QUERIES, ORACLE = {}, {}
 
@@ -232,3 +234,74 @@ def w38(spark, sf):
     read = sent.select("conv_id", N.facts_in(F.to_json(F.struct("facts"))).alias("r"))
     said = F.array_join(F.transform("r.facts", lambda f: F.concat_ws("/", f["title"], f["body"], f["footing"], f["category"])), "~")
     return read.select("conv_id", F.size("r.facts").cast("long").alias("n"), "r.discarded", F.when(F.size("r.facts") > 0, said).alias("facts"))
+
+
+@query("s02_decode_entities", "select doc_id, sha256(coalesce(text, '') || ' &#fa; &bogus; &#1114112; &#xD800;A') text_sha256 from documents")
+def s02(spark, sf):
+    """Every document with its marks and letters beyond ASCII written as entities of all kinds, and read again."""
+    def entity(c):
+        code = F.ascii(c)
+        numbered = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))).otherwise(F.concat(F.lit("&#x"), F.lower(F.hex(code)), F.lit(";")))
+        return F.when(c == "&", "&amp;").when(c == "<", "&lt;").when(c == '"', "&quot;").when(c == "'", "&apos;").when(code > 127, numbered).otherwise(c)
+
+    text = F.coalesce("text", F.lit(""))
+    written = F.concat(F.array_join(F.transform(F.split(text, ""), entity), ""), F.lit(" &#fa; &bogus; &#1114112; &#xD800;&#65;"))
+    return table(spark, sf, "documents").select("doc_id", written.alias("t")).select("doc_id", F.sha2(hocr.decoded(F.col("t")), 256).alias("text_sha256"))
+
+
+@query("m26_about_books", """
+select page_id, case when page_id % 5 <> 0 then 'k' || page_id end "key", case when page_id % 5 = 0 then null when page_id % 3 = 0 then url else 'a book' end file_name, case when page_id % 5 = 0 then null when page_id % 2 = 0 then page_id else 0 end pages,
+  case when page_id % 5 <> 0 then page_id % 7 <> 0 end complete from pages""")
+def m26(spark, sf):
+    k = F.col("page_id")
+    raw = F.to_json(F.struct(
+        F.when(k % 5 != 0, F.concat(F.lit("k"), k.cast("string"))).alias("key"), F.when(k % 3 == 0, F.col("url")).alias("fileName"),
+        F.when(k % 2 == 0, k).alias("pageCount"), F.when(k % 7 == 0, F.lit(False)).alias("complete"),
+    ))
+    return table(spark, sf, "pages").select("page_id", N.about_book(F.when(k % 10 == 5, "not JSON").otherwise(raw)).alias("a")).select("page_id", "a.*")
+
+
+_CLAIMS = r"""
+, mine as (select doc_id, bi, text, 'd' || doc_id || 'b' || bi block_id from blocks),
+n as (select b.doc_id, b.bi, b.text block, o.text note from mine b join mine o on o.doc_id = b.doc_id + 1 and o.bi = b.bi),
+s as (select doc_id, bi, unnest(string_split(regexp_replace(note, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) sentence from n),
+w as (select doc_id, bi, unnest(l) w, unnest(range(0, len(l))) k from (select doc_id, bi, regexp_extract_all(sentence, '\d[\d,.]*\d|\d|\p{L}[\p{L}\p{N}_''’-]*') l from s)),
+c as (select distinct doc_id, bi, w claim from w where regexp_matches(w, '^\d') or (k > 0 and regexp_matches(w, '^\p{Lu}') and length(w) >= 2)),
+o as (select c.doc_id, c.bi, count(*) outside from c join documents d on d.doc_id = c.doc_id where not contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(claim)) group by all),
+checked as (select n.doc_id, n.bi, n.note, case when n.bi % 5 > 0 then nullif(length(regexp_extract(block, '^\s*(\S+\s+){0,2}\S+')), 0) end::int "at", coalesce(outside, 0)::int n_outside from n left join o on o.doc_id = n.doc_id and o.bi = n.bi)
+"""
+
+
+def _checked(spark, sf):
+    """Of each block the same block of the next document as a note on it, anchored at its first words, or at none."""
+    docs = table(spark, sf, "documents")
+    b = blocks(docs).withColumn("block_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("b"), F.col("bi").cast("string")))
+    first = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 3), " ")
+    anchors = b.select("doc_id", "bi", "block_id", F.when(F.col("bi") % 5 == 0, "zz qq").otherwise(first).alias("anchor"))
+    notes = b.select((F.col("doc_id") - 1).alias("doc_id"), "bi", "text")
+    proposals = anchors.join(notes, ["doc_id", "bi"]).withColumn("book", F.col("doc_id"))
+    return annotations.check_proposals(proposals, b, docs.select(F.col("doc_id").alias("book"), "text"))
+
+
+@query("j03_checked_proposals", sql("blocks", _CLAIMS + 'select doc_id, bi, "at", n_outside from checked'))
+def j03(spark, sf):
+    return _checked(spark, sf).select("doc_id", "bi", "at", F.size("outside").alias("n_outside"))
+
+
+@query("w32_note_edits", sql("blocks", _CLAIMS + """
+select 'd' || doc_id || 'b' || bi block_id, "at", trim(note) as text, "at" is null unplaced from checked where bi % 4 > 0 and trim(note) <> ''"""))
+def w32(spark, sf):
+    given = _checked(spark, sf).withColumn("text", F.when(F.col("bi") % 4 == 0, F.lit("  ")).otherwise(F.col("text")))
+    return annotations.note_edits(given)
+
+
+@query("p51_facts_of_notes", sql("blocks", r"""
+, n as (select doc_id, bi, text, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) words from blocks)
+select text[1:15] title, text body, 'context' footing, case bi % 3 when 0 then 'general' when 1 then 'term of art' else 'person' end category, case when bi % 7 = 0 then 'gone' else 'd' || doc_id || 'b' || bi end block_id,
+  case when bi % 7 <> 0 then doc_id % 50 end source_page, bi % 7 <> 0 quote_verified from n where words >= 12"""))
+def p51(spark, sf):
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("b"), F.col("bi").cast("string"))
+    b, turn = blocks(table(spark, sf, "documents")), F.col("bi") % 3
+    kind = F.when(turn == 0, " ").when(turn == 1, " Term_of_Art").otherwise("person")
+    notes = b.select(F.when(F.col("bi") % 7 == 0, "gone").otherwise(name).alias("block_id"), F.substring("text", 1, 15).alias("anchor"), "text", kind.alias("kind"))
+    return annotations.facts_of_notes(notes, b.select(name.alias("block_id"), (F.col("doc_id") % 50).alias("source_page")))

@@ -9,6 +9,7 @@ from ..functions.text import rest
 
 PAGE = r"(?s)<div[^>]*class=.ocr_page.[^>]*>"
 WORD = r"(?s)<span([^>]*class=.ocrx_word.[^>]*)>(.*?)</span>"
+ENTITY = "&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);"
 _NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " "}
 
 
@@ -26,13 +27,30 @@ def confidence(title: Column) -> Column:
     return F.coalesce(F.regexp_extract(title, CONFIDENCE, 1).try_cast("double"), F.lit(0.0))
 
 
+def _entity(e: Column) -> Column:
+    """The sign of one entity; what is no sign stays."""
+    decimal = F.regexp_extract(e, "^&#([0-9]+)", 1).try_cast("long")
+    hexed = F.regexp_extract(e, "^&#x([0-9a-fA-F]{1,15});", 1)
+    code = F.when(e.startswith("&#x"), F.when(hexed != "", F.conv(hexed, 16, 10).try_cast("long"))).otherwise(decimal)
+    whole = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    sign = F.when(whole, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.when(e == "&amp;", "&")
+    for name, other in _NAMED.items():
+        named = named.when(e == name, other)
+    return F.coalesce(F.when(e.startswith("&#"), sign).otherwise(named), e)
+
+
+def decoded(text: Column) -> Column:
+    """Named and numbered entities decoded once."""
+    signs = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _entity)
+    gaps = F.split(text, ENTITY, -1)
+    whole = F.array_join(F.zip_with(gaps, F.array_append(signs, F.lit("")), lambda gap, sign: F.concat(gap, sign)), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def plain_text(inner: Column) -> Column:
-    """Without tags, named entities decoded once (the ampersand last), white space collapsed."""
-    out = F.regexp_replace(inner, "<[^>]*>", "")
-    for name, sign in _NAMED.items():
-        out = F.replace(out, F.lit(name), F.lit(sign))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(out, "[\\s ]+", " "))
+    """Without tags, entities decoded, white space collapsed."""
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(inner, "<[^>]*>", "")), "[\\s\u00a0]+", " "))
 
 
 def _title(tag: Column) -> Column:
