@@ -139,3 +139,17 @@ def test_streams(spark, tmp_path):
         follow = spark.readStream.text(lines).withColumnRenamed("value", "line")
         watch.collect_results(follow, table, place).awaitTermination(120)
     assert sorted(r.page for r in spark.read.parquet(table).collect()) == [1, 2]
+
+
+def test_readings_numbered_apart_are_aligned_over_their_whole_length(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(3000)}" for _ in range(9000)]
+    tok = lambda key, ws: [(key, k + 1, w) for k, w in enumerate(ws)]
+    kinds = "doc_id long, pos long, token string"
+    first = spark.createDataFrame(tok(1, words) + tok(2, ["a", "b", "c"]) + tok(3, ["same"] * 50) + tok(4, words[:40]), kinds)
+    second = spark.createDataFrame(tok(1, words[300:5000] + words[5006:]) + tok(2, ["A,", "b", "c"]) + tok(3, ["same"] * 44) + tok(4, ["x"]), kinds)
+    got = {}
+    for r in edits.compare_readings(first, second).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.n, r.strength))
+    assert sorted(got[1]) == [(1, 300, "strong"), (5001, 6, "strong")]
+    assert 2 not in got and sum(n for _, n, _ in got[3]) == 6 and got[4] == [(1, 40, "strong")]
