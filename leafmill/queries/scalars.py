@@ -24,8 +24,10 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-_PRICE_IN = "case tier when 'middle' then 3.0 when 'low' then 1.0 else 5.0 end::double"
-_PRICE_OUT = "case tier when 'middle' then 15.0 when 'low' then 5.0 else 25.0 end::double"
+#: The queries' own price list: a parameter of the estimates.
+_PRICES = [("large", 4.0, 20.0), ("medium", 2.0, 9.0), ("small", 0.5, 2.0)]
+_PRICE_IN = "case tier when 'medium' then 2.0 when 'small' then 0.5 else 4.0 end::double"
+_PRICE_OUT = "case tier when 'medium' then 9.0 when 'small' then 2.0 else 20.0 end::double"
 
 
 def _estimate_sql(rate: str, low: float, high: float) -> str:
@@ -34,11 +36,11 @@ def _estimate_sql(rate: str, low: float, high: float) -> str:
 select id, ti::bigint input_tokens, tout::bigint output_tokens, floor(usd0 * 100 + 0.5) / 100 usd, floor(usd0 * {low}::double * 100 + 0.5) / 100 usd_low, floor(usd0 * {high}::double * 100 + 0.5) / 100 usd_high from u"""
 
 
-_TIERS = ["high", "middle", "low", "other"]
+_TIERS = ["large", "medium", "small", "other"]
 
 
 def _tier(id_):
-    return F.element_at(F.array(*map(F.lit, _TIERS)), (id_ % 4 + 1).cast("int"))
+    return C.price(F.element_at(F.array(*map(F.lit, _TIERS)), (id_ % 4 + 1).cast("int")), _PRICES)
 
 
 def _spread(df, estimate):
@@ -46,7 +48,7 @@ def _spread(df, estimate):
 
 
 @query("p24_reading_cost", """
-with i as (select o_orderkey id, o_orderkey % 700 n, ['high', 'middle', 'low', 'other'][o_orderkey % 4 + 1] tier, o_orderkey % 3 = 0 batch, 600 + o_orderkey % 2400 edge from orders),
+with i as (select o_orderkey id, o_orderkey % 700 n, ['large', 'medium', 'small', 'other'][o_orderkey % 4 + 1] tier, o_orderkey % 3 = 0 batch, 600 + o_orderkey % 2400 edge from orders),
 t as (select *, floor(n * (least(4784, greatest(200, floor(750 * (edge / 1000::double) ** 2 + 0.5))) + 700) + (900 + 900 * 0.1::double * greatest(0, n - 1)) + 0.5)::double ti, (n * 1400)::double tout from i)
 """ + _estimate_sql("(case when batch then 0.5 else 1 end)::double", 0.65, 1.45))
 def p24(spark, sf):
@@ -56,7 +58,7 @@ def p24(spark, sf):
 
 
 @query("p25_second_look_cost", """
-with i as (select o_orderkey id, o_orderkey % 90 n, ['high', 'middle', 'low', 'other'][o_orderkey % 4 + 1] tier, 1568 edge from orders),
+with i as (select o_orderkey id, o_orderkey % 90 n, ['large', 'medium', 'small', 'other'][o_orderkey % 4 + 1] tier, 1568 edge from orders),
 t as (select *, floor(n * (least(4784, greatest(200, floor(750 * (edge / 1000::double) ** 2 + 0.5))) + 500) + (350 + 350 * 0.1::double * greatest(0, n - 1)) + 0.5)::double ti, (n * 400)::double tout from i)
 """ + _estimate_sql("1::double", 0.6, 1.6))
 def p25(spark, sf):
@@ -65,7 +67,7 @@ def p25(spark, sf):
 
 
 @query("p26_notes_cost", """
-with i as (select doc_id id, n_chars w, ['high', 'middle', 'low', 'other'][doc_id % 4 + 1] tier from documents), c as (select *, greatest(1, ceil(w / 1200)) n from i),
+with i as (select doc_id id, n_chars w, ['large', 'medium', 'small', 'other'][doc_id % 4 + 1] tier from documents), c as (select *, greatest(1, ceil(w / 1200)) n from i),
 t as (select *, floor((w + 200 * (n - 1)) * 1.4::double + (1200 + 1200 * 0.1::double * greatest(0, n - 1)) + 0.5)::double ti, floor(w / 1000 * 4 * 90 + 0.5)::double tout from c)
 """ + _estimate_sql("1::double", 0.5, 1.8))
 def p26(spark, sf):
@@ -74,7 +76,7 @@ def p26(spark, sf):
 
 
 @query("p27_facts_cost", """
-with i as (select doc_id id, n_chars w, ['high', 'middle', 'low', 'other'][doc_id % 4 + 1] tier, doc_id % 2 = 0 alone from documents), c as (select *, greatest(1, ceil(w / 1200)) n from i),
+with i as (select doc_id id, n_chars w, ['large', 'medium', 'small', 'other'][doc_id % 4 + 1] tier, doc_id % 2 = 0 alone from documents), c as (select *, greatest(1, ceil(w / 1200)) n from i),
 t as (select *, floor(case when alone then (w + 200 * (n - 1)) * 1.4::double else 0 end + (1400 + 1400 * 0.1::double * greatest(0, n - 1)) + 0.5)::double ti, floor(w / 1000 * 3 * 260 + 0.5)::double tout from c)
 """ + _estimate_sql("1::double", 0.5, 1.8))
 def p27(spark, sf):
