@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notices as N
 from ..functions import text as T
-from ..operators import annotations
+from ..operators import additions, annotations
 from ..plans.views import blocks, sql, table
 from ..sources import hocr
 
@@ -305,3 +305,61 @@ def p51(spark, sf):
     kind = F.when(turn == 0, " ").when(turn == 1, " Term_of_Art").otherwise("person")
     notes = b.select(F.when(F.col("bi") % 7 == 0, "gone").otherwise(name).alias("block_id"), F.substring("text", 1, 15).alias("anchor"), "text", kind.alias("kind"))
     return annotations.facts_of_notes(notes, b.select(name.alias("block_id"), (F.col("doc_id") % 50).alias("source_page")))
+
+
+#: An edit of each kind for every block: targets repeat within a document, so that later edits replace earlier ones.
+_ADDED = """
+, there as (select doc_id, 'b' || bi block_id from blocks where bi % 5 <> 4),
+e as (select doc_id, bi, text, bi % 3 turn, case when bi % 7 = 3 then null else 'b' || bi end at_block, bi % 50 x, bi % 20 y, bi % 4 q4 from blocks),
+l as (select * from (select *, row_number() over (partition by doc_id, turn order by bi desc) r from e) where r = 1)
+"""
+_SIZE = """case when q4 % 2 = 1 then {h} else {w} end::int width, case when q4 % 2 = 1 then {w} else {h} end::int height""".format(w="least(120, 400 - x)", h="300 - y")
+
+
+def _edit_log(spark, sf):
+    """(edits, the blocks that are left, all blocks)"""
+    b = blocks(table(spark, sf, "documents")).withColumn("block_id", F.concat(F.lit("b"), F.col("bi").cast("string")))
+    bi = F.col("bi").cast("int")
+    whole = "struct<op:string,x:int,y:int,width:int,height:int,degrees:int>"
+    op = lambda name, x, y, width, degrees: F.struct(F.lit(name).alias("op"), x.alias("x"), y.alias("y"), width.alias("width"), F.lit(None).cast("int").alias("height"), degrees.alias("degrees")).cast(whole)
+    nil = F.lit(None).cast("int")
+    ops = F.array(op("crop", bi % 50, bi % 20, F.lit(120), nil), op("rotate", nil, nil, nil, bi % 4 * 90), op("levels", nil, nil, nil, nil))
+    place = F.when(F.col("bi") % 7 != 3, F.col("block_id"))
+    kinds = F.explode(F.array(*map(F.lit, ("note", "image", "anchor", "retouch", "section"))))
+    log = b.select(
+        "doc_id", kinds.alias("kind"), F.col("bi").alias("seq"), F.concat(F.lit("t"), (F.col("bi") % 3).cast("string")).alias("target"), place.alias("block_id"), (F.col("bi") % 9).alias("at"),
+        F.concat(F.lit("  "), F.col("text"), F.lit("\n \n"), F.col("text")).alias("value"), F.when(F.col("bi") % 2 == 0, " ").otherwise(F.col("kind")).alias("title"), F.lit(400).alias("width"), F.lit(300).alias("height"), ops.alias("ops"),
+    )
+    return log, b.where("bi % 5 <> 4").select("doc_id", "block_id"), b
+
+
+@query("w13_added_notes", sql("blocks", _ADDED + """
+select doc_id, 't' || turn note_id, at_block block_id, bi % 9 "at", length(text) * 2 + 3 n from l semi join there t on t.doc_id = l.doc_id and t.block_id = l.at_block"""))
+def w13_notes(spark, sf):
+    log, left, _ = _edit_log(spark, sf)
+    return additions.notes(log, left).select("doc_id", "note_id", "block_id", "at", F.length("text").alias("n"))
+
+
+@query("w13_supplied_pictures", sql("blocks", _ADDED + f"""
+select l.doc_id, 't' || turn picture_id, at_block block_id, {_SIZE} from l left join there t on t.doc_id = l.doc_id and t.block_id = l.at_block where at_block is null or t.block_id is not null"""))
+def w13_supplied(spark, sf):
+    log, left, _ = _edit_log(spark, sf)
+    return additions.supplied_pictures(log, left)
+
+
+@query("w13_anchored_pictures", sql("blocks", _ADDED + f"""
+, o as (select doc_id, bi from blocks where bi < 5)
+select o.doc_id, 't' || o.bi picture_id, case when l.turn is not null and (l.at_block is null or t.block_id is not null) then l.at_block else 'b' || o.bi end block_id,
+  case when l.turn is null then 400 when q4 % 2 = 1 then 300 - y else least(120, 400 - x) end::int width, case when l.turn is null then 300 when q4 % 2 = 1 then least(120, 400 - x) else 300 - y end::int height
+from o left join l on l.doc_id = o.doc_id and l.turn = o.bi left join there t on t.doc_id = l.doc_id and t.block_id = l.at_block"""))
+def w13_anchored(spark, sf):
+    log, left, b = _edit_log(spark, sf)
+    own = b.where("bi < 5").select("doc_id", F.concat(F.lit("t"), F.col("bi").cast("string")).alias("picture_id"), "block_id", F.lit(400).alias("width"), F.lit(300).alias("height"))
+    return additions.own_pictures(own, log, left)
+
+
+@query("w13_added_sections", sql("blocks", _ADDED + """
+, k as (select l.*, b.kind from l join blocks b using (doc_id, bi))
+select doc_id, 't' || turn section_id, case when bi % 2 = 0 then 'Introduction' else kind end title, n, text from k, (values (0), (1)) v(n)"""))
+def w13_sections(spark, sf):
+    return additions.sections(_edit_log(spark, sf)[0])
