@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,22 +79,28 @@ def furniture_findings(pages: DataFrame) -> DataFrame:
 def greedy(rows: DataFrame, size: str, limit: int, count: int | None = None, key: str = "doc_id", order: str = "bi") -> DataFrame:
     """``rows`` with ``chunk``: filled in order until the next row would pass ``limit`` (or ``count`` rows).
 
-    A row larger than the limit stays whole; rows of no size never open a chunk. A fold, so a group goes to one
-    function; a group is one document's rows.
+    A row larger than the limit stays whole; rows of no size never open a chunk. A fold over one document's rows that
+    only notes where chunks begin.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        chunk, filled, n, out = 0, 0, 0, []
-        for s in group[size]:
-            if (filled > 0 and filled + s > limit) or (count is not None and n + 1 > count):
-                chunk, filled, n = chunk + 1, 0, 0
-            filled, n = filled + s, n + 1
-            out.append(chunk)
-        return group.assign(chunk=out)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy(key).applyInPandas(lambda group: fold(group), f"{fields}, chunk long")
+    rest = [c for c in rows.columns if c not in (key, order)]
+    one = F.struct(F.col(order).alias("o"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)))
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    start = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+
+    def step(s, r):
+        more = r[f"c{rest.index(size)}"].cast("long")
+        new = (s["filled"] > 0) & (s["filled"] + more > limit)
+        new = new | (s["n"] + 1 > count) if count is not None else new
+        return F.struct(
+            F.when(new, more).otherwise(s["filled"] + more).alias("filled"), F.when(new, 1).otherwise(s["n"] + 1).alias("n"), (s["at"] + 1).alias("at"),
+            F.when(new, F.array_append(s["begins"], s["at"])).otherwise(s["begins"]).alias("begins"),
+        )
+
+    folded = listed.select(key, "rows", F.aggregate("rows", start, step, lambda s: s["begins"]).alias("begins"))
+    out = folded.select(key, "begins", F.posexplode("rows").alias("at", "r"))
+    chunk = F.size(F.filter("begins", lambda x: x <= F.col("at"))).cast("long").alias("chunk")
+    of = {order: F.col("r.o").alias(order)} | {c: F.col(f"r.c{k}").alias(c) for k, c in enumerate(rest)}
+    return out.select(*(F.col(key) if c == key else of[c] for c in rows.columns), chunk)
 
 
 def chunks(blocks: DataFrame, limit: int = CHUNK_WORDS) -> DataFrame:
