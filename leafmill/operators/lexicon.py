@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import archaic_score, edit_distance, normalize_token, rest
-from ..plans.scratch import keep
+from ..plans.scratch import drop, keep
 
 LEAST_COUNT, LOW_CONFIDENCE, LIMIT = 3, 80, 200
 
@@ -81,7 +81,8 @@ def leaders(found: DataFrame) -> DataFrame:
         told = seen.groupBy("a").agg(F.bool_or(F.col("sb") == "leader").alias("led"), F.bool_or(F.col("sb") == "open").alias("waits"))
         joined = state.join(told.withColumnRenamed("a", "key"), "key", "left")
         now = F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("led", F.lit(False)), "variant").when(F.coalesce("waits", F.lit(False)), "open").otherwise("leader")
-        state = keep(joined.select("key", now.alias("state")))
+        old, state = state, keep(joined.select("key", now.alias("state")))
+        drop(old)
         if state.where("state = 'open'").isEmpty():
             break
     led = before.join(state.where("state = 'leader'").select(F.col("key").alias("b")), "b").groupBy("a").agg(F.min_by("b", "rb").alias("home"))
