@@ -60,7 +60,7 @@ def test_equals_brute_force(spark, gram):
 
 def test_every_shared_span_of_ten_words_is_found_whole(spark):
     rng = random.Random(1)
-    item = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    item = [f"w{rng.randrange(10**6)}" for _ in range(80)]
     docs = [(n, " ".join(["x"] * n + item[n : n + 5 + n] + ["y"] * 3)) for n in range(30)]
     r = decontam.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
     got = {x.doc_id: [tuple(s) for s in x.spans] for x in r.collect()}
