@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, line_dedup, minhash, packing, pii, quality, secrets, simhash, suffix_dedup, vector_dedup
+from . import bpe, decontam, line_dedup, minhash, packing, pii, quality, secrets, simhash, suffix_dedup, trie, vector_dedup
 from .common import table
 
 
@@ -58,9 +58,15 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op12_benchmark_decontamination": decontam.ORACLE_SQL}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL, "op12_benchmark_decontamination": decontam.ORACLE_SQL, "op13_conversation_prefix_trie": trie.ORACLE_SQL,
+    }
