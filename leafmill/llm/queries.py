@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, line_dedup, minhash, packing, pii, quality, secrets, simhash, suffix_dedup, trie, vector_dedup
+from . import bpe, decontam, line_dedup, minhash, packing, pii, quality, repair, secrets, simhash, suffix_dedup, trie, vector_dedup
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(pii.KEY, "key of the test tables"))
 
 
+def op11_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
