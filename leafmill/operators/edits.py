@@ -1,13 +1,9 @@
-"""Edit logs replayed over documents, and readings compared: ordered folds, one small group a document."""
+"""Edit logs replayed over documents: ordered folds, one small group a document."""
 
 from __future__ import annotations
 
-import difflib
-import re
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 EDITED = "doc_id long, n int, id string, kind string, text string, sources array<int>"
 
@@ -59,67 +55,3 @@ def apply_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
         return pd.DataFrame([(key, k, b["id"], b["kind"], b["text"], b["sources"]) for k, b in enumerate(out)], columns=["doc_id", "n", "id", "kind", "text", "sources"])
 
     return blocks.groupBy("doc_id").cogroup(edits.groupBy("doc_id")).applyInPandas(lambda a, b: fold(a, b), EDITED)
-
-
-RUNS = "doc_id long, start int, n int, words string, strength string, before string, after string"
-
-
-def dropped_runs(words: list[str], reading: list[str], least: int = 2, strong: int = 4) -> list[tuple[int, int]]:
-    """(start, n) of the runs of ``words`` that an alignment with ``reading`` leaves out; case and marks don't count."""
-    plain = lambda ws: [re.sub(r"[^\w]", "", w).lower() for w in ws]
-    match = difflib.SequenceMatcher(None, plain(words), plain(reading), autojunk=False)
-    return [(i1, i2 - i1) for tag, i1, i2, _, _ in match.get_opcodes() if tag in ("delete", "replace") and i2 - i1 >= least]
-
-
-def _grams(tokens: DataFrame, n: int, name: str) -> DataFrame:
-    """doc_id, key and place of the runs of ``n`` words that a document has once."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    plain = F.lower(F.regexp_replace("token", r"[^\p{L}\p{N}_]", ""))
-    words = tokens.select("doc_id", "pos", plain.alias("p"))
-    named = words.select("doc_id", "pos", F.xxhash64("p", *(F.lead("p", k).over(order) for k in range(1, n))).alias("key"), F.lead("p", n - 1).over(order).alias("end")).where("end is not null")
-    return named.groupBy("doc_id", "key").agg(F.min("pos").alias(name), F.count("*").alias("c")).where("c = 1").drop("c")
-
-
-def anchors(tokens: DataFrame, reading: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, a, b: places of runs of ``n`` words that both readings have once, without those that cross others."""
-    found = _grams(tokens, n, "a").join(_grams(reading, n, "b"), ["doc_id", "key"]).drop("key")
-    order = Window.partitionBy("doc_id").orderBy("a")
-    before = F.coalesce(F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    after = F.min("b").over(order.rowsBetween(1, Window.unboundedFollowing))
-    return found.withColumn("_x", before).withColumn("_y", after).where("b > _x and (_y is null or b < _y)").select("doc_id", "a", "b")
-
-
-def compare_readings(tokens: DataFrame, reading: DataFrame, least: int = 2, strong: int = 4) -> DataFrame:
-    """The runs of each document's tokens (doc_id, pos, token) that a second reading of it lacks, with their surroundings.
-
-    Readings are numbered each on its own. They are cut at ``anchors``, and only stretches between two anchors that
-    aren't plainly equal are aligned word by word.
-    """
-    # own names for the second side's columns: both sides may come from one frame, whose columns a join would confuse
-    reading = reading.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "token")))
-    fixed = anchors(tokens, reading)
-    order = Window.partitionBy("doc_id").orderBy("pos")
-
-    def cut(side: DataFrame, at: str) -> DataFrame:
-        marks = fixed.select("doc_id", F.col(at).alias("pos"), F.col("a").alias("mark"))
-        marked = side.join(marks, ["doc_id", "pos"], "left")
-        return marked.withColumn("stretch", F.coalesce(F.last("mark", ignorenulls=True).over(order), F.lit(0).cast("long"))).drop("mark")
-
-    near = lambda f, ks: F.concat_ws(" ", *(f("token", k).over(order) for k in ks))
-    own = cut(tokens.select("doc_id", "pos", "token", near(F.lag, (3, 2, 1)).alias("before"), near(F.lead, (1, 2, 3)).alias("after")), "a")
-    other = cut(reading, "b")
-    sizes = own.groupBy("doc_id", "stretch").agg(F.count("*").alias("n")).join(other.groupBy("doc_id", "stretch").agg(F.count("*").alias("m")), ["doc_id", "stretch"], "left")
-    unlike = sizes.where("n > 1 or m is null or m > 1").select("doc_id", "stretch")
-
-    def fold(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty:
-            return pd.DataFrame(columns=["doc_id", "start", "n", "words", "strength", "before", "after"])
-        a = a.sort_values("pos").reset_index(drop=True)
-        w = a["token"].tolist()
-        rows = []
-        for s, n in dropped_runs(w, [] if b.empty else b.sort_values("pos")["token"].tolist(), least, strong):
-            rows.append((a["doc_id"][0], int(a["pos"][s]), n, " ".join(w[s : s + n]), "strong" if n >= strong else "weak", a["before"][s], a["after"][s + n - 1]))
-        return pd.DataFrame(rows, columns=["doc_id", "start", "n", "words", "strength", "before", "after"])
-
-    key = ["doc_id", "stretch"]
-    return own.join(unlike, key).groupBy(*key).cogroup(other.join(unlike, key, "left_semi").groupBy(*key)).applyInPandas(lambda a, b: fold(a, b), RUNS)

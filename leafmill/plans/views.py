@@ -55,6 +55,34 @@ def second_reading(tok: DataFrame) -> DataFrame:
     return tok.where(~((cell % 7 == 3) & ((F.col("pos") - 1) % 40 < 8)))
 
 
+def cut_words(ocr: DataFrame) -> DataFrame:
+    """``ocr`` as a scanner gives it at line ends: every tenth word of six letters or more comes as two halves, the first with a
+    hyphen, by turns a soft one. doc_id, page_index, pos, text, confidence, id."""
+    n = F.length("text")
+    cut = ((F.col("pos") - 1) % 10 == 9) & F.col("text").rlike(r"^\p{L}{6,}$")
+    hyphen = F.when(F.col("pos") % 20 == 0, "-").otherwise("\xad")
+    left, right = F.concat(F.expr("left(text, cast(length(text) / 2 as int))"), hyphen), F.expr("substring(text, cast(length(text) / 2 as int) + 1)")
+    part = lambda k, text, confidence: F.struct((2 * F.col("pos") + k).alias("at"), text.alias("t"), confidence.alias("c"))
+    halves = F.array(part(0, left, F.col("confidence")), part(1, right, 40 + F.col("confidence") * 7 % 61))
+    each = F.when(cut & (n > 0), halves).otherwise(F.array(part(0, F.col("text"), F.col("confidence"))))
+    rows = ocr.select("doc_id", "page_index", F.explode(each).alias("x"))
+    return rows.select("doc_id", "page_index", F.col("x.at").alias("pos"), F.col("x.t").alias("text"), F.col("x.c").alias("confidence"), F.concat(F.lit("w"), F.col("x.at").cast("string")).alias("id"))
+
+
+def transcriptions(tok: DataFrame) -> DataFrame:
+    """doc_id, page_index, role, text, orphan_notes: pages as another reader gave them, by turns whole, empty, cut, doubled or
+    with other words in the place of some."""
+    page = F.floor((F.col("pos") - 1) / WORDS_PER_PAGE).cast("long")
+    rows = tok.select("doc_id", page.alias("page_index"), "pos", "token").withColumn("turn", (F.col("doc_id") * 7 + F.col("page_index")) % 9)
+    turn, pos = F.col("turn"), F.col("pos")
+    gone = (turn == 0) | ((turn == 1) & (pos % 2 == 0)) | ((turn == 3) & (pos % 5 == 0)) | ((turn > 4) & (pos % 97 == 0))
+    word = F.when((turn == 4) & (pos % 3 == 0), "blur").when(turn == 2, F.concat_ws(" ", "token", "token")).otherwise(F.col("token"))
+    words = F.transform(F.array_sort(F.collect_list(F.when(~gone, F.struct("pos", word.alias("w"))))), lambda x: x["w"])
+    role = F.element_at(F.array(*map(F.lit, ROLES)), ((F.col("doc_id") + F.col("page_index")) % len(ROLES) + 1).cast("int"))
+    notes = ((F.col("doc_id") + F.col("page_index")) % 5 == 0).cast("int")
+    return rows.groupBy("doc_id", "page_index").agg(F.array_join(words, " ").alias("text")).select("doc_id", "page_index", role.alias("role"), "text", notes.alias("orphan_notes"))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """doc_id, bi (from 0), kind, text: a document's lines that aren't blank."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
@@ -85,6 +113,16 @@ SQL = {
     "blocks": """blocks as (select doc_id, bi, case when bi = 0 then 'heading' when (doc_id + bi) % 11 = 3 then 'footnote' when (doc_id + bi) % 11 = 5 then 'caption'
        when (doc_id + bi) % 11 = 7 then 'table' else 'paragraph' end kind, trim(line) as text
        from (select doc_id, unnest(range(0, len(l))) bi, unnest(l) line from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') l from documents)))""",
+    "cut": r"""cut as (select doc_id, page_index, 2 * pos + k as pos, case when not c then text when k = 0 then left(text, length(text) // 2) || case when pos % 20 = 0 then '-' else chr(173) end
+       else substr(text, length(text) // 2 + 1) end as text, case when k = 0 then confidence else 40 + confidence * 7 % 61 end confidence, 'w' || (2 * pos + k) id
+       from (select *, (pos - 1) % 10 = 9 and regexp_matches(text, '^\p{L}{6,}$') c from ocr), (values (0), (1)) t(k) where k = 0 or c)""",
+    "healed": r"""halves as (select *, regexp_matches(text, '\p{L}[-\x{AD}]$') and coalesce(regexp_matches(lead(text) over w, '^\p{L}'), false) half from cut window w as (partition by doc_id, page_index order by pos)),
+       islands as (select *, sum(case when coalesce(lag, false) then 0 else 1 end) over (partition by doc_id, page_index order by pos) isl from (select *, lag(half) over (partition by doc_id, page_index order by pos) lag from halves)),
+       healed as (select doc_id, page_index, min(pos) as pos, string_agg(case when half then left(text, length(text) - 1) else text end, '' order by pos) as text, min(confidence) confidence, arg_min(id, pos) id
+       from islands group by doc_id, page_index, isl)""",
+    "trans": f"""trans as (select doc_id, page_index, {_ROLES_SQL}[(doc_id + page_index) % 18 + 1] as role, coalesce(string_agg(case when turn = 4 and pos % 3 = 0 then 'blur' when turn = 2 then token || ' ' || token else token end, ' ' order by pos)
+       filter (not (turn = 0 or (turn = 1 and pos % 2 = 0) or (turn = 3 and pos % 5 = 0) or (turn > 4 and pos % 97 = 0))), '') as text, ((doc_id + page_index) % 5 = 0)::int orphan_notes
+       from (select *, (doc_id * 7 + page_index) % 9 turn from (select doc_id, (pos - 1) // 250 page_index, pos, token from tok)) group by doc_id, page_index)""",
     "pages_": f"pages_ as (select doc_id // 50 book, doc_id % 50 page_index, doc_id, {_ROLES_SQL}[doc_id % 18 + 1] as role, text, lang, source from documents)",
 }
 

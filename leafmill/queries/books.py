@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions import text as T
 from ..operators import assemble, edits, facts, pages, runs
-from ..plans.views import blocks, book_of, second_reading, sql, table, tokens
+from ..plans.views import blocks, book_of, sql, table, tokens
 from ..plans.views import pages as page_view
 
 QUERIES, ORACLE = {}, {}
@@ -455,22 +455,6 @@ def w13(spark, sf):
     return edits.apply_edits(named, log)
 
 
-@query("w06_dropped_runs")
-def w06_runs(spark, sf):
-    """The stretches of each document that a second reading of it lacks, by alignment."""
-    tok = tokens(table(spark, sf, "documents"))
-    return edits.compare_readings(tok, second_reading(tok))
-
-
-@query("w06_dropped_totals", sql("tok rd", """
-select doc_id, sum(n)::bigint n_words from (select t.doc_id, (t.pos - 1) // 40 cell, count(*) n from tok t anti join rd r on r.doc_id = t.doc_id and r.pos = t.pos group by all having count(*) >= 2) group by doc_id"""))
-def w06_totals(spark, sf):
-    """How many words of each document's stretches its second reading, numbered on its own, lacks."""
-    tok = tokens(table(spark, sf, "documents"))
-    second = second_reading(tok).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long").alias("pos"), "token")
-    return edits.compare_readings(tok, second).groupBy("doc_id").agg(F.sum("n").alias("n_words"))
-
-
 @query("t01_inline_markup", sql("blocks", r"select doc_id, bi, text as plain, case when length(text) > 0 then '<i>' || text || '</i>' else '' end again, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::int n_marked from blocks where bi % 2 = 1"))
 def t01(spark, sf):
     """Every other block set in italics, read back to text and marked words, and written again."""

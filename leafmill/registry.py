@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import quality
-from .queries import books, notices, profiles, rasters, records, scalars, stored, words
+from .queries import books, notices, profiles, rasters, readings, records, scalars, stored, words
 
-FAMILIES = (words, books, scalars, records, stored, profiles, rasters, notices)
+FAMILIES = (words, books, scalars, records, stored, profiles, rasters, notices, readings)
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import markup
 from leafmill.functions import text as T
-from leafmill.operators import assemble, edits, lexicon, quality, runs
+from leafmill.operators import assemble, edits, lexicon, quality, readings, runs
 from leafmill.sources import hocr, html
 
 
@@ -91,7 +91,7 @@ def test_edits_replay_in_order(spark):
     blocks = [{"id": f"b{k}", "kind": "paragraph", "text": t, "sources": [k]} for k, t in enumerate(["one two", "three", "four"])]
     log = [dict(kind=k, target=t, value=v, at=a) for k, t, v, a in [("split", "b0", "", 3), ("merge", "b0/2", "", 0), ("text", "b2", " ", 0), ("drop", "gone", "", 0), ("split", "b0/1", "", 0), ("retype", "b0/1", "heading", 0)]]
     assert [(b["id"], b["kind"], b["text"], b["sources"]) for b in edits.replay(blocks, log)] == [("b0/1", "heading", "one", [0]), ("b0/2", "paragraph", "two three", [0, 1])]
-    assert edits.dropped_runs("the cat sat on the mat today".split(), "The cat mat today".split()) == [(2, 3)]
+    assert readings.left_out("the cat sat on the mat today".split(), "the cat mat today".split()) == [(2, 3, 2)]
 
 
 def test_hocr(spark):
@@ -149,7 +149,7 @@ def test_readings_numbered_apart_are_aligned_over_their_whole_length(spark):
     first = spark.createDataFrame(tok(1, words) + tok(2, ["a", "b", "c"]) + tok(3, ["same"] * 50) + tok(4, words[:40]), kinds)
     second = spark.createDataFrame(tok(1, words[300:5000] + words[5006:]) + tok(2, ["A,", "b", "c"]) + tok(3, ["same"] * 44) + tok(4, ["x"]), kinds)
     got = {}
-    for r in edits.compare_readings(first, second).collect():
+    for r in readings.compare_readings(first, second).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.n, r.strength))
     assert sorted(got[1]) == [(1, 300, "strong"), (5001, 6, "strong")]
     assert 2 not in got and sum(n for _, n, _ in got[3]) == 6 and got[4] == [(1, 40, "strong")]
