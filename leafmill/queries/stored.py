@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as T
-from ..operators import notes, pictures, stored
+from ..functions.text import superscript
+from ..operators import hyphens, notes, pictures, stored
 from ..plans.views import blocks, ocr_words, sql, table, tokens
 from ..plans.views import pages as page_view
 from ..sources import epub
@@ -172,6 +173,42 @@ def w19(spark, sf):
     return notes.prepare(b.where("kind <> 'footnote'").select("doc_id", "bi", "text"), asked)
 
 
+@query("t07_stripped_markers", sql("blocks", r"""
+, n as (select doc_id, bi, (bi % 30 + 1)::varchar m, text from blocks), raised as (select *, translate(m, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹') r from n)
+select doc_id, bi, text as bare, text as raised, case when text = '' then m || '.' else m || text end glued from raised"""))
+def t07(spark, sf):
+    """Every block as a note that begins with its number, plain and raised, and with a number that isn't its marker."""
+    marker = (F.col("bi") % 30 + 1).cast("string")
+    rows = blocks(table(spark, sf, "documents")).withColumn("m", marker)
+    strip = lambda t: notes.strip_marker(t, F.col("m"))
+    return rows.select(
+        "doc_id", "bi", strip(F.concat("m", F.lit(") "), "text")).alias("bare"), strip(F.concat(superscript(F.col("m")), F.lit(" "), F.col("text"))).alias("raised"),
+        notes.strip_marker(F.concat("m", "text"), F.lit("999")).alias("glued"),
+    )
+
+
+#: Patterns by rule: a break between vowel and consonant, none inside what is one sound or before a last consonant.
+_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+PATTERNS = [f"{v}1{c}" for v in _VOWELS for c in _CONSONANTS] + [f"{c}2h" for c in "cgpstw"] + [f"2{c}." for c in _CONSONANTS] + [f".{v}2" for v in _VOWELS] + ["n1d", "n2dr", "1tion", "ti4on"]
+
+
+@query("x03_hyphenated_words", sql("tok", r"""
+, p(pattern) as (values """ + ", ".join(f"('{p}')" for p in PATTERNS) + r""")
+, pat as (select regexp_replace(pattern, '[0-9]', '', 'g') letters, list_transform(regexp_extract_all(pattern || '$', '([0-9]?)([^0-9])', 1), lambda x: case when x = '' then 0 else x::int end) digits from p)
+, w as (select distinct lower(regexp_replace(token, '[^\p{L}]', '', 'g')) word from tok), d as (select word, '.' || word || '.' t from w)
+, s as (select word, i, substr(t, i, n) letters from (select *, unnest(range(1, length(t) + 1)) i from d), (values (1), (2), (3), (4), (5)) v(n) where i + n - 1 <= length(t))
+, g as (select word, i + k - 2 "at", max(digit) digit from (select word, i, unnest(range(0, len(digits))) k, unnest(digits) digit from s join pat using (letters)) where digit > 0 group by 1, 2)
+, b as (select word, list("at" order by "at") a from g where digit % 2 = 1 and "at" >= 2 and length(word) - "at" >= 3 group by word)
+select word, coalesce(array_to_string(list_transform(range(0, len(a) + 1), lambda k: substr(word, case when k = 0 then 1 else a[k] + 1 end, case when k = len(a) then 999 else a[k + 1] - case when k = 0 then 0 else a[k] end end)), '-'), word) parts
+from w left join b using (word)"""))
+def x03(spark, sf):
+    """The documents' different words, broken at the places that a table of patterns allows."""
+    word = F.lower(F.regexp_replace("token", r"[^\p{L}]", ""))
+    words = tokens(table(spark, sf, "documents")).select(word.alias("word"))
+    broken = hyphens.breaks(words, spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"))
+    return hyphens.parts(broken).select("word", F.array_join("parts", "-").alias("parts"))
+
+
 @query("j14_illustrations")
 def j14(spark, sf):
     """The large blank parts of pages, suppressed, joined and cut to the three largest of a page."""

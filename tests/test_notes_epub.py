@@ -1,20 +1,94 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
 from leafmill.operators import notes, pictures
 from leafmill.sources import epub
 
 
-def test_markers():
-    assert notes.marker_pattern(" ") is None
-    one = notes.marker_pattern("1")
-    assert one.search("a 1 b") and one.search("word¹.") and not one.search("11 ¹² 21")
-    assert notes.strip_marker(" 3) The note", "3") == "The note" and notes.strip_marker("³ The note", "3") == "The note"
-    assert notes.strip_marker("*", "*") == "*" and notes.strip_marker("** two", "*") == "** two"
+RAISED = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+
+
+def pattern(marker):
+    marker = (marker or "").strip()
+    if not marker:
+        return None
+    if not re.fullmatch(r"[0-9]+", marker):
+        return re.compile(re.escape(marker))
+    return re.compile(rf"(?<![0-9]){marker}(?![0-9])|(?<![⁰¹²³⁴-⁹]){marker.translate(RAISED)}(?![⁰¹²³⁴-⁹])")
+
+
+def fold(blocks, notes):
+    """Placed notes (id, mark, block, word) block by block, each with all notes that still wait; and those left over."""
+    waiting, placed = {n[0]: n for n in sorted(notes)}, []
+    for bi, text in blocks:
+        spots = []
+        for order, (note, marker, home, at) in enumerate(waiting.values()):
+            if home is not None:
+                if home == bi:
+                    where = max(0, min(len(text), at or 0))
+                    spots.append((where, where, order, note))
+            elif (p := pattern(marker)) and (m := p.search(text)):
+                spots.append((m.start(), m.end(), order, note))
+        left, at = "", 0
+        for start, end, _, note in sorted(spots, key=lambda s: (s[0], s[1] - s[0], s[2])):
+            if start >= at:
+                left, at = left + text[at:start], end
+                placed.append((note, len(placed) + 1, bi, max(0, len(left.split()) - 1)))
+                del waiting[note]
+    return placed, list(waiting)
+
+
+def prepared(spark, docs):
+    b = [(d, bi, t) for d, (blocks, _) in enumerate(docs) for bi, t in blocks]
+    n = [(d, *x) for d, (_, notes_) in enumerate(docs) for x in notes_]
+    got = notes.prepare(spark.createDataFrame(b, "doc_id long, bi long, text string"), spark.createDataFrame(n, "doc_id long, note_id string, marker string, home long, at int"))
+    return sorted(tuple(r) for r in got.na.fill(-1).collect())
 
 
-def test_places():
+def test_markers(spark):
+    def value(column, **row):
+        return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row)).select(column.alias("v")).first().v
+
+    met = lambda text, marker: value(F.rlike(F.col("t"), notes.marker_pattern(F.col("m"))), t=text, m=marker)
+    assert value(notes.marker_pattern(F.col("m")), m=" ") is None and met("a b* c", "*") and met("\\E", "\\E") and not met("a", "*")
+    assert [met(t, "1") for t in ("a 1 b", "word¹.", "11 ¹² 21")] == [True, True, False]
+    strip = lambda text, marker: value(notes.strip_marker(F.col("t"), F.col("m")), t=text, m=marker)
+    assert strip(" 3) The note", "3") == "The note" and strip("³ The note", "3") == "The note" and strip("3. ", "3") == "3."
+    assert strip("*", "*") == "*" and strip("** two", "*") == "** two" and strip("a note", None) == "a note"
+
+
+def test_places(spark):
     blocks = [(0, "One word¹ and * more"), (1, "later 2 and ¹ again")]
-    placed, texts, orphans = notes.place(blocks, [("a", "2", None, None), ("b", "1", None, None), ("c", "*", None, None), ("d", None, 0, 8), ("e", "9", None, None)])
-    assert placed == [("d", 1, 0, 1), ("b", 2, 0, 1), ("c", 3, 0, 2), ("a", 4, 1, 0)]
-    assert texts == [(0, "One word and  more"), (1, "later  and ¹ again")] and orphans == ["e"]
+    asked = [("a", "2", None, None), ("b", "1", None, None), ("c", "*", None, None), ("d", None, 0, 8), ("e", "9", None, None)]
+    assert prepared(spark, [(blocks, asked)]) == [(0, "a", 4, 1, 0), (0, "b", 2, 0, 1), (0, "c", 3, 0, 2), (0, "d", 1, 0, 1), (0, "e", -1, -1, -1)]
+
+
+def test_random_documents_equal_a_fold(spark):
+    rng, docs = random.Random(7), []
+    for _ in range(60):
+        marks = ["1", "2", "12", "*", "**", "†", "a", "ab", "the", " ", None]
+        blocks = [(k, " ".join(rng.choice(["the", "ab¹ b", "2", "12", "x**", "†*", "word²", "1", "¹²", "𝔘 *", "a"]) for _ in range(rng.randrange(9)))) for k in range(rng.randrange(1, 7))]
+        asked = [(f"n{k}", rng.choice(marks), rng.choice([None, None, None, rng.randrange(7)]), rng.choice([None, rng.randrange(-2, 30)])) for k in range(rng.randrange(9))]
+        docs.append((blocks, asked))
+    want = []
+    for d, (blocks, asked) in enumerate(docs):
+        placed, orphans = fold(blocks, asked)
+        want += [(d, *p) for p in placed] + [(d, n, -1, -1, -1) for n in orphans]
+    assert prepared(spark, docs) == sorted(want)
+
+
+def test_words_break_where_patterns_say(spark):
+    from leafmill.operators import hyphens
+
+    words = spark.createDataFrame([("hyphenation",), ("hyphenation",), ("Concat",), ("a",), ("",)], "word string")
+    patterns = spark.createDataFrame([("hy3ph",), ("he2n",), ("hena4",), ("hen5at",), ("1na",), ("n2at",), ("1tio",), ("2io",), ("o2n",), (".con5c",)], "pattern string")
+    broken = hyphens.breaks(words, patterns)
+    got = {r.word: (r.at, r.parts) for r in broken.join(hyphens.parts(broken), "word").collect()}
+    # The published example of the method: hy-phen-ation, its a-tion closed by the greater even digit.
+    assert got["hyphenation"] == ([2, 6], ["hy", "phen", "ation"]) and got["Concat"] == ([3], ["Con", "cat"]) and got["a"] == ([], ["a"]) and got[""] == ([], [""])
+    assert hyphens.breaks(words, patterns.limit(0)).where("size(at) > 0").count() == 0
 
 
 def test_nearby_boxes_join_until_none_is_near():
