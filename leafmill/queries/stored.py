@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..functions import text as T
 from ..functions.text import superscript
 from ..operators import hyphens, notes, pictures, stored
+from ..plans import scratch
 from ..plans.views import blocks, ocr_words, sql, table, tokens
 from ..plans.views import pages as page_view
-from ..sources import epub
+from ..sources import epub, files
 
 QUERIES, ORACLE = {}, {}
 
@@ -216,19 +219,66 @@ def j14(spark, sf):
     return pictures.illustrations(pictures.blank_regions(words, 1100, 1200, 0.05), 55)
 
 
-@query("s09_epub_pages")
-def s09(spark, sf):
-    """Web pages bound into archives of a few each, opened again and walked."""
-    rows = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 4).cast("long").alias("book"), "page_id", "html")
+def _bound(spark, sf):
+    """A folder of archives of four web pages each, the first of an archive's addresses as its title and an image of its own."""
+    rows = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 4).cast("long").alias("book"), "page_id", "url", "html")
+    group = rows.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_id", "url", "html"))).alias("l"))
 
-    def bind(group):
+    def bind(frames):
         import pandas as pd
+        from html import escape
+
+        for frame in frames:
+            out = []
+            for book, l in zip(frame["book"], frame["l"]):
+                content = epub.write([(f"p{x['page_id']}.xhtml", x["html"] or "") for x in l], escape(l[0]["url"] or ""), {"cover.png": f"cover {book}".encode()})
+                out.append((f"book{book}.epub", content))
+            yield pd.DataFrame(out, columns=["name", "content"])
 
-        group = group.sort_values("page_id")
-        content = epub.write([(f"p{i}.xhtml", h or "") for i, h in zip(group["page_id"], group["html"])])
-        return pd.DataFrame([(f"book{group['book'].iloc[0]}.epub", content)], columns=["path", "content"])
+    files.register(spark)
+    path = f"{scratch.shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    group.mapInPandas(bind, "name string, content binary").write.format("leafmill_files").mode("append").save(path)
+    return epub.entries(spark, path)
 
-    return epub.read(rows.groupBy("book").applyInPandas(lambda group: bind(group), "path string, content binary"))
+
+@query("s09_epub_pages")
+def s09(spark, sf):
+    """Web pages bound into archives of a few each, written, opened again and walked."""
+    return epub.pages(_bound(spark, sf))
+
+
+@query("s10_archive_entries", """
+with p as (select *, page_id // 4 book from pages), b as (select book, arg_min(url, page_id) url from p group by 1)
+select 'book' || book || '.epub' archive, 'page' kind, (page_id % 4)::int page, 'OPS/text/p' || page_id || '.xhtml' "name", case when coalesce(html, '') <> '' then sha256(html) end content_sha256,
+  case when coalesce(html, '') = '' then 'the archive has no such file' end reason from p
+union all select 'book' || book || '.epub', 'image', null, 'OPS/img/cover.png', sha256('cover ' || book), null from b
+union all select 'book' || book || '.epub', 'metadata', null, 'title', sha256(regexp_replace(trim(url), '\\s+', ' ', 'g')), null from b where trim(coalesce(url, '')) <> ''""")
+def s10(spark, sf):
+    """All that the archives hold: metadata, pages in reading order, images."""
+    found = _bound(spark, sf)
+    return found.select("archive", "kind", "page", "name", F.sha2("content", 256).alias("content_sha256"), "reason")
+
+
+@query("s12_archive_titles", """
+select 'book' || (page_id // 4) || '.epub' archive, nullif(regexp_replace(trim(arg_min(url, page_id)), '\\s+', ' ', 'g'), '') title from pages group by 1, page_id // 4""")
+def s12_titles(spark, sf):
+    return epub.metadata(_bound(spark, sf)).select("archive", "title")
+
+
+@query("k05_written_book_files", """
+select 'books/' || conv_id || '.book.json' "name", sha256('{"format":"book-file","version":3,"title":"' || conv_id || '","edits":[' || array_to_string(list_transform(range(0, count(*)), lambda x: '{"kind":"text"}'), ',') || '],"images":[]}') content_sha256
+from conversations group by conv_id""")
+def k05(spark, sf):
+    """A file for each conversation as a book, written all or none, and read back as text."""
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.collect_list(F.lit(1)), lambda x: F.struct(F.lit("text").alias("kind"))).alias("e"))
+    none = F.array().cast("array<struct<name:string,path:string,bytes:binary>>")
+    name = F.concat(F.lit("books/"), F.col("conv_id").cast("string"), F.lit(".book.json"))
+    body = stored.book_file(F.col("conv_id").cast("string"), F.col("e"), none)
+    files.register(spark)
+    path = f"{scratch.shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    rows.select(name.alias("name"), F.encode(body, "UTF-8").alias("content")).write.format("leafmill_files").mode("append").save(path)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return back.select(F.concat(F.lit("books/"), F.element_at(F.split("path", "/"), -1)).alias("name"), F.sha2("content", 256).alias("content_sha256"))
 
 
 @query("s05_flatten_words", sql("tok ocr", "select doc_id, page_index, row_number() over (partition by doc_id, page_index order by pos) - 1 n, text from ocr where word_no % 9 <> 4"))

@@ -1,84 +1,64 @@
-"""Books as EPUB archives: opened in tasks, a file at a time, into pages of typed blocks."""
+"""Books as EPUB archives: their pages as typed blocks."""
 
 from __future__ import annotations
 
 import io
-import posixpath
-import re
 import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import files
 from .html import walk
 
 PAGES = "path string, page_index int, href string, n int, kind string, level int, text string"
 
 
-def resolve(base: str, relative: str) -> str:
-    """A reference's path in its archive, against the folder of the file that makes it."""
-    path = relative.split("#")[0]
-    whole = path if path.startswith("/") else posixpath.join(posixpath.dirname(base), path)
-    parts: list[str] = []
-    for part in whole.split("/"):
-        if part == "..":
-            parts[-1:] = []
-        elif part not in ("", "."):
-            parts.append(part)
-    return "/".join(parts)
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``files.ArchivesSource`` for the archives under ``path``."""
+    files.register(spark)
+    return spark.read.format("leafmill_epub").load(path)
 
 
-def spine(archive: zipfile.ZipFile) -> list[str]:
-    """The content files in reading order; entries that aren't linear or that the manifest lacks are left out."""
-    container = ElementTree.fromstring(archive.read("META-INF/container.xml"))
-    package_path = next(e.get("full-path") for e in container.iter() if e.tag.endswith("rootfile"))
-    package = ElementTree.fromstring(archive.read(package_path))
-    manifest = {e.get("id"): resolve(package_path, e.get("href", "")) for e in package.iter() if e.tag.endswith("}item") or e.tag == "item"}
-    refs = [e for e in package.iter() if e.tag.endswith("itemref")]
-    return [manifest[e.get("idref")] for e in refs if e.get("linear") != "no" and e.get("idref") in manifest]
+def metadata(found: DataFrame) -> DataFrame:
+    """archive, title, author, year, publisher, language of each archive that could be read."""
+    fields = ("title", "author", "year", "publisher", "language")
+    rows = found.where("kind = 'metadata'").groupBy("archive").agg(*(F.max(F.when(F.col("name") == f, F.decode("content", "UTF-8"))).alias(f) for f in fields))
+    return found.where("kind <> 'damage'").select("archive").distinct().join(rows, "archive", "left")
 
 
-def first_year(text: str) -> str | None:
-    found = re.search(r"\b(1\d{3}|20\d{2})\b", text)
-    return found[1] if found else None
+def pages(found: DataFrame) -> DataFrame:
+    """path, page_index, href, n, kind, level, text of the blocks of each page of ``entries``.
 
-
-def read(files: DataFrame) -> DataFrame:
-    """path, page_index, href, n, kind, level, text of the blocks of each file (path, content as from ``binaryFile``).
-
-    A page whose file is missing or empty stays, as one row without a block, so that pages keep their numbers; an
-    archive that can't be read gives no rows.
+    A page whose file is missing or empty stays, as one row without a block, so that pages keep their numbers.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows: list[tuple] = []
-            for path, content in zip(frame["path"], frame["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    order = spine(archive)
-                except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError):
-                    continue
-                names = set(archive.namelist())
-                for k, href in enumerate(order):
-                    found = walk(archive.read(href).decode("utf-8", "replace")) if href in names else []
-                    rows += [(path, k, href, n, *b) for n, b in enumerate(found)] or [(path, k, href, None, None, None, None)]
+            for archive, page, name, content in zip(frame["archive"], frame["page"], frame["name"], frame["content"]):
+                blocks = walk(bytes(content).decode("utf-8", "replace")) if content is not None else []
+                rows += [(archive, page, name, n, *b) for n, b in enumerate(blocks)] or [(archive, page, name, None, None, None, None)]
             yield pd.DataFrame(rows, columns=["path", "page_index", "href", "n", "kind", "level", "text"]).astype({"n": "Int32", "level": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, PAGES)
+    return found.where("kind = 'page'").select("archive", "page", "name", "content").mapInPandas(run, PAGES)
 
 
-def write(pages: list[tuple[str, str]]) -> bytes:
+def write(pages: list[tuple[str, str]], title: str | None = None, images: dict | None = None) -> bytes:
     """A small archive of pages (name, html)."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>')
-        items = "".join(f'<item id="i{k}" href="text/{n}"/>' for k, (n, _) in enumerate(pages))
+        items = "".join(f'<item id="i{k}" href="text/{n}" media-type="application/xhtml+xml"/>' for k, (n, _) in enumerate(pages))
+        items += "".join(f'<item id="m{k}" href="img/{n}" media-type="image/png"/>' for k, n in enumerate(images or {}))
         refs = "".join(f'<itemref idref="i{k}"/>' for k in range(len(pages)))
-        z.writestr("OPS/book.opf", f"<package><manifest>{items}</manifest><spine>{refs}<itemref idref='gone'/></spine></package>")
+        about = f"<metadata><title>{title}</title></metadata>" if title else ""
+        z.writestr("OPS/book.opf", f"<package>{about}<manifest>{items}</manifest><spine>{refs}<itemref idref='gone'/></spine></package>")
         for name, html in pages:
             if html:
                 z.writestr(f"OPS/text/{name}", html)
+        for name, data in (images or {}).items():
+            z.writestr(f"OPS/img/{name}", data)
     return out.getvalue()

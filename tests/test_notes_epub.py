@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from leafmill.operators import notes, pictures
-from leafmill.sources import epub
+from leafmill.sources import epub, files
 
 
 RAISED = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
@@ -97,16 +97,67 @@ def test_nearby_boxes_join_until_none_is_near():
 
 
 def test_paths():
-    assert epub.resolve("OPS/text/a.xhtml", "../img/b.png#x") == "OPS/img/b.png"
-    assert epub.resolve("a.xhtml", "../../c") == "c" and epub.resolve("OPS/a", "/d/./e") == "d/e"
-    assert epub.first_year("printed 999, then 1851 and 2003") == "1851"
-
-
-def test_archives(spark):
-    book = epub.write([("a.xhtml", "<p>one</p><h2>two</h2>"), ("b.xhtml", ""), ("c.xhtml", "three")])
-    rows = spark.createDataFrame([("x.epub", bytearray(book)), ("bad.epub", bytearray(b"no archive"))], "path string, content binary")
-    got = sorted(tuple(r) for r in epub.read(rows).na.fill({"n": -1, "level": -1, "kind": "", "text": ""}).collect())
+    assert files.resolve("OPS/text/a.xhtml", "../img/b.png#x") == "OPS/img/b.png"
+    assert files.resolve("a.xhtml", "../../c") == "c" and files.resolve("OPS/a", "/d/./e") == "d/e"
+
+
+def test_archives(spark, tmp_path):
+    book = epub.write([("a.xhtml", "<p>one</p><h2>two</h2>"), ("b.xhtml", ""), ("c.xhtml", "three")], "A title", {"m.png": b"\x89PNG"})
+    (tmp_path / "x.epub").write_bytes(book)
+    (tmp_path / "bad.epub").write_bytes(b"no archive")
+    (tmp_path / "cut.epub").write_bytes(book[: len(book) // 2])
+    (tmp_path / "empty.epub").write_bytes(b"")
+    broken = bytearray(book)
+    at = book.index(b"OPS/text/c.xhtml") + len("OPS/text/c.xhtml")
+    broken[at + 2] ^= 0xFF  # inside the packed bytes of one page
+    (tmp_path / "page.epub").write_bytes(bytes(broken))
+    found = epub.entries(spark, f"file://{tmp_path}")
+    damaged = {r.archive: r.reason for r in found.where("kind = 'damage'").collect()}
+    assert set(damaged) == {"bad.epub", "cut.epub", "empty.epub"} and "BadZipFile" in damaged["cut.epub"] and all(damaged.values()), damaged
+    (page,) = found.where("archive = 'page.epub' and kind = 'page' and page = 2").collect()
+    assert page.content is None and page.reason
+    got = sorted(tuple(r) for r in epub.pages(found.where("archive = 'x.epub'")).na.fill({"n": -1, "level": -1, "kind": "", "text": ""}).collect())
     assert got == [
         ("x.epub", 0, "OPS/text/a.xhtml", 0, "paragraph", 0, "one"), ("x.epub", 0, "OPS/text/a.xhtml", 1, "heading", 2, "two"),
         ("x.epub", 1, "OPS/text/b.xhtml", -1, "", -1, ""), ("x.epub", 2, "OPS/text/c.xhtml", 0, "paragraph", 0, "three"),
     ]
+    assert {r.archive: r.title for r in epub.metadata(found).collect()} == {"x.epub": "A title", "page.epub": "A title"}
+    assert [bytes(r.content) for r in found.where("archive = 'x.epub' and kind = 'image'").collect()] == [b"\x89PNG"]
+    # A share smaller than an archive cuts it into ranges of entries: the same rows, in more partitions.
+    cut = spark.read.format("leafmill_epub").option("share", 200).load(f"file://{tmp_path}/x.epub")
+    rows = lambda df: sorted(((r.kind, r.page, r.name, r.reason) for r in df.where("archive = 'x.epub'").collect()), key=str)
+    assert rows(cut) == rows(found) and cut.rdd.getNumPartitions() > 1
+    assert epub.entries(spark, f"file://{tmp_path}/nothing").count() == 0
+
+
+def test_packages_say_who_wrote_them():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<c><rootfile full-path="p.opf"/></c>')
+        z.writestr("p.opf", '<package xmlns:dc="d" xmlns:opf="o"><dc:creator opf:role="trl">T</dc:creator><dc:creator>Plain</dc:creator><dc:creator opf:role="AUT"> The  Author </dc:creator><dc:date>made 1913-01-02</dc:date><dc:title/><dc:title>Real</dc:title>'
+                            '<manifest><item id="a" href="x/../a.html"/></manifest><spine><itemref idref="a" linear="no"/><itemref idref="a"/></spine></package>')
+    said, pages, _ = files.package(zipfile.ZipFile(out))
+    assert (said["author"], said["year"], said["title"], said["publisher"]) == ("The Author", "1913", "Real", None) and pages == [("a.html", "")]
+
+
+def test_files_are_written_all_or_none(spark, tmp_path):
+    files.register(spark)
+    path = f"file://{tmp_path}/out"
+    rows = spark.createDataFrame([(f"d{k % 3}/f{k}.txt", bytearray(f"text {k}".encode())) for k in range(40)], "name string, content binary").repartition(4)
+    rows.write.format("leafmill_files").mode("append").save(path)
+    there = lambda: {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert there() == {f"d{k % 3}/f{k}.txt": f"text {k}" for k in range(40)}
+    before = there()
+    for bad in ("../up.txt", "d0/f0.txt"):
+        more = rows.limit(20).union(spark.createDataFrame([(bad, bytearray(b"x"))] * 2, "name string, content binary"))
+        try:
+            more.write.format("leafmill_files").mode("append").save(path)
+            raise AssertionError("such rows must not be written")
+        except Exception as e:
+            assert "AssertionError" not in type(e).__name__
+        assert there() == before and not list((tmp_path / "out").glob("_pending*"))
+    rows.limit(1).write.format("leafmill_files").mode("overwrite").save(path)
+    assert len(there()) == 1
