@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import quality
-from .queries import books, edits, notices, profiles, rasters, readings, records, scalars, stored, words
+from .queries import books, edits, notices, profiles, rasters, readings, records, scalars, stored, streams, words
 
-FAMILIES = (words, books, scalars, records, stored, profiles, rasters, notices, readings, edits)
+FAMILIES = (words, books, scalars, records, stored, profiles, rasters, notices, readings, edits, streams)
 
 
 def queries() -> dict:
