@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.images import apply_ops, luma, size_after
+from ..plans import scratch
 
 EDITED = "picture_id long, width int, height int, pixels binary, expected_width int, expected_height int"
 
@@ -92,30 +94,46 @@ def blank_regions(words: DataFrame, width: float, height: float, least: float =
     return words.groupBy("doc_id", "page_index").applyInPandas(lambda rows: page(rows), REGIONS)
 
 
-def merge_nearby(boxes: list[tuple[float, float, float, float]], gap: float) -> list[tuple[float, float, float, float]]:
-    """Boxes joined while any two are within ``gap`` of each other; a joined box may reach further ones."""
-    now = list(boxes)
+def merge_nearby(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """keys, x0, y0, x1, y1: ``boxes`` joined while any two of one key are within ``gap`` (above 0) of each other on both
+    axes; a joined box may reach further ones.
+
+    Boxes lie on cells of the size of the gap, so that all on one cell are near and those near lie on neighbouring cells.
+    Each round a box takes the least name of what it is near to, by way of one box a cell, and boxes of one name become
+    one: no two boxes are compared because they crowd in a place. Names are hashes, so a row of boxes halves each round.
+    """
+    side = ["x0", "y0", "x1", "y1"]
+    now = scratch.keep(boxes.select(*keys, *side, F.xxhash64(F.monotonically_increasing_id()).alias("id")))
+    at = lambda c: F.floor(F.col(c) / gap).cast("long")
     while True:
-        pair = next(((i, j) for i in range(len(now)) for j in range(i + 1, len(now)) if all(now[i][k] - gap <= now[j][k + 2] and now[j][k] - gap <= now[i][k + 2] for k in (0, 1))), None)
-        if pair is None:
-            return now
-        a, b = now[pair[0]], now.pop(pair[1])
-        now[pair[0]] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+        cells = now.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+        first = cells.groupBy(*keys, "cx", "cy").agg(F.min(F.struct("id", *side)).alias("b"))
+        near = [F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        around = first.select(*keys, "b", F.inline(F.array(*near)))
+        reach = [f"{a}0 - {gap} <= b.{a}1 and b.{a}0 - {gap} <= {a}1" for a in "xy"]
+        named = cells.join(around, [*keys, "cx", "cy"]).where(" and ".join(reach)).groupBy(*keys, "id", *side).agg(F.min("b.id").alias("to"))
+        named = scratch.keep(named)
+        scratch.drop(now)
+        now = scratch.keep(named.groupBy(*keys, F.col("to").alias("id")).agg(*(F.min(c).alias(c) for c in side[:2]), *(F.max(c).alias(c) for c in side[2:])))
+        if named.where("to <> id").isEmpty():
+            return now.select(*keys, *side)
+        scratch.drop(named)
+
+
+def suppressed(regions: DataFrame, keys: list[str], overlap: float) -> DataFrame:
+    """keys, x0, y0, x1, y1 of the regions without those that a larger one that stays covers by ``overlap`` of their area."""
+    box = "struct<less:double,x0:double,y0:double,x1:double,y1:double>"
+    row = F.struct((-(F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("less"), "x0", "y0", "x1", "y1").cast(box)
+    span = lambda a, b, c: F.greatest(F.lit(0.0), F.least(a[c + "1"], b[c + "1"]) - F.greatest(a[c + "0"], b[c + "0"]))
+    hidden = lambda kept, b: F.exists(kept, lambda k: span(k, b, "x") * span(k, b, "y") > -overlap * b["less"])
+    kept = F.aggregate("l", F.array().cast(f"array<{box}>"), lambda s, b: F.when(hidden(s, b), s).otherwise(F.concat(s, F.array(b))))
+    return regions.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("l")).select(*keys, F.inline(kept)).drop("less")
 
 
 def illustrations(regions: DataFrame, gap: float, most: int = 3, overlap: float = 0.35) -> DataFrame:
     """The few large picture regions of each page (doc_id, page_index, n, x0, y0, x1, y1): those that a larger one covers
     by ``overlap`` of their area go, near ones join."""
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
-        shared = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-        kept: list[tuple] = []
-        for b in sorted(zip(rows.x0, rows.y0, rows.x1, rows.y1), key=lambda b: (-size(b), b)):
-            if all(shared(k, b) <= overlap * size(b) for k in kept):
-                kept.append(b)
-        out = sorted(merge_nearby(kept, gap), key=lambda b: (-size(b), b))[:most]
-        key = (rows["doc_id"].iloc[0], rows["page_index"].iloc[0])
-        return pd.DataFrame([(*key, n, *b) for n, b in enumerate(out)], columns=["doc_id", "page_index", "n", "x0", "y0", "x1", "y1"])
-
-    return regions.groupBy("doc_id", "page_index").applyInPandas(lambda rows: page(rows), REGIONS)
+    keys = ["doc_id", "page_index"]
+    found = merge_nearby(suppressed(regions, keys, overlap), keys, gap)
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.expr("(x1 - x0) * (y1 - y0)")), "x0", "y0", "x1", "y1")
+    return found.withColumn("n", F.row_number().over(order) - 1).where(F.col("n") < most).select(*keys, "n", "x0", "y0", "x1", "y1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import half_up
@@ -94,8 +94,14 @@ def choose_creator(creators: DataFrame) -> DataFrame:
 
 
 def order_statistic(rows: DataFrame, key: str, value: str, share: float = 0.9) -> DataFrame:
-    """key, tone: the value at place floor(share * n) from 0 of each key's sorted values."""
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("v")).select(key, F.get("v", F.floor(F.size("v") * share).cast("int")).alias("tone"))
+    """key, tone: the value at place floor(share * n) from 0 of each key's sorted values.
+
+    Values are counted first, which partial aggregates add up, so that a key is as many rows as it has different values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    by = Window.partitionBy(key)
+    placed = counts.withColumn("upto", F.sum("c").over(by.orderBy(value))).withColumn("n", F.sum("c").over(by))
+    return placed.where(F.col("upto") > F.floor(F.col("n") * share)).groupBy(key).agg(F.min(value).alias("tone"))
 
 
 # The mark and the newest version of a book file.

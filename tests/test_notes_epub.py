@@ -91,9 +91,57 @@ def test_words_break_where_patterns_say(spark):
     assert hyphens.breaks(words, patterns.limit(0)).where("size(at) > 0").count() == 0
 
 
-def test_nearby_boxes_join_until_none_is_near():
-    assert pictures.merge_nearby([(0, 0, 1, 1), (5, 0, 6, 1), (2, 0, 4, 1)], 1) == [(0, 0, 6, 1)]
-    assert len(pictures.merge_nearby([(0, 0, 1, 1), (3, 3, 4, 4)], 1)) == 2
+def near(a, b, gap):
+    return all(a[k] - gap <= b[k + 2] and b[k] - gap <= a[k + 2] for k in (0, 1))
+
+
+def joined(boxes, gap):
+    """Boxes joined two by two until no two are near."""
+    now, again = list(boxes), True
+    while again:
+        again, out = False, []
+        for box in now:
+            for k, o in enumerate(out):
+                if near(o, box, gap):
+                    out[k], again = (min(o[0], box[0]), min(o[1], box[1]), max(o[2], box[2]), max(o[3], box[3])), True
+                    break
+            else:
+                out.append(box)
+        now = out
+    return sorted(now)
+
+
+def test_nearby_boxes_join_until_none_is_near(spark):
+    rng, pages = random.Random(3), {}
+    pages[0] = [(0.0, 0.0, 1.0, 1.0), (5.0, 0.0, 6.0, 1.0), (2.0, 0.0, 4.0, 1.0), (0.0, 0.0, 1.0, 1.0)]
+    pages[1] = [(0.0, 0.0, 1.0, 1.0), (3.0, 3.0, 4.0, 4.0), (-9.0, -9.0, -8.0, -8.0)]
+    pages[2] = [(x, y, x + rng.randrange(6), y + rng.randrange(6)) for x, y in ((rng.uniform(0, 900), rng.uniform(0, 900)) for _ in range(3000))]
+    pages[3] = [(float(k), float(k % 7), k + 0.5, k % 7 + 0.5) for k in range(1500)]  # a row in which each only reaches the next
+    rows = [(p, *map(float, b)) for p, boxes in pages.items() for b in boxes]
+    got = {p: [] for p in pages}
+    for r in pictures.merge_nearby(spark.createDataFrame(rows, "page long, x0 double, y0 double, x1 double, y1 double"), ["page"], 1.0).collect():
+        got[r.page].append(tuple(r)[1:])
+    assert got[0] == [(0, 0, 6, 1)] and len(got[1]) == 3
+    assert {p: sorted(b) for p, b in got.items()} == {p: joined([tuple(map(float, x)) for x in b], 1.0) for p, b in pages.items()}
+
+
+def test_illustrations_equal_a_fold(spark):
+    rng, rows = random.Random(4), []
+    for page in range(40):
+        for n in range(rng.randrange(9)):
+            x, y = rng.randrange(100), rng.randrange(100)
+            rows.append((1, page, n, float(x), float(y), float(x + rng.randrange(1, 40)), float(y + rng.randrange(1, 40))))
+    got = {}
+    for r in pictures.illustrations(spark.createDataFrame(rows, pictures.REGIONS), 4).orderBy("page_index", "n").collect():
+        got.setdefault(r.page_index, []).append(tuple(r)[3:])
+    size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    shared = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    for page in range(40):
+        kept = []
+        for b in sorted((r[3:] for r in rows if r[1] == page), key=lambda b: (-size(b), b)):
+            if all(shared(k, b) <= 0.35 * size(b) for k in kept):
+                kept.append(b)
+        assert got.get(page, []) == sorted(joined(kept, 4), key=lambda b: (-size(b), b))[:3]
 
 
 def test_paths():
