@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, ranked
 
 #: Conversations a shard.
-BLOCK = 4096
+BLOCK = 1024
 
 _NODES = (
     "block long, node int, parent int, key binary, parent_key binary, depth long, conv_id long, parent_conv_id long, n_convs long, "
