@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import quality
-from .queries import books, edits, notices, profiles, rasters, readings, records, scalars, stored, streams, versions, words
+from .queries import binding, books, edits, notices, profiles, rasters, readings, records, scalars, stored, streams, versions, words
 
-FAMILIES = (words, books, scalars, records, stored, profiles, rasters, notices, readings, edits, streams, versions)
+FAMILIES = (words, books, scalars, records, stored, profiles, rasters, notices, readings, edits, streams, versions, binding)
 
 
 def queries() -> dict:
