@@ -76,3 +76,44 @@ def overlap_area(a: Column, b: Column) -> Column:
     w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
     h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
     return F.when((w <= 0) | (h <= 0), 0).otherwise(w * h)
+
+
+LEAST_DPI = 300
+CHECKS = "array<struct<id:string,level:string,detail:string>>"
+
+
+def print_checks(trim: Column, pages: Column, inside: Column, dpi: Column, warnings: Column, typeset: Column, embedded: Column) -> Column:
+    """The six checks of a book for print, in order, as id, level and detail: its fonts, page size, inside margin (margin and
+    gutter together), pictures (array of dots an inch, null where unknown), lines that ran over, and pages."""
+    w, h = (trim_points(trim, k) / POINTS for k in (1, 2))
+    inches = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    known, need = known_trim(trim), least_gutter(pages)
+    wide = inside >= need - 1e-9
+    size = said("Trim ", trim, " (", inches(w), "×", inches(h), " in) ")
+    margin = said("Inside margin ", F.format_string("%.3f", inside))
+    low, unknown = F.size(F.filter(dpi, lambda d: d < LEAST_DPI)), F.size(F.filter(dpi, lambda d: d.isNull()))
+    n = F.size(dpi)
+    # Fixed wording.
+    rows = [
+        ("fonts-embedded", F.when(embedded, "ok").otherwise("warn"), F.when(embedded, "The typeface is embedded in the PDF, so the book sets the same everywhere.").otherwise("Fonts may not be fully embedded — KDP requires embedded fonts.")),
+        ("trim-size", F.when(known, "ok").otherwise("warn"), F.when(known, said(size, "is a recognized KDP size.")).otherwise(said(size, "is not a standard KDP size; confirm it is supported."))),
+        (
+            "gutter", F.when(wide, "ok").otherwise("fail"),
+            F.when(wide, said(margin, " in meets the ", need, " in minimum for ", pages, " pages.")).otherwise(said(margin, " in is below the ", need, " in minimum for ", pages, " pages; text may be swallowed by the spine.")),
+        ),
+        (
+            "image-dpi", F.when((low > 0) | (unknown > 0), "warn").otherwise("ok"),
+            F.when(n == 0, "No placed images to check.").when(low > 0, said(low, " image(s) below 300 DPI at placed size and may print muddy."))
+            .when(unknown > 0, said(unknown, " image(s) have unknown effective DPI; verify they meet 300 DPI.")).otherwise(said("All ", n, " image(s) meet 300 DPI at placed size.")),
+        ),
+        (
+            "latex-warnings", F.when(~typeset, "pending").when(warnings > 0, "warn").otherwise("ok"),
+            F.when(~typeset, "Not checked yet — these only exist once the book has been typeset.").when(warnings > 0, said(warnings, " line(s) run past the margin and need resolving or acknowledging.")).otherwise("Every line fits its measure."),
+        ),
+        (
+            "page-count", F.when(typeset, "ok").otherwise("pending"),
+            F.when(typeset, said("Final interior page count: ", pages, " pages (use for cover spine width).")).otherwise(said("Roughly ", pages, " pages, based on the scan. Typeset the book before sizing the cover spine — the real count will differ.")),
+        ),
+    ]
+    return F.array(*(F.struct(F.lit(i).alias("id"), level.alias("level"), detail.alias("detail")) for i, level, detail in rows)).cast(CHECKS)

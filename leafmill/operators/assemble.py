@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse, join_text, rest, word_count
 
 NOT_FLOW = ["footnote", "caption", "table"]
+NOT_PROSE = ["heading", "caption", "footnote", "table"]
 CHUNK_WORDS, OVERLAP_WORDS = 1200, 200
 LEAST_BODY, QUORUM, LEAST_DUPLICATE = 5, 0.6, 200
 
@@ -108,6 +109,15 @@ def chunks(blocks: DataFrame, limit: int = CHUNK_WORDS) -> DataFrame:
     return greedy(blocks.select("doc_id", "bi", word_count(F.col("text")).alias("words")), "words", limit)
 
 
+def prose_chunks(chunked: DataFrame) -> DataFrame:
+    """``chunked`` (doc_id, chunk, kind and others) without the chunks that hold no running prose, the others numbered anew."""
+    prose = F.max((~F.col("kind").isin(NOT_PROSE)).cast("int"))
+    kept = chunked.groupBy("doc_id", "chunk").agg(prose.alias("prose")).where("prose = 1").drop("prose")
+    kept = kept.withColumn("_new", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk")) - 1)
+    found = chunked.join(kept, ["doc_id", "chunk"])
+    return found.select(*(F.col("_new").cast("long").alias("chunk") if c == "chunk" else F.col(c) for c in chunked.columns))
+
+
 def context(chunked: DataFrame, overlap: int = OVERLAP_WORDS) -> DataFrame:
     """The last blocks of each chunk that the next one is shown: taken from the end while under ``overlap`` words."""
     after = Window.partitionBy("doc_id", "chunk").orderBy(F.desc("bi")).rowsBetween(Window.unboundedPreceding, -1)

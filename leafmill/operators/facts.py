@@ -63,12 +63,19 @@ def grown(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("tag").agg(F.sum("n").alias("n"))
 
 
-def jsonl(facts: DataFrame, columns: list[str]) -> DataFrame:
-    """One JSON object a fact; absent values are left out."""
-    return facts.select(F.to_json(F.struct(*columns)).alias("line"))
+def jsonl(facts: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """keys, line: one JSON object a fact; absent values are left out."""
+    return facts.select(*keys, F.to_json(F.struct(*columns)).alias("line"))
 
 
 def markdown(facts: DataFrame) -> DataFrame:
     """category, n, body: a section of Markdown for each category."""
     line = F.concat(F.lit("- "), F.col("title"), F.lit(" ("), F.col("footing"), F.lit(")"))
     return facts.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fact_id", line.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
+
+
+def bank_files(facts: DataFrame) -> DataFrame:
+    """name, content of the files of a bank: a section of Markdown for each category, for ``sources.files`` to write."""
+    category = F.regexp_replace(F.lower(F.trim("category")), r"[^\p{L}\p{N}]+", "-")
+    body = F.concat(F.lit("# "), F.col("category"), F.lit("\n\n"), F.col("body"), F.lit("\n"))
+    return markdown(facts).select(F.concat(category, F.lit(".md")).alias("name"), F.encode(body, "UTF-8").alias("content"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.notices import FOOTINGS
+from .stored import KINDS
 
 EPOCH = "1970-01-01T00:00:00.000Z"
 #: What a proposed note can be, and the version of a checkpoint that can be taken up again.
@@ -122,3 +123,74 @@ def saved_looks(records: DataFrame) -> DataFrame:
         "id", text(v, "$.id").alias("look_id"), text(v, "$.name", "Untitled look").alias("name"), text(v, "$.savedAt", EPOCH).alias("saved_at"),
         text(v, "$.imprint.imprint", "").alias("imprint"), text(v, "$.imprint.copyrightHolder", "").alias("holder"), true(v, "$.imprint.publicDomainNotice", True).alias("public_domain"),
     )
+
+
+#: Fixed value: the question whose answer is a credential.
+CREDENTIALS = ("apiKey",)
+
+
+def commands(records: DataFrame) -> DataFrame:
+    """id, op, ref, question, value (JSON), reason of commands off the wire (id, body): what is asked, or why it is refused."""
+    v = F.col("v")
+    op, ref, question = text(v, "$.op"), text(v, "$.ref"), text(v, "$.id")
+    value = F.try_variant_get(v, "$.value", "variant")
+    kind = _type(value)
+    listed = F.forall(F.when(kind.startswith("ARRAY"), value.try_cast("array<variant>")), lambda x: F.coalesce(_type(x) == "STRING", F.lit(False)))
+    held = F.when(kind.startswith("OBJECT"), value.try_cast("map<string,variant>"))
+    mapped = F.forall(F.map_values(held), lambda x: F.coalesce(_type(x) == "STRING", F.lit(False)))
+    valid = F.coalesce(kind.isin("STRING", "BOOLEAN") | F.coalesce(listed, F.lit(False)) | F.coalesce(mapped, F.lit(False)), F.lit(False))
+    shown = F.coalesce(op, F.when(_type(v, "$.op").isNotNull() & (_type(v, "$.op") != "VOID"), F.try_variant_get(v, "$.op", "string")).when(_type(v, "$.op") == "VOID", "null").otherwise("undefined"))
+    # Fixed wording.
+    reason = (
+        F.when(v.isNull(), "A command must be an object.")
+        .when(op.isin("state", "advance"), F.lit(None).cast("string"))
+        .when(op == "evidence", F.when(F.coalesce(ref, F.lit("")) == "", "An `evidence` command needs the `ref` a snapshot gave it."))
+        .when(
+            op == "answer",
+            F.when(F.coalesce(question, F.lit("")) == "", "An `answer` command needs the question `id`.")
+            .when(question.isin(*CREDENTIALS), F.concat(F.lit("“"), question, F.lit("” is a credential. It is typed by the person whose credential it is, into the browser that stores it — it does not travel this channel in either direction.")))
+            .when(~valid, "An answer must be a string, a boolean, an array of strings, or an object of string to string."),
+        )
+        .otherwise(F.concat(F.lit("Unknown command “"), shown, F.lit("”.")))
+    )
+    rows = records.select("id", parsed(F.col("body")).alias("v")).withColumn("reason", reason)
+    ok = F.col("reason").isNull()
+    return rows.select(
+        "id", F.when(ok, op).alias("op"), F.when(ok & (op == "evidence"), ref).alias("ref"), F.when(ok & (op == "answer"), question).alias("question"), F.when(ok & (op == "answer"), F.to_json(value)).alias("value"), "reason",
+    )
+
+
+_OPS = "array<struct<op:string,x:int,y:int,width:int,height:int,degrees:int>>"
+
+
+def edit_log(records: DataFrame) -> DataFrame:
+    """id, kind, target, value, at, level, block_id, width, height, title, placement, ops of the well-formed edits (id, body) of all
+    ten kinds, as ``edits.replayed`` and ``additions`` take them. An edit that lacks what its kind asks for goes."""
+    v = F.col("v")
+    kind, block = text(v, "$.kind"), text(v, "$.blockId", "")
+    at, words = number(v, "$.at"), text(v, "$.text")
+    after_type = _type(v, "$.afterBlockId")
+    placed = after_type.isin("STRING", "VOID")
+    named = lambda path: text(v, path, "") != ""
+    op = lambda o: F.struct(text(o, "$.op").alias("op"), *(number(o, f"$.params.{c}").cast("int").alias(c) for c in ("x", "y", "width", "height", "degrees")))
+    good_op = lambda o: text(o, "$.op").isNotNull() & F.coalesce(_type(o, "$.params").startswith("OBJECT"), F.lit(False))
+    ops = F.transform(F.filter(_objects(v, "$.ops"), good_op), op).cast(_OPS)
+    asks = {
+        "text": (block != "") & words.isNotNull(), "retype": (block != "") & text(v, "$.blockKind").isin(KINDS), "drop": block != "", "split": (block != "") & at.isNotNull(), "merge": block != "",
+        "image": named("$.imageId") & placed & number(v, "$.sourceWidth").isNotNull() & number(v, "$.sourceHeight").isNotNull(), "retouch": named("$.illustrationId") & (F.size(ops) > 0),
+        "section": named("$.sectionId") & text(v, "$.placement").isin("front", "back") & text(v, "$.title").isNotNull() & words.isNotNull(), "note": named("$.noteId") & (block != "") & at.isNotNull() & words.isNotNull(),
+        "anchor": named("$.illustrationId") & placed,
+    }
+    names = {"image": "$.imageId", "retouch": "$.illustrationId", "section": "$.sectionId", "note": "$.noteId", "anchor": "$.illustrationId"}
+    good, target = F.lit(False), F.col("block")
+    for k, asked in asks.items():
+        good = F.when(kind == k, asked).otherwise(good)
+        target = F.when(kind == k, text(v, names[k])).otherwise(target) if k in names else target
+    rows = records.select("id", parsed(F.col("body")).alias("v")).where(F.coalesce(good, F.lit(False))).withColumn("block", block)
+    only = lambda c, *kinds: F.when(kind.isin(*kinds), c)
+    return rows.select(
+        "id", kind.alias("kind"), target.alias("target"), F.when(kind == "retype", text(v, "$.blockKind")).otherwise(only(words, "text", "section", "note")).alias("value"), only(at.cast("int"), "split", "note").alias("at"),
+        only(number(v, "$.level").cast("int"), "retype").alias("level"), F.when(kind == "note", block).otherwise(only(text(v, "$.afterBlockId"), "image", "anchor")).alias("block_id"),
+        only(number(v, "$.sourceWidth").cast("int"), "image").alias("width"), only(number(v, "$.sourceHeight").cast("int"), "image").alias("height"), only(text(v, "$.title"), "section").alias("title"),
+        only(text(v, "$.placement"), "section").alias("placement"), only(ops, "retouch").alias("ops"),
+    )

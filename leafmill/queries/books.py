@@ -106,6 +106,16 @@ def w07(spark, sf):
     return assemble.chunks(_blocks(spark, sf))
 
 
+@query("w07_prose_chunks", sql("blocks", _CHUNKS.replace("1200", "30") + """
+, k as (select w.*, kind from walk w join blocks using (doc_id, bi)), p as (select doc_id, chunk, row_number() over (partition by doc_id order by chunk) - 1 m from k group by 1, 2 having bool_or(kind not in ('heading', 'caption', 'footnote', 'table')))
+select doc_id, bi, kind, m::bigint as chunk from k join p using (doc_id, chunk)""", recursive=True))
+def w07_prose(spark, sf):
+    """Small chunks, without those of headings, captions, notes and tables only."""
+    b = _blocks(spark, sf)
+    cut = assemble.chunks(b, 30).join(b.select("doc_id", "bi", "kind"), ["doc_id", "bi"])
+    return assemble.prose_chunks(cut.select("doc_id", "bi", "kind", "chunk"))
+
+
 @query("w08_context_for", sql("blocks", _CHUNKS + """
 , taken as (select *, coalesce(sum(words) over (partition by doc_id, chunk order by bi desc rows between unbounded preceding and 1 preceding), 0) t from walk)
 select doc_id, bi, words, chunk from taken where t < 200""", recursive=True))
@@ -238,7 +248,7 @@ def canonical(spark, sf):
 select fact_id, '{"fact_id":' || fact_id || ',"block_id":' || block_id || ',"footing":"' || footing || '"' || case when fact_id % 2 = 0 then ',"note":"n' || fact_id || '"' else '' end || '}' line from facts""")
 def k02(spark, sf):
     found = _facts(spark, sf).withColumn("note", F.when(F.col("fact_id") % 2 == 0, F.concat(F.lit("n"), F.col("fact_id").cast("string"))))
-    return found.select("fact_id", F.to_json(F.struct("fact_id", "block_id", "footing", "note")).alias("line"))
+    return facts.jsonl(found, ["fact_id", "block_id", "footing", "note"], "fact_id")
 
 
 @query("k03_bank_markdown", _FACTS + """

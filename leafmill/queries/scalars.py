@@ -98,6 +98,38 @@ def p18(spark, sf):
     return rows.select("p_partkey", F.when(L.known_trim(F.col("trim")), "ok").otherwise("warn").alias("trim_size"), F.when(wide, "ok").otherwise("fail").alias("gutter"), wide.alias("ready"))
 
 
+@query("p18_all_print_checks", """
+
+with i as (select p_partkey, p_size * 16 page_count, ['6x9', '5.5 x 8.5', '8X10', 'a4', '7.1x9'][p_partkey % 5 + 1] trim_, (p_partkey % 9) * 0.05::double + 0.525 inner_, p_size warnings, p_partkey % 3 > 0 typeset, p_partkey % 4 > 0 embedded, [p_size * 30.0, case when p_partkey % 2 = 0 then 300.0 end][:(p_partkey % 3)::int] dpi from part),
+d as (select *, case when trim_ = 'a4' then 6.0 else regexp_extract(trim_, '^\\s*([0-9.]+)', 1)::double end w, case when trim_ = 'a4' then 9.0 else regexp_extract(trim_, '([0-9.]+)\\s*$', 1)::double end h from i),
+g as (select *, case when page_count <= 150 then .375 when page_count <= 300 then .5 when page_count <= 500 then .625 when page_count <= 700 then .75 else .875 end::double need,
+  exists (select 1 from (values (5, 8), (5.06, 7.81), (5.25, 8), (5.5, 8.5), (6, 9), (6.14, 9.21), (6.69, 9.61), (7, 10), (7.44, 9.69), (7.5, 9.25), (8, 10), (8.25, 11), (8.5, 11)) k(a, b) where abs(w - a::double) < .02 and abs(h - b::double) < .02) known from d), c as (select *, len(list_filter(dpi, lambda d: d < 300)) low, len(list_filter(dpi, lambda d: d is null)) unk, inner_ >= need - 1e-9 wide, 'Trim ' || trim_ || ' (' || regexp_replace(w::varchar, '\\.0$', '') || '×' || regexp_replace(h::varchar, '\\.0$', '') || ' in) ' size, 'Inside margin ' || format('{:.3f}', inner_) margin from g)
+select p_partkey, 0 n, 'fonts-embedded' id, case when embedded then 'ok' else 'warn' end "level", case when embedded then 'The typeface is embedded in the PDF, so the book sets the same everywhere.' else 'Fonts may not be fully embedded — KDP requires embedded fonts.' end detail from c
+union all select p_partkey, 1, 'trim-size', case when known then 'ok' else 'warn' end, size || case when known then 'is a recognized KDP size.' else 'is not a standard KDP size; confirm it is supported.' end from c
+union all select p_partkey, 2, 'gutter', case when wide then 'ok' else 'fail' end, margin || case when wide then ' in meets the ' || need || ' in minimum for ' || page_count || ' pages.' else ' in is below the ' || need || ' in minimum for ' || page_count || ' pages; text may be swallowed by the spine.' end from c
+union all select p_partkey, 3, 'image-dpi', case when low + unk > 0 then 'warn' else 'ok' end, case when len(dpi) = 0 then 'No placed images to check.' when low > 0 then low || ' image(s) below 300 DPI at placed size and may print muddy.'
+  when unk > 0 then unk || ' image(s) have unknown effective DPI; verify they meet 300 DPI.' else 'All ' || len(dpi) || ' image(s) meet 300 DPI at placed size.' end from c
+union all select p_partkey, 4, 'latex-warnings', case when not typeset then 'pending' when warnings > 0 then 'warn' else 'ok' end, case when not typeset then 'Not checked yet — these only exist once the book has been typeset.'
+  when warnings > 0 then warnings || ' line(s) run past the margin and need resolving or acknowledging.' else 'Every line fits its measure.' end from c
+union all select p_partkey, 5, 'page-count', case when typeset then 'ok' else 'pending' end, case when typeset then 'Final interior page count: ' || page_count || ' pages (use for cover spine width).'
+  else 'Roughly ' || page_count || ' pages, based on the scan. Typeset the book before sizing the cover spine — the real count will differ.' end from c""")
+def p18_all(spark, sf):
+    """All six checks of each part as a book."""
+    k = F.col("p_partkey")
+    trims = F.array(*map(F.lit, ["6x9", "5.5 x 8.5", "8X10", "a4", "7.1x9"]))
+    dpi = F.slice(F.array(F.col("p_size") * F.lit(30.0), F.when(k % 2 == 0, 300.0)), F.lit(1), (k % 3).cast("int"))
+    checks = L.print_checks(F.element_at(trims, (k % 5 + 1).cast("int")), F.col("p_size") * 16, (k % 9) * 0.05 + 0.525, dpi, F.col("p_size"), k % 3 > 0, k % 4 > 0)
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(checks).alias("n", "c")).select("p_partkey", "n", "c.*")
+
+
+@query("p35_safe_file_names", r"""
+with t as (select doc_id, string_split(text, chr(10))[1] title from documents)
+select doc_id, coalesce(nullif(lower(regexp_replace(regexp_replace(strip_accents(coalesce(title, '')), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')[1:60]), ''), 'book') || '.pdf' "file" from t""")
+def p35(spark, sf):
+    """A file's name for each document by its first line."""
+    return table(spark, sf, "documents").select("doc_id", T.safe_file_name(F.element_at(F.split("text", "\n"), 1), "pdf").alias("file"))
+
+
 @query("p20_frames", """
 with i as (select p_partkey, ['6x9', '5.5 x 8.5', '8X10', 'a4'][p_partkey % 4 + 1] t, p_partkey % 2 = 0 recto, 0.5 + (p_partkey % 5) * 0.1::double m from part),
 d as (select *, case when t = 'a4' then 6.0 else regexp_extract(t, '^\\s*([0-9.]+)', 1)::double end * 72 w, case when t = 'a4' then 9.0 else regexp_extract(t, '([0-9.]+)\\s*$', 1)::double end * 72 h from i),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions import text as T
 from ..functions.text import superscript
-from ..operators import hyphens, notes, pictures, stored
+from ..operators import facts, hyphens, notes, pictures, stored
 from ..plans import scratch
 from ..plans.views import blocks, ocr_words, sql, table, tokens
 from ..plans.views import pages as page_view
@@ -281,6 +281,21 @@ def k05(spark, sf):
     return back.select(F.concat(F.lit("books/"), F.element_at(F.split("path", "/"), -1)).alias("name"), F.sha2("content", 256).alias("content_sha256"))
 
 
+@query("k04_bank_files", """
+with f as (select event_type category, '- e' || event_id || ' (' || case when event_id % 2 = 0 then 'stated' else 'context' end || ')' line, event_id from events)
+select category || '.md' "name", sha256('# ' || category || chr(10) || chr(10) || string_agg(line, chr(10) order by event_id) || chr(10)) content_sha256 from f group by category""")
+def k04(spark, sf):
+    """A bank of facts written as a file a category, and read back."""
+    rows = table(spark, sf, "events").select(
+        F.col("event_id").alias("fact_id"), F.col("event_type").alias("category"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("title"), F.when(F.col("event_id") % 2 == 0, "stated").otherwise("context").alias("footing")
+    )
+    files.register(spark)
+    path = f"{scratch.shared_folder(spark)}/bank-{uuid.uuid4().hex}"
+    facts.bank_files(rows).write.format("leafmill_files").mode("append").save(path)
+    back = spark.read.format("binaryFile").load(path)
+    return back.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("content_sha256"))
+
+
 @query("s05_flatten_words", sql("tok ocr", "select doc_id, page_index, row_number() over (partition by doc_id, page_index order by pos) - 1 n, text from ocr where word_no % 9 <> 4"))
 def s05(spark, sf):
     """Words nested by page and line, blank ones among them, flattened and numbered again."""

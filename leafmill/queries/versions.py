@@ -139,3 +139,49 @@ def p49(spark, sf):
     look = F.when(n % 7 == 3, F.lit("8")).otherwise(F.concat(F.lit('"look'), F.col("page_id").cast("string"), F.lit('"')))
     body = _json(("id", look), ("name", F.when(n % 3 == 0, F.lit("3")).otherwise(url)), ("savedAt", "false"), ("imprint", imprint))
     return versions.saved_looks(table(spark, sf, "pages").select(F.col("page_id").alias("id"), body.alias("body")))
+
+
+@query("p58_commands", """
+with e as (select event_id id, event_id % 11 k, event_type t, user_id u from events)
+select id, case when k = 0 then 'state' when k = 1 then 'advance' when k = 2 then 'evidence' when k in (4, 5, 6) then 'answer' end op, case when k = 2 then 'words:' || u end ref, case when k in (4, 5, 6) then 'page-' || u end question,
+  case when k = 4 then '"' || t || '"' when k = 5 then '["' || t || '","b"]' when k = 6 then '{"s1":"' || t || '"}' end as value,
+  case k when 3 then 'An `evidence` command needs the `ref` a snapshot gave it.' when 7 then 'An answer must be a string, a boolean, an array of strings, or an object of string to string.'
+    when 8 then '“apiKey” is a credential. It is typed by the person whose credential it is, into the browser that stores it — it does not travel this channel in either direction.' when 9 then 'Unknown command “' || t || '”.' when 10 then 'A command must be an object.' end reason from e""")
+def p58(spark, sf):
+    """Commands off the wire, one for each event, of every kind by turns."""
+    t, u = F.concat(F.lit('"'), "event_type", F.lit('"')), F.col("user_id").cast("string")
+    answer = lambda question, value: _json(("op", '"answer"'), ("id", question), ("value", value))
+    page = F.concat(F.lit('"page-'), u, F.lit('"'))
+    kinds = [
+        F.lit('{"op":"state"}'), F.lit('{"op":"advance","more":1}'), _json(("op", '"evidence"'), ("ref", F.concat(F.lit('"words:'), u, F.lit('"')))), F.lit('{"op":"evidence","ref":4}'), answer(page, t),
+        answer(page, F.concat(F.lit("["), t, F.lit(',"b"]'))), answer(page, _json(("s1", t))), answer(page, F.concat(F.lit('{"s1":'), t, F.lit(',"s2":2}'))), answer(F.lit('"apiKey"'), t), _json(("op", t)), F.concat(F.lit("["), t, F.lit("]")),
+    ]
+    body = F.element_at(F.array(*kinds), (F.col("event_id") % 11 + 1).cast("int"))
+    return versions.commands(table(spark, sf, "events").select(F.col("event_id").alias("id"), body.alias("body")))
+
+
+@query("s23_edit_log", """
+with e as (select event_id id, ['text', 'retype', 'drop', 'split', 'merge', 'image', 'retouch', 'section', 'note', 'anchor', 'paint'][event_id % 11 + 1] kind, event_id % 7 w, event_type t, user_id u, event_id % 13 n from events)
+select id, kind, case when kind in ('text', 'retype', 'drop', 'split', 'merge') then 'b' || u else 't' || u end target,
+  case when kind = 'retype' then 'heading' when kind in ('text', 'section', 'note') then t end as value, case when kind in ('split', 'note') then n end::int "at", case when kind = 'retype' and w <> 2 then 2 end::int "level",
+  case when kind = 'note' then 'b' || u when kind in ('image', 'anchor') and n % 2 = 0 then 'b' || u end block_id, case when kind = 'image' then n end::int width, case when kind = 'section' then 'A title' end title, case when kind = 'retouch' then 1 end::int n_ops, case when kind = 'retouch' then n end::int x
+from e where kind <> 'paint' and case kind when 'text' then w not in (1, 4) when 'retype' then w not in (1, 3) when 'drop' then w <> 1 when 'split' then w not in (1, 5) when 'merge' then w <> 1 when 'image' then w not in (0, 3, 6)
+  when 'retouch' then w not in (0, 6) when 'section' then w not in (0, 3, 4) when 'note' then w not in (0, 1, 4, 5) when 'anchor' then w not in (0, 3) end""")
+def s23_log(spark, sf):
+    """Stored edits of all ten kinds, by turns without what their kind asks for or with it in another type."""
+    e, w, n = F.col("event_id"), F.col("event_id") % 7, (F.col("event_id") % 13).cast("string")
+    u = F.col("user_id").cast("string")
+    kinds = F.array(*map(F.lit, ["text", "retype", "drop", "split", "merge", "image", "retouch", "section", "note", "anchor", "paint"]))
+    kind = F.element_at(kinds, (e % 11 + 1).cast("int"))
+    q = lambda *c: F.concat(F.lit('"'), *c, F.lit('"'))
+    thing = F.when(w == 0, F.lit("7")).otherwise(q(F.lit("t"), u))
+    after = F.when(w == 3, F.lit("4")).when(e % 13 % 2 == 0, q(F.lit("b"), u)).otherwise("null")
+    placement = F.when(w == 3, '"middle"').otherwise('"front"')
+    ops = F.concat(F.lit('[{"op":"crop","params":{"x":'), n, F.lit('}},{"op":"turn"},{"op":4,"params":{}},5]'))
+    body = _json(
+        ("kind", q(kind)), ("blockId", F.when(w == 1, F.lit('""')).otherwise(q(F.lit("b"), u))), ("text", F.when(w == 4, F.lit("3")).otherwise(q(F.col("event_type")))), ("blockKind", F.when(w == 3, '"page"').otherwise('"heading"')),
+        ("level", F.when(w == 2, '"2"').otherwise("2")), ("at", F.when(w == 5, q(n)).otherwise(n)), ("imageId", thing), ("illustrationId", thing), ("sectionId", thing), ("noteId", thing), ("afterBlockId", after),
+        ("sourceWidth", n), ("sourceHeight", F.when(w == 6, "null").otherwise("5")), ("placement", placement), ("title", '"A title"'), ("ops", F.when(w == 6, F.lit('[{"op":"x"}]')).otherwise(ops)),
+    )
+    found = versions.edit_log(table(spark, sf, "events").select(F.col("event_id").alias("id"), body.alias("body")))
+    return found.select("id", "kind", "target", "value", "at", "level", "block_id", "width", "title", F.nullif(F.coalesce(F.size("ops"), F.lit(0)), F.lit(0)).alias("n_ops"), F.get("ops", F.lit(0))["x"].alias("x"))

@@ -41,3 +41,12 @@ def test_introductions(spark):
     got = read(spark, versions.introductions, '{"title":" T ","paragraphs":[" a ","",3,"b"]}', '{"paragraphs":["a"]}', '{"paragraphs":[" "]}', '{"paragraphs":"a"}', "[]")
     assert (got[0].title, got[0].text) == ("T", "a\n\nb") and got[1].title == "Introduction"
     assert got[2].refused.endswith("came back empty") and got[3].refused == got[4].refused and got[3].text is None
+
+
+def test_commands(spark):
+    got = read(
+        spark, versions.commands, '{"op":"state"}', '{"op":"answer","id":"q","value":true}', '{"op":"answer","id":"q","value":{"a":"b"}}', '{"op":"answer","id":"q","value":["a",1]}', '{"op":"answer","id":"q"}', '{"op":"answer","id":"","value":""}',
+        '{"op":"answer","id":"q","value":null}', '{"op":7}', "{}", '"state"', '{"op":"answer","id":"q","value":[]}', '{"op":"evidence","ref":""}',
+    )
+    assert [k for k, r in got.items() if r.reason is None] == [0, 1, 2, 10] and got[1].value == "true" and got[2].value == '{"a":"b"}' and got[10].value == "[]"
+    assert got[7].reason == "Unknown command “7”." and got[8].reason == "Unknown command “undefined”." and got[9].reason == "A command must be an object."
