@@ -1,13 +1,17 @@
-"""Inline markup, anchors and claims: small helpers that pandas functions apply to a column."""
+"""Inline markup and corrections, as small helpers that pandas functions apply to a column; anchors and claims."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from ..plans.views import BLANK
+from .notices import fnv1a
+
 # Tags that mean italics, and tags that mean nothing here.
 ITALIC, TRANSPARENT = ("i", "em", "cite", "var"), ("sup", "sub", "b", "strong", "span", "p", "small")
 _TAG = re.compile(r"<(/?)(%s)(?:\s[^<>]*)?/?>" % "|".join(ITALIC + TRANSPARENT), re.I)
@@ -54,26 +58,6 @@ def put_markup(text: str | None, emphasis) -> str:
     return "".join(out) + (text or "")[at:]
 
 
-def find_anchor(block: str | None, anchor: str | None) -> int | None:
-    """Where an anchor ends in a block, white space loose, in its own case or else in any."""
-    words = (anchor or "").split()
-    if not words or block is None:
-        return None
-    pattern = r"\s+".join(map(re.escape, words))
-    found = re.search(pattern, block) or re.search(pattern, block, re.I)
-    return found.end() if found else None
-
-
-def claims(text: str | None) -> list[str]:
-    """Numbers, and capitalised words that don't begin a sentence; each once, in order."""
-    out: dict[str, None] = {}
-    for sentence in re.split(r"(?<=[.!?])\s+", text or ""):
-        for k, w in enumerate(re.findall(r"\d[\d,.]*\d|\d|[^\W\d_][\w'’-]*", sentence)):
-            if w[0].isdigit() or (k > 0 and w[0].isupper() and len(w) >= 2):
-                out.setdefault(w)
-    return list(out)
-
-
 def correct_terms(text: str | None, corrections: list[tuple[str, str]]) -> tuple[str, int]:
     """Whole words replaced in order, each also in its capitalised form; how many were."""
     text, total = text or "", 0
@@ -85,25 +69,6 @@ def correct_terms(text: str | None, corrections: list[tuple[str, str]]) -> tuple
     return text, total
 
 
-def fnv1a(text: str) -> int:
-    """The 32-bit FNV-1a hash of a string's UTF-16 code units."""
-    h = 0x811C9DC5
-    raw = text.encode("utf-16-le", "surrogatepass")
-    for k in range(0, len(raw), 2):
-        h = ((h ^ (raw[k] | raw[k + 1] << 8)) * 0x01000193) & 0xFFFFFFFF
-    return h
-
-
-def base36(n: int) -> str:
-    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
-    out = ""
-    while True:
-        n, r = divmod(n, 36)
-        out = digits[r] + out
-        if not n:
-            return out
-
-
 @F.pandas_udf(StructType().add("text", StringType()).add("emphasis", ArrayType(IntegerType())))
 def parsed_markup(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_markup(x) for x in raw], columns=["text", "emphasis"])
@@ -114,19 +79,30 @@ def with_markup(text: pd.Series, emphasis: pd.Series) -> pd.Series:
     return pd.Series([put_markup(t, e) for t, e in zip(text, emphasis)])
 
 
-@F.pandas_udf(IntegerType())
-def anchor_end(block: pd.Series, anchor: pd.Series) -> pd.Series:
-    return pd.Series([find_anchor(b, a) for b, a in zip(block, anchor)], dtype="Int32")
+def anchor_end(block: Column, anchor: Column) -> Column:
+    """Where an anchor ends in a block, white space loose, in its own case or else in any; null where it isn't."""
+    words = F.filter(F.split(anchor, f"{BLANK}+"), lambda w: w != "")
+    quoted = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.array_join(quoted, f"{BLANK}+")
 
+    def end(p: Column) -> Column:
+        parts = F.split(block, p, 2)
+        return F.when(F.size(parts) == 2, F.length(block) - F.length(F.get(parts, F.lit(1))))
 
-@F.pandas_udf(ArrayType(StringType()))
-def claims_in(text: pd.Series) -> pd.Series:
-    return pd.Series([claims(t) for t in text])
+    return F.when(F.size(words) > 0, F.coalesce(end(pattern), end(F.concat(F.lit("(?iu)"), pattern))))
 
 
-@F.pandas_udf(StringType())
-def short_hash(text: pd.Series) -> pd.Series:
-    return pd.Series([base36(fnv1a(t or "")) for t in text])
+def claims_in(text: Column) -> Column:
+    """Numbers, and capitalised words that don't begin a sentence; each once, in order."""
+    sentences = F.split(F.coalesce(text, F.lit("")), f"(?<=[.!?]){BLANK}+")
+    words = F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"\p{Nd}[\p{Nd},.]*\p{Nd}|\p{Nd}|\p{L}[\p{L}\p{N}_'’-]*"), F.lit(0)))
+    claim = lambda w, k: w.rlike(r"^\p{Nd}") | ((k > 0) & w.rlike(r"^\p{Lu}") & (F.length(w) >= 2))
+    return F.array_distinct(F.flatten(F.transform(words, lambda ws: F.filter(ws, claim))))
+
+
+def short_hash(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a string, in digits and small letters."""
+    return F.lower(F.conv(fnv1a(F.coalesce(text, F.lit(""))).cast("string"), 10, 36))
 
 
 def correcting(corrections: list[tuple[str, str]]):

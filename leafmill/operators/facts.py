@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import collapse
 
 
+#: Whole words of a quote by which blocks that may hold it are found.
+RUN = 3
+
+
 def check(facts: DataFrame, blocks: DataFrame) -> DataFrame:
     """``facts`` (fact_id, book, block_id, quote, footing) with quote_verified, footing, demoted_from, quote.
 
@@ -16,7 +20,17 @@ def check(facts: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     wanted = facts.where(F.col("quote") != "").select("fact_id", "book", "block_id", collapse(F.col("quote")).alias("q"))
     near = wanted.join(blocks.select("block_id", F.col("text").alias("t")), "block_id").where(F.contains(collapse(F.col("t")), F.col("q"))).select("fact_id")
-    far = wanted.join(blocks.select("book", F.col("text").alias("t")), "book").where(F.contains(F.lower(collapse(F.col("t"))), F.lower("q"))).select("fact_id")
+    # A quote may begin and end inside words, but those between stand in the text whole: RUN of them find the blocks to
+    # look into. Only quotes too short for that meet all blocks of their book.
+    low = lambda c: F.lower(collapse(F.col(c)))
+    split = wanted.withColumn("w", F.split(F.lower("q"), " ")).withColumn("long", F.size("w") >= RUN + 2)
+    keyed = split.where("long").select("fact_id", "book", "q", F.xxhash64(F.slice("w", 2, RUN)).alias("key"))
+    words = blocks.select("block_id", "book", F.split(low("text"), " ").alias("w"))
+    runs = F.transform(F.when(F.size("w") >= RUN, F.sequence(F.lit(1), F.size("w") - RUN + 1)), lambda i: F.xxhash64(F.slice("w", i, RUN)))
+    found = words.select("block_id", "book", F.explode(F.array_distinct(runs)).alias("key")).join(keyed, ["book", "key"]).select("fact_id", "book", "block_id", "q")
+    found = found.join(blocks.select("book", "block_id", F.col("text").alias("t")), ["book", "block_id"]).where(F.contains(low("t"), F.lower("q"))).select("fact_id")
+    short = split.where("not long").join(blocks.select("book", F.col("text").alias("t")), "book").where(F.contains(low("t"), F.lower("q"))).select("fact_id")
+    far = found.union(short)
     held = near.union(far).distinct().withColumn("quote_verified", F.lit(True))
     out = facts.join(held, "fact_id", "left").withColumn("quote_verified", F.coalesce("quote_verified", F.lit(False)))
     demoted = (F.col("footing") == "stated") & ~F.col("quote_verified")

@@ -13,10 +13,12 @@ LEAST_COUNT, LOW_CONFIDENCE, LIMIT = 3, 80, 200
 
 def forms(words: DataFrame) -> DataFrame:
     """key, form, n, confidence, first, pages: spellings of the words (text, confidence, page, at), counted where they lie."""
+    # Words as they stand are counted first, so that each different one is brought to its form once and not where it occurs.
+    raw = words.groupBy("text").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.min("at").alias("first"))
     term = normalize_token(F.col("text"))
-    named = words.select(term.alias("form"), F.lower(term).alias("key"), "confidence", "page", "at")
+    named = raw.select(term.alias("form"), F.lower(term).alias("key"), "n", "confidence", "first")
     named = named.where((F.length("form") >= 3) & F.col("form").rlike(r"\p{L}"))
-    return named.groupBy("key", "form").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.min("at").alias("first"))
+    return named.groupBy("key", "form").agg(F.sum("n").alias("n"), F.sum("confidence").alias("confidence"), F.min("first").alias("first"))
 
 
 def entries(words: DataFrame, common: DataFrame, least: int = LEAST_COUNT) -> DataFrame:

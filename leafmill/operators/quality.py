@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import JUNK
@@ -18,13 +18,18 @@ def _key(token: Column) -> Column:
 def assess(docs: DataFrame, vouched: int = VOUCHED) -> DataFrame:
     """doc_id, words, score, noise, flips, mixed, verdict of every document (null or empty: no words, mixed).
 
-    A document's words are counted before anything is shuffled, so a shuffle carries each different word once.
+    Texts are shuffled once, by document; counts of words and of what vouches for them are then made where they lie.
     """
+    docs = docs.select("doc_id", "text").repartition("doc_id")
     shape = tokens(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    said = shape.withColumn("key", _key("token")).where(F.length("key") > 1).groupBy("doc_id", "key").agg(F.sum("n").alias("times"))
     bare = F.regexp_replace("token", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    shape = shape.where(~F.col("token").rlike(r"^[^\p{L}\p{N}]+$")).withColumn("bare", bare).withColumn("key", _key(F.col("bare")))
-    shape = shape.join(said, ["doc_id", "key"], "left")
+    shape = shape.withColumn("bare", bare).withColumn("said", _key(F.col("token"))).withColumn("key", _key(F.col("bare")))
+    # A word vouches under its own key and is looked up under its bare one, mostly the same: then one row does both.
+    row = lambda key, adds, asks: F.struct(key.alias("key"), adds.alias("adds"), F.lit(asks).alias("asks"))
+    adds = F.when(F.length("said") > 1, F.col("n")).otherwise(0)
+    both = F.when(F.col("said") == F.col("key"), F.array(row(F.col("key"), adds, True))).otherwise(F.array(row(F.col("said"), adds, False), row(F.col("key"), F.lit(0).cast("long"), True)))
+    shape = shape.select("doc_id", "token", "bare", "n", F.inline(both)).withColumn("times", F.sum("adds").over(Window.partitionBy("doc_id", "key")))
+    shape = shape.where(F.col("asks") & ~F.col("token").rlike(r"^[^\p{L}\p{N}]+$"))
     bare = F.col("bare")
     marks = shape.select(
         "doc_id", "n",

@@ -64,12 +64,21 @@ def parse(files: DataFrame) -> DataFrame:
     """
     parts = rest(F.split("content", PAGE, -1))
     pages = files.select("file_id", F.posexplode(parts).alias("page_index", "body"))
-    heads, inner = (F.regexp_extract_all("body", F.lit(WORD), F.lit(k)) for k in (1, 2))
-    words = F.filter(F.arrays_zip(heads.alias("head"), inner.alias("inner")), lambda w: _title(w["head"]).rlike(BOX))
+
+    def word(span: Column) -> Column:
+        """A word's title, its box's numbers (one string, null without a whole box) and what stands inside its tag."""
+        end = F.position(F.lit(">"), span)
+        title = _title(F.substring(span, F.lit(1), end))
+        numbers = F.regexp_replace(title, BOX + "(?s).*", "\u0001$1 $2 $3 $4")
+        inner = F.substring(span, end + 1, F.length(span) - end - len("</span>"))
+        return F.struct(title.alias("title"), F.when(F.startswith(numbers, F.lit("\u0001")), F.substring(numbers, 2, 2147483647)).alias("box"), inner.alias("inner"))
+
+    # One search of the page; all else reads single words. Each pattern runs once a word.
+    words = F.filter(F.transform(F.regexp_extract_all("body", F.lit(WORD), F.lit(0)), word), lambda w: w["box"].isNotNull())
     rows = pages.select("file_id", "page_index", F.posexplode(words).alias("word_no", "w"))
-    rows = rows.select("file_id", "page_index", "word_no", "w.inner", _title(F.col("w.head")).alias("title"))
-    title = F.col("title")
-    return rows.select("file_id", "page_index", "word_no", plain_text(F.col("inner")).alias("text"), confidence(title).alias("confidence"), *box(title))
+    rows = rows.select("file_id", "page_index", "word_no", "w.inner", "w.title", F.split("w.box", " ").alias("box"))
+    sides = [F.get("box", F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]
+    return rows.select("file_id", "page_index", "word_no", plain_text(F.col("inner")).alias("text"), confidence(F.col("title")).alias("confidence"), *sides)
 
 
 def render(words: DataFrame) -> DataFrame:

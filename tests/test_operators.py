@@ -76,15 +76,16 @@ def test_variants_fold_into_earlier_leaders(spark):
     assert all(sorted(x.lower() for x in r.variants) == sorted(k for k in home if home[k] == h and k != h) for h, r in folded.items())
 
 
-def test_markup_round_trip():
+def test_markup_round_trip(spark):
     text, words = markup.parse_markup("a <i>b c</i> d</i> <b>e</b> <x>f <em>g")
     assert (text, words) == ("a b c d e <x>f g", [1, 2, 6])
     assert markup.put_markup("a b c d", [1, 2]) == "a <i>b c</i> d"
     assert markup.parse_markup(markup.put_markup("one two three", [0, 2])) == ("one two three", [0, 2])
-    assert markup.find_anchor("Some  Words here", "some words") == 11 and markup.find_anchor("x", "y") is None
-    assert markup.claims("He met Anna in 1851. She left Paris, in 1,200 days. Anna stayed.") == ["Anna", "1851", "Paris", "1,200"]
+    end = lambda b, a: one(spark, markup.anchor_end(F.col("b"), F.col("a")), b=b, a=a)
+    assert end("Some  Words here", "some words") == 11 and end("x", "y") is None and end("a 🙂 b. c", "🙂 b.") == 6 and end("x (a) y", "(a)") == 5 and end("x", " ") is None
+    assert one(spark, markup.claims_in(F.col("a")), a="He met Anna in 1851. She left Paris, in 1,200 days. Anna stayed.") == ["Anna", "1851", "Paris", "1,200"]
     assert markup.correct_terms("teh cat. Teh teh-cat", [("teh", "the")]) == ("the cat. The teh-cat", 2)
-    assert markup.base36(markup.fnv1a("")) == "ztntfp"
+    assert one(spark, markup.short_hash(F.col("a")), a="") == "ztntfp"
 
 
 def test_a_left_out_run():
