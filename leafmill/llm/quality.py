@@ -16,6 +16,7 @@ is null is none; of several labels of an id the larger counts. Without any label
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, restored, texts
+from .common import Scratch, carried, restored, texts
 
 PASSAGE, HASHED, SAMPLE, THRESHOLD = 64, 32, 6000, 0.3
+#: Bytes of passages that the driver holds at a time while it fits.
+PART = 64 << 20
 SIGNS = ".,!?;:|#$%&*<>{}[]()\"'-_/\\@+="
 _BASIC = 9
 WIDTH = _BASIC + len(SIGNS) + HASHED + 7
@@ -155,25 +158,30 @@ class Model:
         g["W"], g["b"] = x.T @ dh, dh.sum(0)
         return g
 
-    def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 0.004, decay: float = 1e-4, batch: int = 64, seed: int = 8) -> Model:
+    def fit(self, parts: Callable[[], Iterable[tuple[list[np.ndarray], np.ndarray]]], epochs: int = 30, rate: float = 0.004, decay: float = 1e-4, batch: int = 64, seed: int = 8) -> Model:
+        """Fit on the bags and labels that ``parts`` yields, each time it is asked, a part after the other."""
         rng = np.random.default_rng(seed)
-        n = sum(map(len, bags))
-        self.mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
-        self.scale = np.sqrt(sum(((b - self.mean) ** 2).sum(0) for b in bags) / n) + 1e-3
+        n, total = 0, 0.0
+        for bags, _ in parts():
+            n += sum(map(len, bags))
+            total = total + sum(b.sum(0, dtype=np.float64) for b in bags)
+        self.mean = total / n
+        self.scale = np.sqrt(sum(sum(((b - self.mean) ** 2).sum(0) for b in bags) for bags, _ in parts()) / n) + 1e-3
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
         for epoch in range(epochs):
-            order = rng.permutation(len(bags))
-            for at in range(0, len(order), batch):
-                chosen = order[at : at + batch]
-                starts = np.cumsum([0, *(len(bags[k]) for k in chosen)])[:-1]
-                score, kept = self.forward(np.concatenate([bags[k] for k in chosen]), starts)
-                step += 1
-                for k, g in self.gradient(kept, starts, score, y[chosen]).items():
-                    g = g + decay * self.p[k]
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.p[k] -= rate * (1 - epoch / epochs) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            for bags, y in parts():
+                order = rng.permutation(len(bags))
+                for at in range(0, len(order), batch):
+                    chosen = order[at : at + batch]
+                    starts = np.cumsum([0, *(len(bags[k]) for k in chosen)])[:-1]
+                    score, kept = self.forward(np.concatenate([bags[k] for k in chosen]), starts)
+                    step += 1
+                    for k, g in self.gradient(kept, starts, score, y[chosen]).items():
+                        g = g + decay * self.p[k]
+                        first[k] = 0.9 * first[k] + 0.1 * g
+                        second[k] = 0.999 * second[k] + 0.001 * g * g
+                        self.p[k] -= rate * (1 - epoch / epochs) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
 
@@ -181,8 +189,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model fitted on labelled documents that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, part: int = PART) -> Model | None:
+    """The model fitted on labelled documents that aren't held out.
+
+    Their passages are a table, of which the driver holds about ``part`` bytes at a time: where there are more, each round
+    of fitting reads them again part by part.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     share = int(1_000_000 * min(1.0, sample / max(1, n)))
@@ -198,12 +210,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # ``sample`` bounds the labels sent out
     kinds = ", ".join(f"{c} {chosen.schema[c].dataType.simpleString()}" for c in ("doc_id", "quality"))
-    rows = chosen.select("doc_id", "text", "quality").mapInArrow(run, f"{kinds}, bag binary").collect()
-    if not rows:
+    scratch = Scratch(docs.sparkSession)
+    bags = scratch.keep(chosen.select("doc_id", "text", "quality").mapInArrow(run, f"{kinds}, bag binary"), "bags")
+    size = bags.agg(F.sum(F.length("bag").cast("long"))).first()[0]
+    if size is None:
         return None
-    rows.sort(key=lambda r: (r.doc_id, r.bag))
-    bags = [np.frombuffer(r.bag, np.float32).reshape(-1, WIDTH) for r in rows]
-    return Model().fit(bags, np.array([float(r.quality > 0) for r in rows]))
+    n = -(-size // part)
+
+    def read(k: int) -> tuple[list[np.ndarray], np.ndarray]:
+        rows = sorted(bags.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k).collect(), key=lambda r: (r.doc_id, r.bag))
+        return [np.frombuffer(r.bag, np.float32).reshape(-1, WIDTH) for r in rows], np.array([float(r.quality > 0) for r in rows])
+
+    one = [read(0)] if n == 1 else None
+    model = Model().fit(lambda: one or (x for x in map(read, range(n)) if x[0]))
+    scratch.drop(bags)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -57,13 +57,37 @@ def test_scores_against_a_plain_forward_pass(spark):
 
 def test_every_passage_of_a_labelled_text_is_learned(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(quality.Model, "fit", lambda self, bags, y: seen.extend(map(len, bags)) or self)
+    monkeypatch.setattr(quality.Model, "fit", lambda self, parts: seen.extend(len(b) for bags, _ in parts() for b in bags) or self)
     docs = spark.createDataFrame([(i, "word " * (64 * n)) for i, n in ((1, 3), (2, 90), (3, 400))], DOCS)
     quality.train(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], LABELS))
     of = {i: n for i, n in ((1, 3), (2, 90), (3, 400)) if zlib.crc32(str(i).encode()) % 5}
     assert sorted(seen) == sorted(of.values()) and max(seen) > 64
 
 
+def test_long_labelled_texts_are_fitted_part_by_part(spark, monkeypatch):
+    """Texts of 20,000 words, a few of them at a time: all are met in every round, and the model still tells them apart."""
+    rows, labels = _corpus(60)
+    rows = [(i, (t + " ") * (20_000 // max(1, len(t.split())))) for i, t in rows]
+    docs, marks, met = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS), []
+    fit = quality.Model.fit
+
+    def counted(self, parts, **how):
+        def seen():
+            for bags, y in parts():
+                met.append(sum(b.nbytes for b in bags))
+                yield bags, y
+
+        return fit(self, seen, **how)
+
+    monkeypatch.setattr(quality.Model, "fit", counted)
+    model = quality.train(docs, marks, part=400_000)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    marked = {i: q for i, q, _ in labels if i in got}
+    assert np.mean([(got[i] >= 0.3) == (q == 1) for i, q in marked.items()]) >= 0.95
+    n = len(met) // 32  # two passes for the scale and 30 rounds
+    assert n > 3 and met == met[:n] * 32 and max(met) < 3_000_000
+
+
 def test_gradient_is_right():
     rng = np.random.default_rng(0)
     model = quality.Model(5, 4, 3)
