@@ -6,26 +6,30 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-STRETCH, SHRINK = 0.5, 1 / 3
+from . import hyphens
+
+STRETCH, SHRINK, HYPHEN = 0.5, 1 / 3, 50
 LINES = "doc_id long, bi long, line int, text string, ratio double, overfull boolean"
 
 
-def break_paragraph(words: list[str], measure: float, size: float = 10.0, em: float = 0.5, most_ratio: float = 4.0) -> list[tuple[int, int, float]]:
-    """(first word, word after the last, ratio) of each line; words are as wide as their characters.
+def break_words(words: list[list[str]], measure: float, size: float = 10.0, em: float = 0.5, most_ratio: float = 4.0, hyphen: float = HYPHEN) -> list[tuple[int, int, float]]:
+    """(first piece, piece after the last, ratio) of each line, over the pieces of all words; signs are all as wide.
 
-    Blanks stretch by half their width and shrink by a third. When no way keeps to ``most_ratio``, any stretch will do;
-    a word wider than the measure has a line alone.
+    A line ends behind a word or, for a penalty and a hyphen's width, behind one of its pieces but the last. Blanks stretch
+    by half their width and shrink by a third. When no way keeps to ``most_ratio``, any stretch will do; a piece wider than
+    the measure has a line alone.
     """
-    wide = [len(w) * size * em for w in words]
-    blank, n = size * em, len(words)
+    pieces = [(len(p) * size * em, k == len(w) - 1) for w in words for k, p in enumerate(w)]
+    blank, n = size * em, len(pieces)
     for most in (most_ratio, float("inf")):
         best: list[tuple[float, int, float] | None] = [(0.0, 0, 0.0)] + [None] * n
         for j in range(1, n + 1):
-            total = 0.0
+            total, gaps = 0.0 if pieces[j - 1][1] else blank, 0  # a hyphen is as wide as a blank
             for i in range(j - 1, -1, -1):
-                total += wide[i]
-                gaps = j - i - 1
+                total += pieces[i][0]
+                gaps += i < j - 1 and pieces[i][1]
                 natural = total + gaps * blank
                 if natural - gaps * blank * SHRINK > measure and i < j - 1:
                     break
@@ -38,7 +42,7 @@ def break_paragraph(words: list[str], measure: float, size: float = 10.0, em: fl
                     ratio = slack / (gaps * blank * SHRINK) if gaps else -1.0
                 if j < n and ratio > most:
                     continue
-                cost = best[i][0] + (1 + 100 * min(abs(ratio), 1e3) ** 3) ** 2
+                cost = best[i][0] + (1 + 100 * min(abs(ratio), 1e3) ** 3 + (0 if pieces[j - 1][1] else hyphen)) ** 2
                 if best[j] is None or cost < best[j][0]:
                     best[j] = (cost, i, ratio)
         if best[n] is not None:
@@ -50,17 +54,45 @@ def break_paragraph(words: list[str], measure: float, size: float = 10.0, em: fl
     return out[::-1]
 
 
+def break_paragraph(words: list[str], measure: float, size: float = 10.0, em: float = 0.5, most_ratio: float = 4.0) -> list[tuple[int, int, float]]:
+    """(first word, word after the last, ratio) of each line of words that stay whole."""
+    return break_words([[w] for w in words], measure, size, em, most_ratio)
+
+
+def _set(words: list[list[str]], measure: float, size: float) -> Iterator[tuple[int, str, float, bool]]:
+    """line, text, ratio, overfull of each line."""
+    pieces = [(p, k == len(w) - 1) for w in words for k, p in enumerate(w)]
+    for n, (i, j, ratio) in enumerate(break_words(words, measure, size)):
+        text = "".join(p + (" " if last and k < j - 1 else "") for k, (p, last) in enumerate(pieces[i:j], i)) + ("" if pieces[j - 1][1] else "-")
+        yield n, text, min(ratio, 1e6), sum(len(p) for p, _ in pieces[i:j]) * size * 0.5 > measure
+
+
 def break_blocks(blocks: DataFrame, measure: float = 324.0, size: float = 11.0) -> DataFrame:
     """doc_id, bi, line, text, ratio, overfull of the lines of each block's text; each block is set alone."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                words = (r.text or "").split()
-                for n, (i, j, ratio) in enumerate(break_paragraph(words, measure, size)):
-                    width = sum(map(len, words[i:j])) * size * 0.5
-                    rows.append((r.doc_id, r.bi, n, " ".join(words[i:j]), min(ratio, 1e6), width > measure))
+            rows = [(r.doc_id, r.bi, *line) for r in frame.itertuples() for line in _set([[w] for w in (r.text or "").split()], measure, size)]
             yield pd.DataFrame(rows, columns=["doc_id", "bi", "line", "text", "ratio", "overfull"])
 
     return blocks.select("doc_id", "bi", "text").mapInPandas(run, LINES)
+
+
+def break_hyphenated(blocks: DataFrame, patterns: DataFrame, measure: float = 324.0, size: float = 11.0) -> DataFrame:
+    """``break_blocks`` whose words may also be broken where ``patterns`` allow it (``hyphens.breaks``).
+
+    Each different word of letters is looked up once, then its parts are joined to the places where it stands.
+    """
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = blocks.select("doc_id", "bi", F.posexplode(words).alias("pos", "word"))
+    letters = F.col("word").rlike(r"^\p{L}+$")
+    known = hyphens.parts(hyphens.breaks(rows.where(letters), patterns)).where(F.size("parts") > 1)
+    parted = rows.join(known, "word", "left").withColumn("parts", F.coalesce("parts", F.array("word")))
+    listed = parted.groupBy("doc_id", "bi").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parts"))), lambda x: x["parts"]).alias("words"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(r.doc_id, r.bi, *line) for r in frame.itertuples() for line in _set([list(w) for w in r.words], measure, size)]
+            yield pd.DataFrame(rows, columns=["doc_id", "bi", "line", "text", "ratio", "overfull"])
+
+    return listed.mapInPandas(run, LINES)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markup
 from ..functions import text as T
 from ..functions.text import superscript
-from ..operators import facts, hyphens, notes, pictures, stored
+from ..operators import facts, hyphens, lines, notes, pictures, stored
 from ..plans import scratch
 from ..plans.views import blocks, ocr_words, sql, table, tokens
 from ..plans.views import pages as page_view
@@ -212,6 +212,13 @@ def x03(spark, sf):
     return hyphens.parts(broken).select("word", F.array_join("parts", "-").alias("parts"))
 
 
+@query("w20_hyphenated_lines")
+def w20_hyphenated(spark, sf):
+    """Each paragraph broken into narrow lines, also inside words where the patterns allow it."""
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    return lines.break_hyphenated(blocks(table(spark, sf, "documents")).where("kind = 'paragraph'"), patterns, 160.0)
+
+
 @query("j14_illustrations")
 def j14(spark, sf):
     """The large blank parts of pages, suppressed, joined and cut to the three largest of a page."""

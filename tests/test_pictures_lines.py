@@ -69,3 +69,47 @@ def test_lines_are_broken_at_least_cost():
 def test_break_blocks(spark, rows):
     got = lines.break_blocks(spark.createDataFrame(rows, "doc_id long, bi long, text string")).collect()
     assert [r.text for r in got] == [t for _, _, t in rows if t]
+
+
+def test_words_are_broken_where_that_is_best():
+    """Against all ways to break short paragraphs of words in parts."""
+    import itertools
+
+    rng = random.Random(6)
+    for _ in range(120):
+        words = [["x" * rng.randrange(1, 5) for _ in range(rng.choice([1, 1, 2, 3]))] for _ in range(rng.randrange(1, 6))]
+        pieces = [(len(p), k == len(w) - 1) for w in words for k, p in enumerate(w)]
+        n, measure, best = len(pieces), rng.choice([6, 8, 11]), None
+        for cuts in itertools.product([0, 1], repeat=n - 1):
+            ends = [k + 1 for k, c in enumerate(cuts) if c] + [n]
+            cost, at = 0.0, 0
+            for j in ends:
+                wide = sum(w for w, _ in pieces[at:j]) + (not pieces[j - 1][1])
+                gaps = sum(last for _, last in pieces[at : j - 1])
+                slack = measure - wide - gaps
+                if slack < 0 and (wide + gaps - gaps / 3 > measure) and j - at > 1:
+                    cost = None
+                    break
+                ratio = (0.0 if j == n else slack / (gaps * 0.5) if gaps else 0.0 if slack == 0 else float("inf")) if slack >= 0 else slack / (gaps / 3) if gaps else -1.0
+                if j < n and ratio > 4:
+                    cost = None
+                    break
+                cost += (1 + 100 * min(abs(ratio), 1e3) ** 3 + (0 if pieces[j - 1][1] else 50)) ** 2
+                at = j
+            if cost is not None and (best is None or cost < best):
+                best = cost
+        if best is None:
+            continue
+        found, total = lines.break_words(words, float(measure), 2.0), 0.0
+        for _, j, ratio in found:
+            total += (1 + 100 * min(abs(ratio), 1e3) ** 3 + (0 if pieces[j - 1][1] else 50)) ** 2
+        assert total == pytest.approx(best)
+
+
+def test_hyphenated_lines_hold_the_paragraphs_words(spark):
+    patterns = spark.createDataFrame([("a1b",), ("e1d",), ("o1n",)], "pattern string")
+    text = "abandoned towers and abandoned bonded dens on fabled ponds, tabbed " * 6
+    rows = spark.createDataFrame([(1, 0, text), (1, 1, ""), (1, 2, None)], "doc_id long, bi long, text string")
+    got = lines.break_hyphenated(rows, patterns, 70.0, 10.0).orderBy("bi", "line").collect()
+    assert {r.bi for r in got} == {0} and any(r.text.endswith("-") for r in got)
+    assert "".join(r.text[:-1] if r.text.endswith("-") else r.text + " " for r in got).split() == text.split()
