@@ -1,4 +1,4 @@
-"""Inline markup and corrections, as small helpers that pandas functions apply to a column; anchors and claims."""
+"""Inline markup, anchors, claims and corrections of a text."""
 
 from __future__ import annotations
 
@@ -7,55 +7,82 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..plans.views import BLANK
 from .notices import fnv1a
 
 # Tags that mean italics, and tags that mean nothing here.
 ITALIC, TRANSPARENT = ("i", "em", "cite", "var"), ("sup", "sub", "b", "strong", "span", "p", "small")
-_TAG = re.compile(r"<(/?)(%s)(?:\s[^<>]*)?/?>" % "|".join(ITALIC + TRANSPARENT), re.I)
-
-
-def parse_markup(raw: str | None) -> tuple[str, list[int]]:
-    """The text without known tags, and the places of the words that italics touch; an open tag runs to the end."""
-    text, at, depth, begun, ranges = [], 0, 0, 0, []
-    size = 0
-    raw = raw or ""
-    for m in _TAG.finditer(raw):
-        text.append(raw[at : m.start()])
-        size += m.start() - at
-        at = m.end()
-        if m[2].lower() in ITALIC:
-            if not m[1]:
-                begun = size if depth == 0 else begun
-                depth += 1
-            elif depth:
-                depth -= 1
-                if depth == 0:
-                    ranges.append((begun, size))
-    text.append(raw[at:])
-    whole = "".join(text)
-    if depth:
-        ranges.append((begun, len(whole)))
-    words = [k for k, w in enumerate(re.finditer(r"\S+", whole)) if any(w.start() < b and a < w.end() for a, b in ranges)]
-    return whole, words
-
-
-def put_markup(text: str | None, emphasis) -> str:
+_TAG = r"(?i)<(/?)(%s)(?:\s[^<>]*)?/?>" % "|".join(ITALIC + TRANSPARENT)
+
+
+def _chunks(text: Column) -> Column:
+    """Words and what lies between them, in turns."""
+    return F.regexp_extract_all(text, F.lit(f"{BLANK}+|[^{BLANK[1:-1]}]+"), F.lit(0))
+
+
+def _is_word(chunk: Column) -> Column:
+    return ~chunk.rlike(f"^{BLANK}")
+
+
+def parsed_markup(raw: Column) -> Column:
+    """text without known tags, and emphasis: the places of the words that italics touch; an open tag runs to the end."""
+    raw = F.coalesce(raw, F.lit(""))
+    tags, gaps = F.regexp_extract_all(raw, F.lit(_TAG), F.lit(0)), F.split(raw, _TAG, -1)
+    text = F.array_join(gaps, "")
+    ranges = "array<struct<a:int,b:int>>"
+
+    def step(s: Column, x: Column) -> Column:
+        size = s["size"] + F.length(x["gap"])
+        italic = F.lower(F.regexp_extract(x["tag"], _TAG, 2)).isin(*ITALIC)
+        ends = F.regexp_extract(x["tag"], _TAG, 1) == "/"
+        depth = F.when(italic & ~ends, s["depth"] + 1).when(italic & (s["depth"] > 0), s["depth"] - 1).otherwise(s["depth"])
+        begun = F.when(italic & ~ends & (s["depth"] == 0), size).otherwise(s["begun"])
+        closed = italic & ends & (s["depth"] == 1)
+        found = F.when(closed, F.concat(s["ranges"], F.array(F.struct(begun.alias("a"), size.alias("b"))).cast(ranges))).otherwise(s["ranges"])
+        return F.struct(size.alias("size"), depth.alias("depth"), begun.alias("begun"), found.alias("ranges"))
+
+    zero = F.lit(0)
+    start = F.struct(zero.alias("size"), zero.alias("depth"), zero.alias("begun"), F.array().cast(ranges).alias("ranges"))
+    pairs = F.arrays_zip(gaps.alias("gap"), F.array_append(tags, F.lit("")).alias("tag"))
+    end = lambda s: F.when(s["depth"] > 0, F.concat(s["ranges"], F.array(F.struct(s["begun"].alias("a"), s["size"].alias("b"))).cast(ranges))).otherwise(s["ranges"])
+    spans = F.aggregate(pairs, start, step, end)
+
+    def touched(s: Column, c: Column) -> Column:
+        to = s["at"] + F.length(c)
+        here = _is_word(c) & F.exists(s["spans"], lambda r: (s["at"] < r["b"]) & (r["a"] < to))
+        words = F.when(here, F.concat(s["words"], F.array(s["k"]))).otherwise(s["words"])
+        return F.struct(to.alias("at"), (s["k"] + _is_word(c).cast("int")).alias("k"), s["spans"].alias("spans"), words.alias("words"))
+
+    # Texts without italics, as most are, aren't looked through word by word.
+    begin = F.struct(zero.alias("at"), zero.alias("k"), spans.alias("spans"), F.array().cast("array<int>").alias("words"))
+    chunks = F.when(F.size(tags) > 0, _chunks(text)).otherwise(F.array().cast("array<string>"))
+    return F.struct(text.alias("text"), F.aggregate(chunks, begin, touched, lambda s: s["words"]).alias("emphasis"))
+
+
+def with_markup(text: Column, emphasis: Column) -> Column:
     """The inverse: neighbouring emphasised words share a pair of tags."""
-    marked = {int(k) for k in ([] if emphasis is None else emphasis)}
-    words = list(re.finditer(r"\S+", text or ""))
-    out, at = [], 0
-    for k, w in enumerate(words):
-        out.append(text[at : w.start()])
-        if k in marked and k - 1 not in marked:
-            out.append("<i>")
-        out.append(w[0])
-        if k in marked and k + 1 not in marked:
-            out.append("</i>")
-        at = w.end()
-    return "".join(out) + (text or "")[at:]
+    marked = F.coalesce(emphasis.cast("array<int>"), F.array().cast("array<int>"))
+
+    def step(s: Column, c: Column) -> Column:
+        k, word = s["k"], _is_word(c)
+        has = lambda n: F.array_contains(marked, n)
+        opened = F.when(word & has(k) & ~has(k - 1), "<i>").otherwise("")
+        closed = F.when(word & has(k) & ~has(k + 1), "</i>").otherwise("")
+        return F.struct((k + word.cast("int")).alias("k"), F.array_append(s["out"], F.concat(opened, c, closed)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
+    return F.array_join(F.aggregate(_chunks(F.coalesce(text, F.lit(""))), start, step, lambda s: s["out"]), "")
+
+
+def normalized_markup(text: Column, emphasis: Column) -> Column:
+    """text and emphasis of a block that came some other way: tags are read as they are elsewhere; a text without any, or with
+    none that marks a word, keeps its emphasis."""
+    read = parsed_markup(text)
+    changed = F.contains(text, F.lit("<")) & (read["text"] != text)
+    kept = F.when(changed & (F.size(read["emphasis"]) > 0), read["emphasis"]).otherwise(emphasis)
+    return F.struct(F.when(changed, read["text"]).otherwise(text).alias("text"), kept.alias("emphasis"))
 
 
 def correct_terms(text: str | None, corrections: list[tuple[str, str]]) -> tuple[str, int]:
@@ -69,16 +96,6 @@ def correct_terms(text: str | None, corrections: list[tuple[str, str]]) -> tuple
     return text, total
 
 
-@F.pandas_udf(StructType().add("text", StringType()).add("emphasis", ArrayType(IntegerType())))
-def parsed_markup(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_markup(x) for x in raw], columns=["text", "emphasis"])
-
-
-@F.pandas_udf(StringType())
-def with_markup(text: pd.Series, emphasis: pd.Series) -> pd.Series:
-    return pd.Series([put_markup(t, e) for t, e in zip(text, emphasis)])
-
-
 def anchor_end(block: Column, anchor: Column) -> Column:
     """Where an anchor ends in a block, white space loose, in its own case or else in any; null where it isn't."""
     words = F.filter(F.split(anchor, f"{BLANK}+"), lambda w: w != "")

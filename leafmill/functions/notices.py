@@ -118,7 +118,7 @@ def bank_stem(author: Column, title: Column, year: Column) -> Column:
 def fnv1a(text: Column) -> Column:
     """The 32-bit FNV-1a hash of an ASCII string."""
     step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * 16777619).bitwiseAND(F.lit(4294967295))
-    return F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), step)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step)
 
 
 def body_key(blocks: Column) -> Column:

@@ -457,6 +457,15 @@ def t01(spark, sf):
     return rows.select("doc_id", "bi", F.col("m.text").alias("plain"), markup.with_markup(F.col("m.text"), F.col("m.emphasis")).alias("again"), F.size("m.emphasis").alias("n_marked"))
 
 
+@query("p13_normalized_markup", sql("blocks", r"""
+select doc_id, bi, text, case when kind = 'paragraph' and length(text) > 0 then [0] else [3] end emphasis from blocks"""))
+def p13(spark, sf):
+    """Blocks with emphasis of their own; paragraphs come with a tag around their first word, other blocks with one that means nothing."""
+    first = F.regexp_extract("text", r"^\S+", 0)
+    raw = F.when(F.col("kind") == "paragraph", F.concat(F.lit("<em>"), first, F.lit("</em>"), F.expr("substring(text, length(regexp_extract(text, '^\\\\S+', 0)) + 1)"))).otherwise(F.concat(F.lit("<b>"), F.col("text"), F.lit("</b>")))
+    return _blocks(spark, sf).select("doc_id", "bi", markup.normalized_markup(raw, F.array(F.lit(3))).alias("m")).select("doc_id", "bi", "m.text", "m.emphasis")
+
+
 @query("t14_anchor_ends", sql("blocks", r"""
 select doc_id, bi, length(regexp_extract(text, '^\s*(\S+\s+){0,4}\S+'))::int "at" from blocks"""))
 def t14(spark, sf):

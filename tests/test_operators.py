@@ -77,10 +77,14 @@ def test_variants_fold_into_earlier_leaders(spark):
 
 
 def test_markup_round_trip(spark):
-    text, words = markup.parse_markup("a <i>b c</i> d</i> <b>e</b> <x>f <em>g")
-    assert (text, words) == ("a b c d e <x>f g", [1, 2, 6])
-    assert markup.put_markup("a b c d", [1, 2]) == "a <i>b c</i> d"
-    assert markup.parse_markup(markup.put_markup("one two three", [0, 2])) == ("one two three", [0, 2])
+    read = lambda t: tuple(one(spark, markup.parsed_markup(F.col("a")), a=t))
+    assert read("a <i>b c</i> d</i> <b>e</b> <x>f <em>g") == ("a b c d e <x>f g", [1, 2, 6])
+    assert read("<I class=x>one</i>two <cite>🙂 <i>in</i> x</cite>, end") == ("onetwo 🙂 in x, end", [0, 1, 2, 3]) and read("") == ("", []) and read("<i>") == ("", [])
+    put = lambda t, e: spark.createDataFrame([(t, e)], "t string, e array<int>").select(markup.with_markup(F.col("t"), F.col("e")).alias("v")).first().v
+    assert put("a b c d", [1, 2]) == "a <i>b c</i> d" and put(" a  b ", [0]) == " <i>a</i>  b " and put("x", None) == "x"
+    assert read(put("one two three", [0, 2])) == ("one two three", [0, 2])
+    kept = lambda t, e: tuple(spark.createDataFrame([(t, e)], "t string, e array<int>").select(markup.normalized_markup(F.col("t"), F.col("e")).alias("v")).first().v)
+    assert kept("a <i>b</i>", [0]) == ("a b", [1]) and kept("a <b>b</b>", [0]) == ("a b", [0]) and kept("a < b", [0]) == ("a < b", [0]) and kept("a", None) == ("a", None)
     end = lambda b, a: one(spark, markup.anchor_end(F.col("b"), F.col("a")), b=b, a=a)
     assert end("Some  Words here", "some words") == 11 and end("x", "y") is None and end("a 🙂 b. c", "🙂 b.") == 6 and end("x (a) y", "(a)") == 5 and end("x", " ") is None
     assert one(spark, markup.claims_in(F.col("a")), a="He met Anna in 1851. She left Paris, in 1,200 days. Anna stayed.") == ["Anna", "1851", "Paris", "1,200"]
