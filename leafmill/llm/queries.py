@@ -73,4 +73,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": line_dedup.ORACLE_SQL, "op12_benchmark_decontamination": decontam.ORACLE_SQL, "op13_conversation_prefix_trie": trie.ORACLE_SQL,
+        "op11_conversation_structure_repair": repair.ORACLE_SQL,
     }

@@ -341,3 +341,42 @@ def repair_report(conversations: DataFrame, segment: int = SEGMENT, fan: int = F
     return every.join(found, "key", "left").select(
         "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
     )
+
+
+ORACLE_SQL = r"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') name from conversations
+), hit as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(name, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda h, b: case when b >= 0 then xor(h, b) else xor(h >> 1, 3988292384 * (h & 1)) end)) % 20 kind from raw
+), dealt as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when kind = 3 then [0, 1] else [0] end) again from hit where kind <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, again) k, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) last from dealt
+), flagged as (
+  select *, case when last = '' then 'blank' when row_number() over (partition by conv_id, role, text order by k) > 1 then 'duplicate' when last not in ('.', '!', '?') then 'truncated' end fault,
+    role[1] i, lag(role[1]) over (partition by conv_id order by k) before from placed
+), walk as (
+  select distinct conv_id, 0::bigint k, {'c': 0::bigint, 'e': '', 'o': ''} s0, null::struct(c bigint, e varchar, o varchar) s1, null::struct(c bigint, e varchar, o varchar) s2, null::struct(c bigint, e varchar, o varchar) s3 from flagged
+  union all
+  select conv_id, k,
+    {'c': s0.c + 2, 'e': s0.e || 'D', 'o': s0.o},
+    list_min([case when s1 is not null then {'c': s1.c + 2, 'e': s1.e || 'D', 'o': s1.o} end, case when stays and i = 's' then {'c': s0.c + cut, 'e': s0.e || 'K', 'o': s0.o || chr(10) || role || ':' || text} end]),
+    list_min([case when s2 is not null then {'c': s2.c + 2, 'e': s2.e || 'D', 'o': s2.o} end, case when stays then {'c': s0.c + uc, 'e': s0.e || ue, 'o': s0.o || uo} end, case when stays and s1 is not null then {'c': s1.c + uc, 'e': s1.e || ue, 'o': s1.o || uo} end,
+      case when stays and s3 is not null then {'c': s3.c + uc, 'e': s3.e || ue, 'o': s3.o || uo} end, case when stays and s2 is not null then {'c': s2.c + uc + 5, 'e': s2.e || 'I' || ue, 'o': s2.o || chr(10) || 'assistant:' || uo} end]),
+    list_min([case when s3 is not null then {'c': s3.c + 2, 'e': s3.e || 'D', 'o': s3.o} end, case when stays and s2 is not null then {'c': s2.c + ac, 'e': s2.e || ae, 'o': s2.o || ao} end, case when stays then {'c': s0.c + ac + 5, 'e': s0.e || 'I' || ae, 'o': s0.o || chr(10) || 'user:' || ao} end,
+      case when stays and s1 is not null then {'c': s1.c + ac + 5, 'e': s1.e || 'I' || ae, 'o': s1.o || chr(10) || 'user:' || ao} end, case when stays and s3 is not null then {'c': s3.c + ac + 5, 'e': s3.e || 'I' || ae, 'o': s3.o || chr(10) || 'user:' || ao} end])
+  from (select w.conv_id, f.k, s0, s1, s2, s3, i, role, text, coalesce(fault, '') not in ('blank', 'duplicate') stays, case when fault = 'truncated' then 5 else 0 end cut, cut + (i <> 'u')::int uc, case when i = 'u' then 'K' else 'R' end ue,
+    chr(10) || case when i = 'u' then role else 'user' end || ':' || text uo, cut + (i <> 'a')::int ac, case when i = 'a' then 'K' else 'R' end ae, chr(10) || case when i = 'a' then role else 'assistant' end || ':' || text ao
+    from walk w join flagged f on f.conv_id is not distinct from w.conv_id and f.k = w.k + 1)
+), ended as (
+  select conv_id, list_min([s0, s3, case when s2 is not null then {'c': s2.c + 5, 'e': s2.e || 'I', 'o': s2.o || chr(10) || 'assistant:'} end, case when s1 is not null then {'c': s1.c + 10, 'e': s1.e || 'II', 'o': s1.o || chr(10) || 'user:' || chr(10) || 'assistant:'} end]) b
+  from walk qualify k = max(k) over (partition by conv_id)
+), counted as (
+  select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) gaps, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated,
+    count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) illegal from flagged group by conv_id
+)
+select d.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(b.c, 0) cost, coalesce(b.e, '') audit, sha256(coalesce(b.o[2:], '')) repaired_sha256
+from (select distinct conv_id from conversations) d left join ended e on e.conv_id is not distinct from d.conv_id left join counted c on c.conv_id is not distinct from d.conv_id
+"""
