@@ -155,3 +155,31 @@ def test_readings_numbered_apart_are_aligned_over_their_whole_length(spark):
         got.setdefault(r.doc_id, []).append((r.start, r.n, r.strength))
     assert sorted(got[1]) == [(1, 300, "strong"), (5001, 6, "strong")]
     assert 2 not in got and sum(n for _, n, _ in got[3]) == 6 and got[4] == [(1, 40, "strong")]
+
+
+def test_tickets_expire_and_are_given_up_across_restarts(spark, tmp_path):
+    """Tries that come in three parts, each a run of its own: what a key's state and timers held goes on."""
+    from leafmill.streaming import watch
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = "key long, id long, ts timestamp, failed boolean"
+    at = lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
+    parts = [
+        [(1, 1, at(0), True), (2, 2, at(0), True), (3, 3, at(1), False)], [(1, 4, at(5), True), (3, 5, at(6), True), (4, 6, at(7), True)],
+        [(1, 7, at(9), True), (1, 8, at(10), True), (4, 9, at(40), True), (3, 10, at(20), False)], [(9, 11, at(2000), False)],
+    ]
+    source, out, place = (str(tmp_path / n) for n in ("tries", "out", "place"))
+    try:
+        for part in parts:
+            spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(source)
+            stream = watch.ticket_stream(spark.readStream.schema(kinds).parquet(source))
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    got = sorted((r.key, r.id, r.outcome, (pd.Timestamp(r["at"]) - at(0)).total_seconds() / 3600) for r in spark.read.parquet(out).collect())
+    assert got == [
+        (1, 1, "retried", 0), (1, 4, "retried", 5), (1, 7, "given up", 9), (1, 8, "expired", 34), (1, 8, "retried", 10), (2, 2, "expired", 24), (2, 2, "retried", 0),
+        (3, 5, "retried", 6), (4, 6, "expired", 31), (4, 6, "retried", 7), (4, 9, "expired", 64), (4, 9, "retried", 40),
+    ]
