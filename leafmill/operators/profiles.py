@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .versions import NOTE_KINDS
+
 STYLE = "trimSize string, bodyFontSize double, margins struct<inner:double,outer:double>, dropCaps boolean"
 # A style's defaults, and a voice's bounds.
 TRIM, BODY_SIZE, MARGIN = "6x9", 11.0, 0.75
@@ -78,11 +80,10 @@ def active_step(steps: DataFrame) -> DataFrame:
 def known_annotations(raw: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Annotations (id, block_id, anchor, text, kind) of known blocks with an anchor and text, an unknown kind being
     context; and how many were dropped."""
-    kinds = ["gloss", "context", "source", "correction"]
     whole = (filled(F.col("anchor")).isNotNull() & filled(F.col("text")).isNotNull()).alias("whole")
     tagged = raw.select("*", F.coalesce(whole, F.lit(False)).alias("whole")).join(blocks.select("block_id").distinct().withColumn("known", F.lit(True)), "block_id", "left")
     good = F.col("whole") & F.coalesce("known", F.lit(False))
-    kept = tagged.where(good).select("id", "block_id", "anchor", "text", F.when(F.col("kind").isin(kinds), F.col("kind")).otherwise("context").alias("kind"))
+    kept = tagged.where(good).select("id", "block_id", filled(F.col("anchor")).alias("anchor"), filled(F.col("text")).alias("text"), F.when(F.col("kind").isin(*NOTE_KINDS), F.col("kind")).otherwise("context").alias("kind"))
     return kept, tagged.agg(F.count_if(~good).alias("dropped"))
 
 

@@ -85,7 +85,7 @@ def w35(spark, sf):
 
 
 _ANNOTATIONS = """
-with a as (select event_id id, event_id * 3 % 2000 block_id, case when event_id % 7 > 0 then 'here' else ' ' end anchor, case when event_id % 5 > 0 then event_type end as text, ['gloss', 'other', 'source'][event_id % 3 + 1] kind from events),
+with a as (select event_id id, event_id * 3 % 2000 block_id, case when event_id % 7 > 0 then 'here' else ' ' end anchor, case when event_id % 5 > 0 then event_type end as text, ['person', 'other', 'obsolete-science'][event_id % 3 + 1] kind from events),
 g as (select *, trim(anchor) <> '' and text is not null and block_id in (select doc_id from documents) good from a)
 """
 
@@ -94,7 +94,7 @@ def _annotations(spark, sf):
     i = F.col("event_id")
     raw = table(spark, sf, "events").select(
         i.alias("id"), (i * 3 % 2000).alias("block_id"), F.when(i % 7 > 0, "here").otherwise(" ").alias("anchor"), F.when(i % 5 > 0, F.col("event_type")).alias("text"),
-        F.element_at(F.array(*map(F.lit, ["gloss", "other", "source"])), (i % 3 + 1).cast("int")).alias("kind"),
+        F.element_at(F.array(*map(F.lit, ["person", "other", "obsolete-science"])), (i % 3 + 1).cast("int")).alias("kind"),
     )
     return profiles.known_annotations(raw, table(spark, sf, "documents").select(F.col("doc_id").alias("block_id")))
 
