@@ -111,8 +111,8 @@ def page_of(custom: Column) -> Column:
 
 
 def age(saved: Column, now: Column) -> Column:
-    """How long ago, in whole minutes, hours, days or months."""
-    minutes = F.floor((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(saved.cast("timestamp"))) / 60)
+    """How long ago, in whole minutes, hours, days or months; parts of a second count, so that no minute is full too early."""
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(saved.cast("timestamp"))) / 60_000_000)
     hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
     months = F.floor(days / 30)
 

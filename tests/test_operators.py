@@ -183,3 +183,11 @@ def test_tickets_expire_and_are_given_up_across_restarts(spark, tmp_path):
         (1, 1, "retried", 0), (1, 4, "retried", 5), (1, 7, "given up", 9), (1, 8, "expired", 34), (1, 8, "retried", 10), (2, 2, "expired", 24), (2, 2, "retried", 0),
         (3, 5, "retried", 6), (4, 6, "expired", 31), (4, 6, "retried", 7), (4, 9, "expired", 64), (4, 9, "retried", 40),
     ]
+
+
+def test_ages_count_parts_of_seconds(spark):
+    from leafmill.functions.text import age
+
+    rows = spark.createDataFrame([("2029-12-31 23:59:00.5",), ("2029-12-31 23:59:00",), ("2029-12-31 22:59:59.999999",)], "ts string")
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")
+    assert [r.a for r in rows.select(age(F.col("ts").cast("timestamp_ntz"), now).alias("a")).collect()] == ["just now", "1 minute ago", "1 hour ago"]
