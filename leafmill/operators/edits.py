@@ -13,17 +13,19 @@ RENAMES = "array<struct<seq:bigint,old:string,new:string>>"
 STRUCTURAL = ("text", "retype", "drop", "split", "merge")
 
 
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+def _stripped(text: Column, blank: str = BLANK) -> Column:
+    return F.regexp_replace(text, f"^{blank}+|{blank}+\\z", "")
 
 
-def replay(blocks: Column, log: Column) -> Column:
+def replay(blocks: Column, log: Column, blank: str = BLANK) -> Column:
     """blocks and renames after the edits of ``log`` (array of seq, kind, target, value, at, level, in order).
 
     text and retype replace (a heading keeps or gets a level, nothing else has one), drop removes, split cuts at a place (not
     where a side would be empty) into id/1 and id/2, merge joins the next block on; an edit of a block that isn't there by
     that name does nothing. A split renames the block to its second half, a merge the absorbed block to the absorbing one.
+    Both strip the signs of ``blank`` (a pattern of one sign) off the ends of what they make.
     """
+    bare = lambda text: _stripped(text, blank)
     start = F.struct(blocks.cast(BLOCKS).alias("blocks"), F.array().cast(RENAMES).alias("renames"))
     kind = f"struct<blocks:{BLOCKS},renames:{RENAMES}>"
 
@@ -40,7 +42,7 @@ def replay(blocks: Column, log: Column) -> Column:
             return F.concat(F.slice(all_, F.lit(1), i - 1), F.array(*new).cast(BLOCKS), rest) if new else F.concat(F.slice(all_, F.lit(1), i - 1), rest)
 
         at = F.greatest(F.lit(0), F.least(F.length(b["text"]), e["at"].cast("int")))
-        left, right = _stripped(F.substring(b["text"], F.lit(1), at)), _stripped(F.substring(b["text"], at + 1, F.length(b["text"])))
+        left, right = bare(F.substring(b["text"], F.lit(1), at)), bare(F.substring(b["text"], at + 1, F.length(b["text"])))
         cut = (e["kind"] == "split") & (left != "") & (right != "")
         joined = (e["kind"] == "merge") & (i < F.size(all_))
         between = F.when((b["kind"] == "table") | (after["kind"] == "table"), "\n").otherwise(" ")
@@ -52,7 +54,7 @@ def replay(blocks: Column, log: Column) -> Column:
             .when(e["kind"] == "retype", put(1, block(b, kind=e["value"], level=level)))
             .when(e["kind"] == "drop", put(1))
             .when(cut, put(1, block(b, id=one, text=left), block(b, id=two, text=right)))
-            .when(joined, put(2, block(b, text=_stripped(F.concat(_stripped(b["text"]), between, _stripped(after["text"]))), sources=F.array_sort(F.array_union(b["sources"], after["sources"])))))
+            .when(joined, put(2, block(b, text=bare(F.concat(bare(b["text"]), between, bare(after["text"]))), sources=F.array_sort(F.array_union(b["sources"], after["sources"])))))
             .otherwise(all_)
         )
         here = F.coalesce(i, F.lit(0)) > 0
@@ -63,7 +65,7 @@ def replay(blocks: Column, log: Column) -> Column:
     return F.aggregate(log, start.cast(kind), step)
 
 
-def replayed(blocks: DataFrame, log: DataFrame) -> DataFrame:
+def replayed(blocks: DataFrame, log: DataFrame, blank: str = BLANK) -> DataFrame:
     """doc_id, book (blocks and renames): each document's blocks (doc_id, bi, id, kind, text, optionally level) after its edits
     (doc_id, seq, kind, target, value, at, optionally level). Kinds that don't change blocks are passed over."""
     level = lambda df: F.col("level") if "level" in df.columns else F.lit(None).cast("int")
@@ -72,12 +74,12 @@ def replayed(blocks: DataFrame, log: DataFrame) -> DataFrame:
     edit = F.struct("seq", "kind", "target", "value", F.col("at").cast("int").alias("at"), level(log).cast("int").alias("level"))
     edits = log.where(F.col("kind").isin(*STRUCTURAL)).groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("log"))
     none = F.array().cast(edits.schema["log"].dataType)
-    return own.join(edits, "doc_id", "left").select("doc_id", replay(F.col("blocks"), F.coalesce("log", none)).alias("book"))
+    return own.join(edits, "doc_id", "left").select("doc_id", replay(F.col("blocks"), F.coalesce("log", none), blank).alias("book"))
 
 
-def kept_blocks(books: DataFrame) -> DataFrame:
+def kept_blocks(books: DataFrame, blank: str = BLANK) -> DataFrame:
     """doc_id, n, id, kind, level, text, sources of what is left; blocks left empty go."""
-    left = F.filter("book.blocks", lambda b: _stripped(b["text"]) != "")
+    left = F.filter("book.blocks", lambda b: _stripped(b["text"], blank) != "")
     return books.select("doc_id", F.posexplode(left).alias("n", "b")).select("doc_id", "n", "b.*")
 
 
@@ -86,9 +88,9 @@ def renames(books: DataFrame) -> DataFrame:
     return books.select("doc_id", F.inline("book.renames"))
 
 
-def apply_edits(blocks: DataFrame, log: DataFrame) -> DataFrame:
+def apply_edits(blocks: DataFrame, log: DataFrame, blank: str = BLANK) -> DataFrame:
     """doc_id, n, id, kind, level, text, sources after each document's edits."""
-    return kept_blocks(replayed(blocks, log))
+    return kept_blocks(replayed(blocks, log, blank), blank)
 
 
 def _next(rows: DataFrame, block: str, named: DataFrame) -> DataFrame:

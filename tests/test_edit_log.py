@@ -85,3 +85,11 @@ def test_no_edits_and_no_blocks(spark):
     blocks, none = spark.createDataFrame([(1, 0, "b0", "paragraph", "x", None)], BLOCKS), spark.createDataFrame([], LOG)
     assert edits.apply_edits(blocks, none).count() == 1 and edits.apply_edits(blocks.limit(0), none).count() == 0
     assert edits.follow(none, edits.renames(edits.replayed(blocks, none))).count() == 0
+
+
+def test_splits_and_merges_strip_what_is_asked(spark):
+    """A table's joined rows cut at their line end: the SQL's trim leaves it, the default takes it off."""
+    rows = [(0, 0, "a", "table", "one", None), (0, 1, "b", "table", "two", None)]
+    log = [(0, 0, "merge", "a", None, 0, None, None), (0, 1, "split", "a", None, 4, None, None)]
+    found = lambda *blank: [r.text for r in edits.apply_edits(spark.createDataFrame(rows, BLOCKS), spark.createDataFrame(log, LOG), *blank).orderBy("n").collect()]
+    assert found(" ") == ["one\n", "two"] and found() == ["one", "two"]
