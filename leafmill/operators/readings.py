@@ -1,14 +1,17 @@
 """Two readings of a text: which words one of them lacks, where, and how they are put back.
 
-Readings are cut where both have a run of words once each, along the longest chain of such places that don't cross; only
-stretches between that differ are aligned, with as few words left out as can be, then as few changed marks, then as few
-gaps, each gap as far up as equal words allow. Words count without case and marks.
+A reading that only lacks words is cut at those that can stand in one place alone; another one where both have a run of
+words once each, along the longest chain of such places that don't cross. Only stretches between that differ are aligned,
+with as few words left out as can be, then as few changed marks, then as few gaps, each gap as far up as equal words allow.
+Words count without case and marks.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -125,13 +128,30 @@ def settled(own: list[str], other: list[str], runs: list[tuple[int, int, int]])
 # ---- whole readings -------------------------------------------------------------------------------------------------
 
 
-def _grams(tokens: DataFrame, n: int, name: str) -> DataFrame:
-    """doc_id, key, exact and place of the runs of ``n`` words that a document has once, whatever its marks."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    words = tokens.select("doc_id", "pos", "token", plain(F.col("token")).alias("p"))
-    run = lambda c: F.xxhash64(c, *(F.lead(c, k).over(order) for k in range(1, n)))
-    named = words.select("doc_id", "pos", run("p").alias("key"), run("token").alias("exact"), F.lead("p", n - 1).over(order).alias("end")).where("end is not null")
-    return named.groupBy("doc_id", "key").agg(F.min("pos").alias(name), F.min("exact").alias("exact"), F.count("*").alias("c")).where("c = 1").drop("c")
+@lru_cache(1 << 16)
+def _bare(token: str) -> str:
+    """``plain`` of one word."""
+    return "".join(c for c in token if c == "_" or unicodedata.category(c)[0] in "LN").lower()
+
+
+def forced(own: list[str], other: list[str]) -> list[tuple[int, int]] | None:
+    """(a, b) of the words b of ``other`` that can only be word a of ``own``; None if ``other`` doesn't only lack words.
+
+    These are the words that have one place whether all are taken as early or as late as can be.
+    """
+
+    def earliest(own: list[str], other: list[str]) -> list[int]:
+        out, k = [], -1
+        for w in other:
+            out.append(k := own.index(w, k + 1))
+        return out
+
+    try:
+        first = earliest(own, other)
+    except ValueError:
+        return None
+    last = [len(own) - 1 - a for a in reversed(earliest(own[::-1], other[::-1]))]
+    return [(a, b) for b, (a, z) in enumerate(zip(first, last)) if a == z]
 
 
 def rising(values: list[int]) -> list[int]:
@@ -152,105 +172,87 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc, l in zip(batch["doc_id"], batch["l"]):
-            out += [(doc, l[k]["a"], l[k]["b"]) for k in rising([x["b"] for x in l])]
-        yield pd.DataFrame(out, columns=["doc_id", "a", "b"])
+def anchors(own: list[str], other: list[str], n: int = 3) -> list[tuple[int, int]]:
+    """(a, b): places of runs of ``n`` words that both readings have once and with the same marks, on the longest chain that
+    doesn't cross. Where only marks differ the alignment decides: words beside a gap are often the same but for these."""
 
+    def once(words: list[str]) -> dict[tuple[str, ...], int]:
+        at: dict[tuple[str, ...], int] = {}
+        bare = [_bare(w) for w in words]
+        for k, run in enumerate(zip(*(bare[i:] for i in range(n)))):
+            at[run] = -1 if run in at else k
+        return at
 
-def anchors(tokens: DataFrame, reading: DataFrame, n: int = 3) -> DataFrame:
-    """doc_id, a, b: places of runs of ``n`` words that both readings have once and with the same marks, on the longest chain
-    that doesn't cross. Where only marks differ the alignment decides: words beside a gap are often the same but for these.
+    there = once(other)
+    both = [(a, b) for run, a in once(own).items() if a >= 0 and (b := there.get(run, -1)) >= 0 and own[a : a + n] == other[b : b + n]]
+    return [both[k] for k in rising([b for _, b in both])]
 
-    Documents without crossing places, as most are, never reach Python.
-    """
-    found = _grams(tokens, n, "a").join(_grams(reading, n, "b"), ["doc_id", "key", "exact"]).drop("key", "exact")
-    order = Window.partitionBy("doc_id").orderBy("a")
-    crosses = F.coalesce(F.col("b") < F.lag("b").over(order), F.lit(False))
-    found = found.withColumn("x", crosses).withColumn("x", F.max("x").over(Window.partitionBy("doc_id")))
-    mixed = found.where("x").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("l"))
-    return found.where("not x").select("doc_id", "a", "b").unionByName(mixed.mapInPandas(_chains, "doc_id long, a long, b long"))
+
+def lacking(own: list[str], other: list[str]) -> list[tuple[int, int, int]]:
+    """(start, n, at) of the runs of a whole text that ``other`` lacks."""
+    places = forced(own, other)
+    cuts = [(0, 0), *(anchors(own, other) if places is None else places), (len(own), len(other))]
+    runs = []
+    for (a, b), (c, d) in zip(cuts, cuts[1:]):
+        x, y = own[a:c], other[b:d]
+        if x != y and x:
+            bare = ([_bare(w) for w in x], [_bare(w) for w in y]) if places is None else (x, y)
+            runs += [(a + start, k, b + at) for start, k, at in left_out(*bare, x, y)]
+    return settled(own, other, runs)
 
 
 _ALIGNED = "doc_id long, start long, n int, at long"
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lacking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples():
-            own, other = list(r.own), [] if r.other is None else list(r.other)
-            bare = lambda ws: [w["p"] for w in ws]
-            raw = lambda ws: [w["token"] for w in ws]
-            for start, n, at in left_out(bare(own), bare(other), raw(own), raw(other)):
-                out.append((r.doc_id, int(own[start]["pos"]), n, int(r.ahead) + at))
+            runs = lacking(list(r.own), [] if r.other is None else list(r.other))
+            out += [(r.doc_id, start + 1, n, at) for start, n, at in runs]
         yield pd.DataFrame(out, columns=["doc_id", "start", "n", "at"])
 
 
-def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for r in batch.itertuples():
-            runs = [(int(x["start"]) - 1, int(x["n"]), int(x["at"])) for x in r.runs]
-            for start, n, at in settled(list(r.own), [] if r.other is None else list(r.other), runs):
-                out.append((r.doc_id, start + 1, n, at))
-        yield pd.DataFrame(out, columns=["doc_id", "start", "n", "at"])
+def _lists(side: DataFrame, *names: str) -> DataFrame:
+    """doc_id, l: each document's words in order, as they are dealt out once."""
+    return side.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), *names))).alias("l"))
+
+
+def _both(tokens: DataFrame, reading: DataFrame, *names: str) -> DataFrame:
+    """doc_id, own (structs of token and ``names``), other (structs of token, or null), a row a document."""
+    own = _lists(tokens, "token", *names).select("doc_id", F.col("l").alias("own"))
+    # own names for the second side's columns: both sides may come from one frame, whose columns a join would confuse
+    other = _lists(reading.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "token"))), "token").select("doc_id", F.col("l").alias("other"))
+    return own.join(other, "doc_id", "left")
 
 
 def missing_runs(tokens: DataFrame, reading: DataFrame) -> DataFrame:
     """doc_id, start, n, at: the runs of each document's tokens (doc_id, pos, token) that a second reading of it lacks, and
     how many of its words come before. Both are numbered from 1, each on its own."""
-    own = tokens.select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
-    # own names for the second side's columns: both sides may come from one frame, whose columns a join would confuse
-    other = reading.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "token"))).withColumn("pos", F.col("pos").cast("long"))
-    chain = Window.partitionBy("doc_id").orderBy("a")
-    beside = (F.lead("a").over(chain) == F.col("a") + 1) & (F.lead("b").over(chain) == F.col("b") + 1)
-    fixed = anchors(own, other).withColumn("same", F.coalesce(beside, F.lit(False)))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-
-    def stretches(side: DataFrame, at: str) -> DataFrame:
-        """doc_id, stretch, ahead (words before it), l (its words); stretches of one word in both are left out."""
-        marks = fixed.select("doc_id", F.col(at).alias("pos"), F.col("a").alias("mark"), F.struct("same").alias("s"))
-        marked = side.join(marks, ["doc_id", "pos"], "left")
-        last = lambda c: F.last(c, ignorenulls=True).over(order)
-        marked = marked.withColumn("stretch", F.coalesce(last("mark"), F.lit(0))).withColumn("same", F.coalesce(last("s")["same"], F.lit(False))).where("not same")
-        words = F.array_sort(F.collect_list(F.struct("pos", plain(F.col("token")).alias("p"), "token")))
-        return marked.groupBy("doc_id", "stretch").agg((F.min("pos") - 1).alias("ahead"), words.alias("l"))
-
-    a, b = stretches(own, "a"), stretches(other, "b")
-    both = a.select("doc_id", "stretch", F.col("l").alias("own")).join(b.select("doc_id", "stretch", "ahead", F.col("l").alias("other")), ["doc_id", "stretch"], "left")
-    found = both.where("own.token <> other.token or other is null").select("doc_id", "own", "other", F.coalesce("ahead", F.lit(0)).alias("ahead")).mapInPandas(_aligned, _ALIGNED)
-    # Gaps of neighbouring stretches may be one; texts with several gaps are looked through for that.
-    gaps = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "n", "at"))).alias("runs"))
-    alone = gaps.where("size(runs) = 1").select("doc_id", F.inline("runs"))
-    texts = lambda side, name: side.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias(name))
-    several = gaps.where("size(runs) > 1").join(texts(own, "own"), "doc_id").join(texts(other, "other"), "doc_id", "left")
-    return alone.unionByName(several.mapInPandas(_settled, _ALIGNED))
-
-
-def _gathered(runs: DataFrame, side: DataFrame, at: Column, lo: Column, hi: Column, *aggs: Column) -> DataFrame:
-    each = runs.select("doc_id", "start", at.alias("_at"), F.explode(F.sequence(lo, hi)).alias("pos"))
-    return each.join(side, ["doc_id", "pos"]).groupBy("doc_id", "start").agg(*aggs)
+    both = _both(tokens, reading).select("doc_id", F.col("own.token").alias("own"), F.col("other.token").alias("other"))
+    return both.where("own <> other or other is null").mapInPandas(_lacking, _ALIGNED)
 
 
 def described(runs: DataFrame, tokens: DataFrame, reading: DataFrame, strong: int = 4, near: int = 3) -> DataFrame:
     """``runs`` with words, confidence and ids (where the tokens have these), strength, and the words of the reading right
     before and after, as they stand there, between which the run belongs."""
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
-    more = [F.avg("confidence").alias("confidence")] if "confidence" in tokens.columns else []
-    more += [listed("id").alias("ids")] if "id" in tokens.columns else []
-    words = _gathered(runs, tokens, F.lit(0), F.col("start"), F.col("start") + F.col("n") - 1, F.array_join(listed("token"), " ").alias("words"), *more)
-    side = lambda here: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(here, F.struct("pos", "token")))), lambda x: x["token"]), " ")
-    around = _gathered(
-        runs, reading.select("doc_id", F.col("pos").cast("long").alias("pos"), "token"), F.col("at"), F.greatest(F.lit(1), F.col("at") - near + 1).cast("long"), F.col("at") + near,
-        side(F.col("pos") <= F.col("_at")).alias("before"), side(F.col("pos") > F.col("_at")).alias("after"),
-    )
-    strength = F.when(F.col("n") >= strong, "strong").otherwise("weak")
-    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    keys = ["doc_id", "start"]
-    return runs.join(words, keys).join(around, keys, "left").select(*keys, "n", "at", "words", strength.alias("strength"), empty("before"), empty("after"), *(c for c in ("confidence", "ids") if c in words.columns))
+    more = [c for c in ("confidence", "id") if c in tokens.columns]
+    each = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
+    said = lambda words: F.array_join(F.transform(words, lambda x: x["token"]), " ")
+    part = lambda words, first, to: F.slice(words, first.cast("int"), F.greatest(F.lit(0), to - first + 1).cast("int"))
+    other = F.coalesce("other", F.array().cast("array<struct<pos:bigint,token:string>>"))
+
+    def row(r: Column) -> Column:
+        words = part(F.col("own"), r["start"], r["start"] + r["n"] - 1)
+        sure = F.filter(F.transform(words, lambda x: x["confidence"].cast("double")), lambda c: c.isNotNull())
+        mean = F.try_divide(F.aggregate(sure, F.lit(0.0), lambda s, c: s + c), F.size(sure))
+        beside = {"confidence": lambda: mean.alias("confidence"), "id": lambda: F.transform(words, lambda x: x["id"]).alias("ids")}
+        return F.struct(
+            *(r[c].alias(c) for c in ("start", "n", "at")), said(words).alias("words"), F.when(r["n"] >= strong, "strong").otherwise("weak").alias("strength"),
+            said(part(other, F.greatest(F.lit(1), r["at"] - near + 1), r["at"])).alias("before"), said(part(other, r["at"] + 1, r["at"] + near)).alias("after"), *(beside[c]() for c in more),
+        )
+
+    return each.join(_both(tokens, reading, *more), "doc_id").select("doc_id", F.inline(F.transform("runs", row)))
 
 
 def compare_readings(tokens: DataFrame, reading: DataFrame, least: int = 2, strong: int = 4, sure: float = 60) -> DataFrame:

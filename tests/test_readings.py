@@ -172,3 +172,24 @@ def test_findings_of_pages(spark):
     runs = {r.page: (r.n_findings, r.worst, r.codes) for r in verify.verify_run(*frames, ["page"]).collect()}
     assert 6 not in runs and runs[3] == (3, "high", "text-dropped,confident-word-missing,orphan-footnote") and len(runs) == 6
     assert verify.verify_run(*frames, ["page"], "left").where("page = 6").first().n_findings == 0
+
+
+def test_words_that_meet_across_a_gap_cut_nothing(spark):
+    """Words right before and behind the gap are, together, a run that the text has once elsewhere: it is no place to cut at."""
+    line = "w0 w0 w1 ".split()
+    own = line * 19 + "w0 w0 w0".split() + line * 24 + "w0 w1 w1 w0 w1".split() + line * 4 + "w0 w0 w1 w0 w1".split()
+    rest = random.Random(192)
+    v = [f"w{k}" for k in range(rest.choice([2, 3, 4, 6, 10]))]
+    second = [rest.choice(v) for _ in range(rest.randrange(121, 200))]
+    if rest.random() < 0.6:
+        second = [w if rest.random() > 0.05 else rest.choice(v) for w in (second[: rest.randrange(3, 14)] * 60)[: len(second)]]
+    texts = [own, second]
+    other = [[w for k, w in enumerate(t) if not 120 <= k < 128] for t in texts]
+    a, b = spark.createDataFrame(rows(texts), TOKENS), spark.createDataFrame(rows(other), TOKENS)
+    found = readings.missing_runs(a, b).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()
+    assert {r.doc_id: r.n for r in found} == {0: 8, 1: 8}
+
+
+def test_places_that_are_forced():
+    assert readings.forced("a b a c".split(), "a c".split()) == [(3, 1)] and readings.forced(["a"], ["b"]) is None
+    assert readings.forced([], []) == [] and readings.forced("a b".split(), "b a".split()) is None
