@@ -50,33 +50,34 @@ REGIONS = "doc_id long, page_index long, n int, x0 double, y0 double, x1 double,
 def empty_rectangles(taken: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Maximal free rectangles (top, left, bottom, right) of a grid, by the heights of free columns above each row."""
     rows, cols = taken.shape
-    heights, out = np.zeros(cols + 1, int), set()
+    full = taken.tolist()
+    heights, out = [0] * (cols + 1), set()
     for r in range(rows):
-        heights[:cols] = np.where(taken[r], 0, heights[:cols] + 1)
+        heights[:cols] = [0 if t else h + 1 for t, h in zip(full[r], heights)]
         stack: list[tuple[int, int]] = []
         for c in range(cols + 1):
             left = c
             while stack and stack[-1][1] >= heights[c]:
                 start, height = stack.pop()
                 if height > heights[c]:
-                    grows = r + 1 < rows and not taken[r + 1, start:c].any()
+                    grows = r + 1 < rows and not any(full[r + 1][start:c])
                     if not grows:
                         out.add((r - height + 1, start, r + 1, c))
                 left = start
             if heights[c]:
-                stack.append((left, int(heights[c])))
+                stack.append((left, heights[c]))
     return sorted(out)
 
 
 def blank_regions(words: DataFrame, width: float, height: float, least: float = 0.08, grid: int = 32) -> DataFrame:
-    """The large parts of each page (doc_id, page_index) that no word box touches and that aren't plain margins."""
-
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        taken = np.zeros((grid, grid), bool)
-        for r in rows.itertuples():
-            a, b = int(r.x0 * grid / width), int(np.ceil(r.x1 * grid / width))
-            c, d = int(r.y0 * grid / height), int(np.ceil(r.y1 * grid / height))
-            taken[max(0, c) : max(0, d), max(0, a) : max(0, b)] = True
+    """The large parts of each page (doc_id, page_index) that no word box touches and that aren't plain margins.
+
+    A page is a whole number of bits for each row of its grid (62 columns at most), so its words never leave Spark.
+    """
+    if grid > 62:
+        raise ValueError("a row of the grid has 62 columns at most")
+
+    def page(taken: np.ndarray) -> list[tuple[float, float, float, float]]:
         inner = taken.any(1).nonzero()[0], taken.any(0).nonzero()[0]
         found = []
         for t, left, b, r in empty_rectangles(taken):
@@ -88,10 +89,39 @@ def blank_regions(words: DataFrame, width: float, height: float, least: float =
         for x in found:
             if not any(k[0] <= x[0] and k[1] <= x[1] and k[2] >= x[2] and k[3] >= x[3] for k in kept):
                 kept.append(x)
-        key = (rows["doc_id"].iloc[0], rows["page_index"].iloc[0])
-        return pd.DataFrame([(*key, n, left * width / grid, t * height / grid, r * width / grid, b * height / grid) for n, (t, left, b, r) in enumerate(kept)], columns=["doc_id", "page_index", "n", "x0", "y0", "x1", "y1"])
+        return [(left * width / grid, t * height / grid, r * width / grid, b * height / grid) for t, left, b, r in kept]
 
-    return words.groupBy("doc_id", "page_index").applyInPandas(lambda rows: page(rows), REGIONS)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for doc, index, rows in zip(frame["doc_id"], frame["page_index"], frame["rows"]):
+                taken = (np.asarray(rows, np.int64)[:, None] >> np.arange(grid) & 1).astype(bool)
+                out += [(doc, index, n, *box) for n, box in enumerate(page(taken))]
+            yield pd.DataFrame(out, columns=["doc_id", "page_index", "n", "x0", "y0", "x1", "y1"])
+
+    cell = lambda at: F.greatest(F.lit(0), F.least(F.lit(grid), at)).cast("int")
+    a, b = cell(F.floor(F.col("x0") * grid / width)), cell(F.ceil(F.col("x1") * grid / width))
+    c, d = cell(F.floor(F.col("y0") * grid / height)), cell(F.ceil(F.col("y1") * grid / height))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    boxes = words.select("doc_id", "page_index", F.greatest(F.lit(0).cast("long"), bit(b) - bit(a)).alias("bits"), c.alias("c"), d.alias("d"))
+    row = lambda k: F.bit_or(F.when((F.col("c") <= k) & (F.col("d") > k), F.col("bits")).otherwise(F.lit(0).cast("long"))).alias(f"r{k}")
+    pages = boxes.groupBy("doc_id", "page_index").agg(*(row(k) for k in range(grid)))
+    return pages.select("doc_id", "page_index", F.array(*(f"r{k}" for k in range(grid))).alias("rows")).mapInPandas(run, REGIONS)
+
+
+def _named(now: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """``now`` (keys, id, x0, y0, x1, y1) with ``to``: the least id of the boxes near to each.
+
+    Cells are many times the boxes, which Spark can't know beforehand: neither side of their join may be sent whole to all.
+    """
+    side = ["x0", "y0", "x1", "y1"]
+    at = lambda c: F.floor(F.col(c) / gap).cast("long")
+    cells = now.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
+    first = cells.groupBy(*keys, "cx", "cy").agg(F.min(F.struct("id", *side)).alias("b"))
+    near = [F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    around = first.select(*keys, "b", F.inline(F.array(*near)))
+    reach = [f"{a}0 - {gap} <= b.{a}1 and b.{a}0 - {gap} <= {a}1" for a in "xy"]
+    return cells.join(around.hint("merge"), [*keys, "cx", "cy"]).where(" and ".join(reach)).groupBy(*keys, "id", *side).agg(F.min("b.id").alias("to"))
 
 
 def merge_nearby(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
@@ -104,15 +134,8 @@ def merge_nearby(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
     """
     side = ["x0", "y0", "x1", "y1"]
     now = scratch.keep(boxes.select(*keys, *side, F.xxhash64(F.monotonically_increasing_id()).alias("id")))
-    at = lambda c: F.floor(F.col(c) / gap).cast("long")
     while True:
-        cells = now.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-        first = cells.groupBy(*keys, "cx", "cy").agg(F.min(F.struct("id", *side)).alias("b"))
-        near = [F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        around = first.select(*keys, "b", F.inline(F.array(*near)))
-        reach = [f"{a}0 - {gap} <= b.{a}1 and b.{a}0 - {gap} <= {a}1" for a in "xy"]
-        named = cells.join(around, [*keys, "cx", "cy"]).where(" and ".join(reach)).groupBy(*keys, "id", *side).agg(F.min("b.id").alias("to"))
-        named = scratch.keep(named)
+        named = scratch.keep(_named(now, keys, gap))
         scratch.drop(now)
         now = scratch.keep(named.groupBy(*keys, F.col("to").alias("id")).agg(*(F.min(c).alias(c) for c in side[:2]), *(F.max(c).alias(c) for c in side[2:])))
         if named.where("to <> id").isEmpty():

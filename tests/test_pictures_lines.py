@@ -113,3 +113,16 @@ def test_hyphenated_lines_hold_the_paragraphs_words(spark):
     got = lines.break_hyphenated(rows, patterns, 70.0, 10.0).orderBy("bi", "line").collect()
     assert {r.bi for r in got} == {0} and any(r.text.endswith("-") for r in got)
     assert "".join(r.text[:-1] if r.text.endswith("-") else r.text + " " for r in got).split() == text.split()
+
+
+def test_cells_of_boxes_are_never_sent_whole_to_all(spark):
+    boxes = spark.createDataFrame([(0, k, 0.0, 0.0, 900.0, 900.0) for k in range(3)], "page long, id long, x0 double, y0 double, x1 double, y1 double")
+    plan = pictures._named(boxes, ["page"], 50)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_blank_regions_send_no_words_to_python(spark):
+    words = spark.createDataFrame([(0, 0, 0.0, 0.0, 320.0, 10.0), (0, 0, 0.0, 300.0, 320.0, 320.0), (0, 0, -5.0, 100.0, 20.0, 101.0)], "doc_id long, page_index long, x0 double, y0 double, x1 double, y1 double")
+    found = pictures.blank_regions(words, 320, 320)
+    assert "MapInPandas" in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[2:] for r in found.orderBy("n").collect()] == [(0, 20.0, 10.0, 320.0, 300.0), (1, 0.0, 110.0, 320.0, 300.0), (2, 0.0, 10.0, 320.0, 100.0)]
