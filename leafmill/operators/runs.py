@@ -56,9 +56,13 @@ def resume_from(rows: DataFrame) -> DataFrame:
 
 
 def find_run(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """want_id, key: the stored run of the same key, else the first of the same name and size."""
-    exact = wanted.join(stored, "key").select("want_id", F.lit(0).alias("rank"), "key")
-    same = wanted.select("want_id", "name", "size").join(stored.select("name", "size", "key"), ["name", "size"]).select("want_id", F.lit(1).alias("rank"), "key")
+    """want_id, key: the stored run of the same key, else the first of the same name and size.
+
+    Only the first of a name and size can be an answer, so that no wanted run meets all that are alike.
+    """
+    exact = wanted.join(stored.select("key").distinct(), "key").select("want_id", F.lit(0).alias("rank"), "key")
+    firsts = stored.groupBy("name", "size").agg(F.min("key").alias("key"))
+    same = wanted.select("want_id", "name", "size").join(firsts, ["name", "size"]).select("want_id", F.lit(1).alias("rank"), "key")
     return exact.union(same).groupBy("want_id").agg(F.min(F.struct("rank", "key")).alias("m")).select("want_id", "m.key")
 
 
