@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import JUNK
-from ..plans.views import tokens
+from ..plans.views import dealt, tokens
 
 LEAST_WORDS, CLEAN, NOISE, MIXED, VOUCHED = 200, 0.985, 0.004, 0.9, 3
 
@@ -20,7 +20,7 @@ def assess(docs: DataFrame, vouched: int = VOUCHED) -> DataFrame:
 
     Texts are shuffled once, by document; counts of words and of what vouches for them are then made where they lie.
     """
-    docs = docs.select("doc_id", "text").repartition("doc_id")
+    docs = dealt(docs)
     shape = tokens(docs).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     bare = F.regexp_replace("token", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     shape = shape.withColumn("bare", bare).withColumn("said", _key(F.col("token"))).withColumn("key", _key(F.col("bare")))

@@ -27,6 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that one task is dealt.
+SHARE = 8 << 20
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """doc_id, text: all rows of a document in one task, in as many tasks as leave each about ``SHARE`` bytes of text.
+
+    Counts, windows and groups by document (or by document and more) then need no shuffle of words, which are several times
+    the text, and what a task holds stays the same however much text there is.
+    """
+    docs = docs.select("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, size // SHARE + 1), "doc_id")
+
+
 def book_of(doc_id):
     return F.floor(doc_id / BOOK).cast("long")
 

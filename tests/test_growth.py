@@ -2,9 +2,11 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import runs
+from leafmill.operators import quality, runs
+from leafmill.plans import views
 
 
 def test_a_run_is_looked_up_once_for_all_of_a_name_and_size(spark):
@@ -15,3 +17,15 @@ def test_a_run_is_looked_up_once_for_all_of_a_name_and_size(spark):
     got = {r.key: r.n for r in runs.find_run(wanted, stored.union(stored.limit(9))).groupBy("key").agg(F.count("*").alias("n")).collect()}
     assert got == {"k00000": n - 1, "k00007": 1}
     assert time.time() - began < 30  # 1.6 thousand million pairs take longer
+
+
+@pytest.fixture
+def small_shares(monkeypatch):
+    monkeypatch.setattr(views, "SHARE", 1000)
+
+
+def test_tasks_grow_with_the_text(spark, small_shares):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word, Word 12 "), 20).alias("text"))
+    assert views.dealt(docs).rdd.getNumPartitions() == 60 * 280 // 1000 + 1
+    assert views.dealt(docs.where("false")).count() == 0
+    assert quality.assess(docs).rdd.getNumPartitions() >= 17
