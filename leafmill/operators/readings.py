@@ -294,7 +294,16 @@ def splice(text: Column, emphasis: Column, runs: Column) -> Column:
     return F.aggregate(runs, F.struct(text.alias("text"), emphasis.cast("array<int>").alias("emphasis"), F.array().cast("array<boolean>").alias("placed")), step)
 
 
+def bare(t: Column) -> Column:
+    """The words of a text without case and marks, a blank between."""
+    return F.array_join(F.filter(F.transform(F.split(t, r"\s+"), plain), lambda w: w != ""), " ")
+
+
+def bare_spot_id(page: Column, words: Column, before: Column, after: Column) -> Column:
+    """``spot_id`` of texts that are ``bare``."""
+    return F.concat(F.lit("p"), page.cast("string"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", page.cast("string"), words, before, after), 256), 1, 16))
+
+
 def spot_id(page: Column, words: Column, before: Column, after: Column) -> Column:
     """The name of a spot on a page, by what stands there and beside it: other spots of the list don't change it."""
-    bare = lambda t: F.array_join(F.filter(F.transform(F.split(t, r"\s+"), plain), lambda w: w != ""), " ")
-    return F.concat(F.lit("p"), page.cast("string"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", page.cast("string"), bare(words), bare(before), bare(after)), 256), 1, 16))
+    return bare_spot_id(page, *map(bare, (words, before, after)))

@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill import registry
 from leafmill.operators import quality, runs
 from leafmill.plans import views
 
@@ -29,3 +30,20 @@ def test_tasks_grow_with_the_text(spark, small_shares):
     assert views.dealt(docs).rdd.getNumPartitions() == 60 * 280 // 1000 + 1
     assert views.dealt(docs.where("false")).count() == 0
     assert quality.assess(docs).rdd.getNumPartitions() >= 17
+
+
+def shuffles(df):
+    """The shuffles of a plan before it runs, but for those that deal texts out."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange" in line and "REPARTITION_BY_NUM" not in line and "Broadcast" not in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name", ["w06_spot_names", "w06_healed_lines"])
+def test_words_are_not_shuffled(spark, name):
+    assert shuffles(registry.queries()[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_pages_are_checked_once(spark):
+    """A page's findings are summed up where they are made, not made again, joined and grouped."""
+    plan = registry.queries()["j01_verified_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
