@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.text import superscript
 from ..operators import facts, hyphens, lines, notes, pictures, stored
 from ..plans import scratch
-from ..plans.views import blocks, ocr_words, sql, table, tokens
+from ..plans.views import blocks, dealt, ocr_words, sql, table, tokens
 from ..plans.views import pages as page_view
 from ..sources import epub, files
 
@@ -306,14 +306,12 @@ def k04(spark, sf):
 @query("s05_flatten_words", sql("tok ocr", "select doc_id, page_index, row_number() over (partition by doc_id, page_index order by pos) - 1 n, text from ocr where word_no % 9 <> 4"))
 def s05(spark, sf):
     """Words nested by page and line, blank ones among them, flattened and numbered again."""
-    from pyspark.sql import Window
-
-    words = ocr_words(tokens(table(spark, sf, "documents")))
+    words = ocr_words(tokens(dealt(table(spark, sf, "documents"))))
     text = F.when(F.col("word_no") % 9 == 4, " ").otherwise(F.col("text"))
     line = words.groupBy("doc_id", "page_index", "y0").agg(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))).alias("words"))
     page = line.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("y0", "words"))).alias("lines"))
-    flat = page.select("doc_id", "page_index", F.explode(F.flatten(F.transform("lines", lambda x: x["words"]))).alias("w")).where(F.trim("w.text") != "")
-    return flat.select("doc_id", "page_index", (F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("w.pos")) - 1).cast("long").alias("n"), "w.text")
+    flat = F.filter(F.flatten(F.transform("lines", lambda x: x["words"])), lambda w: F.trim(w["text"]) != "")
+    return page.select("doc_id", "page_index", F.posexplode(flat).alias("n", "w")).select("doc_id", "page_index", F.col("n").cast("long").alias("n"), "w.text")
 
 
 @query("x01_fixed_widths", sql("blocks", "select doc_id, bi, round(length(text) * 11 * 0.5, 6) width from blocks"))

@@ -38,7 +38,7 @@ def shuffles(df):
     return sum("Exchange" in line and "REPARTITION_BY_NUM" not in line and "Broadcast" not in line for line in plan.splitlines())
 
 
-@pytest.mark.parametrize("name", ["w06_spot_names", "w06_healed_lines"])
+@pytest.mark.parametrize("name", ["w06_spot_names", "w06_healed_lines", "s05_flatten_words"])
 def test_words_are_not_shuffled(spark, name):
     assert shuffles(registry.queries()[name](spark, "/root/testdata/sf0.001")) == 0
 
