@@ -69,21 +69,25 @@ def slug(value: Column, most: int = 48) -> Column:
     return F.substring(F.regexp_replace(plain, "^-+|-+$", ""), 1, most)
 
 
-def _letters() -> str:
-    """JSON of all signs whose compatibility form begins with a plain letter or digit, and that form without its marks."""
+def _letters() -> dict[str, str]:
+    """All signs whose compatibility form begins with a plain letter or digit, and that form without its marks."""
     found = {}
     for code in range(128, 0x1F200):
         form = unicodedata.normalize("NFKD", chr(code)) if not 0xD800 <= code < 0xE000 else ""
         bare = "".join(c for c in form if not "\u0300" <= c <= "\u036f")
         if bare != chr(code) and any(c.isascii() and c.isalnum() for c in bare):
             found[chr(code)] = bare
-    return json.dumps(found)
+    return found
 
 
 def safe_file_name(title: Column, ending: str) -> Column:
     """A title as a file's name: letters without accents and digits, all else one hyphen, at most 60 signs; book without any."""
-    plain = F.from_json(F.lit(_letters()), "map<string,string>")
-    spelt = F.array_join(F.transform(F.split(F.regexp_replace(F.coalesce(title, F.lit("")), "[\u0300-\u036f]", ""), ""), lambda c: F.coalesce(F.try_element_at(plain, c), c)), "")
+    letters = _letters()
+    one = {a: b for a, b in letters.items() if len(b) == 1 and a <= "\uffff"}
+    # A map is searched from its start for each sign: only what becomes several is left to it, and plain signs pass by.
+    more = F.from_json(F.lit(json.dumps({a: b for a, b in letters.items() if a not in one})), "map<string,string>")
+    bare = F.translate(F.regexp_replace(F.coalesce(title, F.lit("")), "[\u0300-\u036f]", ""), "".join(one), "".join(one.values()))
+    spelt = F.array_join(F.transform(F.split(bare, ""), lambda c: F.when(c < "\u0080", c).otherwise(F.coalesce(F.try_element_at(more, c), c))), "")
     stem = F.regexp_replace(F.regexp_replace(spelt, "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")
     return F.concat(F.coalesce(F.nullif(F.lower(F.substring(stem, 1, 60)), F.lit("")), F.lit("book")), F.lit("." + ending))
 
