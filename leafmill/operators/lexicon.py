@@ -14,7 +14,10 @@ LEAST_COUNT, LOW_CONFIDENCE, LIMIT = 3, 80, 200
 def forms(words: DataFrame) -> DataFrame:
     """key, form, n, confidence, first, pages: spellings of the words (text, confidence, page, at), counted where they lie."""
     # Words as they stand are counted first, so that each different one is brought to its form once and not where it occurs.
-    raw = words.groupBy("text").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.min("at").alias("first"))
+    # They are counted by document before, with plain numbers for places: a least place as a struct would have all words sorted.
+    each = words.groupBy("text", F.col("at")["doc"].alias("doc")).agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.min(F.col("at")["pos"]).alias("pos"))
+    raw = each.groupBy("text").agg(F.sum("n").alias("n"), F.sum("confidence").alias("confidence"), F.min("doc").alias("doc"), F.min_by("pos", "doc").alias("pos"))
+    raw = raw.select("text", "n", "confidence", F.struct("doc", "pos").alias("first"))
     term = normalize_token(F.col("text"))
     named = raw.select(term.alias("form"), F.lower(term).alias("key"), "n", "confidence", "first")
     named = named.where((F.length("form") >= 3) & F.col("form").rlike(r"\p{L}"))
@@ -123,5 +126,6 @@ def vet(found: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def widespread(tokens: DataFrame, docs: int, share: float) -> DataFrame:
     """Ordinary words by rule: those in at least ``share`` of all documents."""
-    seen = tokens.select("doc_id", F.lower(normalize_token(F.col("token"))).alias("word")).distinct()
+    each = tokens.select("doc_id", "token").distinct()  # so that a word is brought to its form once a document
+    seen = each.select("doc_id", F.lower(normalize_token(F.col("token"))).alias("word")).distinct()
     return seen.groupBy("word").count().where(F.col("count") >= share * docs).select("word")

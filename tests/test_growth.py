@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill import registry
-from leafmill.operators import quality, runs
+from leafmill.functions import text
+from leafmill.operators import lexicon, quality, runs
 from leafmill.plans import views
 
 
@@ -47,3 +48,20 @@ def test_pages_are_checked_once(spark):
     """A page's findings are summed up where they are made, not made again, joined and grouped."""
     plan = registry.queries()["j01_verified_pages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_long_titles_become_file_names_fast(spark):
+    titles = spark.range(20_000).select(F.concat(F.lit("É½ "), F.repeat(F.lit("Straße 7, "), 100)).alias("t"))
+    began = time.time()
+    assert [r.f for r in titles.select(text.safe_file_name(F.col("t"), "pdf").alias("f")).distinct().collect()] == [("e1-2-" + "stra-e-7-" * 9)[:60] + ".pdf"]
+    assert time.time() - began < 25  # twenty million signs
+
+
+def test_words_are_counted_without_sorting_all(spark):
+    """Least places of all words' spellings as structs would be sorted for; only those of different ones may be."""
+    at = F.struct(F.col("id").alias("doc"), (F.col("id") % 7).alias("pos"))
+    words = spark.range(100).select(F.lit("Word").alias("text"), F.lit(50).cast("long").alias("confidence"), at.alias("at"))
+    spelled = lexicon.forms(words)
+    assert [(r.n, r["first"].doc, r["first"].pos) for r in spelled.collect()] == [(100, 0, 0)]
+    lines = [line for line in spelled._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate(" in line]
+    assert "HashAggregate" in lines[-1] and "HashAggregate" in lines[-2]  # those right above the words
