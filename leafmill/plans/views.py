@@ -37,9 +37,13 @@ def dealt(docs: DataFrame) -> DataFrame:
     Counts, windows and groups by document (or by document and more) then need no shuffle of words, which are several times
     the text, and what a task holds stays the same however much text there is.
     """
-    docs = docs.select("doc_id", "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, size // SHARE + 1), "doc_id")
+    return shared_out(docs.select("doc_id", "text"), "doc_id", "text")
+
+
+def shared_out(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``rows`` with all of a key in one task, in as many tasks as leave each about ``SHARE`` bytes of ``text``."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, size // SHARE + 1), key)
 
 
 def book_of(doc_id):

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.text import superscript
 from ..operators import facts, hyphens, lines, notes, pictures, stored
 from ..plans import scratch
-from ..plans.views import blocks, dealt, ocr_words, sql, table, tokens
+from ..plans.views import blocks, dealt, ocr_words, shared_out, sql, table, tokens
 from ..plans.views import pages as page_view
 from ..sources import epub, files
 
@@ -226,10 +226,11 @@ def j14(spark, sf):
     return pictures.illustrations(pictures.blank_regions(words, 1100, 1200, 0.05), 55)
 
 
-def _bound(spark, sf):
-    """A folder of archives of four web pages each, the first of an archive's addresses as its title and an image of its own."""
+def _archives(spark, sf):
+    """name, content of archives of four web pages each, the first of an archive's addresses as its title and an image of its own."""
     rows = table(spark, sf, "pages").select(F.floor(F.col("page_id") / 4).cast("long").alias("book"), "page_id", "url", "html")
-    group = rows.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_id", "url", "html"))).alias("l"))
+    # Few archives a task, so that Python holds as much of them however many there are.
+    group = shared_out(rows, "book", "html").groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_id", "url", "html"))).alias("l"))
 
     def bind(frames):
         import pandas as pd
@@ -242,9 +243,14 @@ def _bound(spark, sf):
                 out.append((f"book{book}.epub", content))
             yield pd.DataFrame(out, columns=["name", "content"])
 
+    return group.mapInPandas(bind, "name string, content binary")
+
+
+def _bound(spark, sf):
+    """What a folder of these archives holds."""
     files.register(spark)
     path = f"{scratch.shared_folder(spark)}/archives-{uuid.uuid4().hex}"
-    group.mapInPandas(bind, "name string, content binary").write.format("leafmill_files").mode("append").save(path)
+    _archives(spark, sf).write.format("leafmill_files").mode("append").save(path)
     return epub.entries(spark, path)
 
 

@@ -25,8 +25,8 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 def metadata(found: DataFrame) -> DataFrame:
     """archive, title, author, year, publisher, language of each archive that could be read."""
     fields = ("title", "author", "year", "publisher", "language")
-    rows = found.where("kind = 'metadata'").groupBy("archive").agg(*(F.max(F.when(F.col("name") == f, F.decode("content", "UTF-8"))).alias(f) for f in fields))
-    return found.where("kind <> 'damage'").select("archive").distinct().join(rows, "archive", "left")
+    said = lambda f: F.when((F.col("kind") == "metadata") & (F.col("name") == f), F.decode("content", "UTF-8"))
+    return found.where("kind <> 'damage'").groupBy("archive").agg(*(F.max(said(f)).alias(f) for f in fields))
 
 
 def pages(found: DataFrame) -> DataFrame:

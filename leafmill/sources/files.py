@@ -9,16 +9,20 @@ import posixpath
 import re
 import uuid
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: Archives are dealt out so many bytes a task; a larger one is cut into ranges of entries.
-BYTES = 32 << 20
+BYTES = 8 << 20
+#: Bytes of content, and rows, that a task reads before it hands them on.
+BATCH, ROWS = 4 << 20, 1000
 _PENDING = "_pending"
 
 
@@ -61,8 +65,7 @@ class _FilesWriter(DataSourceWriter):
         """Files are moved to their names once all tasks are done; a name that two rows gave moves nothing."""
         store, root = _store(self.path)
         done = [m for m in messages if m is not None]
-        names = [n for m in done for n in m.names]
-        twice = {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else None
+        twice = [n for n, k in Counter(n for m in done for n in m.names).items() if k > 1]
         if twice:
             self.abort(messages)
             raise ValueError(f"several rows are named {sorted(twice)[0]!r}")
@@ -70,9 +73,10 @@ class _FilesWriter(DataSourceWriter):
             for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
                 if not info.base_name.startswith(_PENDING):
                     (store.delete_dir if info.type == fs.FileType.Directory else store.delete_file)(info.path)
+        for folder in {posixpath.dirname(f"{root}/{name}") for m in done for name in m.names}:
+            store.create_dir(folder, recursive=True)
         for m in done:
             for name in m.names:
-                store.create_dir(posixpath.dirname(f"{root}/{name}"), recursive=True)
                 store.move(f"{m.folder}/{name}", f"{root}/{name}")
         store.delete_dir(self._pending(root)) if store.get_file_info(self._pending(root)).type == fs.FileType.Directory else None
 
@@ -99,6 +103,20 @@ class FilesSource(DataSource):
 # ---- archives -------------------------------------------------------------------------------------------------------
 
 ENTRIES = "archive string, kind string, page int, name string, media_type string, content binary, reason string"
+_ARROW = pa.schema([("archive", pa.string()), ("kind", pa.string()), ("page", pa.int32()), ("name", pa.string()), ("media_type", pa.string()), ("content", pa.binary()), ("reason", pa.string())])
+
+
+def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches that are closed once they hold ``BATCH`` bytes of content or ``ROWS`` rows; Spark's own hold 10,000 rows of any size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[5] or b"")
+        if size >= BATCH or len(held) >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
 
 
 def resolve(base: str, relative: str) -> str:
@@ -186,7 +204,10 @@ class _ArchivesReader(DataSourceReader):
             held += n
         return [*out, Share([f.path], first, len(sizes))]
 
-    def read(self, share: Share) -> Iterator[tuple]:
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        return batches(self._rows(share))
+
+    def _rows(self, share: Share) -> Iterator[tuple]:
         store, _ = _store(self.path)
         for path in share.paths:
             name = posixpath.basename(path)

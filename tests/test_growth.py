@@ -9,6 +9,8 @@ from leafmill import registry
 from leafmill.functions import text
 from leafmill.operators import lexicon, quality, runs
 from leafmill.plans import views
+from leafmill.queries import stored
+from leafmill.sources import files
 
 
 def test_a_run_is_looked_up_once_for_all_of_a_name_and_size(spark):
@@ -65,3 +67,14 @@ def test_words_are_counted_without_sorting_all(spark):
     assert [(r.n, r["first"].doc, r["first"].pos) for r in spelled.collect()] == [(100, 0, 0)]
     lines = [line for line in spelled._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate(" in line]
     assert "HashAggregate" in lines[-1] and "HashAggregate" in lines[-2]  # those right above the words
+
+
+def test_archives_are_bound_and_read_a_few_at_a_time(spark, small_shares):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0]
+    assert stored._archives(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == size // 1000 + 1
+    row = lambda k, n: ("a", "page", k, "p", None, b"x" * n, None)
+    big = list(files.batches(row(k, files.BATCH // 2) for k in range(5)))
+    assert [b.num_rows for b in big] == [2, 2, 1] and big[2].column("page").to_pylist() == [4]
+    assert [b.num_rows for b in files.batches(row(k, 1) for k in range(files.ROWS + 1))] == [files.ROWS, 1]
+    assert list(files.batches(iter([]))) == []
