@@ -21,6 +21,17 @@ def parsed(body: Column) -> Column:
     return F.when(_type(v).startswith("OBJECT"), v)
 
 
+def read(records: DataFrame) -> DataFrame:
+    """id, v: each record's body, parsed once. Spark doesn't carry a condition past the generator, where each field that it
+    names would parse the body anew."""
+    return records.select("id", F.explode(F.array(F.try_parse_json("body"))).alias("v")).select("id", F.when(_type(F.col("v")).startswith("OBJECT"), F.col("v")).alias("v"))
+
+
+def once(rows: DataFrame, **fields: Column) -> DataFrame:
+    """id and ``fields``, each made once, also where a condition names it more often."""
+    return rows.select("id", F.inline(F.array(F.struct(*(c.alias(n) for n, c in fields.items())))))
+
+
 def _type(v: Column, path: str = "$") -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
@@ -56,7 +67,7 @@ def tickets(records: DataFrame) -> DataFrame:
     batches = F.transform(F.filter(_objects(v, "$.batches"), lambda x: text(x, "$.id", "") != ""), batch)
     said = lambda x: text(x, "$.from").isNotNull() & text(x, "$.to").isNotNull()
     corrections = F.transform(F.filter(_objects(v, "$.termCorrections"), said), lambda x: F.struct(text(x, "$.from").alias("said"), text(x, "$.to").alias("meant")))
-    rows = records.select("id", parsed(F.col("body")).alias("v")).select(
+    rows = read(records).select(
         "id", text(v, "$.key").alias("key"), text(v, "$.fileName", "a book").alias("file_name"), text(v, "$.submittedAt", EPOCH).alias("submitted_at"), text(v, "$.modelId", "unknown").alias("model_id"),
         number(v, "$.pageCount", 0).cast("long").alias("page_count"), true(v, "$.complete").alias("complete"), batches.alias("batches"), corrections.alias("corrections"),
     )
@@ -76,7 +87,7 @@ def checkpoints(records: DataFrame) -> DataFrame:
     failed = F.forall(F.coalesce(failures, none), lambda x: F.coalesce(_type(x).startswith("OBJECT"), F.lit(False)))
     failure = lambda x: F.struct(number(x, "$.chunkIndex", 0).cast("long").alias("chunk"), text(x, "$.message", "").alias("message"))
     ok = (number(v, "$.version") == CHECKPOINT) & mode.isNotNull() & (text(v, "$.key", "") != "") & (text(v, "$.bodyKey", "") != "") & found.isNotNull() & facts.isNotNull() & all_good & failed
-    return records.select("id", parsed(F.col("body")).alias("v")).where(ok).select(
+    return read(records).where(ok).select(
         "id", text(v, "$.key").alias("key"), text(v, "$.bodyKey").alias("body_key"), mode.alias("mode"), number(v, "$.chunksDone", 0).cast("long").alias("chunks_done"), number(v, "$.chunksTotal", 0).cast("long").alias("chunks_total"),
         F.transform(found, proposal).alias("proposals"), F.size(facts).alias("n_facts"), F.transform(F.coalesce(failures, none), failure).alias("failures"), number(v, "$.usage.inputTokens", 0).cast("long").alias("input_tokens"),
     )
@@ -110,7 +121,7 @@ def introductions(records: DataFrame) -> DataFrame:
     # Fixed wording.
     refused = F.when(paragraphs.isNull(), "The reply did not contain an introduction").when(F.size(prose) == 0, "The introduction came back empty")
     title = F.trim(text(v, "$.title", ""))
-    rows = records.select("id", parsed(F.col("body")).alias("v"))
+    rows = read(records)
     ok = refused.isNull()
     return rows.select("id", F.when(ok, F.when(title == "", "Introduction").otherwise(title)).alias("title"), F.when(ok, F.array_join(prose, "\n\n")).alias("text"), refused.alias("refused"))
 
@@ -118,7 +129,7 @@ def introductions(records: DataFrame) -> DataFrame:
 def saved_looks(records: DataFrame) -> DataFrame:
     """id, look_id, name, saved_at, imprint, holder, public_domain of stored looks (id, body); only one without an id is none."""
     v = F.col("v")
-    rows = records.select("id", parsed(F.col("body")).alias("v")).where(text(v, "$.id", "") != "")
+    rows = read(records).where(text(v, "$.id", "") != "")
     return rows.select(
         "id", text(v, "$.id").alias("look_id"), text(v, "$.name", "Untitled look").alias("name"), text(v, "$.savedAt", EPOCH).alias("saved_at"),
         text(v, "$.imprint.imprint", "").alias("imprint"), text(v, "$.imprint.copyrightHolder", "").alias("holder"), true(v, "$.imprint.publicDomainNotice", True).alias("public_domain"),
@@ -153,7 +164,7 @@ def commands(records: DataFrame) -> DataFrame:
         )
         .otherwise(F.concat(F.lit("Unknown command “"), shown, F.lit("”.")))
     )
-    rows = records.select("id", parsed(F.col("body")).alias("v")).withColumn("reason", reason)
+    rows = read(records).withColumn("reason", reason)
     ok = F.col("reason").isNull()
     return rows.select(
         "id", F.when(ok, op).alias("op"), F.when(ok & (op == "evidence"), ref).alias("ref"), F.when(ok & (op == "answer"), question).alias("question"), F.when(ok & (op == "answer"), F.to_json(value)).alias("value"), "reason",
@@ -167,30 +178,30 @@ def edit_log(records: DataFrame) -> DataFrame:
     """id, kind, target, value, at, level, block_id, width, height, title, placement, ops of the well-formed edits (id, body) of all
     ten kinds, as ``edits.replayed`` and ``additions`` take them. An edit that lacks what its kind asks for goes."""
     v = F.col("v")
-    kind, block = text(v, "$.kind"), text(v, "$.blockId", "")
-    at, words = number(v, "$.at"), text(v, "$.text")
-    after_type = _type(v, "$.afterBlockId")
-    placed = after_type.isin("STRING", "VOID")
-    named = lambda path: text(v, path, "") != ""
     op = lambda o: F.struct(text(o, "$.op").alias("op"), *(number(o, f"$.params.{c}").cast("int").alias(c) for c in ("x", "y", "width", "height", "degrees")))
     good_op = lambda o: text(o, "$.op").isNotNull() & F.coalesce(_type(o, "$.params").startswith("OBJECT"), F.lit(False))
-    ops = F.transform(F.filter(_objects(v, "$.ops"), good_op), op).cast(_OPS)
+    texts = {"kind": "kind", "words": "text", "block_kind": "blockKind", "after": "afterBlockId", "placement": "placement", "title": "title", "image": "imageId", "illustration": "illustrationId", "section": "sectionId", "note": "noteId"}
+    numbers = {"at": "at", "level": "level", "source_width": "sourceWidth", "source_height": "sourceHeight"}
+    fields = {n: text(v, f"$.{f}") for n, f in texts.items()} | {n: number(v, f"$.{f}") for n, f in numbers.items()} | {"block": text(v, "$.blockId", ""), "after_type": _type(v, "$.afterBlockId")}
+    rows = once(read(records), **fields, ops=F.transform(F.filter(_objects(v, "$.ops"), good_op), op).cast(_OPS))
+    kind, block, words, at, ops = (F.col(c) for c in ("kind", "block", "words", "at", "ops"))
+    placed = F.col("after_type").isin("STRING", "VOID")
+    named = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     asks = {
-        "text": (block != "") & words.isNotNull(), "retype": (block != "") & text(v, "$.blockKind").isin(KINDS), "drop": block != "", "split": (block != "") & at.isNotNull(), "merge": block != "",
-        "image": named("$.imageId") & placed & number(v, "$.sourceWidth").isNotNull() & number(v, "$.sourceHeight").isNotNull(), "retouch": named("$.illustrationId") & (F.size(ops) > 0),
-        "section": named("$.sectionId") & text(v, "$.placement").isin("front", "back") & text(v, "$.title").isNotNull() & words.isNotNull(), "note": named("$.noteId") & (block != "") & at.isNotNull() & words.isNotNull(),
-        "anchor": named("$.illustrationId") & placed,
+        "text": (block != "") & words.isNotNull(), "retype": (block != "") & F.col("block_kind").isin(KINDS), "drop": block != "", "split": (block != "") & at.isNotNull(), "merge": block != "",
+        "image": named("image") & placed & F.col("source_width").isNotNull() & F.col("source_height").isNotNull(), "retouch": named("illustration") & (F.size(ops) > 0),
+        "section": named("section") & F.col("placement").isin("front", "back") & F.col("title").isNotNull() & words.isNotNull(), "note": named("note") & (block != "") & at.isNotNull() & words.isNotNull(),
+        "anchor": named("illustration") & placed,
     }
-    names = {"image": "$.imageId", "retouch": "$.illustrationId", "section": "$.sectionId", "note": "$.noteId", "anchor": "$.illustrationId"}
-    good, target = F.lit(False), F.col("block")
+    names = {"image": "image", "retouch": "illustration", "section": "section", "note": "note", "anchor": "illustration"}
+    good, target = F.lit(False), block
     for k, asked in asks.items():
         good = F.when(kind == k, asked).otherwise(good)
-        target = F.when(kind == k, text(v, names[k])).otherwise(target) if k in names else target
-    rows = records.select("id", parsed(F.col("body")).alias("v")).where(F.coalesce(good, F.lit(False))).withColumn("block", block)
+        target = F.when(kind == k, F.col(names[k])).otherwise(target) if k in names else target
     only = lambda c, *kinds: F.when(kind.isin(*kinds), c)
-    return rows.select(
-        "id", kind.alias("kind"), target.alias("target"), F.when(kind == "retype", text(v, "$.blockKind")).otherwise(only(words, "text", "section", "note")).alias("value"), only(at.cast("int"), "split", "note").alias("at"),
-        only(number(v, "$.level").cast("int"), "retype").alias("level"), F.when(kind == "note", block).otherwise(only(text(v, "$.afterBlockId"), "image", "anchor")).alias("block_id"),
-        only(number(v, "$.sourceWidth").cast("int"), "image").alias("width"), only(number(v, "$.sourceHeight").cast("int"), "image").alias("height"), only(text(v, "$.title"), "section").alias("title"),
-        only(text(v, "$.placement"), "section").alias("placement"), only(ops, "retouch").alias("ops"),
+    return rows.where(F.coalesce(good, F.lit(False))).select(
+        "id", kind.alias("kind"), target.alias("target"), F.when(kind == "retype", F.col("block_kind")).otherwise(only(words, "text", "section", "note")).alias("value"), only(at.cast("int"), "split", "note").alias("at"),
+        only(F.col("level").cast("int"), "retype").alias("level"), F.when(kind == "note", block).otherwise(only(F.col("after"), "image", "anchor")).alias("block_id"),
+        only(F.col("source_width").cast("int"), "image").alias("width"), only(F.col("source_height").cast("int"), "image").alias("height"), only(F.col("title"), "section").alias("title"),
+        only(F.col("placement"), "section").alias("placement"), only(ops, "retouch").alias("ops"),
     )
