@@ -15,28 +15,35 @@ from .notices import fnv1a
 # Tags that mean italics, and tags that mean nothing here.
 ITALIC, TRANSPARENT = ("i", "em", "cite", "var"), ("sup", "sub", "b", "strong", "span", "p", "small")
 _TAG = r"(?i)<(/?)(%s)(?:\s[^<>]*)?/?>" % "|".join(ITALIC + TRANSPARENT)
+_ITALIC = r"(?i)^</?(?:%s)[\s/>]" % "|".join(ITALIC)
 
 
-def _chunks(text: Column) -> Column:
-    """Words and what lies between them, in turns."""
-    return F.regexp_extract_all(text, F.lit(f"{BLANK}+|[^{BLANK[1:-1]}]+"), F.lit(0))
+_WORD = f"[^{BLANK[1:-1]}]"
 
 
-def _is_word(chunk: Column) -> Column:
-    return ~chunk.rlike(f"^{BLANK}")
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(text: Column) -> Column:
+    """Words and what lies between them, in turns."""
+    return F.regexp_extract_all(text, F.lit(f"{BLANK}+|{_WORD}+"), F.lit(0))
 
 
 def parsed_markup(raw: Column) -> Column:
     """text without known tags, and emphasis: the places of the words that italics touch; an open tag runs to the end."""
-    raw = F.coalesce(raw, F.lit(""))
-    tags, gaps = F.regexp_extract_all(raw, F.lit(_TAG), F.lit(0)), F.split(raw, _TAG, -1)
-    text = F.array_join(gaps, "")
     ranges = "array<struct<a:int,b:int>>"
 
+    def parts(raw: Column) -> Column:
+        tag = lambda t: F.struct(t.rlike(_ITALIC).alias("italic"), t.startswith("</").alias("ends"))
+        tags = F.transform(F.regexp_extract_all(raw, F.lit(_TAG), F.lit(0)), tag)
+        last = F.struct(F.lit(False).alias("italic"), F.lit(False).alias("ends"))
+        return F.arrays_zip(F.split(raw, _TAG, -1).alias("gap"), F.concat(tags, F.array(last)).alias("tag"))
+
     def step(s: Column, x: Column) -> Column:
         size = s["size"] + F.length(x["gap"])
-        italic = F.lower(F.regexp_extract(x["tag"], _TAG, 2)).isin(*ITALIC)
-        ends = F.regexp_extract(x["tag"], _TAG, 1) == "/"
+        italic, ends = x["tag"]["italic"], x["tag"]["ends"]
         depth = F.when(italic & ~ends, s["depth"] + 1).when(italic & (s["depth"] > 0), s["depth"] - 1).otherwise(s["depth"])
         begun = F.when(italic & ~ends & (s["depth"] == 0), size).otherwise(s["begun"])
         closed = italic & ends & (s["depth"] == 1)
@@ -45,44 +52,63 @@ def parsed_markup(raw: Column) -> Column:
 
     zero = F.lit(0)
     start = F.struct(zero.alias("size"), zero.alias("depth"), zero.alias("begun"), F.array().cast(ranges).alias("ranges"))
-    pairs = F.arrays_zip(gaps.alias("gap"), F.array_append(tags, F.lit("")).alias("tag"))
     end = lambda s: F.when(s["depth"] > 0, F.concat(s["ranges"], F.array(F.struct(s["begun"].alias("a"), s["size"].alias("b"))).cast(ranges))).otherwise(s["ranges"])
-    spans = F.aggregate(pairs, start, step, end)
+    none = F.array().cast("array<int>")
 
-    def touched(s: Column, c: Column) -> Column:
-        to = s["at"] + F.length(c)
-        here = _is_word(c) & F.exists(s["spans"], lambda r: (s["at"] < r["b"]) & (r["a"] < to))
-        words = F.when(here, F.concat(s["words"], F.array(s["k"]))).otherwise(s["words"])
-        return F.struct(to.alias("at"), (s["k"] + _is_word(c).cast("int")).alias("k"), s["spans"].alias("spans"), words.alias("words"))
+    def touched(text: Column, r: Column) -> Column:
+        """Words from the one that goes on or begins at a range's start to the last that begins before its end."""
+        begun = lambda at: F.regexp_count(F.substring(text, F.lit(1), at), F.lit(f"{_WORD}+"))
+        inside = (r["a"] > 0) & F.substring(text, r["a"], F.lit(2)).rlike(f"^{_WORD}{{2}}$")
+        first, last = begun(r["a"]) - inside.cast("int"), begun(r["b"]) - 1
+        return F.when(first <= last, F.sequence(first, last)).otherwise(none)
 
-    # Texts without italics, as most are, aren't looked through word by word.
-    begin = F.struct(zero.alias("at"), zero.alias("k"), spans.alias("spans"), F.array().cast("array<int>").alias("words"))
-    chunks = F.when(F.size(tags) > 0, _chunks(text)).otherwise(F.array().cast("array<string>"))
-    return F.struct(text.alias("text"), F.aggregate(chunks, begin, touched, lambda s: s["words"]).alias("emphasis"))
+    def read(pairs: Column) -> Column:
+        found = F.struct(F.array_join(F.transform(pairs, lambda x: x["gap"]), "").alias("text"), F.aggregate(pairs, start, step, end).alias("spans"))
+        # No list grows word by word: each of its copies would be as long as the text.
+        words = lambda f: F.array_distinct(F.flatten(F.transform(f["spans"], lambda r: touched(f["text"], r))))
+        return _let(found, lambda f: F.struct(f["text"].alias("text"), words(f).alias("emphasis")))
+
+    return _let(_let(F.coalesce(raw, F.lit("")), parts), read)
 
 
 def with_markup(text: Column, emphasis: Column) -> Column:
     """The inverse: neighbouring emphasised words share a pair of tags."""
-    marked = F.coalesce(emphasis.cast("array<int>"), F.array().cast("array<int>"))
 
-    def step(s: Column, c: Column) -> Column:
-        k, word = s["k"], _is_word(c)
-        has = lambda n: F.array_contains(marked, n)
-        opened = F.when(word & has(k) & ~has(k - 1), "<i>").otherwise("")
-        closed = F.when(word & has(k) & ~has(k + 1), "</i>").otherwise("")
-        return F.struct((k + word.cast("int")).alias("k"), F.array_append(s["out"], F.concat(opened, c, closed)).alias("out"))
+    def marks(s: Column) -> Column:
+        """The places to mark, each once, in order."""
+        inside = F.filter(F.coalesce(emphasis.cast("array<int>"), F.array().cast("array<int>")), lambda k: (k >= 0) & (k * 2 + s["lead"] < F.size(s["chunks"])))
+        return F.sort_array(F.array_distinct(inside))
+
+    def flags(marks: Column) -> Column:
+        """For each word up to the last marked one whether it is."""
+        before = lambda i: F.coalesce(F.get(marks, i - 1), F.lit(-1))
+        return F.flatten(F.transform(marks, lambda m, i: F.concat(F.array_repeat(F.lit(False), m - before(i) - 1), F.array(F.lit(True)))))
+
+    def put(s: Column, flags: Column) -> Column:
+        has = lambda k: F.coalesce(F.get(flags, k), F.lit(False))
+
+        def chunk(c: Column, i: Column) -> Column:
+            k = F.floor((i - s["lead"]) / 2).cast("int")
+            opened, closed = F.when(has(k - 1), "").otherwise("<i>"), F.when(has(k + 1), "").otherwise("</i>")
+            return F.when(((i - s["lead"]) % 2 == 0) & has(k), F.concat(opened, c, closed)).otherwise(c)
 
-    start = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
-    return F.array_join(F.aggregate(_chunks(F.coalesce(text, F.lit(""))), start, step, lambda s: s["out"]), "")
+        return F.array_join(F.transform(s["chunks"], chunk), "")
+
+    # Words and blanks take turns, from the one that the text begins with.
+    split = lambda t: F.struct(_chunks(t).alias("chunks"), t.rlike(f"^{BLANK}").cast("int").alias("lead"))
+    return _let(_let(F.coalesce(text, F.lit("")), split), lambda s: _let(_let(marks(s), flags), lambda f: put(s, f)))
 
 
 def normalized_markup(text: Column, emphasis: Column) -> Column:
     """text and emphasis of a block that came some other way: tags are read as they are elsewhere; a text without any, or with
     none that marks a word, keeps its emphasis."""
-    read = parsed_markup(text)
-    changed = F.contains(text, F.lit("<")) & (read["text"] != text)
-    kept = F.when(changed & (F.size(read["emphasis"]) > 0), read["emphasis"]).otherwise(emphasis)
-    return F.struct(F.when(changed, read["text"]).otherwise(text).alias("text"), kept.alias("emphasis"))
+
+    def chosen(text: Column, read: Column) -> Column:
+        changed = F.contains(text, F.lit("<")) & (read["text"] != text)
+        kept = F.when(changed & (F.size(read["emphasis"]) > 0), read["emphasis"]).otherwise(emphasis)
+        return F.struct(F.when(changed, read["text"]).otherwise(text).alias("text"), kept.alias("emphasis"))
+
+    return _let(text, lambda t: _let(parsed_markup(t), lambda read: chosen(t, read)))
 
 
 def correct_terms(text: str | None, corrections: list[tuple[str, str]]) -> tuple[str, int]:
