@@ -56,16 +56,36 @@ def tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(words).alias("p", "token")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "token")
 
 
-def ocr_words(tok: DataFrame) -> DataFrame:
-    """Words as a scanner reads them: a page, a place in it, a confidence from 40 to 100 and a box on a grid."""
-    at = F.col("pos") - 1
+def _scanned(doc_id, at, token) -> dict:
+    """What a scanner says of the word with ``at`` others before it: its page, a place in it, a confidence and a box."""
     on_page = at % WORDS_PER_PAGE
     x0, y0 = 100 + (at % 10) * 90, 120 + F.floor(on_page / 10) * 40
-    return tok.select(
-        "doc_id", F.floor(at / WORDS_PER_PAGE).cast("long").alias("page_index"), on_page.alias("word_no"), F.col("token").alias("text"),
-        (40 + (F.col("doc_id") * 31 + F.col("pos") * 17) % 61).alias("confidence"),
-        x0.alias("x0"), y0.alias("y0"), (x0 + F.least(F.lit(80), 8 * F.length("token"))).alias("x1"), (y0 + 30).alias("y1"), "pos",
-    )
+    return {
+        "page_index": F.floor(at / WORDS_PER_PAGE).cast("long"), "word_no": on_page, "text": token, "confidence": 40 + (doc_id * 31 + (at + 1) * 17) % 61,
+        "x0": x0, "y0": y0, "x1": x0 + F.least(F.lit(80), 8 * F.length(token)), "y1": y0 + 30,
+    }
+
+
+def ocr_words(tok: DataFrame) -> DataFrame:
+    """Words as a scanner reads them: a page, a place in it, a confidence from 40 to 100 and a box on a grid."""
+    said = _scanned(F.col("doc_id"), F.col("pos") - 1, F.col("token"))
+    return tok.select("doc_id", *(c.alias(n) for n, c in said.items()), "pos")
+
+
+def ocr_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, pages: the words of ``ocr_words`` as an array of pages of words."""
+    words = F.filter(F.split("text", BLANK + "+"), lambda x: x != "")
+    docs = docs.select("doc_id", words.alias("l"))
+
+    def page(p):
+        first = p * WORDS_PER_PAGE
+        said = lambda w, k: F.struct(*(c.alias(n) for n, c in _scanned(F.col("doc_id"), first + k, w).items()))
+        return F.transform(F.slice("l", (first + 1).cast("int"), WORDS_PER_PAGE), said)
+
+    last = F.floor((F.size("l") - 1) / WORDS_PER_PAGE).cast("long")
+    # No condition on their number: Spark would look for words in all texts before they are dealt out.
+    numbers = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0))), lambda p: p <= last)
+    return docs.select("doc_id", F.transform(numbers, page).alias("pages"))
 
 
 def second_reading(tok: DataFrame) -> DataFrame:

@@ -65,28 +65,32 @@ def parse(files: DataFrame) -> DataFrame:
     parts = rest(F.split("content", PAGE, -1))
     pages = files.select("file_id", F.posexplode(parts).alias("page_index", "body"))
 
-    def word(span: Column) -> Column:
-        """A word's title, its box's numbers (one string, null without a whole box) and what stands inside its tag."""
-        end = F.position(F.lit(">"), span)
-        title = _title(F.substring(span, F.lit(1), end))
-        numbers = F.regexp_replace(title, BOX + "(?s).*", "\u0001$1 $2 $3 $4")
-        inner = F.substring(span, end + 1, F.length(span) - end - len("</span>"))
-        return F.struct(title.alias("title"), F.when(F.startswith(numbers, F.lit("\u0001")), F.substring(numbers, 2, 2147483647)).alias("box"), inner.alias("inner"))
-
-    # One search of the page; all else reads single words. Each pattern runs once a word.
-    words = F.filter(F.transform(F.regexp_extract_all("body", F.lit(WORD), F.lit(0)), word), lambda w: w["box"].isNotNull())
+    def cut(span: Column) -> Column:
+        """What stands inside a word's tag, and its title."""
+        tag = F.substring_index(span, ">", 1)
+        return F.struct(F.substring(span, F.length(tag) + 2, F.length(span) - F.length(tag) - 1 - len("</span>")).alias("inner"), _title(tag).alias("title"))
+
+    def placed(w: Column) -> Column:
+        """The numbers of its box in one string behind a mark, which is missing without a whole box."""
+        return F.struct(w["inner"].alias("inner"), w["title"].alias("title"), F.regexp_replace(w["title"], BOX + "(?s).*", "\u0001$1 $2 $3 $4").alias("box"))
+
+    # One search of the page; all else reads single words. A lambda's argument is made once, what it names is made at each
+    # mention: so each step takes the last one's results as its argument, and each pattern runs once a word.
+    words = F.transform(F.transform(F.regexp_extract_all("body", F.lit(WORD), F.lit(0)), cut), placed)
+    words = F.filter(words, lambda w: F.startswith(w["box"], F.lit("\u0001")))
     rows = pages.select("file_id", "page_index", F.posexplode(words).alias("word_no", "w"))
-    rows = rows.select("file_id", "page_index", "word_no", "w.inner", "w.title", F.split("w.box", " ").alias("box"))
+    rows = rows.select("file_id", "page_index", "word_no", "w.inner", "w.title", F.split(F.substring("w.box", 2, 2147483647), " ").alias("box"))
     sides = [F.get("box", F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))]
     return rows.select("file_id", "page_index", "word_no", plain_text(F.col("inner")).alias("text"), confidence(F.col("title")).alias("confidence"), *sides)
 
 
-def render(words: DataFrame) -> DataFrame:
-    """file_id, content: words (file_id, page_index, pos, text, confidence, box) as hOCR."""
-    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    numbers = [F.col(c).cast("string") for c in ("x0", "y0", "x1", "y1")]
-    span = F.concat(F.lit("<span class='ocrx_word' title='bbox "), F.concat_ws(" ", *numbers), F.lit("; x_wconf "), F.col("confidence").cast("string"), F.lit("'>"), safe, F.lit("</span>"))
-    page = words.groupBy("file_id", "page_index").agg(F.array_sort(F.collect_list(F.struct("pos", span.alias("s")))).alias("w"))
-    body = F.concat(F.lit("<div class='ocr_page'>"), F.array_join(F.transform("w", lambda x: x["s"]), "\n"), F.lit("</div>"))
-    whole = page.select("file_id", "page_index", body.alias("b")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "b"))).alias("p"))
-    return whole.select("file_id", F.array_join(F.transform("p", lambda x: x["b"]), "\n").alias("content"))
+def written(pages: Column) -> Column:
+    """Pages of words (text, confidence, box), an array of arrays, as one hOCR text."""
+
+    def span(w: Column) -> Column:
+        safe = F.replace(F.replace(F.replace(w["text"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        numbers = [w[c].cast("string") for c in ("x0", "y0", "x1", "y1")]
+        return F.concat(F.lit("<span class='ocrx_word' title='bbox "), F.concat_ws(" ", *numbers), F.lit("; x_wconf "), w["confidence"].cast("string"), F.lit("'>"), safe, F.lit("</span>"))
+
+    body = lambda ws: F.concat(F.lit("<div class='ocr_page'>"), F.array_join(F.transform(ws, span), "\n"), F.lit("</div>"))
+    return F.array_join(F.transform(pages, body), "\n")

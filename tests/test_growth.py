@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill import registry
-from leafmill.functions import text
+from leafmill.functions import markup, text
 from leafmill.operators import lexicon, quality, runs
 from leafmill.plans import views
 from leafmill.queries import stored
@@ -78,3 +78,23 @@ def test_archives_are_bound_and_read_a_few_at_a_time(spark, small_shares):
     assert [b.num_rows for b in big] == [2, 2, 1] and big[2].column("page").to_pylist() == [4]
     assert [b.num_rows for b in files.batches(row(k, 1) for k in range(files.ROWS + 1))] == [files.ROWS, 1]
     assert list(files.batches(iter([]))) == []
+
+
+def test_scans_are_written_and_read_where_their_texts_lie(spark):
+    assert shuffles(registry.queries()["s01_parse_hocr"](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_emphasis_takes_time_by_the_word(spark):
+    n = 60_000
+    rows = spark.range(1).select(F.concat(F.lit("<em>"), F.repeat(F.lit("ab "), n), F.lit("</em>")).alias("raw"))
+    began = time.time()
+    read = rows.select(markup.parsed_markup(F.col("raw")).alias("m")).localCheckpoint()
+    got = read.select(F.size("m.emphasis").alias("n"), markup.with_markup(F.col("m.text"), F.col("m.emphasis")).alias("t")).first()
+    assert got.n == n and got.t == "<i>" + ("ab " * n).rstrip() + "</i> "
+    assert time.time() - began < 20  # thousands of millions of copied places take longer
+
+
+def test_stored_edits_are_parsed_once_and_their_fields_read_once(spark):
+    plan = registry.queries()["s23_edit_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "variant" in line]
