@@ -14,9 +14,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What a left-out word, changed marks and a new gap cost: each outweighs any number of the next.
 WORD, MARK, GAP = 1 << 42, 1 << 21, 1
@@ -58,6 +59,8 @@ def left_out(own: list[str], other: list[str], own_raw: list[str] | None = None,
         tail += 1
     number: dict[str, int] = {}
     ids = lambda ws, upto: np.array([number.setdefault(w, len(number)) for w in ws[head : len(ws) - upto]], np.int64)
+    if head + tail == len(other):
+        return [(head, len(own) - len(other), head)] if len(own) > len(other) else []
     a, b = ids(own, tail), ids(other, tail)
     marks = ids(own_raw, tail), ids(other_raw, tail)
     n, m = len(a), len(b)
@@ -134,24 +137,38 @@ def _bare(token: str) -> str:
     return "".join(c for c in token if c == "_" or unicodedata.category(c)[0] in "LN").lower()
 
 
-def forced(own: list[str], other: list[str]) -> list[tuple[int, int]] | None:
-    """(a, b) of the words b of ``other`` that can only be word a of ``own``; None if ``other`` doesn't only lack words.
-
-    These are the words that have one place whether all are taken as early or as late as can be.
-    """
+def _earliest(own: list[str], other: list[str], ahead: int = 64) -> list[int]:
+    """Where each word of ``other`` is in ``own`` if it is taken as early as can be; a stretch of words alike is taken at once."""
+    out, k, b = [], 0, 0
+    while b < len(other):
+        some = other[b : b + ahead]
+        if own[k : k + len(some)] == some:
+            out += range(k, k := k + len(some))
+        else:
+            for w in some:
+                out.append(k := own.index(w, k))
+                k += 1
+        b += len(some)
+    return out
 
-    def earliest(own: list[str], other: list[str]) -> list[int]:
-        out, k = [], -1
-        for w in other:
-            out.append(k := own.index(w, k + 1))
-        return out
 
+def _forced(own: list[str], other: list[str]) -> np.ndarray | None:
     try:
-        first = earliest(own, other)
+        first = np.array(_earliest(own, other), np.int64)
     except ValueError:
         return None
-    last = [len(own) - 1 - a for a in reversed(earliest(own[::-1], other[::-1]))]
-    return [(a, b) for b, (a, z) in enumerate(zip(first, last)) if a == z]
+    last = len(own) - 1 - np.array(_earliest(own[::-1], other[::-1]), np.int64)[::-1]
+    b = np.flatnonzero(first == last)
+    return np.stack([first[b], b], 1)
+
+
+def forced(own: list[str], other: list[str]) -> list[tuple[int, int]] | None:
+    """(a, b) of the words b of ``other`` that can only be word a of ``own``; None if ``other`` doesn't only lack words.
+
+    These are the words that have one place whether all are taken as early or as late as can be.
+    """
+    places = _forced(own, other)
+    return None if places is None else [(a, b) for a, b in places.tolist()]
 
 
 def rising(values: list[int]) -> list[int]:
@@ -190,10 +207,16 @@ def anchors(own: list[str], other: list[str], n: int = 3) -> list[tuple[int, int
 
 def lacking(own: list[str], other: list[str]) -> list[tuple[int, int, int]]:
     """(start, n, at) of the runs of a whole text that ``other`` lacks."""
-    places = forced(own, other)
-    cuts = [(0, 0), *(anchors(own, other) if places is None else places), (len(own), len(other))]
+    if own == other:
+        return []
+    places = _forced(own, other)
+    between = np.array(anchors(own, other), np.int64).reshape(-1, 2) if places is None else places
+    cuts = np.concatenate([[(0, 0)], between, [(len(own), len(other))]])
+    steps = np.diff(cuts, axis=0)
+    steps[0] = 0  # the two words at the start needn't be alike, at all other cuts they are
+    some = np.flatnonzero((steps != 1).any(1))
     runs = []
-    for (a, b), (c, d) in zip(cuts, cuts[1:]):
+    for (a, b), (c, d) in zip(cuts[some].tolist(), cuts[some + 1].tolist()):
         x, y = own[a:c], other[b:d]
         if x != y and x:
             bare = ([_bare(w) for w in x], [_bare(w) for w in y]) if places is None else (x, y)
@@ -201,65 +224,110 @@ def lacking(own: list[str], other: list[str]) -> list[tuple[int, int, int]]:
     return settled(own, other, runs)
 
 
-_ALIGNED = "doc_id long, start long, n int, at long"
+_RUNS = T.ArrayType(T.StructType().add("start", T.LongType()).add("n", T.IntegerType()).add("at", T.LongType()))
+
 
+def _words(column: pa.ListArray) -> Iterator[list[str]]:
+    """The words of each row, an empty list for null; those of one row at a time are Python's."""
+    ends = column.offsets.to_pylist()
+    for a, z in zip(ends, ends[1:]):
+        yield column.values.slice(a, z - a).to_numpy(zero_copy_only=False).tolist()
 
-def _lacking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for r in batch.itertuples():
-            runs = lacking(list(r.own), [] if r.other is None else list(r.other))
-            out += [(r.doc_id, start + 1, n, at) for start, n, at in runs]
-        yield pd.DataFrame(out, columns=["doc_id", "start", "n", "at"])
+        found = [lacking(own, other) for own, other in zip(_words(batch["own"]), _words(batch["other"]))]
+        runs = np.array([r for rs in found for r in rs], np.int64).reshape(-1, 3)
+        each = pa.StructArray.from_arrays([pa.array(runs[:, 0] + 1), pa.array(runs[:, 1].astype(np.int32)), pa.array(runs[:, 2])], ["start", "n", "at"])
+        ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, each)], [*batch.schema.names, "runs"])
+
+
+def aligned(sides: DataFrame) -> DataFrame:
+    """``sides`` (doc_id, own, other and more; arrays of words) with runs: start, n, at of the runs of ``own`` that ``other``
+    lacks, and how many of its words come before. Words are numbered from 1."""
+    return sides.mapInArrow(_aligned, T.StructType([*sides.schema, T.StructField("runs", _RUNS)]))
 
 
 def _lists(side: DataFrame, *names: str) -> DataFrame:
-    """doc_id, l: each document's words in order, as they are dealt out once."""
-    return side.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), *names))).alias("l"))
+    """doc_id and each of ``names`` as an array in the words' order."""
+    listed = side.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), *names))).alias("l"))
+    return listed.select("doc_id", *(F.col(f"l.{n}").alias(n) for n in names))
 
 
-def _both(tokens: DataFrame, reading: DataFrame, *names: str) -> DataFrame:
-    """doc_id, own (structs of token and ``names``), other (structs of token, or null), a row a document."""
-    own = _lists(tokens, "token", *names).select("doc_id", F.col("l").alias("own"))
+def _both(tokens: DataFrame, reading: DataFrame) -> DataFrame:
+    """doc_id, own, other (null without a second reading), and confidence and id where the tokens have these: arrays, a row a document."""
+    own = _lists(tokens, "token", *(c for c in _BESIDE if c in tokens.columns)).withColumnRenamed("token", "own")
     # own names for the second side's columns: both sides may come from one frame, whose columns a join would confuse
-    other = _lists(reading.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "token"))), "token").select("doc_id", F.col("l").alias("other"))
+    other = _lists(reading.select(*(F.col(c).alias(c) for c in ("doc_id", "pos", "token"))), "token").withColumnRenamed("token", "other")
     return own.join(other, "doc_id", "left")
 
 
 def missing_runs(tokens: DataFrame, reading: DataFrame) -> DataFrame:
     """doc_id, start, n, at: the runs of each document's tokens (doc_id, pos, token) that a second reading of it lacks, and
     how many of its words come before. Both are numbered from 1, each on its own."""
-    both = _both(tokens, reading).select("doc_id", F.col("own.token").alias("own"), F.col("other.token").alias("other"))
-    return both.where("own <> other or other is null").mapInPandas(_lacking, _ALIGNED)
+    return aligned(_both(tokens, reading).select("doc_id", "own", "other")).select("doc_id", F.inline("runs"))
 
 
-def described(runs: DataFrame, tokens: DataFrame, reading: DataFrame, strong: int = 4, near: int = 3) -> DataFrame:
-    """``runs`` with words, confidence and ids (where the tokens have these), strength, and the words of the reading right
-    before and after, as they stand there, between which the run belongs."""
-    more = [c for c in ("confidence", "id") if c in tokens.columns]
-    each = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "at")).alias("runs"))
-    said = lambda words: F.array_join(F.transform(words, lambda x: x["token"]), " ")
-    part = lambda words, first, to: F.slice(words, first.cast("int"), F.greatest(F.lit(0), to - first + 1).cast("int"))
-    other = F.coalesce("other", F.array().cast("array<struct<pos:bigint,token:string>>"))
+_BESIDE = ("confidence", "id")
+
+
+def _part(l: Column, first: Column, to: Column) -> Column:
+    """Elements ``first`` to ``to`` of ``l``; in a lambda, ``slice`` would copy all of it each time."""
+    places = F.filter(F.sequence(first, F.greatest(first, to)), lambda k: k <= to)
+    return F.transform(places, lambda k: F.get(l, (k - 1).cast("int")))
+
+
+def _described(found: DataFrame, strong: int, near: int) -> DataFrame:
+    """The runs of ``aligned`` sides, a row a run."""
+    more = [c for c in _BESIDE if c in found.columns]
+    said = lambda words: F.array_join(words, " ")
+    other = F.col("other")
 
     def row(r: Column) -> Column:
-        words = part(F.col("own"), r["start"], r["start"] + r["n"] - 1)
-        sure = F.filter(F.transform(words, lambda x: x["confidence"].cast("double")), lambda c: c.isNotNull())
-        mean = F.try_divide(F.aggregate(sure, F.lit(0.0), lambda s, c: s + c), F.size(sure))
-        beside = {"confidence": lambda: mean.alias("confidence"), "id": lambda: F.transform(words, lambda x: x["id"]).alias("ids")}
+        here = lambda c: _part(F.col(c), r["start"], r["start"] + r["n"] - 1)
+        sure = lambda: F.filter(F.transform(here("confidence"), lambda c: c.cast("double")), lambda c: c.isNotNull())
+        mean = lambda: F.try_divide(F.aggregate(sure(), F.lit(0.0), lambda s, c: s + c), F.size(sure()))
+        beside = {"confidence": lambda: mean().alias("confidence"), "id": lambda: here("id").alias("ids")}
         return F.struct(
-            *(r[c].alias(c) for c in ("start", "n", "at")), said(words).alias("words"), F.when(r["n"] >= strong, "strong").otherwise("weak").alias("strength"),
-            said(part(other, F.greatest(F.lit(1), r["at"] - near + 1), r["at"])).alias("before"), said(part(other, r["at"] + 1, r["at"] + near)).alias("after"), *(beside[c]() for c in more),
+            *(r[c].alias(c) for c in ("start", "n", "at")), said(here("own")).alias("words"), F.when(r["n"] >= strong, "strong").otherwise("weak").alias("strength"),
+            said(_part(other, F.greatest(F.lit(1), r["at"] - near + 1), r["at"])).alias("before"), said(_part(other, r["at"] + 1, r["at"] + near)).alias("after"), *(beside[c]() for c in more),
         )
 
-    return each.join(_both(tokens, reading, *more), "doc_id").select("doc_id", F.inline(F.transform("runs", row)))
+    return found.select("doc_id", F.inline(F.transform("runs", row)))
+
+
+def described(runs: DataFrame, tokens: DataFrame, reading: DataFrame, strong: int = 4, near: int = 3) -> DataFrame:
+    """``runs`` with words, confidence and ids (where the tokens have these), strength, and the words of the reading right
+    before and after, as they stand there, between which the run belongs."""
+    each = runs.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "n", F.col("at").cast("long").alias("at"))).alias("runs"))
+    return _described(each.join(_both(tokens, reading), "doc_id"), strong, near)
+
+
+def compare_lists(sides: DataFrame, least: int = 2, strong: int = 4, sure: float = 60, near: int = 3) -> DataFrame:
+    """``compare_readings`` of documents whose words are arrays (doc_id, own, other; confidence and id beside own): no word is
+    shuffled or sorted, and what a document's alignment has found is described as it comes back."""
+    found = aligned(sides).withColumn("runs", F.filter("runs", lambda r: r["n"] >= least))
+    found = _described(found, strong, near)
+    return found.where(F.col("confidence") >= sure) if "confidence" in found.columns else found
 
 
 def compare_readings(tokens: DataFrame, reading: DataFrame, least: int = 2, strong: int = 4, sure: float = 60) -> DataFrame:
     """The described runs of at least ``least`` words that a second reading lacks; where tokens have a confidence, only
     those of a mean of at least ``sure``."""
-    found = described(missing_runs(tokens, reading).where(F.col("n") >= least), tokens, reading, strong)
-    return found.where(F.col("confidence") >= sure) if "confidence" in found.columns else found
+    return compare_lists(_both(tokens, reading), least, strong, sure)
+
+
+def restored(found: DataFrame) -> DataFrame:
+    """``aligned`` sides with whole: the second reading's words with those of the runs put back, an array."""
+
+    def piece(r: Column, k: Column) -> Column:
+        after = F.coalesce(F.get(F.col("runs"), k - 1)["at"], F.lit(0))
+        return F.concat(_part(F.col("other"), after + 1, r["at"]), _part(F.col("own"), r["start"], r["start"] + r["n"] - 1))
+
+    last = F.coalesce(F.get("runs", F.size("runs") - 1)["at"], F.lit(0))
+    rest = F.slice("other", (last + 1).cast("int"), F.size("other"))
+    return found.withColumn("whole", F.concat(F.flatten(F.transform("runs", piece)), F.coalesce(rest, F.array().cast("array<string>"))))
 
 
 def put_back(reading: DataFrame, runs: DataFrame) -> DataFrame:

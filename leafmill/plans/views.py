@@ -94,18 +94,38 @@ def second_reading(tok: DataFrame) -> DataFrame:
     return tok.where(~((cell % 7 == 3) & ((F.col("pos") - 1) % 40 < 8)))
 
 
+def _halves(text, confidence, pos, **more):
+    """``more``, pos, text, confidence of the word at ``pos`` (from 1), or of its two halves."""
+    mid = (F.length(text) / 2).cast("int")
+    cut = ((pos - 1) % 10 == 9) & text.rlike(r"^\p{L}{6,}$")
+    hyphen = F.when(pos % 20 == 0, "-").otherwise("\xad")
+    part = lambda k, t, c: F.struct(*(v.alias(n) for n, v in more.items()), (2 * pos + k).alias("pos"), t.alias("text"), c.alias("confidence"))
+    both = F.array(part(0, F.concat(F.left(text, mid), hyphen), confidence), part(1, F.substring(text, mid + 1, F.length(text)), 40 + confidence * 7 % 61))
+    return F.when(cut, both).otherwise(F.array(part(0, text, confidence)))
+
+
 def cut_words(ocr: DataFrame) -> DataFrame:
     """``ocr`` as a scanner gives it at line ends: every tenth word of six letters or more comes as two halves, the first with a
     hyphen, by turns a soft one. doc_id, page_index, pos, text, confidence, id."""
-    n = F.length("text")
-    cut = ((F.col("pos") - 1) % 10 == 9) & F.col("text").rlike(r"^\p{L}{6,}$")
-    hyphen = F.when(F.col("pos") % 20 == 0, "-").otherwise("\xad")
-    left, right = F.concat(F.expr("left(text, cast(length(text) / 2 as int))"), hyphen), F.expr("substring(text, cast(length(text) / 2 as int) + 1)")
-    part = lambda k, text, confidence: F.struct((2 * F.col("pos") + k).alias("at"), text.alias("t"), confidence.alias("c"))
-    halves = F.array(part(0, left, F.col("confidence")), part(1, right, 40 + F.col("confidence") * 7 % 61))
-    each = F.when(cut & (n > 0), halves).otherwise(F.array(part(0, F.col("text"), F.col("confidence"))))
-    rows = ocr.select("doc_id", "page_index", F.explode(each).alias("x"))
-    return rows.select("doc_id", "page_index", F.col("x.at").alias("pos"), F.col("x.t").alias("text"), F.col("x.c").alias("confidence"), F.concat(F.lit("w"), F.col("x.at").cast("string")).alias("id"))
+    rows = ocr.select("doc_id", "page_index", F.explode(_halves(F.col("text"), F.col("confidence"), F.col("pos"))).alias("x"))
+    return rows.select("doc_id", "page_index", "x.*", F.concat(F.lit("w"), F.col("x.pos").cast("string")).alias("id"))
+
+
+def word_lists(docs: DataFrame) -> DataFrame:
+    """doc_id, own: the words of ``tokens`` as an array; other: those of ``second_reading``."""
+    rows = docs.select("doc_id", F.array_remove(F.split("text", BLANK + "+"), "").alias("own"))
+    return rows.select("doc_id", "own", F.filter("own", lambda _, k: ~((F.floor(k / 40) % 7 == 3) & (k % 40 < 8))).alias("other"))
+
+
+def cut_lists(lists: DataFrame) -> DataFrame:
+    """``word_lists`` with scan: the words of ``cut_words`` as an array of page_index, pos, text, confidence."""
+
+    def said(token, k):
+        k = k.cast("long")
+        word = _scanned(F.col("doc_id"), k, token)
+        return _halves(token, word["confidence"], k + 1, page_index=word["page_index"])
+
+    return lists.withColumn("scan", F.flatten(F.transform("own", said)))
 
 
 def transcriptions(tok: DataFrame) -> DataFrame:

@@ -98,3 +98,11 @@ def test_stored_edits_are_parsed_once_and_their_fields_read_once(spark):
     plan = registry.queries()["s23_edit_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson") == 1
     assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "variant" in line]
+
+
+@pytest.mark.parametrize("name", ["w06_dropped_runs", "w06_spliced_readings"])
+def test_readings_are_compared_where_their_texts_lie(spark, name):
+    """Texts are dealt out once for both readings, and no word is sorted, grouped or joined."""
+    df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(df) == 0 and plan.count("REPARTITION_BY_NUM") == 1 and "Sort" not in plan and "Join" not in plan

@@ -193,3 +193,21 @@ def test_words_that_meet_across_a_gap_cut_nothing(spark):
 def test_places_that_are_forced():
     assert readings.forced("a b a c".split(), "a c".split()) == [(3, 1)] and readings.forced(["a"], ["b"]) is None
     assert readings.forced([], []) == [] and readings.forced("a b".split(), "b a".split()) is None
+
+
+def test_lists_are_compared_as_rows_are(spark):
+    own, other, _ = books(7)
+    other[0], own[1] = [], []
+    a, b = spark.createDataFrame(rows(own), TOKENS), spark.createDataFrame(rows(other), TOKENS)
+    sides = spark.createDataFrame([(d, x or None, y or None) for d, (x, y) in enumerate(zip(own, other))], "doc_id long, own array<string>, other array<string>")
+    got = sorted(map(tuple, readings.compare_lists(sides, least=1).collect()))
+    assert got and got == sorted(map(tuple, readings.compare_readings(a, b, least=1).collect()))
+    back = {r.doc_id: r.whole for r in readings.restored(readings.aligned(sides)).select("doc_id", "whole").collect()}
+    assert back.pop(1) == other[1] and all(back[d] == own[d] for d in back)
+
+
+def test_a_gap_between_equal_words_costs_no_table(monkeypatch):
+    monkeypatch.setattr(readings, "_rows", None)
+    own = ["a", "b"] * 400
+    assert readings.left_out(own, own[:300] + own[400:]) == [(700, 100, 700)]
+    assert readings.lacking(own + ["c"] + own, own + ["c"] + own[8:]) == [(801, 8, 801)]
