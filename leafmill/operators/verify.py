@@ -28,6 +28,29 @@ def heal_line_breaks(scans: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "_word").agg(F.min("pos").alias("pos"), parts.alias("text"), F.min("confidence").alias("confidence"), *firsts).drop("_word")
 
 
+def heal_lists(scans: DataFrame, words: str, page: str) -> DataFrame:
+    """``scans`` with the words of a document, an array in their order (``page``, pos, text, confidence, others), healed as
+    ``heal_line_breaks`` does it, where they lie. A condition on what comes out makes the arrays anew for each word, unless
+    something that Spark can't look through (Python, a checkpoint) lies between."""
+    w, half, firsts = F.col(words), F.col("_half"), F.col("_first")
+
+    def halved(x: Column, k: Column) -> Column:
+        follows = F.get(w, k + 1)
+        return x["text"].rlike("\\p{L}[-\xad]$") & F.coalesce((follows[page] == x[page]) & follows["text"].rlike(r"^\p{L}"), F.lit(False))
+
+    def joined(first: Column, k: Column) -> Column:
+        head, end = F.get(w, first), F.coalesce(F.get(firsts, k + 1), F.size(w))
+        island = F.sequence(first, end - 1)
+        text = lambda i: F.get(w, i)["text"]
+        parts = F.transform(island, lambda i: F.when(F.get(half, i), F.left(text(i), F.length(text(i)) - 1)).otherwise(text(i)))
+        least = F.array_min(F.transform(island, lambda i: F.get(w, i)["confidence"]))
+        return F.when(end - first == 1, head).otherwise(head.withField("text", F.array_join(parts, "")).withField("confidence", least))
+
+    scans = scans.withColumn("_half", F.transform(w, halved))
+    places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda k: (k < F.size(w)) & ~F.coalesce(F.get(half, k - 1), F.lit(False)))
+    return scans.withColumn("_first", places).withColumn(words, F.transform(firsts, joined)).drop("_half", "_first")
+
+
 def _half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 

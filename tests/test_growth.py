@@ -100,7 +100,7 @@ def test_stored_edits_are_parsed_once_and_their_fields_read_once(spark):
     assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "variant" in line]
 
 
-@pytest.mark.parametrize("name", ["w06_dropped_runs", "w06_spliced_readings"])
+@pytest.mark.parametrize("name", ["w06_dropped_runs", "w06_spliced_readings", "w06_scanned_runs"])
 def test_readings_are_compared_where_their_texts_lie(spark, name):
     """Texts are dealt out once for both readings, and no word is sorted, grouped or joined."""
     df = registry.queries()[name](spark, "/root/testdata/sf0.001")

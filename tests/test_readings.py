@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import readings, verify
+from leafmill.plans import views
 
 TOKENS = "doc_id long, pos long, token string"
 
@@ -211,3 +212,18 @@ def test_a_gap_between_equal_words_costs_no_table(monkeypatch):
     own = ["a", "b"] * 400
     assert readings.left_out(own, own[:300] + own[400:]) == [(700, 100, 700)]
     assert readings.lacking(own + ["c"] + own, own + ["c"] + own[8:]) == [(801, 8, 801)]
+
+
+def test_scans_are_cut_and_healed_in_arrays_as_in_rows(spark):
+    rng = random.Random(11)
+    words = ["abcdefg", "Straße", "x-", "soft\xad", "9-", "7", "naïvely-", "it", "äöüßéèà", "-", "a\xad", "end-\xad"]
+    texts = [(d, " ".join(rng.choice(words) for _ in range(n))) for d, n in enumerate([0, 1, 2, 9, 10, 11, 249, 250, 251, 700, 40, 55])]
+    texts += [(90, " ".join(["x-"] * 260)), (91, None), (92, " \n")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    cut = views.cut_words(views.ocr_words(views.tokens(docs)))
+    lists = views.cut_lists(views.word_lists(docs))
+    said = lambda df: sorted(tuple(r) for r in df.select("doc_id", "page_index", "pos", "text", "confidence").collect())
+    flat = lambda df: df.localCheckpoint().select("doc_id", F.inline("scan"))  # noqa: E731  else its filter would make the lists anew for each word
+    assert said(flat(lists)) == said(cut)
+    healed = said(verify.heal_line_breaks(cut, ["doc_id", "page_index"]))
+    assert said(flat(verify.heal_lists(lists, "scan", "page_index"))) == healed and len(healed) < cut.count()
