@@ -33,6 +33,41 @@ def breaks(words: DataFrame, patterns: DataFrame, left: int = 2, right: int = 3)
     return words.join(found, "word", "left").select("word", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
 
 
+def collected(patterns: DataFrame) -> dict[str, list[int]]:
+    """Digits by letters of a language's list of patterns, which no collection makes longer: it goes to every task."""
+    out: dict[str, list[int]] = {}
+    for r in parsed(patterns).where("letters <> ''").collect():
+        out[r.letters] = [max(x) for x in zip(r.digits, out.get(r.letters, r.digits))]
+    return out
+
+
+def tree(known: dict[str, list[int]]) -> dict:
+    """``collected`` patterns by their letters one by one: (places and digits that aren't 0, what may follow)."""
+    root: dict = {}
+    for letters, digits in known.items():
+        node = [(), root]
+        for c in letters:
+            node = node[1].setdefault(c, [(), {}])
+        node[0] = tuple((k, d) for k, d in enumerate(digits) if d)
+    return root
+
+
+def places(word: str, root: dict, left: int = 2, right: int = 3) -> list[int]:
+    """``breaks`` of one word by a ``tree``, for tasks that have words as they come."""
+    dotted = f".{word.lower()}."
+    n = len(dotted)
+    greatest = [0] * (n + 1)
+    for i in range(n):
+        node, j = root.get(dotted[i]), i
+        while node:
+            for k, digit in node[0]:
+                if greatest[i + k] < digit:
+                    greatest[i + k] = digit
+            j += 1
+            node = node[1].get(dotted[j]) if j < n else None
+    return [k - 1 for k, digit in enumerate(greatest) if digit % 2 and k > left and len(word) - k + 1 >= right]
+
+
 def parts(broken: DataFrame) -> DataFrame:
     """word and its parts between the breaks."""
     ends = F.concat(F.col("at"), F.array(F.length("word")))

@@ -216,7 +216,7 @@ def x03(spark, sf):
 def w20_hyphenated(spark, sf):
     """Each paragraph broken into narrow lines, also inside words where the patterns allow it."""
     patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
-    return lines.break_hyphenated(blocks(table(spark, sf, "documents")).where("kind = 'paragraph'"), patterns, 160.0)
+    return lines.break_hyphenated(blocks(dealt(table(spark, sf, "documents"))).where("kind = 'paragraph'"), patterns, 160.0)
 
 
 @query("j14_illustrations")

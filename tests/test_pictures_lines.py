@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from leafmill.functions import images
-from leafmill.operators import lines, pictures
+from leafmill.operators import hyphens, lines, pictures
 
 
 def picture(h=7, w=9, seed=0):
@@ -126,3 +126,21 @@ def test_blank_regions_send_no_words_to_python(spark):
     found = pictures.blank_regions(words, 320, 320)
     assert "MapInPandas" in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r)[2:] for r in found.orderBy("n").collect()] == [(0, 20.0, 10.0, 320.0, 300.0), (1, 0.0, 110.0, 320.0, 300.0), (2, 0.0, 10.0, 320.0, 100.0)]
+
+
+def test_many_paragraphs_are_set_as_each_alone(spark, monkeypatch):
+    monkeypatch.setattr(lines, "CELLS", 200)
+    rng = random.Random(6)
+    bricks = ["ab", "onon", "x", "thanded", "B", "tion", "é", "ati", "zz9", "und"]
+    texts = [" ".join("".join(rng.choices(bricks, k=rng.choice([1, 1, 2, 5, 12]))) for _ in range(rng.randrange(40))) for _ in range(80)]
+    table = spark.createDataFrame([("a1b",), ("n1d",), ("n2de",), ("o1n",), ("1tion",), ("ti4on",), (".a2",), ("2d.",)], "pattern string")
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc_id long, bi long, text string")
+    words = sorted({w for t in texts for w in t.split() if w.isalpha()})
+    broken = hyphens.breaks(spark.createDataFrame([(w,) for w in words], "word string"), table)
+    parts = {r.word: r.parts for r in hyphens.parts(broken).collect()}
+    known = hyphens.tree(hyphens.collected(table))
+    assert {r.word: r.at for r in broken.collect()} == {w: hyphens.places(w, known) for w in words}
+    got = [tuple(r) for r in lines.break_hyphenated(rows, table, 60.0, 10.0).orderBy("bi", "line").collect()]
+    assert got == [(1, k, *line) for k, t in enumerate(texts) for line in lines._set([parts.get(w, [w]) for w in t.split()], 60.0, 10.0)]
+    plan = lines.break_hyphenated(rows, table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
