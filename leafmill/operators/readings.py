@@ -269,6 +269,17 @@ def missing_runs(tokens: DataFrame, reading: DataFrame) -> DataFrame:
     return aligned(_both(tokens, reading).select("doc_id", "own", "other")).select("doc_id", F.inline("runs"))
 
 
+def lost_totals(places: DataFrame, cell: int = 40, least: int = 2) -> DataFrame:
+    """doc_id, n_words: how many words a second reading whose words are known by their places lacks (doc_id, own, other; arrays
+    of places from 1), without those of a stretch of ``cell`` places that lacks fewer than ``least``.
+
+    Words alone don't tell: what is lost of "a a b b c c" can be one word and two, or all three in one place.
+    """
+    lost = places.select("doc_id", F.explode(F.array_except("own", "other")).alias("p"))
+    cells = lost.groupBy("doc_id", F.floor((F.col("p") - 1) / cell).alias("cell")).agg(F.count("*").alias("n"))
+    return cells.where(F.col("n") >= least).groupBy("doc_id").agg(F.sum("n").alias("n_words"))
+
+
 _BESIDE = ("confidence", "id")
 
 

@@ -117,6 +117,14 @@ def word_lists(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "own", F.filter("own", lambda _, k: ~((F.floor(k / 40) % 7 == 3) & (k % 40 < 8))).alias("other"))
 
 
+def place_lists(docs: DataFrame) -> DataFrame:
+    """doc_id, own: the places (from 1) of the words of ``tokens`` as an array; other: the places there of those of ``second_reading``."""
+    n = F.size(F.array_remove(F.split("text", BLANK + "+"), ""))
+    rows = docs.where("text is not null").select("doc_id", n.alias("n"))
+    rows = rows.select("doc_id", F.when(F.col("n") > 0, F.sequence(F.lit(1), "n")).otherwise(F.array().cast("array<int>")).alias("own"))
+    return rows.select("doc_id", "own", F.filter("own", lambda p: ~((F.floor((p - 1) / 40) % 7 == 3) & ((p - 1) % 40 < 8))).alias("other"))
+
+
 def cut_lists(lists: DataFrame) -> DataFrame:
     """``word_lists`` with scan: the words of ``cut_words`` as an array of page_index, pos, text, confidence."""
 
