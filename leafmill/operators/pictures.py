@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.images import apply_ops, luma, size_after
 from ..plans import scratch
@@ -124,10 +126,63 @@ def _named(now: DataFrame, keys: list[str], gap: float) -> DataFrame:
     return cells.join(around.hint("merge"), [*keys, "cx", "cy"]).where(" and ".join(reach)).groupBy(*keys, "id", *side).agg(F.min("b.id").alias("to"))
 
 
+#: Boxes of one key that are joined in one task's memory; those of a more crowded key meet on cells.
+TOGETHER = 1000
+
+
+def joined(boxes: np.ndarray, gap: float) -> np.ndarray:
+    """``boxes`` (a row: x0, y0, x1, y1) joined while any two are within ``gap``: a box that has grown is held against all others."""
+    k = 0
+    while k < len(boxes) > 1:
+        box = boxes[k]
+        near = ((boxes[:, :2] - gap <= box[2:]) & (box[:2] - gap <= boxes[:, 2:])).all(1)
+        near[k] = True
+        if near.sum() == 1:
+            k += 1
+            continue
+        some = boxes[near]
+        near[k] = False
+        k, boxes = k - int(near[:k].sum()), boxes[~near]
+        boxes[k] = [*some[:, :2].min(0), *some[:, 2:].max(0)]
+    return boxes
+
+
+def _joined_lists(listed: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """keys, x0, y0, x1, y1: each row's boxes (l, an array) ``joined``."""
+    side = ["x0", "y0", "x1", "y1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            l = batch["l"]
+            ends, flat = l.offsets.to_pylist(), np.stack([l.values.field(c).to_numpy(zero_copy_only=False) for c in side], 1)
+            found = [joined(flat[a:z], gap) for a, z in zip(ends, ends[1:])]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            rows = np.concatenate([np.empty((0, 4)), *found])
+            yield pa.RecordBatch.from_arrays([*(batch[k].take(at) for k in keys), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], [*keys, *side])
+
+    return listed.mapInArrow(run, T.StructType([*(listed.schema[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in side)]))
+
+
 def merge_nearby(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
     """keys, x0, y0, x1, y1: ``boxes`` joined while any two of one key are within ``gap`` (above 0) of each other on both
     axes; a joined box may reach further ones.
 
+    Boxes of one key are joined where they lie, as an array; only keys of more than ``TOGETHER`` boxes go by cells, whose rows
+    are many times the boxes.
+    """
+    side = ["x0", "y0", "x1", "y1"]
+    now = scratch.keep(boxes.select(*keys, *(F.col(c).cast("double").alias(c) for c in side)))
+    crowded = scratch.keep(now.groupBy(*keys).count().where(F.col("count") > TOGETHER).select(*keys))
+    together = lambda rows: _joined_lists(rows.groupBy(*keys).agg(F.collect_list(F.struct(*side)).alias("l")), keys, gap)
+    if crowded.isEmpty():
+        scratch.drop(crowded)
+        return together(now)
+    return together(now.join(crowded, keys, "left_anti")).unionByName(_joined_on_cells(now.join(crowded, keys, "left_semi"), keys, gap))
+
+
+def _joined_on_cells(boxes: DataFrame, keys: list[str], gap: float) -> DataFrame:
+    """``merge_nearby`` of keys of any number of boxes.
+
     Boxes lie on cells of the size of the gap, so that all on one cell are near and those near lie on neighbouring cells.
     Each round a box takes the least name of what it is near to, by way of one box a cell, and boxes of one name become
     one: no two boxes are compared because they crowd in a place. Names are hashes, so a row of boxes halves each round.

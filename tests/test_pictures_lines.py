@@ -121,6 +121,27 @@ def test_cells_of_boxes_are_never_sent_whole_to_all(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_regions_of_a_page_are_joined_without_cells(spark, monkeypatch):
+    """Large regions lie on hundreds of cells each, which at 1 GB of documents didn't fit on the disk."""
+    monkeypatch.setattr(pictures, "_named", None)
+    rows = [(d, 0, n, *box) for d in range(3) for n, box in enumerate([(0.0, 0.0, 900.0, 300.0), (0.0, 350.0, 900.0, 700.0), (0.0, 800.0, 500.0, 1000.0)])]
+    found = pictures.illustrations(spark.createDataFrame(rows, pictures.REGIONS), 55)
+    assert sorted(tuple(r)[2:] for r in found.where("doc_id = 1").collect()) == [(0, 0.0, 0.0, 900.0, 700.0), (1, 0.0, 800.0, 500.0, 1000.0)]
+    assert found.count() == 6 and pictures.illustrations(spark.createDataFrame([], pictures.REGIONS), 55).count() == 0
+
+
+def test_boxes_join_in_arrays_as_on_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(p, x, y, x + rng.randrange(9), y + rng.randrange(9)) for p in range(1, 30) for x, y in ((rng.randrange(60) / 2, rng.randrange(60) / 2) for _ in range(rng.randrange(1, 25)))]
+    boxes = spark.createDataFrame([(p, *map(float, b)) for p, *b in rows], "page long, x0 double, y0 double, x1 double, y1 double")
+    all_ = lambda: sorted(map(tuple, pictures.merge_nearby(boxes, ["page"], 2.0).collect()))
+    found = all_()
+    monkeypatch.setattr(pictures, "TOGETHER", 10)
+    assert all_() == found and len(found) < len(rows)
+    before = np.array([[0.0, 0.0, 1.0, 1.0], [5.0, 0.0, 6.0, 1.0], [2.0, 0.0, 4.0, 1.0]])
+    assert pictures.joined(before, 1.0).tolist() == [[0, 0, 6, 1]] and before[0, 2] == 1
+
+
 def test_blank_regions_send_no_words_to_python(spark):
     words = spark.createDataFrame([(0, 0, 0.0, 0.0, 320.0, 10.0), (0, 0, 0.0, 300.0, 320.0, 320.0), (0, 0, -5.0, 100.0, 20.0, 101.0)], "doc_id long, page_index long, x0 double, y0 double, x1 double, y1 double")
     found = pictures.blank_regions(words, 320, 320)
