@@ -7,6 +7,7 @@ words of one document.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +126,11 @@ def place_lists(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "own", F.filter("own", lambda p: ~((F.floor((p - 1) / 40) % 7 == 3) & ((p - 1) % 40 < 8))).alias("other"))
 
 
+def scanned_confidence(doc_id, pos):
+    """The confidence of ``ocr_words`` by doc_id and place (arrays of numpy)."""
+    return 40 + np.fmod(doc_id * 31 + pos * 17, 61)
+
+
 def cut_lists(lists: DataFrame) -> DataFrame:
     """``word_lists`` with scan: the words of ``cut_words`` as an array of page_index, pos, text, confidence."""
 

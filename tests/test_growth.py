@@ -1,5 +1,6 @@
 """Work, shuffles and memory of a task that follow the input: nothing meets all that is like it, no task takes a share that grows."""
 
+import random
 import time
 
 import pytest
@@ -106,3 +107,39 @@ def test_readings_are_compared_where_their_texts_lie(spark, name):
     df = registry.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert shuffles(df) == 0 and plan.count("REPARTITION_BY_NUM") == 1 and "Sort" not in plan and "Join" not in plan
+
+
+def test_texts_are_read_once_for_a_lexicon(spark):
+    """Spellings and the documents that have a word come from one pass and one shuffle, and folding starts from what that has found."""
+    sf = "/root/testdata/sf0.001"
+    entries = registry.queries()["a01_lexicon_entries"](spark, sf)
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan and shuffles(entries) == 1
+    assert "documents.parquet" not in registry.queries()["a01_lexicon_folded"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_without_a_letter_are_never_sent_whole_to_all(spark):
+    keys = spark.createDataFrame([("and",), ("ant",), ("at",), ("bat",)], "key string")
+    pairs = lexicon.neighbours(keys)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == [("and", "ant"), ("ant", "at")]
+
+
+def test_words_are_counted_in_arrays_as_in_rows(spark):
+    odd = ["\u00a0", "\ufeff", "\x0b", "\x1c", "\x85", "\u2009\n", " \u3000 ", "\t"]
+    bricks = ["Über", "über,", "(ÜBER)", "naïve", "ſaith", "a1", "42", "--", "it", "It's", "ye", "bodies", "Bodies.", "œuvre", "x-y", "«et»", "est"]
+    rng = random.Random(5)
+    rows = [(k % 17, "".join(rng.choice(bricks) + rng.choice(odd + [" "] * 9) for _ in range(rng.randrange(60)))) for k in range(60)]
+    rows += [(40, None), (41, ""), (42, " \u00a0"), (43, " it \n"), (5, None)]
+    docs = views.dealt(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    words = views.ocr_words(views.tokens(docs)).withColumn("at", F.struct(F.col("doc_id").alias("doc"), "pos"))
+    shown = lambda df: sorted((*r[:3], round(r[3], 9), *r[4:7], tuple(r[7])) for r in df.collect())
+    try:
+        for share in (0.05, 0.2, 0.25, 2):
+            want = shown(lexicon.entries(words, lexicon.widespread(views.tokens(docs), len(rows), share)))
+            got = lexicon.entries_of_texts(docs, views.scanned_confidence, len(rows), share)
+            assert shown(got.select("key", "term", "count", "mean_confidence", "known", "archaic", "proper", "signals")) == want
+        assert want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
